@@ -6,7 +6,7 @@ import importlib
 
 from foldwise.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["q_features"]
+_MODULES = ["q_features", "q_profile"]
 
 
 def _load():
