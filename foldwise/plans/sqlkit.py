@@ -50,3 +50,39 @@ def auc_ctes(name: str, rel: str, score: str, y: str, by: list[str] | None = Non
          CASE WHEN max(P) > 0 AND max(N) > 0 THEN max(abs(cp / P::DOUBLE - cn / N::DOUBLE)) ELSE 0.0 END AS ks
   FROM {name}_c {grp}
 )"""
+
+
+def probs_sql(bins: int) -> str:
+    import numpy as np
+    return "[" + ", ".join(f"{float(p)!r}::DOUBLE" for p in np.linspace(0.0, 1.0, bins + 1)) + "]"
+
+
+def edges_cte(name: str, rel: str, value: str, bins: int = 10, by: list[str] | None = None) -> str:
+    """CTE ``{name}`` with by..., edges (open ends), inner, n_bins from reference rows."""
+    by = by or []
+    bsel = "".join(f"{b}, " for b in by)
+    grp = ("GROUP BY " + ", ".join(by)) if by else ""
+    return f"""
+{name}_u AS (
+  SELECT {bsel}list_sort(list_distinct(quantile_cont({value}, {probs_sql(bins)}))) AS u0, min({value}) AS lo
+  FROM {rel} WHERE {value} IS NOT NULL {grp}),
+{name}_v AS (
+  SELECT {bsel}CASE WHEN len(u0) < 2 THEN [lo - 1e-9, lo + 1e-9] ELSE u0 END AS u FROM {name}_u),
+{name} AS (
+  SELECT {bsel}list_slice(u, 2, len(u) - 1) AS inner_e, len(u) - 1 AS n_bins,
+         list_concat(['-inf'::DOUBLE], list_slice(u, 2, len(u) - 1), ['inf'::DOUBLE]) AS edges
+  FROM {name}_v)"""
+
+
+def psi_sql(rel: str, keys: list[str]) -> str:
+    """SELECT keys..., psi FROM rel(keys..., bin, ref_n, cur_n) over a complete grid."""
+    k = ", ".join(keys)
+    part = f"PARTITION BY {k}" if keys else ""
+    ksel = f"{k}, " if keys else ""
+    grp = f"GROUP BY {k}" if keys else ""
+    return f"""SELECT {ksel}sum((greatest(a, 1e-4) - greatest(e, 1e-4)) * ln(greatest(a, 1e-4) / greatest(e, 1e-4))) AS psi
+FROM (SELECT *, ref_n / greatest(sum(ref_n) OVER ({part}), 1)::DOUBLE AS e,
+              cur_n / greatest(sum(cur_n) OVER ({part}), 1)::DOUBLE AS a FROM {rel}) {grp}"""
+
+
+CLASSIFY = "CASE WHEN {v} < 0.1 THEN 'stable' WHEN {v} < 0.25 THEN 'watch' ELSE 'unstable' END"
