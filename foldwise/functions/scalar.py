@@ -77,7 +77,8 @@ def psi_term(expected_pct: Column | str, actual_pct: Column | str) -> Column:
 
 def fmt_number(c: Column | str, digits: int = 4) -> Column:
     """Fixed decimals, ``n/a`` for null (FN5)."""
-    return F.coalesce(F.format_string(f"%.{digits}f", col(c)), F.lit("n/a"))
+    c = col(c)
+    return F.when(c.isNull(), F.lit("n/a")).otherwise(F.format_string(f"%.{digits}f", c))
 
 
 def left_closed_bin(x: Column | str, inner_edges: Column) -> Column:
