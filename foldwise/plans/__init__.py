@@ -6,7 +6,7 @@ import importlib
 
 from foldwise.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["q_features", "q_profile", "q_scoring", "q_stability", "q_parity", "q_catalog", "q_sources", "q_streaming"]
+_MODULES = ["q_features", "q_profile", "q_scoring", "q_stability", "q_parity", "q_catalog", "q_sources", "q_streaming", "q_models"]
 
 
 def _load():
