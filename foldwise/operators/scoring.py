@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from foldwise.functions.scalar import LEAK_AUC_THRESHOLD, clip_proba
 from foldwise.operators.longform import melt
 from foldwise.operators.rank import prefix_sums
+from foldwise.session import materialize
 
 
 def histogram(df: DataFrame, score_col: str, y_col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -32,9 +33,14 @@ def histogram(df: DataFrame, score_col: str, y_col: str, by: Sequence[str] = ())
             .agg(F.sum(y).cast("bigint").alias("pos"), F.sum(1 - y).cast("bigint").alias("neg")))
 
 
-def rank_metrics(hist: DataFrame, by: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
-    """AUC, average precision and KS per ``by`` group from a histogram."""
+def rank_metrics(hist: DataFrame, by: Sequence[str] = (), n_buckets: int | None = None,
+                 materialize_hist: bool = True) -> DataFrame:
+    """AUC, average precision and KS per ``by`` group from a histogram. The histogram is
+    written once to the checkpoint folder (``materialize_hist``): the bucket-bounds pass
+    and the prefix-sum pass then read it instead of recomputing the scores twice."""
     by = list(by)
+    if materialize_hist:
+        hist = materialize(hist)
     c = prefix_sums(hist, "score", ["pos", "neg"], by=by, inclusive=True, n_buckets=n_buckets)
     P, N = F.col("pos_total").cast("double"), F.col("neg_total").cast("double")
     neg_below = (F.col("cum_neg") - F.col("neg")).cast("double")

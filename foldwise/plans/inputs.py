@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foldwise.functions.hashing import TWO_POW_32, h
 from foldwise.operators.joins import join_tables, TableSpec
 from foldwise.operators.splits import stratified_assign
+from foldwise.session import materialize
 from foldwise.sources.tables import table
 
 SEED = 42
@@ -37,9 +38,10 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``base`` + ``split`` (dev/holdout) + ``fold`` (dev rows only)."""
-    return stratified_assign(base(spark, sf_dir), "row_id", "y", seed=SEED,
-                             holdout_fraction=HOLDOUT_FRACTION, k=K)
+    """``base`` + ``split`` (dev/holdout) + ``fold`` (dev rows only), written once to the
+    checkpoint folder: every feature, metric and model of a run reads the same split."""
+    return materialize(stratified_assign(base(spark, sf_dir), "row_id", "y", seed=SEED,
+                                         holdout_fraction=HOLDOUT_FRACTION, k=K))
 
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:

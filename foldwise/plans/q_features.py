@@ -233,7 +233,7 @@ px AS (SELECT *, coalesce(seg, '__missing__') || '|' || coalesce(pri, '__missing
 tr AS (SELECT f.fold, p.cross_seg_pri AS k, avg(CAST(p.y AS DOUBLE)) AS m
        FROM px p, (SELECT DISTINCT fold FROM prepared WHERE fold IS NOT NULL) f
        WHERE p.fold IS NOT NULL AND p.fold <> f.fold GROUP BY 1, 2)""") + """
-SELECT p.row_id, p.cross_seg_pri, round(p.price * p.bal, 2) AS price_x_bal,
+SELECT p.row_id, p.cross_seg_pri, round(p.price * p.bal, 4) AS price_x_bal,
        round(CASE WHEN p.fold IS NOT NULL THEN coalesce(tr.m, 0.5) END, 6) AS te_cross
 FROM px p LEFT JOIN tr ON p.cross_seg_pri = tr.k AND p.fold = tr.fold""")
 def q_feature_interaction(spark, sf):
@@ -241,7 +241,7 @@ def q_feature_interaction(spark, sf):
     p = fx.cross("cross_seg_pri", "seg", "pri").transform(p)
     p = fx.product("price_x_bal", "price", "bal").transform(p)
     te = fx.GroupStat(name="te_cross", key="cross_seg_pri", value="y", uses_target=True, default=0.5).oof(p)
-    return te.select("row_id", "cross_seg_pri", F.round("price_x_bal", 2).alias("price_x_bal"),
+    return te.select("row_id", "cross_seg_pri", F.round("price_x_bal", 4).alias("price_x_bal"),
                      r6("te_cross").alias("te_cross"))
 
 

@@ -46,7 +46,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
 
     Reads ``spark.checkpoint.dir`` from the session (a cluster names a shared, durable
     folder there). Only when it is unset is ``fallback`` used and registered, which is
-    what tests do with a scratch folder.
+    what tests do with a scratch folder. A local-mode session without either gets a
+    scratch folder of its own; a cluster session without the setting is an error, since
+    a machine-local folder is not visible to other executors.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -54,7 +56,10 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
             spark.sparkContext.setCheckpointDir(current)
         return current
     if fallback is None:
-        raise RuntimeError("spark.checkpoint.dir is not set and no fallback folder was given")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
+        import tempfile
+        fallback = tempfile.mkdtemp(prefix="foldwise-ckpt-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
@@ -62,3 +67,11 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and continue from the written
+    copy: later branches of the plan read it instead of recomputing the lineage, the
+    plans stay small, and a lost executor costs a re-read, not a recomputation."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
