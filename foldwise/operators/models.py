@@ -270,3 +270,28 @@ def training_record(cv: CVResult, holdout: DataFrame, n_rows: int | DataFrame, k
         rec = rec.crossJoin(rows.agg(F.count(F.lit(1)).alias("train_rows")))
         rec = rec.withColumn("val_rows", (F.col("train_rows") / k).cast("bigint"))
     return rec
+
+
+def tree_shap_importance(cv: CVResult, id_col: str, label: str, numeric, categorical,
+                         fold_col: str = "fold") -> DataFrame:
+    """SHAP1 for tree models: mean |SHAP| per input feature over the validation rows,
+    each row explained by the fold model that did not see it (exact path-dependent
+    tree SHAP in ``mapInPandas``, trees read from the saved models)."""
+    from foldwise.operators.treeshap import mean_abs_shap, read_trees
+    from pyspark.ml import PipelineModel as PM
+    design = cv.design
+    spark = design.sparkSession
+    trees, parts, slots = {}, [], None
+    for i, m in cv.models.items():
+        stages = m.stages
+        trees[i] = read_trees(stages[-1], spark)
+        prep = PM(stages=stages[:-1])
+        parts.append(prep.transform(design.where(F.col(fold_col) == i)).select(fold_col, "_features"))
+        if slots is None:
+            assembler = stages[-2]
+            slots = [c.replace("_imp_", "", 1).replace("_miss_", "", 1).replace("_idx_", "", 1).replace("_oh_", "", 1)
+                     for c in assembler.getInputCols()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return mean_abs_shap(rows, trees, slots, fold_col)

@@ -126,3 +126,17 @@ def q_feature_selection_round(spark, sf):
     df = selection_frame(spark, sf)
     r = run_selection(df, _cv_auc_fn(df), BASELINE, CANDIDATES)
     return r.to_frame(spark, iteration=0)
+
+
+GBT = ml.ModelSpec(kind="gbt", trees=20, depth=4)
+
+
+@register("shap_tree")
+def q_shap_tree(spark, sf):
+    """SHAP1 for the boosted-tree model: exact tree SHAP of every validation row under
+    its own fold model, mean absolute value per input column."""
+    p = prepared(spark, sf)
+    r = ml.cross_validate(p, "row_id", "y", NUM, CAT, K, spec=GBT, with_train_metrics=False)
+    out = ml.tree_shap_importance(r, "row_id", "y", NUM, CAT).checkpoint(eager=True)
+    r.release()
+    return out.select("feature", r6("mean_abs_shap").alias("mean_abs_shap"))
