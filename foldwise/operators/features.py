@@ -140,32 +140,52 @@ class GroupStat(Feature):
         return out.withColumn(self.name, F.coalesce(F.col("_pv"), F.col("_pd"))).drop("_pv", "_pd")
 
     # out-of-fold by fold subtraction
-    def oof(self, df: DataFrame, fold_col: str = "fold") -> DataFrame:
+    def _fold_partials(self, k: int, fold_col: str) -> list[Column]:
+        """Per-fold (sum, count) as 2k conditional aggregates of one pass."""
+        f = F.col(fold_col)
+        if self.kind == "frequency":
+            s = [F.count_if(f == i).cast("double").alias(f"_s{i}") for i in range(k)]
+            c = [F.count_if(f == i).alias(f"_c{i}") for i in range(k)]
+        else:
+            v = nan_to_null(F.col(self.value).cast("double"))
+            s = [F.sum(F.when(f == i, v)).alias(f"_s{i}") for i in range(k)]
+            c = [F.count(F.when(f == i, v)).alias(f"_c{i}") for i in range(k)]
+        return s + c
+
+    @staticmethod
+    def _minus_own_fold(k: int, extra: list[Column] = ()) -> Column:
+        """k structs (fold, total - fold_i sum, total - fold_i count)."""
+        S = sum((F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) for i in range(k)), F.lit(0.0))
+        C = sum((F.col(f"_c{i}") for i in range(k)), F.lit(0))
+        return F.explode(F.array(*[
+            F.struct(F.lit(i).alias("_f"), (S - F.coalesce(F.col(f"_s{i}"), F.lit(0.0))).alias("_ts"),
+                     (C - F.col(f"_c{i}")).alias("_tc"), *[e for e in extra]) for i in range(k)]))
+
+    def oof(self, df: DataFrame, fold_col: str = "fold", k: int | None = None) -> DataFrame:
+        """One aggregation per key with k conditional (sum, count) pairs gives every
+        fold's training statistics (total minus own fold); exploded to (key, fold) rows
+        they join the rows on (key, fold), which also spreads a hot key over k
+        partitions. Global fallbacks come from the same aggregation without a key (one
+        row, k structs, broadcast)."""
+        if k is None:
+            k = int(df.agg(F.max(fold_col)).first()[0]) + 1
         dev = df.where(F.col(fold_col).isNotNull())
-        g = (dev.where(F.col(self.key).isNotNull())
-             .groupBy(self.key, fold_col).agg(*self._partials()))
-        fold_tot = dev.groupBy(fold_col).agg(*[c for c in self._partials()],
-                                             F.count(F.lit(1)).alias("_fn"))
-        all_tot = fold_tot.agg(F.sum("_s").alias("_gs_all"), F.sum("_c").alias("_gc_all"),
-                               F.sum("_fn").alias("_n_all"))
-        # per-fold training totals: all - own fold (k rows)
-        ftrain = (fold_tot.crossJoin(all_tot)
-                  .select(F.col(fold_col).alias("_f"),
-                          (F.col("_gs_all") - F.col("_s")).alias("_gs"),
-                          (F.col("_gc_all") - F.col("_c")).alias("_gc"),
-                          (F.col("_n_all") - F.col("_fn")).alias("_ntr")))
-        key_tot = g.groupBy(self.key).agg(F.sum("_s").alias("_ks"), F.sum("_c").alias("_kc"))
-        params = (g.join(key_tot, self.key)
-                  .select(F.col(self.key).alias("_pk"), F.col(fold_col).alias("_pf"),
-                          (F.col("_ks") - F.col("_s")).alias("_ts"),
-                          (F.col("_kc") - F.col("_c")).alias("_tc")))
-        # params: one row per (key, fold); k-row fold table is broadcast
+        per_key = dev.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(*self._fold_partials(k, fold_col))
+        params = (per_key.select(F.col(self.key).alias("_pk"), self._minus_own_fold(k).alias("_t"))
+                  .select("_pk", F.col("_t._f").alias("_pf"), F.col("_t._ts").alias("_ts"),
+                          F.col("_t._tc").alias("_tc")))
+        f = F.col(fold_col)
+        glob = dev.agg(*self._fold_partials(k, fold_col), *[F.count_if(f == i).alias(f"_n{i}") for i in range(k)])
+        N = sum((F.col(f"_n{i}") for i in range(k)), F.lit(0))
+        ftrain = (glob.select(self._minus_own_fold(k, []).alias("_t"), N.alias("_N"),
+                              F.array(*[F.col(f"_n{i}") for i in range(k)]).alias("_ns"))
+                  .select(F.col("_t._f").alias("_f"), F.col("_t._ts").alias("_gs"), F.col("_t._tc").alias("_gc"),
+                          (F.col("_N") - F.element_at("_ns", F.col("_t._f") + 1)).alias("_ntr")))
+        # ftrain: k rows
         rows = df.join(F.broadcast(ftrain), F.col(fold_col) == F.col("_f"), "left")
-        rows = rows.join(params, (F.col(self.key) == F.col("_pk")) & (F.col(fold_col) == F.col("_pf")),
-                         "left")
+        rows = rows.join(params, (F.col(self.key) == F.col("_pk")) & (F.col(fold_col) == F.col("_pf")), "left")
         val = self._finish(F.coalesce(F.col("_ts"), F.lit(0.0)), F.coalesce(F.col("_tc"), F.lit(0)),
                            F.col("_gs"), F.col("_gc"), F.col("_ntr"))
-        # keys present in other folds only: _tc > 0; key absent from training: fallback
         out = rows.withColumn(self.name, F.when(F.col(fold_col).isNotNull(), val))
         return out.drop("_f", "_gs", "_gc", "_ntr", "_pk", "_pf", "_ts", "_tc")
 
@@ -256,6 +276,8 @@ def compute_oof(feature: Feature, df: DataFrame, id_col: str, k: int, fold_col:
     """``(id, feature.name)`` for every row; dev rows get their out-of-fold value,
     holdout rows null (Q12). Fold-additive features use one aggregate; others run k
     filtered fits in one union plan."""
+    if isinstance(feature, GroupStat):
+        return feature.oof(df, fold_col, k).select(id_col, feature.name)
     if getattr(feature, "fold_additive", False) or isinstance(feature, Expression):
         return feature.oof(df, fold_col).select(id_col, feature.name)
     parts = []

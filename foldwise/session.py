@@ -69,9 +69,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and continue from the written
-    copy: later branches of the plan read it instead of recomputing the lineage, the
-    plans stay small, and a lost executor costs a re-read, not a recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and continue
+    from the written copy: later branches read it (with column pruning, filter pushdown
+    and real size statistics for the planner) instead of recomputing the lineage, plans
+    stay small, and a lost executor costs a re-read, not a recomputation."""
+    import os
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
