@@ -2,7 +2,9 @@
 one JSON line {"metric", "value", "unit", "queries", "sf"}.
 
 Each query is fully executed (a no-op write of every row), so the time covers the whole
-plan, not only the first rows."""
+plan, not only the first rows. Every query runs twice and the faster run is reported
+(steady state: the first run also pays JVM class loading and code generation);
+$BENCH_RUNS changes the number of runs."""
 
 from __future__ import annotations
 
@@ -37,11 +39,16 @@ def main():
     keys = only or [k for k in HEADLINE if k in qs]
     # untimed JVM warm-up (class loading, codegen of the scan path), not query work
     spark.read.parquet(f"{sf_dir}/region.parquet").groupBy("r_name").count().collect()
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     times = {}
     for k in keys:
-        t0 = time.time()
-        qs[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[k] = round(time.time() - t0, 3)
+        best = None
+        for _ in range(runs):
+            t0 = time.time()
+            qs[k](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            dt = time.time() - t0
+            best = dt if best is None else min(best, dt)
+        times[k] = round(best, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_headline_query_time", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir}))

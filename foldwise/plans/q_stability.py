@@ -10,13 +10,16 @@ from foldwise.operators.splits import time_windows
 from foldwise.plans.inputs import ev, prepared
 from foldwise.plans.registry import r6, register
 from foldwise.plans.sqlkit import CLASSIFY, edges_cte, psi_sql, with_base, with_ev
+from foldwise.session import materialize
 
 N_WINDOWS = 6
 BOOT_ITER = 20
 
 
 def ev_windows(spark, sf):
-    return time_windows(ev(spark, sf), "t", "row_id", N_WINDOWS, window_col="win")
+    """Events with their equal-count time window, written once: the numeric and the
+    categorical stability branches both read it."""
+    return materialize(time_windows(ev(spark, sf), "t", "row_id", N_WINDOWS, window_col="win"), "ev_windows")
 
 
 EVW = f"evw AS (SELECT *, CAST(ntile({N_WINDOWS}) OVER (ORDER BY t, row_id) - 1 AS INTEGER) AS win FROM ev)"
