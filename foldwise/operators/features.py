@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.functions.scalar import MISSING_CATEGORY, nan_to_null
 
@@ -334,3 +335,93 @@ def memoised_encoding(df: DataFrame, key: str, y_col: str, fold_col: str = "fold
     out = df.join(p0, key, "left")
     return out.withColumn(name, F.when(F.col(fold_col).isNotNull(),
                                        F.coalesce(F.col("_p"), F.lit(default)))).drop("_p")
+
+
+# ----------------------------------------------------------------------------------
+# arbitrary fits in pandas over pre-aggregated rows (UDF4)
+
+
+@dataclass
+class PandasFit(Feature):
+    """A fit whose last step is pandas code. ``partials`` are additive Spark aggregates
+    (sums, counts) computed per (key, fold) with map-side partial aggregation; the
+    training partials of fold i are the sums over the other folds. ``finish(train,
+    glob)`` turns a frame of training partials (one row per key) plus the dict of
+    global training partials into the feature values. It runs in ``applyInPandas``
+    grouped by a hash bucket of the key, so every group holds a bounded slice of the
+    keys (never one group per fold or per table)."""
+
+    name: str = "pandas_fit"
+    key: str = "key"
+    partials: dict = field(default_factory=dict)
+    finish: object = None
+    default: float = 0.0
+    uses_target: bool = False
+    buckets: int | None = None
+    required_columns: tuple[str, ...] = ()
+
+    def oof(self, df: DataFrame, fold_col: str = "fold", k: int | None = None) -> DataFrame:
+        import pandas as pd
+        spark = df.sparkSession
+        if k is None:
+            k = int(df.agg(F.max(fold_col)).first()[0]) + 1
+        names = list(self.partials)
+        dev = df.where(F.col(fold_col).isNotNull())
+        g = dev.where(F.col(self.key).isNotNull()).groupBy(self.key, fold_col).agg(
+            *[e.alias(n) for n, e in self.partials.items()])
+        per_fold = {r[fold_col]: r for r in dev.groupBy(fold_col).agg(
+            *[e.alias(n) for n, e in self.partials.items()]).collect()}  # k rows
+        glob = {i: {n: sum(float(per_fold[j][n] or 0) for j in per_fold if j != i) for n in names}
+                for i in range(k)}
+        buckets = self.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        key_type = df.schema[self.key].dataType.simpleString()
+        finish, key, default = self.finish, self.key, self.default
+
+        def fit_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            totals = pdf.groupby(key)[names].sum()
+            for i in range(k):
+                own = pdf[pdf[fold_col] == i].set_index(key)[names]
+                train = totals.sub(own.reindex(totals.index).fillna(0.0), fill_value=0.0)
+                vals = pd.Series(finish(train, glob[i]), index=train.index).astype("float64")
+                out.append(pd.DataFrame({"_pk": train.index, "_pf": i, "_pv": vals.to_numpy()}))
+            return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
+                {"_pk": pd.Series(dtype="object"), "_pf": pd.Series(dtype="int32"), "_pv": pd.Series(dtype="float64")})
+
+        bucketed = g.withColumn("_b", F.pmod(F.xxhash64(F.col(self.key)), F.lit(buckets)))
+        params = bucketed.groupBy("_b").applyInPandas(fit_bucket, f"_pk {key_type}, _pf int, _pv double")
+        defaults = spark.createDataFrame([(i, float(finish(pd.DataFrame([{n: 0.0 for n in names}]), glob[i])[0])
+                                           if default is None else float(default)) for i in range(k)],
+                                         "_f int, _pd double")  # k rows
+        rows = df.join(params, (F.col(self.key) == F.col("_pk")) & (F.col(fold_col) == F.col("_pf")), "left")
+        rows = rows.join(F.broadcast(defaults), F.col(fold_col) == F.col("_f"), "left")
+        out = rows.withColumn(self.name, F.when(F.col(fold_col).isNotNull(), F.coalesce(F.col("_pv"), F.col("_pd"))))
+        return out.drop("_pk", "_pf", "_pv", "_f", "_pd")
+
+
+def smoothed_target_encoding(name: str, key: str, y: str, m: float = 10.0) -> PandasFit:
+    """F2 with m-estimate smoothing towards the training prior:
+    (sum_y + m * prior) / (count + m); an unseen key gets the prior."""
+    def finish(train, glob):
+        prior = glob["sy"] / glob["n"] if glob["n"] else 0.5
+        return (train["sy"] + m * prior) / (train["n"] + m)
+    return PandasFit(name=name, key=key, partials={"sy": F.sum(F.col(y).cast("double")),
+                                                    "n": F.count(F.lit(1)).cast("double")},
+                     finish=finish, default=None, uses_target=True, required_columns=(key,))
+
+
+def coerce_output(df: DataFrame, col: str) -> DataFrame:
+    """OOF5: a feature column becomes double when every non-null value parses as a
+    number (one aggregate pass), otherwise it stays text."""
+    c = F.col(col)
+    if isinstance(df.schema[col].dataType, T.NumericType):
+        return df.withColumn(col, c.cast("double"))
+    bad = df.agg(F.count_if(c.isNotNull() & F.try_cast(c, "double").isNull()).alias("b")).first()["b"]
+    return df.withColumn(col, F.try_cast(c, "double")) if bad == 0 else df
+
+
+def categorical_columns(df: DataFrame, raw_categoricals: list[str], features: list[Feature]) -> list[str]:
+    """PRJ13: raw categorical columns plus engineered features declared categorical
+    (string output), restricted to the columns present in the frame."""
+    engineered = [f.name for f in features if getattr(f, "output_type", "double") in ("string", "category")]
+    return [c for c in dict.fromkeys([*raw_categoricals, *engineered]) if c in df.columns]

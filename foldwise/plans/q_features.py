@@ -299,3 +299,20 @@ def q_leak_memoised_encoding(spark, sf):
         F.max(F.when(F.col("feature") == "te_leaky", F.col("flag"))).alias("flag_leaky"),
         F.max(F.when(F.col("feature") == "te_proper", F.col("auc"))).alias("auc_proper"))
     return row.select(r6("auc_leaky").alias("auc_leaky"), "flag_leaky", r6("auc_proper").alias("auc_proper"))
+
+
+SMOOTH_M = 10.0
+
+
+@register("oof_target_encoding_smoothed", with_base(f"""
+tr AS (SELECT f.fold, p.seg AS k, sum(CAST(p.y AS DOUBLE)) AS sy, count(*) AS n FROM prepared p, {_FOLDS}
+       WHERE p.fold IS NOT NULL AND p.fold <> f.fold AND p.seg IS NOT NULL GROUP BY 1, 2)""", f"""
+gl AS (SELECT f.fold, avg(CAST(p.y AS DOUBLE)) AS prior FROM prepared p, {_FOLDS}
+       WHERE p.fold IS NOT NULL AND p.fold <> f.fold GROUP BY 1)""") + f"""
+SELECT p.row_id, round(CASE WHEN p.fold IS NOT NULL THEN
+         coalesce((tr.sy + {SMOOTH_M} * gl.prior) / (tr.n + {SMOOTH_M}), gl.prior) END, 6) AS value
+FROM prepared p LEFT JOIN tr ON p.seg = tr.k AND p.fold = tr.fold LEFT JOIN gl ON p.fold = gl.fold""")
+def q_oof_target_encoding_smoothed(spark, sf):
+    """UDF4: the fit's last step in pandas over pre-aggregated (key, fold) rows."""
+    f = fx.smoothed_target_encoding("value", "seg", "y", SMOOTH_M)
+    return f.oof(prepared(spark, sf), k=K).select("row_id", r6("value").alias("value"))

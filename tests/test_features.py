@@ -93,3 +93,30 @@ def test_validate_feature_rejects_target_input(spark):
         fx.validate_feature(fx.ratio("r", "RoomService", "y"), df, target_col="y")
     with pytest.raises(ValueError):
         fx.validate_feature(fx.ratio("r", "RoomService", "missing"), df)
+
+
+def test_pandas_fit_matches_direct_smoothing_with_hot_key(spark):
+    rng = np.random.default_rng(17)
+    # a third of the rows share one key
+    keys = ["hot" if i % 3 == 0 else f"k{i % 17}" for i in range(900)]
+    rows = [(i, keys[i], int(rng.uniform() < 0.4), i % 4) for i in range(900)]
+    df = spark.createDataFrame(rows, "row_id long, k string, y int, fold int")
+    got = fx.smoothed_target_encoding("v", "k", "y", m=10.0).oof(df, k=4).orderBy("row_id").toPandas()["v"]
+    import pandas as pd
+    pdf = pd.DataFrame(rows, columns=["row_id", "k", "y", "fold"])
+    exp = []
+    for _, r in pdf.iterrows():
+        tr = pdf[pdf.fold != r.fold]
+        prior = tr.y.mean()
+        g = tr[tr.k == r.k]
+        exp.append((g.y.sum() + 10.0 * prior) / (len(g) + 10.0) if len(g) else prior)
+    assert got.tolist() == pytest.approx(exp, rel=1e-12)
+
+
+def test_coerce_output_and_categorical_list(spark):
+    df = spark.createDataFrame([("1.5", "a"), ("2", "b"), (None, None)], "n string, s string")
+    assert dict(fx.coerce_output(df, "n").dtypes)["n"] == "double"
+    assert dict(fx.coerce_output(df, "s").dtypes)["s"] == "string"
+    feats = [fx.cross("c", "a", "b"), fx.ratio("r", "a", "b")]
+    df2 = spark.createDataFrame([("x", "y", "z")], "seg string, c string, r string")
+    assert fx.categorical_columns(df2, ["seg", "missing"], feats) == ["seg", "c"]
