@@ -416,8 +416,8 @@ def coerce_output(df: DataFrame, col: str) -> DataFrame:
     c = F.col(col)
     if isinstance(df.schema[col].dataType, T.NumericType):
         return df.withColumn(col, c.cast("double"))
-    bad = df.agg(F.count_if(c.isNotNull() & F.try_cast(c, "double").isNull()).alias("b")).first()["b"]
-    return df.withColumn(col, F.try_cast(c, "double")) if bad == 0 else df
+    bad = df.agg(F.count_if(c.isNotNull() & c.try_cast("double").isNull()).alias("b")).first()["b"]
+    return df.withColumn(col, c.try_cast("double")) if bad == 0 else df
 
 
 def categorical_columns(df: DataFrame, raw_categoricals: list[str], features: list[Feature]) -> list[str]:
