@@ -48,17 +48,14 @@ def stratified_assign(df: DataFrame, id_col: str, y_col: str, seed: int = 42,
 
 
 def fold_audit(df: DataFrame, id_col: str, y_col: str, k: int, fold_col: str = "fold") -> DataFrame:
-    """SPL4: every dev row is a validation row exactly once and a training row k-1
-    times; per class, fold sizes differ by at most one. One row out."""
+    """SPL4: every dev row is a validation row exactly once (one fold in [0, k), id
+    unique) and so a training row k-1 times; per class, fold sizes differ by at most
+    one. One shuffle by id (no k-fold row expansion). One row out."""
     dev = df.where(F.col(fold_col).isNotNull())
-    roles = dev.select(id_col, y_col, fold_col,
-                       F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_i"))
-    per_row = roles.groupBy(id_col).agg(
-        F.sum((F.col(fold_col) == F.col("_i")).cast("int")).alias("_nval"),
-        F.sum((F.col(fold_col) != F.col("_i")).cast("int")).alias("_ntrain"))
-    once = per_row.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if((F.col("_nval") == 1) & (F.col("_ntrain") == k - 1)).alias("n_assigned_once"))
+    per_id = dev.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"),
+                                     F.min(F.col(fold_col).between(0, k - 1)).alias("_ok"))
+    once = per_id.agg(F.sum("_n").cast("bigint").alias("n_rows"),
+                      F.count_if((F.col("_n") == 1) & F.col("_ok")).alias("n_assigned_once"))
     sizes = dev.groupBy(y_col, fold_col).count()
     gap = sizes.groupBy(y_col).agg((F.max("count") - F.min("count")).alias("_gap")) \
         .agg(F.max("_gap").cast("bigint").alias("max_class_gap"))

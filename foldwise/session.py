@@ -80,3 +80,12 @@ def materialize(df, name: str = "table"):
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def broadcast_if_small(df, max_rows: int = 1_000_000):
+    """Broadcast ``df`` only after checking that it has at most ``max_rows`` rows (one
+    count of an already small, aggregated table); above the bound the join stays a
+    shuffle join that AQE may still convert from measured sizes."""
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import isclose
-from foldwise.session import checkpoint_dir
+from foldwise.session import broadcast_if_small, checkpoint_dir
 
 
 def stream_source(spark: SparkSession, folder: str, file_glob: str = "*.parquet",
@@ -33,9 +33,9 @@ def run_stream_parity(stream: DataFrame, id_col: str, key_col: str, params: Data
     sink, ckpt = os.path.join(work_dir, "diffs"), os.path.join(work_dir, "_checkpoint")
     keyed = params.where(F.col("key").isNotNull()).select(F.col("key").alias("_pk"), F.col("value").alias("_pv"))
     dflt = params.where(F.col("key").isNull()).select(F.col("value").alias("_pd"))
-    # params are small (one row per key) and read once per batch through a broadcast join
+    # params are one row per key: broadcast behind a row-count check
     online = (stream.select(id_col, key_col)
-              .join(F.broadcast(keyed), F.col(key_col) == F.col("_pk"), "left")
+              .join(broadcast_if_small(keyed), F.col(key_col) == F.col("_pk"), "left")
               .crossJoin(F.broadcast(dflt))
               .select(id_col, F.coalesce(F.col("_pv"), F.col("_pd")).alias("online")))
     off = offline.select(id_col, offline_col)
