@@ -40,6 +40,40 @@ def _as_double(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
+SMALL_BOUNDS = 64
+
+
+def _accuracy(n_buckets: int) -> int:
+    """percentile_approx accuracy for bucket bounds: buckets only need to be roughly
+    balanced, so the sketch size is capped."""
+    return int(max(10_000, min(10 * n_buckets, 1_000_000)))
+
+
+def bucketize(df: DataFrame, x: Column, bounds: Sequence[float], out_col: str) -> DataFrame:
+    """Adds ``out_col``: a bucket index that increases with ``x`` and is equal for equal
+    values (nulls get ``len(bounds) + 1``). Few bounds: a literal-array count (stays in
+    codegen); many bounds: ``Bucketizer``'s binary search, O(log B) per row and no
+    B-element literal in the plan."""
+    bounds = sorted(set(float(b) for b in bounds))
+    if len(bounds) <= SMALL_BOUNDS:
+        arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+        b = F.when(x.isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(arr, lambda e: e < x)))
+        return df.withColumn(out_col, b.cast("int"))
+    import numpy as np
+    from pyspark.ml.feature import Bucketizer
+    tmp = f"_bx_{out_col}"
+    # Bucketizer is left-closed; splitting at the next double above each bound makes its
+    # index = count(bounds < x), the same as the small path (a value equal to a bound
+    # stays the top of the lower bucket, which the hot-value ordering relies on)
+    up = [float(np.nextafter(b, np.inf)) for b in bounds]
+    bz = Bucketizer(splits=[float("-inf"), *up, float("inf")], inputCol=tmp, outputCol=f"{tmp}_o",
+                    handleInvalid="keep")
+    out = bz.transform(df.withColumn(tmp, F.coalesce(x, F.lit(float("nan")))))
+    # NaN/null -> the extra bucket len(bounds) + 1 (same as the small path)
+    fixed = F.when(x.isNull(), F.lit(len(bounds) + 1)).otherwise(F.col(f"{tmp}_o").cast("int"))
+    return out.withColumn(out_col, fixed.cast("int")).drop(tmp, f"{tmp}_o")
+
+
 def rank_buckets(df: DataFrame, order_cols: Sequence[str], n_buckets: int,
                  uniform_max: float | None = None) -> DataFrame:
     """Adds ``_b1``, ``_b2``: a bucket key that is a pure function of the row's values and
@@ -53,14 +87,15 @@ def rank_buckets(df: DataFrame, order_cols: Sequence[str], n_buckets: int,
         out = df.withColumn("_b1", F.floor(x * F.lit(n_buckets / uniform_max)).cast("int"))
         return out.withColumn("_b2", F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(x, probs, 10 * n_buckets).alias("b"),
+    row = df.agg(F.percentile_approx(x, probs, _accuracy(n_buckets)).alias("b"),
                  F.count_if(x.isNull()).alias("nulls"), F.count(F.lit(1)).alias("n")).first()
     raw = [float(b) for b in (row["b"] or [])]
-    bounds = sorted(set(raw))
-    hot = sorted({b for b in raw if raw.count(b) >= 2})
-    arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    b1 = F.when(x.isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(arr, lambda e: e < x)))
-    out = df.withColumn("_b1", b1.cast("int"))
+    counts: dict[float, int] = {}
+    for b in raw:
+        counts[b] = counts.get(b, 0) + 1
+    bounds = sorted(counts)
+    hot = sorted(b for b, c in counts.items() if c >= 2)
+    out = bucketize(df, x, bounds, "_b1")
     heavy_nulls = row["n"] and row["nulls"] * n_buckets >= row["n"]
     if (hot or heavy_nulls) and len(order_cols) > 1:
         is_hot = x.isin(*hot) if hot else F.lit(False)
@@ -68,11 +103,9 @@ def rank_buckets(df: DataFrame, order_cols: Sequence[str], n_buckets: int,
             is_hot = is_hot | x.isNull()
         tx = _as_double(df, tie)
         sub = (df.where(is_hot)
-               .agg(F.percentile_approx(tx, probs, 10 * n_buckets).alias("b")).first()["b"]) or []
-        sub_bounds = sorted(set(float(b) for b in sub))
-        sarr = F.array(*[F.lit(b) for b in sub_bounds]) if sub_bounds else F.array().cast("array<double>")
-        out = out.withColumn("_b2", F.when(is_hot, F.size(F.filter(sarr, lambda e: e < tx)))
-                             .otherwise(F.lit(0)).cast("int"))
+               .agg(F.percentile_approx(tx, probs, _accuracy(n_buckets)).alias("b")).first()["b"]) or []
+        out = bucketize(out, tx, sub, "_b2_raw")
+        out = out.withColumn("_b2", F.when(is_hot, F.col("_b2_raw")).otherwise(F.lit(0)).cast("int")).drop("_b2_raw")
     else:
         out = out.withColumn("_b2", F.lit(0))
     return out
@@ -119,7 +152,7 @@ def range_bounds(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     if n_buckets <= 1:
         return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets))
+    bounds = df.approxQuantile(col, probs, 1.0 / _accuracy(n_buckets))
     return sorted(set(float(b) for b in bounds if b is not None))
 
 
@@ -134,9 +167,7 @@ def prefix_sums(hist: DataFrame, order_col: str, sum_cols: Sequence[str], by: Se
     by = list(by)
     n_buckets = n_buckets or shuffle_partitions(hist.sparkSession)
     bounds = range_bounds(hist, order_col, n_buckets)
-    arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    x = F.col(order_col)
-    b = hist.withColumn("_bkt", F.size(F.filter(arr, lambda e: e < x)))
+    b = bucketize(hist, F.col(order_col).cast("double"), bounds, "_bkt")
     frame_end = Window.currentRow if inclusive else -1
     w_local = (Window.partitionBy(*by, "_bkt").orderBy(order_col)
                .rowsBetween(Window.unboundedPreceding, frame_end))

@@ -89,3 +89,26 @@ def broadcast_if_small(df, max_rows: int = 1_000_000):
     from pyspark.sql import functions as F
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 256 * 2**20) -> dict:
+    """Settings sized to the data: shuffle partitions so that a shuffle partition holds
+    about ``target_partition_bytes`` (at least two waves of tasks), file splits of the
+    same size, AQE advisory size and skew thresholds derived from it, and a broadcast
+    threshold that keeps broadcast sides well inside executor memory. The rank and
+    prefix-sum helpers use the shuffle partition count as their bucket count."""
+    import math
+    slots = max(1, executors * cores_per_executor)
+    parts = max(2 * slots, math.ceil(input_bytes / target_partition_bytes))
+    mb = target_partition_bytes // 2**20
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": f"{mb}m",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{mb}m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{2 * mb}m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.session.timeZone": "UTC",
+    }

@@ -79,3 +79,14 @@ def test_time_windows_are_array_split(spark):
     df = spark.createDataFrame([(i, i) for i in range(11)], "id long, t long")
     w = time_windows(df, "t", "id", 3).groupBy("window").count().orderBy("window").toPandas()["count"].tolist()
     assert w == [4, 4, 3]
+
+
+def test_dist_rank_with_many_buckets_uses_binary_search(spark):
+    # more buckets than the literal-array path handles: Bucketizer path
+    rows = [(i, float((i * 7919) % 5000) if i % 3 else 42.0) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, t double")
+    got = dist_rank(df, ["t", "id"], rank_col="r", n_parts=200).select("id", "r")
+    exp = df.withColumn("r2", F.row_number().over(Window.orderBy("t", "id"))).select("id", "r2")
+    assert got.join(exp, "id").where(F.col("r") != F.col("r2")).count() == 0
+    ps = prefix_sums(df.select(F.col("id").cast("double").alias("k"), F.lit(1).alias("v")), "k", ["v"], n_buckets=200)
+    assert ps.where(F.col("cum_v") != F.col("k") + 1).count() == 0
