@@ -142,6 +142,21 @@ def replay(df: DataFrame, feature: PandasFeature, offline: DataFrame, id_col: st
 # features used by the replay checks
 
 
+MAX_DRIVER_PARAMS = 100_000
+
+
+def params_dict(params: DataFrame, max_rows: int = MAX_DRIVER_PARAMS) -> tuple[dict, float]:
+    """A ``(key, value)`` params table (null key = default) as a dict for a pandas
+    transform. Refuses tables above ``max_rows``: large params are joined to the rows in
+    Spark instead of being shipped through the driver."""
+    rows = params.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"params table has more than {max_rows} rows; join it instead of collecting it")
+    mapping = {r["key"]: r["value"] for r in rows if r["key"] is not None}
+    default = next((r["value"] for r in rows if r["key"] is None), None)
+    return mapping, default
+
+
 def lookup_feature(name: str, key: str, mapping: dict, default: float) -> PandasFeature:
     """Compliant: ``key.map(params).fillna(default)``; params are a handful of keys."""
     def fn(pdf: pd.DataFrame) -> pd.Series:

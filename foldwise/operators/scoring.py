@@ -99,5 +99,5 @@ def single_feature_auc(df: DataFrame, features: Sequence[str], y_col: str, id_co
     out = m.select("feature", auc.alias("auc"))
     spark = df.sparkSession
     present = spark.createDataFrame([(f,) for f in features], "feature string")  # feature names only
-    out = present.join(out, "feature", "left")
+    out = F.broadcast(present).join(out, "feature", "left")  # one row per feature name
     return out.select("feature", "auc", F.coalesce(F.col("auc") >= threshold, F.lit(False)).alias("flag"))

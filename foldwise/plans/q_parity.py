@@ -27,14 +27,12 @@ def _summary(d):
 
 def seg_lookup(spark, sf):
     """Compliant feature: dev-fitted mean price per segment, global mean default. The
-    params table has one row per segment (bounded by the key cardinality) and is read
-    to the driver as a dict for the pandas transform."""
+    params table has one row per segment and is read to the driver as a dict for the
+    pandas transform (``params_dict`` refuses large tables)."""
     p = prepared(spark, sf)
     f = fx.GroupStat(name="offline", key="seg", value="price", default="global")
     params = fx.full_fit(f, p, "row_id")
-    rows = params.collect()
-    mapping = {r["key"]: r["value"] for r in rows if r["key"] is not None}
-    default = next(r["value"] for r in rows if r["key"] is None)
+    mapping, default = par.params_dict(params)
     offline = f.transform(p.select("row_id", "seg"), params)
     return p, par.lookup_feature("seg_mean_price", "seg", mapping, default), offline
 
@@ -51,9 +49,7 @@ def cat_lookup(spark, sf):
     e = ev(spark, sf)
     f = fx.GroupStat(name="offline", key="cat", value="x", default="global")
     params = f.fit(e)
-    rows = params.collect()  # one row per event type
-    mapping = {r["key"]: r["value"] for r in rows if r["key"] is not None}
-    default = next(r["value"] for r in rows if r["key"] is None)
+    mapping, default = par.params_dict(params)  # one row per event type
     return e, par.lookup_feature("cat_mean_x", "cat", mapping, default), f.transform(e.select("row_id", "cat"), params)
 
 
