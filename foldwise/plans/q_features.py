@@ -44,7 +44,7 @@ GROUP BY te.seg, te.fold
 @register("flagship_oof_target_encoding", FLAGSHIP_SQL)
 def flagship(spark, sf):
     p = prepared(spark, sf)
-    te = target_encoding_seg().oof(p)
+    te = target_encoding_seg().oof(p, k=K)
     auc = single_feature_auc(te.where(F.col("fold").isNotNull()), ["te"], "y", "row_id")
     per = (te.where(F.col("fold").isNotNull()).groupBy("seg", "fold")
            .agg(F.count(F.lit(1)).alias("n_val"), r6(F.max("te")).alias("te")))
@@ -117,13 +117,13 @@ FROM prepared p LEFT JOIN tr ON p.{key} = tr.k AND p.fold = tr.fold LEFT JOIN gl
 @register("oof_group_mean", _oof_mean_sql("seg", "price", "gl.g"))
 def q_oof_group_mean(spark, sf):
     f = fx.GroupStat(name="value", key="seg", value="price", default="global")
-    return f.oof(prepared(spark, sf)).select("row_id", r6("value").alias("value"))
+    return f.oof(prepared(spark, sf), k=K).select("row_id", r6("value").alias("value"))
 
 
 @register("oof_target_encoding", _oof_mean_sql("seg", "y", "0.5"))
 def q_oof_target_encoding(spark, sf):
     f = fx.GroupStat(name="value", key="seg", value="y", uses_target=True, default=0.5)
-    return f.oof(prepared(spark, sf)).select("row_id", r6("value").alias("value"))
+    return f.oof(prepared(spark, sf), k=K).select("row_id", r6("value").alias("value"))
 
 
 FREQ_SQL = with_base(f"""
@@ -138,7 +138,7 @@ FROM prepared p LEFT JOIN tr ON p.pri = tr.k AND p.fold = tr.fold LEFT JOIN nt O
 @register("oof_frequency_encoding", FREQ_SQL)
 def q_oof_frequency_encoding(spark, sf):
     f = fx.GroupStat(name="value", key="pri", kind="frequency")
-    return f.oof(prepared(spark, sf)).select("row_id", r6("value").alias("value"))
+    return f.oof(prepared(spark, sf), k=K).select("row_id", r6("value").alias("value"))
 
 
 @register("full_fit_params", with_base() + """
@@ -240,7 +240,7 @@ def q_feature_interaction(spark, sf):
     p = prepared(spark, sf)
     p = fx.cross("cross_seg_pri", "seg", "pri").transform(p)
     p = fx.product("price_x_bal", "price", "bal").transform(p)
-    te = fx.GroupStat(name="te_cross", key="cross_seg_pri", value="y", uses_target=True, default=0.5).oof(p)
+    te = fx.GroupStat(name="te_cross", key="cross_seg_pri", value="y", uses_target=True, default=0.5).oof(p, k=K)
     return te.select("row_id", "cross_seg_pri", F.round("price_x_bal", 4).alias("price_x_bal"),
                      r6("te_cross").alias("te_cross"))
 
@@ -291,7 +291,7 @@ def q_leak_memoised_encoding(spark, sf):
     out-of-fold encoding never sees a row's own key and is constant (AUC null)."""
     p = prepared(spark, sf)
     leaky = fx.memoised_encoding(p, "row_id", "y", name="te_leaky")
-    proper = fx.GroupStat(name="te_proper", key="row_id", value="y", uses_target=True, default=0.5).oof(leaky)
+    proper = fx.GroupStat(name="te_proper", key="row_id", value="y", uses_target=True, default=0.5).oof(leaky, k=K)
     dev = proper.where(F.col("fold").isNotNull())
     a = single_feature_auc(dev, ["te_leaky", "te_proper"], "y", "row_id")
     row = a.groupBy().agg(
