@@ -46,7 +46,10 @@ def bin_edges(ref: DataFrame, value_col: str, id_col: str, bins: int = DEFAULT_B
     n = F.size("_u")
     inner = F.slice("_u", 2, n - 2)
     edges = F.concat(F.array(F.lit(float("-inf"))), inner, F.array(F.lit(float("inf"))))
-    return e.select(*by, edges.alias("edges"), inner.alias("inner"), (n - 1).alias("n_bins"))
+    out = e.select(*by, edges.alias("edges"), inner.alias("inner"), (n - 1).alias("n_bins"))
+    # the edges are one row per group with at most bins + 1 numbers: read them once and
+    # continue from a literal frame, so no later branch re-runs the quantile jobs
+    return ref.sparkSession.createDataFrame(out.collect(), out.schema)
 
 
 def with_bins(df: DataFrame, edges: DataFrame, value_col: str, by: Sequence[str] = (),
@@ -77,12 +80,14 @@ def psi_from_counts(counts: DataFrame, keys: Sequence[str], side_keys: Sequence[
 
 
 def psi_numeric(df: DataFrame, value_col: str, id_col: str, is_ref: Column, is_cur: Column,
-                by: Sequence[str] = (), bins: int = DEFAULT_BINS) -> DataFrame:
-    """STB4: PSI of the current rows against reference-quantile bins, per ``by`` group."""
+                by: Sequence[str] = (), bins: int = DEFAULT_BINS, edges: DataFrame | None = None) -> DataFrame:
+    """STB4: PSI of the current rows against reference-quantile bins, per ``by`` group
+    (``edges`` can be passed when already computed for the same reference)."""
     by = list(by)
     clean = df.where(F.col(value_col).isNotNull()).select(*by, id_col, value_col,
                                                          is_ref.alias("_isref"), is_cur.alias("_iscur"))
-    edges = bin_edges(clean.where("_isref"), value_col, id_col, bins, by)
+    if edges is None:
+        edges = bin_edges(clean.where("_isref"), value_col, id_col, bins, by)
     binned = with_bins(clean, edges, value_col, by)
     counts = binned.groupBy(*by, "bin").agg(F.count_if("_isref").alias("ref_n"),
                                             F.count_if("_iscur").alias("cur_n"))
@@ -189,7 +194,8 @@ def score_decile_stability(df: DataFrame, score_col: str, id_col: str, is_ref: C
     shares = per.crossJoin(tot).select(
         "decile", (F.col("_r") / F.greatest(F.col("_tr"), F.lit(1))).alias("reference_pct"),
         (F.col("_c") / F.greatest(F.col("_tc"), F.lit(1))).alias("current_pct"))
-    psi = psi_numeric(clean, score_col, id_col, F.col("_isref"), F.col("_iscur"), bins=n)
+    # PSI uses the same reference quantiles (left-closed bins): reuse the edges
+    psi = psi_numeric(clean, score_col, id_col, F.col("_isref"), F.col("_iscur"), bins=n, edges=edges)
     del w
     return shares.crossJoin(psi.select("psi", classify_psi("psi").alias("flag")))
 
