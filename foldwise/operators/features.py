@@ -362,7 +362,9 @@ class PandasFit(Feature):
 
     def oof(self, df: DataFrame, fold_col: str = "fold", k: int | None = None) -> DataFrame:
         import pandas as pd
+        from foldwise.session import ship_package
         spark = df.sparkSession
+        ship_package(spark)
         if k is None:
             k = int(df.agg(F.max(fold_col)).first()[0]) + 1
         names = list(self.partials)

@@ -67,6 +67,8 @@ def transform_many(rows: DataFrame, feature: PandasFeature, id_col: str, job_col
                    n_parts: int | None = None) -> DataFrame:
     """UDF2: run ``feature`` separately on every job (rows sharing ``job_cols``), in
     ``order_col`` order inside each job. Returns (id, job_cols..., extra..., value)."""
+    from foldwise.session import ship_package
+    ship_package(rows.sparkSession)
     job_cols = list(job_cols)
     keep = list(dict.fromkeys([id_col, *job_cols, order_col, *extra_cols, *feature.required_columns]))
     n_parts = n_parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

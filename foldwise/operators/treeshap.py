@@ -148,6 +148,8 @@ def mean_abs_shap(rows: DataFrame, models: dict, slot_features: Sequence[str], f
     trees; ``slot_features`` names the input feature of every vector slot (slots of one
     feature, e.g. an imputed value and its missing flag, are added before the abs).
     Each task returns partial sums, so only features x tasks rows leave Python."""
+    from foldwise.session import ship_package
+    ship_package(rows.sparkSession)
     names = sorted(set(slot_features))
     slot_idx = {n: [j for j, s in enumerate(slot_features) if s == n] for n in names}
     arr = rows.select(F.col(fold_col).cast("int").alias("_fold"), vector_to_array(F.col(features_col)).alias("_x"))

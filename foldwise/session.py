@@ -112,3 +112,25 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
         "spark.sql.autoBroadcastJoinThreshold": "64m",
         "spark.sql.session.timeZone": "UTC",
     }
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``foldwise`` importable in executor Python workers (the pandas functions of
+    the replay, tree SHAP and pandas fits refer to it). Local sessions already share the
+    driver's path; on a cluster the package is zipped once per application and added with
+    ``addPyFile`` (installing it on the executors' image works as well)."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED or sc.master.startswith("local"):
+        return
+    import os
+    import shutil
+    import tempfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    tmp = tempfile.mkdtemp(prefix="foldwise-pkg-")
+    archive = shutil.make_archive(os.path.join(tmp, "foldwise"), "zip", os.path.dirname(pkg), "foldwise")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
