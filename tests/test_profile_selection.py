@@ -90,3 +90,19 @@ def test_run_selection_keeps_baseline_over_redundant_candidate(spark):
             ("base1", "cand_new"): 0.65}
     r = run_selection(df, lambda fs: aucs.get(tuple(fs), 0.66), ["base1"], ["cand_dup", "cand_new"])
     assert "cand_dup" not in r.kept and "base1" in r.kept
+
+
+def test_correlation_gramian_equals_pairs(spark):
+    rng = np.random.default_rng(18)
+    X = rng.normal(size=(300, 5))
+    X[:, 3] = X[:, 0] * 2 + 0.1 * X[:, 3]
+    df = spark.createDataFrame([tuple(float(v) for v in r) + (1.0,) for r in X], "a double, b double, c double, d double, e double, k double")
+    cols = ["a", "b", "c", "d", "e", "k"]
+    p = {(r["a"], r["b"]): r["corr"] for r in pf.correlation_pairs(df, cols, method="pairs").collect()}
+    g = {(r["a"], r["b"]): r["corr"] for r in pf.correlation_pairs(df, cols, method="gramian").collect()}
+    assert p.keys() == g.keys()
+    for key in p:
+        if p[key] is None:
+            assert g[key] is None  # the constant column
+        else:
+            assert g[key] == pytest.approx(p[key], abs=1e-9)
