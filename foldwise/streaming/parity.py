@@ -1,7 +1,8 @@
 """Streaming parity (STR1): rows arrive as a stream, each micro-batch is transformed with
 the stored serving params (a stream-static join) and diffed against the offline batch
 values inside ``foreachBatch``; diffs are appended to a table in the shared folder, so a
-restarted query resumes from its checkpoint without losing or repeating batches."""
+restarted query resumes from its checkpoint without losing batches, and a replayed
+batch overwrites its own epoch folder instead of adding its rows twice."""
 
 from __future__ import annotations
 
@@ -41,8 +42,10 @@ def run_stream_parity(stream: DataFrame, id_col: str, key_col: str, params: Data
     off = offline.select(id_col, offline_col)
 
     def diff_batch(batch: DataFrame, epoch_id: int) -> None:
+        # one folder per epoch, overwritten: a micro-batch replayed after a failure
+        # replaces its own output instead of appending it twice
         d = batch.join(off, id_col, "inner").withColumn("matched", isclose(F.col(offline_col), F.col("online")))
-        d.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(sink)
+        d.write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch_id}"))
 
     q = (online.writeStream.foreachBatch(diff_batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
