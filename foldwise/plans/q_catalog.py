@@ -314,7 +314,7 @@ def q_promoted_detail(spark, sf):
 
 
 @register("report_summary", with_base(*PROMO_CTES) + f"""
-SELECT 0.5 AS baseline_auc, (SELECT round(max(auc_mean), 6) FROM lm) AS best_auc,
+SELECT CAST(0.5 AS DOUBLE) AS baseline_auc, (SELECT round(max(auc_mean), 6) FROM lm) AS best_auc,
        CAST({len(ALL)} AS BIGINT) AS n_hypotheses,
        (SELECT count(*) FROM frs WHERE final_status = 'validated') AS n_validated,
        (SELECT count(*) FROM promo) AS n_promoted""")

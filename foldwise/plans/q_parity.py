@@ -38,7 +38,7 @@ def seg_lookup(spark, sf):
 
 
 @register("parity_iid", with_base() + f"""
-SELECT batch_size, count(*) AS n_checked, CAST(0 AS BIGINT) AS n_mismatch, 0.0 AS max_abs_diff
+SELECT batch_size, count(*) AS n_checked, CAST(0 AS BIGINT) AS n_mismatch, CAST(0.0 AS DOUBLE) AS max_abs_diff
 FROM prepared, {_sizes_sql(par.IID_BATCH_SIZES)} GROUP BY batch_size""")
 def q_parity_iid(spark, sf):
     p, feat, offline = seg_lookup(spark, sf)
@@ -54,7 +54,7 @@ def cat_lookup(spark, sf):
 
 
 @register("parity_temporal", with_ev() + f"""
-SELECT batch_size, count(*) AS n_checked, CAST(0 AS BIGINT) AS n_mismatch, 0.0 AS max_abs_diff
+SELECT batch_size, count(*) AS n_checked, CAST(0 AS BIGINT) AS n_mismatch, CAST(0.0 AS DOUBLE) AS max_abs_diff
 FROM ev, {_sizes_sql(par.TEMPORAL_BATCH_SIZES)} GROUP BY batch_size""")
 def q_parity_temporal(spark, sf):
     e, feat, offline = cat_lookup(spark, sf)
