@@ -108,30 +108,37 @@ class GreedyResult:
     evals_used: int
 
 
+def _evaluate(cv_auc: Callable[[list[str]], float], sets: list[list[str]], threads: int) -> list[float]:
+    """CV AUCs of several feature sets; the fits are independent distributed jobs, so
+    they are submitted concurrently and the results kept in input order."""
+    if threads <= 1 or len(sets) <= 1:
+        return [cv_auc(s) for s in sets]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        return list(pool.map(cv_auc, sets))
+
+
 def greedy_forward(cv_auc: Callable[[list[str]], float], base_features: list[str],
                    candidates: list[str], max_evals: int = MAX_EVALS,
-                   min_improvement: float = MIN_IMPROVEMENT) -> GreedyResult:
+                   min_improvement: float = MIN_IMPROVEMENT, threads: int = 4) -> GreedyResult:
     """SEL4: add the candidate that most improves CV AUC over the running best by more
     than ``min_improvement``; candidates are tried in the given order (Q15) and the
-    budget counts CV evaluations."""
+    budget counts CV evaluations. A round's candidates (up to the remaining budget) are
+    evaluated concurrently; the pick then scans them in order, so the result is the
+    same as a sequential search."""
     selected = list(base_features)
     remaining = [c for c in candidates if c not in selected]
     evals = 0
-
-    def run(fs):
-        nonlocal evals
-        evals += 1
-        return cv_auc(fs)
-
-    baseline = run(selected) if selected else EMPTY_SET_AUC
+    baseline = cv_auc(selected) if selected else EMPTY_SET_AUC
+    evals += 1 if selected else 0
     best = baseline
     trace: list[tuple[str, float]] = []
     while remaining and evals < max_evals:
         pick, pick_auc = None, best
-        for c in remaining:
-            if evals >= max_evals:
-                break
-            a = run(selected + [c])
+        batch = remaining[:max_evals - evals]
+        aucs = _evaluate(cv_auc, [selected + [c] for c in batch], threads)
+        evals += len(batch)
+        for c, a in zip(batch, aucs):
             if a > pick_auc + min_improvement:
                 pick, pick_auc = c, a
         if pick is None:
@@ -170,12 +177,20 @@ class SelectionRound:
                                        [(f, a) for f, a in self.trace])], schema)
 
 
+def lift_screen(cv_auc: Callable[[list[str]], float], baseline: list[str], candidates: list[str],
+                threads: int = 4) -> tuple[float, dict[str, float]]:
+    """SEL1: CV AUC of baseline + each candidate minus the baseline CV AUC (candidates
+    evaluated concurrently)."""
+    base_auc = cv_auc(baseline) if baseline else EMPTY_SET_AUC
+    aucs = _evaluate(cv_auc, [baseline + [c] for c in candidates], threads)
+    return base_auc, {c: a - base_auc for c, a in zip(candidates, aucs)}
+
+
 def run_selection(df: DataFrame, cv_auc: Callable[[list[str]], float], baseline: list[str],
                   candidates: list[str], threshold: float = CORRELATION_THRESHOLD,
                   min_lift: float = MIN_LIFT, max_evals: int = MAX_EVALS) -> SelectionRound:
     """SEL5: lift screen -> redundancy clusters -> prune (baseline proxy 1.0) -> greedy."""
-    base_auc = cv_auc(baseline) if baseline else EMPTY_SET_AUC
-    lifts = {c: cv_auc(baseline + [c]) - base_auc for c in candidates}  # SEL1
+    base_auc, lifts = lift_screen(cv_auc, baseline, candidates)
     accepted = [c for c in candidates if lifts[c] >= min_lift]
     rejected = [c for c in candidates if c not in accepted]
     if not accepted:

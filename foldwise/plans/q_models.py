@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.operators import models as ml
-from foldwise.operators.selection import greedy_forward, run_selection
+from foldwise.operators.selection import greedy_forward, lift_screen, run_selection
 from foldwise.plans.inputs import K, base, prepared
 from foldwise.plans.q_features import assembled
 from foldwise.plans.registry import r6, register
@@ -106,9 +106,8 @@ def _cv_auc_fn(df):
 def q_lift_screen(spark, sf):
     """SEL1: CV AUC of baseline + one candidate minus the baseline CV AUC."""
     df = selection_frame(spark, sf)
-    f = _cv_auc_fn(df)
-    base_auc = f(BASELINE)
-    rows = [(c, f(BASELINE + [c]) - base_auc) for c in CANDIDATES]  # one float per candidate
+    _, lifts = lift_screen(_cv_auc_fn(df), BASELINE, CANDIDATES)
+    rows = [(c, lifts[c]) for c in CANDIDATES]  # one float per candidate
     return spark.createDataFrame(rows, "feature string, lift double").select("feature", r6("lift").alias("lift"))
 
 
