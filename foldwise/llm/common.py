@@ -27,8 +27,12 @@ def id_remainder(col: Column, modulus: int = 5) -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the driver and all executors share; it goes when the session's
+    JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    fs, p = hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+    return path
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import license_scan, prefix_bpe, token_rollup, url_filter, va_search
+from foldwise.llm import decontaminate, license_scan, near_dedup, prefix_bpe, token_rollup, url_filter, va_search
 from foldwise.llm.common import shared_path, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,9 +115,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.col("spans")).alias("labels"), "score")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_va_topk": op3_va_topk, "op4_url_filter": op4_url_filter, "op7_token_rollup": op7_token_rollup,
-            "op8_license_scan": op8_license_scan}
+    return {"op1_near_dedup": op1_near_dedup, "op2_bpe": op2_bpe, "op3_va_topk": op3_va_topk, "op4_url_filter": op4_url_filter, "op7_token_rollup": op7_token_rollup,
+            "op8_license_scan": op8_license_scan, "op9_decontaminate": op9_decontaminate}
 
 
 def oracles() -> dict[str, str]:
