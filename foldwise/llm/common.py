@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +45,30 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_up_to(written: DataFrame, rows: int) -> DataFrame:
+    """``written`` (a written table of narrow rows) marked for a broadcast, if it has at most ``rows``
+    rows; else as it is, for a shuffle join."""
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of the JVM for ``path``, whatever store it is in."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = f"{tempfile.mkdtemp()}/{package.name}.zip"  # the driver serves it from here
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)

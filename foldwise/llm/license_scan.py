@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.llm.common import ship
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -119,6 +121,7 @@ def scan_licenses(docs: DataFrame, phrases: Sequence[Template], notices: Sequenc
     """For each file: n_words; every place of a template as ``spans`` (label, start, end, coverage;
     words from 0, end not included, whether the template is one of ``phrases``); ``score``, the
     best coverage. Two passes over the files, no shuffle of texts."""
+    ship(docs.sparkSession)
     templates = [*phrases, *notices]
     df, files = licence_document_frequency(docs, templates, text_col)
     index = RareTokenIndex(templates, df, files)

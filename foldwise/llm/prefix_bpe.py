@@ -20,11 +20,14 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwise.llm.common import ship
+
 CACHED = 300_000  # encoded matches a worker keeps, in each of two generations
 CHUNK = 1 << 22  # characters of text whose new matches are encoded together
 PAIR = 1 << 32
@@ -227,6 +230,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
                      text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256, round_trip, ids) of each document, from its whole
     text. ``round_trip``: the decoded bytes are those of the text. One pass, no shuffle."""
+    ship(docs.sparkSession)
     shared = share_vocabulary(docs.sparkSession, vocabulary_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,7 +240,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
             for text, ids in zip(b["text"], codec.encode(list(b["text"])), strict=True):
                 raw = codec.decode(ids)
                 rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(),
-                             raw == text.encode(), *([[int(x) for x in ids.split()]] if with_ids else [])))
+                             raw == text.encode(), *([np.array(ids.split(), np.int32)] if with_ids else [])))
             out = pd.DataFrame(rows, columns=names, index=b.index)
             yield out.assign(**{id_col: b[id_col]})[[id_col, *names]]
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import ascii_lower
+from foldwise.llm.common import ascii_lower, ship
 
 PADDED_BYTES = 1 << 22  # bytes of one padded matrix of URLs
 
@@ -124,6 +124,7 @@ def compile_rules(rules: Sequence[Rule], block_globs: Sequence[str], allow_globs
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], block_globs: Sequence[str] = (),
                allow_globs: Sequence[str] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict) of each URL. One pass, no shuffle."""
+    ship(pages.sparkSession)
     globs, texts, verdicts = compile_rules(rules, block_globs, allow_globs)
     automaton = GlobAutomaton(globs)
     url = F.col(url_col)

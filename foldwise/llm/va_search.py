@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.llm.common import ship
+
 BLOCK = 512  # queries of one block
 ROWS = 4096  # candidates scanned together
 READ = 64  # exact vectors of a query read together
@@ -83,6 +85,7 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, vecs: np.ndarray, ids: n
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vec_col: str = "vec", bits: int = 6,
           block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates among ``rows`` of every query."""
+    ship(rows.sparkSession)
     spark, cand, asked = rows.sparkSession, valid_vectors(rows, id_col, vec_col), valid_vectors(queries, id_col, vec_col)
     ranges = (cand.select(F.size("vec").alias("d"), F.posexplode("vec")).groupBy("d", "pos")
               .agg(F.min("col").alias("low"), F.max("col").alias("high")).orderBy("d", "pos").collect())  # d x d rows
