@@ -77,13 +77,13 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     store = token_rollup.TokenRollup(spark, shared_path(spark, "rollup"))
     versions = token_rollup.native_tokenizers()
-    once = docs.select("doc_id", "text", "source", "lang")
     marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    own = once.join(marked, "doc_id")
-    low = own.where("quality = 0").withColumn("text", F.regexp_replace("text", r"[ \t\n\r]+", " "))
-    sent = (("load", token_rollup.count_tokens(once, versions).withColumn("op", F.lit("insert"))),
-            ("squeeze", token_rollup.count_tokens(low, versions).withColumn("op", F.lit("revise"))),
-            ("toxic", token_rollup.count_tokens(own.where("toxic = 1"), versions).withColumn("op", F.lit("delete"))))
+    whole = token_rollup.count_tokens(docs, versions)
+    squeezed = token_rollup.count_tokens(docs.withColumn("text", F.regexp_replace("text", r"[ \t\n\r]+", " ")), versions)
+    # counts meet the labels, not texts
+    sent = (("load", whole.withColumn("op", F.lit("insert"))),
+            ("squeeze", squeezed.join(marked.where("quality = 0"), "doc_id").withColumn("op", F.lit("revise"))),
+            ("toxic", whole.join(marked.where("toxic = 1"), "doc_id").withColumn("op", F.lit("delete"))))
     for _ in range(2):
         for batch_id, changes in sent:
             store.commit(batch_id, changes)
