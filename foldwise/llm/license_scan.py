@@ -108,7 +108,8 @@ def licence_document_frequency(docs: DataFrame, templates: Sequence[Template], t
             df[b""] += len(b)
             for text in b["text"]:
                 df.update(vocabulary.intersection(words_of(text)))
-        yield pd.DataFrame({"word": [w.decode() for w in df], "n": list(df.values())})
+        if df:
+            yield pd.DataFrame({"word": [w.decode() for w in df], "n": list(df.values())})
 
     rows = (docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(count, "word string, n long")
             .groupBy("word").agg(F.sum("n").alias("n")).collect())  # at most one row for each licence word

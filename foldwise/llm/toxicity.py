@@ -206,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, restorer: Restorer, id_col: str, tex
             for y, words in zip(b["y"], b["words"], strict=True):
                 found[y].update({f for w in words for f in features(w)})
         for y, counts in found.items():
-            yield pd.DataFrame({"y": y, "feature": list(counts), "n": list(counts.values())}).astype({"n": "int64", "y": "int32"})
+            if counts:
+                yield pd.DataFrame({"y": y, "feature": list(counts), "n": list(counts.values())}).astype({"n": "int64", "y": "int32"})
 
     size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     clean, toxic = size.get(0, 0) + 1, size.get(1, 0) + 1
@@ -233,11 +234,12 @@ def logistic(hits: list[list[int]], y: np.ndarray, k: int, rounds: int = 400, ri
     row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     col = np.array([i for h in hits for i in h], np.int64)
     w, b, ahead, ahead_b, n = np.zeros(k), 0.0, np.zeros(k), 0.0, len(y)
-    step = 1 / (0.25 * (max((len(h) for h in hits), default=0) + 1) + ridge / n)
+    most = max((len(h) for h in hits), default=0) + 1  # the curvature is at most that of `most` separate features
+    step, step_b = 1 / (0.25 * most * np.bincount(col, minlength=k) + ridge), 1 / (0.25 * most * n)
     for t in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(ahead_b + np.bincount(row, ahead[col], n), -30, 30)))
-        new = ahead - step * (np.bincount(col, (p - y)[row], k) + ridge * ahead) / n * min(n, 50)
-        new_b = ahead_b - step * (p - y).mean() * min(n, 50)
+        new = ahead - step * (np.bincount(col, (p - y)[row], k) + ridge * ahead)
+        new_b = ahead_b - step_b * (p - y).sum()
         ahead, ahead_b = new + t / (t + 3) * (new - w), new_b + t / (t + 3) * (new_b - b)
         w, b = new, new_b
     return w, b
