@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, license_scan, near_dedup, prefix_bpe, token_rollup, url_filter, va_search
-from foldwise.llm.common import shared_path, table
+from foldwise.llm import decontaminate, html_mincut, license_scan, lm_score, near_dedup, prefix_bpe, token_rollup, toxicity, url_filter, va_search
+from foldwise.llm.common import id_remainder, shared_path, table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,15 @@ SELECT page_id, host, path, rule, CASE """ + " ".join(f"WHEN rule = '{r.text}' T
     " WHEN " + " OR ".join(f"contains(host, '{w}')" for w in BLOCKED_HOST_WORDS) + " THEN 'block' ELSE 'allow' END AS verdict FROM r")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", (id_remainder(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals after a load, a re-count of documents labelled low in quality by white space
     squeezed, a deletion of toxic ones, and each batch sent twice."""
@@ -119,9 +128,15 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm_score.lm_scores(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id")) != 1)
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dedup": op1_near_dedup, "op2_bpe": op2_bpe, "op3_va_topk": op3_va_topk, "op4_url_filter": op4_url_filter, "op7_token_rollup": op7_token_rollup,
-            "op8_license_scan": op8_license_scan, "op9_decontaminate": op9_decontaminate}
+    return {"op1_near_dedup": op1_near_dedup, "op2_bpe": op2_bpe, "op3_va_topk": op3_va_topk, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity,
+            "op6_main_text": op6_main_text, "op7_token_rollup": op7_token_rollup, "op8_license_scan": op8_license_scan,
+            "op9_decontaminate": op9_decontaminate, "op10_lm_score": op10_lm_score}
 
 
 def oracles() -> dict[str, str]:
