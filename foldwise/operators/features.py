@@ -5,9 +5,10 @@ A feature is ``fit`` = an aggregate of training rows into a params table and
 rows it is applied to.
 
 Out-of-fold without a loop (X2): for sum/count style fits, the fit on "all dev rows
-except fold i" is ``total - fold_i``. One ``groupBy(key, fold)`` with map-side partial
-aggregation gives every fold's params; the row side joins them on (key, fold). Fits
-that are not fold-additive fall back to k filtered fits planned as one union.
+except fold i" adds up the other folds' partials. One ``groupBy(key)`` with map-side
+partial aggregation gives every fold's params, for all features on that key; the row side
+joins them on (key, fold). Fits that are not fold-additive fall back to k filtered fits
+planned as one union.
 """
 
 from __future__ import annotations
@@ -44,16 +45,21 @@ class Feature:
     fold_additive: bool = False
 
 
-def validate_feature(feature: Feature, df: DataFrame, target_col: str | None = None) -> None:
-    """Structural checks at registration (UDF1): a name, required columns present, the
-    target not listed as an input of ``transform``."""
-    if not getattr(feature, "name", None) or not isinstance(feature.name, str):
-        raise ValueError("feature has no FEATURE_NAME")
-    missing = [c for c in feature.required_columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"feature {feature.name!r} requires missing columns {missing}")
-    if target_col and target_col in feature.required_columns:
-        raise ValueError(f"feature {feature.name!r} lists the target {target_col!r} as an input")
+def validate_feature(feature, df: DataFrame, target_col: str | None = None) -> None:
+    """Registration check (UDF1): everything that is wrong with a feature, in one error."""
+    wrong = []
+    name = getattr(feature, "name", None)
+    if not (isinstance(name, str) and name):
+        wrong.append("it has no name")
+    wrong += [f"{m} is not callable" for m in ("fit", "transform") if not callable(getattr(feature, m, None))]
+    needed = tuple(getattr(feature, "required_columns", ()) or ())
+    absent = sorted(set(needed) - set(df.columns))
+    if absent:
+        wrong.append(f"the table lacks {', '.join(absent)}")
+    if target_col in needed:
+        wrong.append(f"it reads the target {target_col}; set uses_target and take it in fit only")
+    if wrong:
+        raise ValueError(f"feature {name!r}: " + "; ".join(wrong))
 
 
 def _fit_input(feature: Feature, df: DataFrame, id_col: str, target_col: str | None) -> DataFrame:
@@ -140,55 +146,64 @@ class GroupStat(Feature):
         out = out.crossJoin(F.broadcast(dflt))  # exactly one row
         return out.withColumn(self.name, F.coalesce(F.col("_pv"), F.col("_pd"))).drop("_pv", "_pd")
 
-    # out-of-fold by fold subtraction
-    def _fold_partials(self, k: int, fold_col: str) -> list[Column]:
-        """Per-fold (sum, count) as 2k conditional aggregates of one pass."""
+    def _fold_partials(self, k: int, fold_col: str) -> list[tuple[str, Column]]:
+        """Per-fold sums ``_s<i>`` and counts ``_c<i>`` as 2k conditional aggregates of one pass."""
         f = F.col(fold_col)
         if self.kind == "frequency":
-            s = [F.count_if(f == i).cast("double").alias(f"_s{i}") for i in range(k)]
-            c = [F.count_if(f == i).alias(f"_c{i}") for i in range(k)]
+            s = [F.count_if(f == i).cast("double") for i in range(k)]
+            c = [F.count_if(f == i) for i in range(k)]
         else:
             v = nan_to_null(F.col(self.value).cast("double"))
-            s = [F.sum(F.when(f == i, v)).alias(f"_s{i}") for i in range(k)]
-            c = [F.count(F.when(f == i, v)).alias(f"_c{i}") for i in range(k)]
-        return s + c
-
-    @staticmethod
-    def _minus_own_fold(k: int, extra: list[Column] = ()) -> Column:
-        """k structs (fold, total - fold_i sum, total - fold_i count)."""
-        S = sum((F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) for i in range(k)), F.lit(0.0))
-        C = sum((F.col(f"_c{i}") for i in range(k)), F.lit(0))
-        return F.explode(F.array(*[
-            F.struct(F.lit(i).alias("_f"), (S - F.coalesce(F.col(f"_s{i}"), F.lit(0.0))).alias("_ts"),
-                     (C - F.col(f"_c{i}")).alias("_tc"), *[e for e in extra]) for i in range(k)]))
+            s = [F.sum(F.when(f == i, v)) for i in range(k)]
+            c = [F.count(F.when(f == i, v)) for i in range(k)]
+        return [(f"_s{i}", x) for i, x in enumerate(s)] + [(f"_c{i}", x) for i, x in enumerate(c)]
 
     def oof(self, df: DataFrame, fold_col: str = "fold", k: int | None = None) -> DataFrame:
-        """One aggregation per key with k conditional (sum, count) pairs gives every
-        fold's training statistics (total minus own fold); exploded to (key, fold) rows
-        they join the rows on (key, fold), which also spreads a hot key over k
-        partitions. Global fallbacks come from the same aggregation without a key (one
-        row, k structs, broadcast)."""
-        if k is None:
-            k = int(df.agg(F.max(fold_col)).first()[0]) + 1
-        dev = df.where(F.col(fold_col).isNotNull())
-        per_key = dev.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(*self._fold_partials(k, fold_col))
-        params = (per_key.select(F.col(self.key).alias("_pk"), self._minus_own_fold(k).alias("_t"))
-                  .select("_pk", F.col("_t._f").alias("_pf"), F.col("_t._ts").alias("_ts"),
-                          F.col("_t._tc").alias("_tc")))
-        f = F.col(fold_col)
-        glob = dev.agg(*self._fold_partials(k, fold_col), *[F.count_if(f == i).alias(f"_n{i}") for i in range(k)])
-        N = sum((F.col(f"_n{i}") for i in range(k)), F.lit(0))
-        ftrain = (glob.select(self._minus_own_fold(k, []).alias("_t"), N.alias("_N"),
-                              F.array(*[F.col(f"_n{i}") for i in range(k)]).alias("_ns"))
-                  .select(F.col("_t._f").alias("_f"), F.col("_t._ts").alias("_gs"), F.col("_t._tc").alias("_gc"),
-                          (F.col("_N") - F.element_at("_ns", F.col("_t._f") + 1)).alias("_ntr")))
-        # ftrain: k rows
-        rows = df.join(F.broadcast(ftrain), F.col(fold_col) == F.col("_f"), "left")
-        rows = rows.join(params, (F.col(self.key) == F.col("_pk")) & (F.col(fold_col) == F.col("_pf")), "left")
-        val = self._finish(F.coalesce(F.col("_ts"), F.lit(0.0)), F.coalesce(F.col("_tc"), F.lit(0)),
-                           F.col("_gs"), F.col("_gc"), F.col("_ntr"))
-        out = rows.withColumn(self.name, F.when(F.col(fold_col).isNotNull(), val))
-        return out.drop("_f", "_gs", "_gc", "_ntr", "_pk", "_pf", "_ts", "_tc")
+        """The out-of-fold value of every dev row, null on holdout rows; see ``oof_group_stats``."""
+        return oof_group_stats(df, [self], fold_col, k)
+
+
+def _other_folds(columns: list[Column], own: int) -> Column:
+    """Sum of the other folds' partials, added up directly: a total less the own fold would cancel where
+    values differ by many orders of magnitude, and give NaN with infinities."""
+    rest = [F.coalesce(c, F.lit(0)) for j, c in enumerate(columns) if j != own]
+    return sum(rest[1:], rest[0]) if rest else F.coalesce(columns[own] * 0, F.lit(0))
+
+
+def oof_group_stats(df: DataFrame, features: list[GroupStat], fold_col: str = "fold", k: int | None = None) -> DataFrame:
+    """``df`` with the out-of-fold column of every feature. One aggregate per key column, shared by the
+    features on it, gives every fold's partials; exploded to (key, fold) rows of other-fold sums they
+    meet the rows once per key column, which also spreads a hot key over k partitions. The fallbacks of
+    all features come from one more aggregate without a key (k rows, broadcast)."""
+    if k is None:
+        k = int(df.agg(F.max(fold_col)).first()[0]) + 1
+    dev = df.where(F.col(fold_col).isNotNull())
+    f, kept = F.col(fold_col), list(df.columns)
+
+    def partials() -> list[Column]:
+        return [c.alias(f"{c_name}_{n}") for n, x in enumerate(features) for c_name, c in x._fold_partials(k, fold_col)]
+
+    def others(n: int, i: int) -> list[Column]:
+        return [_other_folds([F.col(f"{p}{j}_{n}") for j in range(k)], i).alias(f"{t}_{n}") for p, t in (("_s", "_ts"), ("_c", "_tc"))]
+
+    def by_fold(numbers: list[int], rows: str) -> Column:
+        return F.inline(F.array(*[F.struct(F.lit(i).alias("_f"), *[c for n in numbers for c in others(n, i)],
+                                           *([_other_folds([F.col(f"_n{j}") for j in range(k)], i).alias("_ntr")] if rows else [])) for i in range(k)]))
+
+    every = list(range(len(features)))
+    whole = dev.agg(*partials(), *[F.count_if(f == i).alias(f"_n{i}") for i in range(k)]).select(by_fold(every, "rows"))
+    whole = whole.withColumnsRenamed({f"_t{x}_{n}": f"_g{x}_{n}" for n in every for x in "sc"})  # k rows
+    out = df.join(F.broadcast(whole), f == F.col("_f"), "left").drop("_f")
+    for key in dict.fromkeys(x.key for x in features):
+        own = [n for n in every if features[n].key == key]
+        sums = dev.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_pk")).agg(
+            *[c.alias(f"{name}_{n}") for n in own for name, c in features[n]._fold_partials(k, fold_col)])
+        params = sums.select("_pk", by_fold(own, "")).withColumnRenamed("_f", "_pf")
+        out = out.join(params, (F.col(key) == F.col("_pk")) & (f == F.col("_pf")), "left").drop("_pk", "_pf")
+    values = [F.when(f.isNotNull(), x._finish(F.coalesce(F.col(f"_ts_{n}"), F.lit(0.0)), F.coalesce(F.col(f"_tc_{n}"), F.lit(0)),
+                                              F.col(f"_gs_{n}"), F.col(f"_gc_{n}"), F.col("_ntr"))).alias(x.name) for n, x in enumerate(features)]
+    names = [x.name for x in features]
+    return out.select(*[c for c in kept if c not in names], *values)
 
 
 # ----------------------------------------------------------------------------------
@@ -305,12 +320,22 @@ def transform_new(feature: Feature, rows: DataFrame, params: DataFrame | None, i
     return feature.transform(_transform_input(feature, rows, id_col), params).select(id_col, feature.name)
 
 
-def assemble(df: DataFrame, id_col: str, columns: list[DataFrame]) -> DataFrame:
-    """OOF4/JOIN5: column-bind feature columns on the row id (equi joins on a unique
-    key; co-partitioned when the inputs share the id partitioning)."""
-    out = df
-    for c in columns:
-        out = out.join(c, id_col, "left")
+def assemble(df: DataFrame, id_col: str, features: list[Feature], k: int, fold_col: str = "fold",
+             target_col: str | None = None) -> DataFrame:
+    """OOF4/JOIN5: ``df`` with one out-of-fold column per feature, on the rows themselves. Group
+    statistics share an aggregate per key, row-wise features are projections; only a fit that is not
+    fold-additive comes back by the row id."""
+    stats = [f for f in features if isinstance(f, GroupStat)]
+    out = oof_group_stats(df, stats, fold_col, k) if stats else df
+    for f in features:
+        if isinstance(f, GroupStat):
+            continue
+        if isinstance(f, PandasFit):
+            out = f.oof(out, fold_col, k)
+        elif getattr(f, "fold_additive", False) or isinstance(f, Expression):
+            out = f.oof(out, fold_col)
+        else:
+            out = out.join(compute_oof(f, df, id_col, k, fold_col, target_col), id_col, "left")
     return out
 
 
@@ -381,10 +406,9 @@ class PandasFit(Feature):
 
         def fit_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
             out = []
-            totals = pdf.groupby(key)[names].sum()
-            for i in range(k):
-                own = pdf[pdf[fold_col] == i].set_index(key)[names]
-                train = totals.sub(own.reindex(totals.index).fillna(0.0), fill_value=0.0)
+            keys = pd.Index(pdf[key].unique())
+            for i in range(k):  # the other folds' partials, added up directly
+                train = pdf[pdf[fold_col] != i].groupby(key)[names].sum().reindex(keys).fillna(0.0)
                 vals = pd.Series(finish(train, glob[i]), index=train.index).astype("float64")
                 out.append(pd.DataFrame({"_pk": train.index, "_pf": i, "_pv": vals.to_numpy()}))
             return pd.concat(out, ignore_index=True) if out else pd.DataFrame(

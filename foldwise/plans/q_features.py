@@ -164,18 +164,29 @@ def q_transform_holdout(spark, sf):
     return out.select("row_id", r6("value").alias("value"))
 
 
-@register("feature_contract", _oof_mean_sql("seg", "price", "gl.g"))
+class GroupMedian(fx.Feature):
+    """A fit that folds can't add up: the exact median price of the training rows of each segment."""
+
+    name, required_columns = "value", ("seg", "price")
+
+    def fit(self, train):
+        return train.groupBy("seg").agg(F.median("price").alias("m"))
+
+    def transform(self, rows, params):
+        known = params.where("seg IS NOT NULL").select(F.col("seg").alias("k"), "m")
+        return rows.join(known, rows["seg"] == known["k"], "left").withColumn("value", F.col("m")).drop("k", "m")
+
+
+@register("feature_contract", with_base(f"""
+tr AS (SELECT f.fold, p.seg AS k, median(p.price) AS m FROM prepared p, {_FOLDS}
+       WHERE p.fold IS NOT NULL AND p.fold <> f.fold AND p.seg IS NOT NULL GROUP BY 1, 2)""") + """
+SELECT p.row_id, round(CASE WHEN p.fold IS NOT NULL THEN tr.m END, 6) AS value
+FROM prepared p LEFT JOIN tr ON p.seg = tr.k AND p.fold = tr.fold""")
 def q_feature_contract(spark, sf):
-    """The generic contract path: validate, then k filtered fits + transforms in one
-    union plan (the fallback for fits that are not fold-additive)."""
-    p = prepared(spark, sf)
-    f = fx.GroupStat(name="value", key="seg", value="price", default="global")
+    """The generic contract path: validate, then k filtered fits and transforms in one union plan."""
+    p, f = prepared(spark, sf), GroupMedian()
     fx.validate_feature(f, p, target_col="y")
-    generic = fx.Feature.__new__(fx.Feature)
-    generic.name, generic.required_columns, generic.uses_target = f.name, f.required_columns, False
-    generic.fit, generic.transform = f.fit, f.transform
-    out = fx.compute_oof(generic, p, "row_id", K)
-    return out.select("row_id", r6("value").alias("value"))
+    return fx.compute_oof(f, p, "row_id", K).select("row_id", r6("value").alias("value"))
 
 
 ASSEMBLE_SQL = with_base(f"""
@@ -194,14 +205,10 @@ FROM prepared p LEFT JOIN tr ON p.seg = tr.k AND p.fold = tr.fold
 
 
 def assembled(spark, sf):
-    p = prepared(spark, sf)
     feats = [fx.GroupStat(name="te_seg", key="seg", value="y", uses_target=True, default=0.5),
              fx.GroupStat(name="freq_pri", key="pri", kind="frequency")]
-    cols = [fx.compute_oof(f, p, "row_id", K) for f in feats]
-    ratio = fx.ratio("ratio_price_bal", "price", "bal").transform(p.select("row_id", "price", "bal"))
-    out = fx.assemble(p.select("row_id", "y", "fold"), "row_id",
-                      cols + [ratio.select("row_id", "ratio_price_bal")])
-    return out
+    p = fx.ratio("ratio_price_bal", "price", "bal").transform(prepared(spark, sf))
+    return fx.assemble(p, "row_id", feats, K).select("row_id", "y", "fold", "te_seg", "freq_pri", "ratio_price_bal")
 
 
 @register("assemble_feature_frame", ASSEMBLE_SQL)
