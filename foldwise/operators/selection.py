@@ -1,21 +1,20 @@
-"""Feature selection (SEL1-SEL5, PRJ10, WIN4).
+"""Feature selection as frames (SEL1-SEL5, PRJ10, WIN4).
 
-Correlations, lifts and importances are Spark jobs; the only driver-side work is on
-feature *names*: the correlation edges (at most p^2 / 2 rows for p features) are
-grouped into components with a union-find, and the greedy search loop decides which
-model fits to launch next (each fit itself is distributed).
+Every result is a DataFrame with a row per feature or per search step: candidate scores, lifts,
+redundancy labels, survivors, the forward search's steps and the round's catalog row. What the driver
+holds is feature names and one number for each model fit; the fits are distributed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foldwise.operators.profile import correlation_pairs
+from foldwise.session import materialize
 
 # Fixed values of the selection round.
 CORRELATION_THRESHOLD = 0.95
@@ -25,46 +24,44 @@ MIN_IMPROVEMENT = 1e-4
 BASELINE_IMPORTANCE_PROXY = 1.0
 EMPTY_SET_AUC = 0.5
 
+CvAuc = Callable[[list[str]], float]
+NOT_NUMERIC = ("string", "boolean", "timestamp", "timestamp_ntz", "date")
 
-def _components(names: Sequence[str], edges: list[tuple[str, str]]) -> dict[str, str]:
-    parent = {n: n for n in names}
 
-    def find(a):
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
+# ---------------------------------------------------------------------------- redundancy
 
-    for a, b in edges:
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-    return {n: find(n) for n in names}
 
+def spread_labels(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(feature, cluster)``: the least position that a feature reaches over ``edges`` (a, b), by
+    handing labels to neighbours until none gets smaller. ``names``: (feature, pos)."""
+    ways = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = names.select("feature", F.col("pos").alias("label"))
+    changed = True
+    while changed:
+        offered = ways.join(labels, ways["b"] == labels["feature"]).groupBy("a").agg(F.min("label").alias("offer"))
+        step = labels.join(offered, labels["feature"] == offered["a"], "left").select(
+            "feature", F.least("label", F.coalesce("offer", "label")).alias("label"), (F.col("offer") < F.col("label")).alias("less"))
+        step = materialize(step, "labels")
+        changed = not step.where("less").isEmpty()
+        labels = step.select("feature", "label")
+    return labels.withColumnRenamed("label", "cluster")
 
-def cluster_names(df: DataFrame, features: Sequence[str], threshold: float = CORRELATION_THRESHOLD
-                  ) -> list[list[str]]:
-    """SEL2 as Python lists (order of first appearance)."""
-    types = dict(df.dtypes)
-    numeric = [c for c in features if types[c] not in ("string", "boolean", "timestamp", "timestamp_ntz", "date")]
-    non_numeric = [c for c in features if c not in numeric]
-    if len(numeric) < 2:
-        return [[c] for c in features]
-    pairs = correlation_pairs(df, numeric)
-    edges = [(r["a"], r["b"]) for r in
-             pairs.where(F.abs(F.col("corr")) >= threshold).select("a", "b").collect()]  # names only
-    label = _components(numeric, edges)
-    groups: dict[str, list[str]] = {}
-    for c in numeric:
-        groups.setdefault(label[c], []).append(c)
-    return list(groups.values()) + [[c] for c in non_numeric]
+
+def positions(spark: SparkSession, features: Sequence[str]) -> DataFrame:
+    return spark.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, pos int")
 
 
-def redundancy_clusters(df: DataFrame, features: Sequence[str],
-                        threshold: float = CORRELATION_THRESHOLD) -> DataFrame:
-    """``(cluster, feature)``; the cluster label is its smallest member name."""
-    rows = [(min(g), f) for g in cluster_names(df, features, threshold) for f in g]
-    return df.sparkSession.createDataFrame(rows, "cluster string, feature string")
+def redundancy_clusters(df: DataFrame, features: Sequence[str], threshold: float = CORRELATION_THRESHOLD) -> DataFrame:
+    """SEL2: ``(cluster, feature)``, features whose absolute correlations of at least ``threshold`` connect
+    them; the label is a cluster's first name in the alphabet. Features that aren't numeric stand alone."""
+    kinds, names = dict(df.dtypes), positions(df.sparkSession, features)
+    numeric = [f for f in features if kinds[f] not in NOT_NUMERIC]
+    if len(numeric) < 2:
+        return names.select(F.col("feature").alias("cluster"), "feature")
+    near = correlation_pairs(df, numeric).where(F.abs("corr") >= threshold)
+    labels = spread_labels(names, near)
+    first = labels.groupBy("cluster").agg(F.min("feature").alias("name"))
+    return labels.join(first, "cluster").select(F.col("name").alias("cluster"), "feature")
 
 
 def redundancy_survivors(clusters: DataFrame, importance: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -95,112 +92,86 @@ def step_lifts(trace: DataFrame, baseline_col: str = "baseline_auc") -> DataFram
         .drop(baseline_col)
 
 
-# ----------------------------------------------------------------------------------
-# model-driven search (SEL1, SEL4, SEL5). ``cv_auc(features) -> float`` runs a
-# distributed k-fold fit (models.cv_auc); the loop only chooses the next feature set.
-
-
-@dataclass
-class GreedyResult:
-    selected: list[str]
-    trace: list[tuple[str, float]]
-    baseline_auc: float
-    evals_used: int
-
-
-def _evaluate(cv_auc: Callable[[list[str]], float], sets: list[list[str]], threads: int) -> list[float]:
-    """CV AUCs of several feature sets; the fits are independent distributed jobs, so
-    they are submitted concurrently and the results kept in input order."""
-    if threads <= 1 or len(sets) <= 1:
-        return [cv_auc(s) for s in sets]
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        return list(pool.map(cv_auc, sets))
-
-
-def greedy_forward(cv_auc: Callable[[list[str]], float], base_features: list[str],
-                   candidates: list[str], max_evals: int = MAX_EVALS,
-                   min_improvement: float = MIN_IMPROVEMENT, threads: int = 4) -> GreedyResult:
-    """SEL4: add the candidate that most improves CV AUC over the running best by more
-    than ``min_improvement``; candidates are tried in the given order (Q15) and the
-    budget counts CV evaluations. A round's candidates (up to the remaining budget) are
-    evaluated concurrently; the pick then scans them in order, so the result is the
-    same as a sequential search."""
-    selected = list(base_features)
-    remaining = [c for c in candidates if c not in selected]
-    evals = 0
-    baseline = cv_auc(selected) if selected else EMPTY_SET_AUC
-    evals += 1 if selected else 0
-    best = baseline
-    trace: list[tuple[str, float]] = []
-    while remaining and evals < max_evals:
-        pick, pick_auc = None, best
-        batch = remaining[:max_evals - evals]
-        aucs = _evaluate(cv_auc, [selected + [c] for c in batch], threads)
-        evals += len(batch)
-        for c, a in zip(batch, aucs):
-            if a > pick_auc + min_improvement:
-                pick, pick_auc = c, a
-        if pick is None:
+# ---------------------------------------------------------------------------- model-driven search
+
+
+def candidate_scores(spark: SparkSession, cv_auc: CvAuc, start: Sequence[str], candidates: Sequence[str],
+                     threads: int = 4) -> DataFrame:
+    """``(pos, feature, auc)``: the cross-validated AUC of ``start`` with each candidate. The fits are
+    independent jobs and run side by side."""
+    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+        aucs = pool.map(lambda f: float(cv_auc([*start, f])), candidates)
+        return spark.createDataFrame([(i, f, a) for i, (f, a) in enumerate(zip(candidates, aucs))], "pos int, feature string, auc double")
+
+
+def set_auc(cv_auc: CvAuc, features: Sequence[str]) -> float:
+    return float(cv_auc(list(features))) if features else EMPTY_SET_AUC
+
+
+def best_candidate(scores: DataFrame, floor: float, gain: float) -> DataFrame:
+    """One row (feature, auc): read in order, each candidate that beats the best so far by more than
+    ``gain`` takes its place (Q15); null if none beats ``floor``."""
+    none = F.struct(F.lit(None).cast("string").alias("feature"), F.lit(float(floor)).alias("auc"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "feature", "auc")))
+    return scores.agg(ordered.alias("c")).select(F.aggregate("c", none, lambda best, c: F.when(
+        c["auc"] > best["auc"] + F.lit(gain), F.struct(c["feature"].alias("feature"), c["auc"].alias("auc"))).otherwise(best)).alias("b")).select("b.*")
+
+
+def forward_search(spark: SparkSession, cv_auc: CvAuc, start: Sequence[str], candidates: Sequence[str], max_evals: int = MAX_EVALS,
+                   min_improvement: float = MIN_IMPROVEMENT, threads: int = 4) -> DataFrame:
+    """SEL4: ``(step, feature, auc, evals)``; step 0 is ``start`` itself, each further one the feature it
+    adds. ``evals`` counts the model fits up to then, at most ``max_evals``; a last row without a feature
+    closes a search in which no candidate was good enough."""
+    steps = [(0, None, set_auc(cv_auc, start), int(bool(start)))]
+    taken = list(start)
+    while True:
+        number, _, auc, evals = steps[-1]
+        tried = [c for c in candidates if c not in taken][:max(0, max_evals - evals)]
+        if not tried:
+            break
+        found = best_candidate(candidate_scores(spark, cv_auc, taken, tried, threads), auc, min_improvement).first()
+        steps.append((number + 1, found["feature"], found["auc"], evals + len(tried)))
+        if found["feature"] is None:
             break
-        selected.append(pick)
-        remaining.remove(pick)
-        best = pick_auc
-        trace.append((pick, pick_auc))
-    return GreedyResult(selected, trace, baseline, evals)
-
-
-@dataclass
-class SelectionRound:
-    accepted: list[str]
-    rejected: list[str]
-    lifts: dict[str, float]
-    clusters: list[list[str]] = field(default_factory=list)
-    kept: list[str] = field(default_factory=list)
-    final_selected: list[str] = field(default_factory=list)
-    trace: list[tuple[str, float]] = field(default_factory=list)
-    baseline_auc: float = EMPTY_SET_AUC
-    final_auc: float = EMPTY_SET_AUC
-
-    def to_frame(self, spark, iteration: int = 0) -> DataFrame:
-        schema = T.StructType([
-            T.StructField("iteration", T.IntegerType()), T.StructField("baseline_auc", T.DoubleType()),
-            T.StructField("final_auc", T.DoubleType()),
-            T.StructField("accepted", T.ArrayType(T.StringType())),
-            T.StructField("rejected", T.ArrayType(T.StringType())),
-            T.StructField("clusters", T.ArrayType(T.ArrayType(T.StringType()))),
-            T.StructField("final_selected", T.ArrayType(T.StringType())),
-            T.StructField("auc_trace", T.ArrayType(T.StructType([
-                T.StructField("feature", T.StringType()), T.StructField("auc", T.DoubleType())])))])
-        return spark.createDataFrame([(iteration, self.baseline_auc, self.final_auc, self.accepted,
-                                       self.rejected, self.clusters, self.final_selected,
-                                       [(f, a) for f, a in self.trace])], schema)
-
-
-def lift_screen(cv_auc: Callable[[list[str]], float], baseline: list[str], candidates: list[str],
-                threads: int = 4) -> tuple[float, dict[str, float]]:
-    """SEL1: CV AUC of baseline + each candidate minus the baseline CV AUC (candidates
-    evaluated concurrently)."""
-    base_auc = cv_auc(baseline) if baseline else EMPTY_SET_AUC
-    aucs = _evaluate(cv_auc, [baseline + [c] for c in candidates], threads)
-    return base_auc, {c: a - base_auc for c, a in zip(candidates, aucs)}
-
-
-def run_selection(df: DataFrame, cv_auc: Callable[[list[str]], float], baseline: list[str],
-                  candidates: list[str], threshold: float = CORRELATION_THRESHOLD,
-                  min_lift: float = MIN_LIFT, max_evals: int = MAX_EVALS) -> SelectionRound:
-    """SEL5: lift screen -> redundancy clusters -> prune (baseline proxy 1.0) -> greedy."""
-    base_auc, lifts = lift_screen(cv_auc, baseline, candidates)
-    accepted = [c for c in candidates if lifts[c] >= min_lift]
-    rejected = [c for c in candidates if c not in accepted]
-    if not accepted:
-        return SelectionRound([], rejected, lifts, kept=list(baseline), final_selected=list(baseline),
-                              baseline_auc=base_auc, final_auc=base_auc)
-    names = list(baseline) + accepted
-    clusters = cluster_names(df, names, threshold)
-    proxy = {n: lifts.get(n, BASELINE_IMPORTANCE_PROXY) for n in names}
-    kept = [g[0] if len(g) == 1 else max(g, key=lambda c: proxy.get(c, 0.0)) for g in clusters]
-    g = greedy_forward(cv_auc, [c for c in kept if c in baseline], [c for c in kept if c in accepted],
-                       max_evals=max_evals)
-    return SelectionRound(accepted, rejected, lifts, clusters, kept, g.selected, g.trace, g.baseline_auc,
-                          g.trace[-1][1] if g.trace else g.baseline_auc)
+        taken.append(found["feature"])
+    return spark.createDataFrame(steps, "step int, feature string, auc double, evals int")
+
+
+def lift_screen(spark: SparkSession, cv_auc: CvAuc, baseline: Sequence[str], candidates: Sequence[str], min_lift: float = MIN_LIFT,
+                threads: int = 4) -> DataFrame:
+    """SEL1: ``(pos, feature, baseline_auc, auc, lift, accepted)`` of each candidate on top of ``baseline``."""
+    alone = set_auc(cv_auc, baseline)
+    scores = candidate_scores(spark, cv_auc, baseline, candidates, threads).withColumn("baseline_auc", F.lit(alone))
+    return lift_accept_reject(scores.withColumn("lift", F.col("auc") - F.col("baseline_auc")), min_lift)
+
+
+def selection_round(df: DataFrame, cv_auc: CvAuc, baseline: Sequence[str], candidates: Sequence[str], iteration: int = 0,
+                    threshold: float = CORRELATION_THRESHOLD, min_lift: float = MIN_LIFT, max_evals: int = MAX_EVALS) -> DataFrame:
+    """SEL5: the round's catalog row. Accepted candidates join the baseline, each redundant cluster keeps its
+    most important member (baseline features count ``BASELINE_IMPORTANCE_PROXY``, candidates their lift), and
+    the survivors go through the forward search. Without an accepted candidate the baseline stays."""
+    spark = df.sparkSession
+    screened = materialize(lift_screen(spark, cv_auc, baseline, candidates, min_lift), "lifts")
+    passed = screened.where("accepted").select("feature", "lift").collect()  # names
+    names = [*baseline, *sorted((r["feature"] for r in passed), key=list(candidates).index)]
+    weight = screened.select("feature", F.col("lift").alias("importance")).union(
+        spark.createDataFrame([(b, BASELINE_IMPORTANCE_PROXY) for b in baseline], "feature string, importance double"))
+    clusters = materialize(redundancy_clusters(df, names, threshold) if passed else positions(spark, names).select(F.col("feature").alias("cluster"), "feature"), "clusters")
+    kept = sorted((r["survivor"] for r in redundancy_survivors(clusters, weight, names).collect()), key=names.index)  # names
+    start, open_ = [f for f in kept if f in baseline], [f for f in kept if f not in baseline]
+    steps = materialize(forward_search(spark, cv_auc, start, open_, max_evals), "steps")
+    as_list = lambda c: F.array_sort(F.collect_list(c))
+    names_of = lambda c: F.transform(as_list(c), lambda x: x["feature"])
+    ranked = F.struct("pos", "feature")
+    head = screened.agg(F.max("baseline_auc").alias("first_auc"), names_of(F.when(F.col("accepted"), ranked)).alias("accepted"),
+                        names_of(F.when(~F.col("accepted"), ranked)).alias("rejected"))
+    groups = clusters.join(positions(spark, names), "feature").groupBy("cluster").agg(F.min("pos").alias("pos"), names_of(ranked).alias("feature"))
+    groups = groups.agg(names_of(F.struct("pos", "feature")).alias("clusters"))
+    added = F.when(F.col("step") > 0, F.when(F.col("feature").isNotNull(), F.struct("step", "feature", "auc")))
+    search = steps.agg(F.max(F.when(F.col("step") == 0, F.col("auc"))).alias("baseline_auc"), F.max_by("auc", "step").alias("final_auc"),
+                       as_list(added).alias("added"))
+    row = head.crossJoin(groups).crossJoin(search)  # one row each
+    array = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    return row.select(F.lit(iteration).alias("iteration"), "baseline_auc", "final_auc", "accepted", "rejected", "clusters", array(kept).alias("kept"),
+                      F.concat(array(start), F.transform("added", lambda x: x["feature"])).alias("final_selected"),
+                      F.transform("added", lambda x: F.struct(x["feature"].alias("feature"), x["auc"].alias("auc"))).alias("auc_trace"))

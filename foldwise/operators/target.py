@@ -8,48 +8,34 @@ from pyspark.sql import types as T
 
 
 def binarize_target(df: DataFrame, col: str) -> Column:
-    """Map a two-class target to 0/1 (Q23). Booleans -> int; numerics must already be
-    0/1; text needs exactly two classes, sorted as text -> 0, 1. Reads at most three
-    distinct values to the driver. Null targets raise at run time."""
-    dtype = df.schema[col].dataType
-    c = F.col(col)
-    guard = F.when(c.isNull(), F.raise_error(F.lit(f"target column {col} has nulls")))
+    """A two-class target as 0/1 (Q23): booleans by value, numbers only if all are 0 or 1, text by the
+    alphabet. The two classes are the least and the greatest value, from one aggregate; a null or a
+    third value fails when its row is read."""
+    c, dtype = F.col(col), df.schema[col].dataType
+    odd = F.raise_error(F.concat(F.lit(f"{col} is not a two-class target: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("int")
     if isinstance(dtype, T.BooleanType):
-        return F.coalesce(guard, c.cast("int"))
-    vals = [r[0] for r in df.select(c).where(c.isNotNull()).distinct().limit(3).collect()]
-    if isinstance(dtype, T.NumericType):
-        if not set(vals) <= {0, 1}:
-            raise ValueError(f"Target column is numeric but not already binary 0/1: {sorted(vals)[:5]}")
-        return F.coalesce(guard, c.cast("int"))
-    if len(vals) != 2:
-        raise ValueError(f"Target column must have exactly 2 classes; found {len(vals)}: {vals}")
-    lo, hi = sorted(vals, key=str)
-    return F.coalesce(guard, F.when(c == F.lit(lo), 0).otherwise(1)).cast("int")
+        zero, one = F.lit(False), F.lit(True)
+    elif isinstance(dtype, T.NumericType):
+        zero, one = F.lit(0), F.lit(1)
+    else:
+        ends = df.agg(F.min(col).alias("low"), F.max(col).alias("high")).first()
+        if ends["low"] == ends["high"]:
+            raise ValueError(f"{col} holds {'no value' if ends['low'] is None else 'one class only'}")
+        zero, one = F.lit(ends["low"]), F.lit(ends["high"])
+    return F.when(c == zero, 0).when(c == one, 1).otherwise(odd)
 
 
 def column_role(column: str, table_name: str, target_table: str, target_column: str,
                 id_columns=(), time_column: str | None = None, ignore=()) -> str:
-    """First match wins: target, id, time, ignore, else feature (PRJ2)."""
-    if table_name == target_table and column == target_column:
-        return "target"
-    if column in id_columns:
-        return "id"
-    if time_column is not None and column == time_column:
-        return "time"
-    if column in ignore:
-        return "ignore"
-    return "feature"
+    """PRJ2: the first role, in this order, whose columns hold ``column``; else feature."""
+    rules = {"target": {target_column} if table_name == target_table else (), "id": id_columns, "time": {time_column}, "ignore": ignore}
+    return next((role for role, columns in rules.items() if column in columns), "feature")
+
+
+#: What each Spark type is profiled as; the first that fits, text and binary as categories (PRJ3).
+KINDS = ((T.BooleanType, "categorical"), (T.NumericType, "numeric"), ((T.TimestampType, T.TimestampNTZType, T.DateType), "datetime"),
+         ((T.ArrayType, T.MapType, T.StructType), "nested"))
 
 
 def column_kind(dtype: T.DataType) -> str:
-    """numeric / categorical / datetime routing (PRJ3); booleans are categorical,
-    decimals numeric, nested types ignored."""
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return "datetime"
-    if isinstance(dtype, T.BooleanType):
-        return "categorical"
-    if isinstance(dtype, T.NumericType):
-        return "numeric"
-    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return "nested"
-    return "categorical"
+    return next((kind for types, kind in KINDS if isinstance(dtype, types)), "categorical")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.operators import models as ml
-from foldwise.operators.selection import greedy_forward, lift_screen, run_selection
+from foldwise.operators.selection import forward_search, lift_screen, selection_round
 from foldwise.plans.inputs import K, base, prepared
 from foldwise.plans.q_features import assembled
 from foldwise.plans.registry import r6, register
@@ -106,25 +106,20 @@ def _cv_auc_fn(df):
 def q_lift_screen(spark, sf):
     """SEL1: CV AUC of baseline + one candidate minus the baseline CV AUC."""
     df = selection_frame(spark, sf)
-    _, lifts = lift_screen(_cv_auc_fn(df), BASELINE, CANDIDATES)
-    rows = [(c, lifts[c]) for c in CANDIDATES]  # one float per candidate
-    return spark.createDataFrame(rows, "feature string, lift double").select("feature", r6("lift").alias("lift"))
+    return lift_screen(spark, _cv_auc_fn(df), BASELINE, CANDIDATES).select("feature", r6("lift").alias("lift"))
 
 
 @register("greedy_selection")
 def q_greedy_selection(spark, sf):
     df = selection_frame(spark, sf)
-    g = greedy_forward(_cv_auc_fn(df), BASELINE, CANDIDATES)
-    rows = [(i, feat, auc) for i, (feat, auc) in enumerate(g.trace)] or [(-1, None, g.baseline_auc)]
-    return spark.createDataFrame(rows, "step int, feature string, auc double").select(
-        "step", "feature", r6("auc").alias("auc"))
+    steps = forward_search(spark, _cv_auc_fn(df), BASELINE, CANDIDATES)
+    return steps.where("feature IS NOT NULL OR step = 0").select((F.col("step") - 1).alias("step"), "feature", r6("auc").alias("auc"))
 
 
 @register("feature_selection_round")
 def q_feature_selection_round(spark, sf):
     df = selection_frame(spark, sf)
-    r = run_selection(df, _cv_auc_fn(df), BASELINE, CANDIDATES)
-    return r.to_frame(spark, iteration=0)
+    return selection_round(df, _cv_auc_fn(df), BASELINE, CANDIDATES)
 
 
 GBT = ml.ModelSpec(kind="gbt", trees=20, depth=4)

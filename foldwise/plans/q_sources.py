@@ -205,7 +205,7 @@ def profile_tables(spark, sf):
     """PROF8: one row per (table, column): role, kind, rows, missing, distinct values;
     one wide aggregation per table."""
     parts = []
-    for spec in dataset_tables(spark, sf)[:2]:
+    for spec in dataset_tables(spark, sf):
         df = spec.df
         cols = df.columns
         kinds = pf.kinds(df)
@@ -235,7 +235,9 @@ PROF_TABLES_SQL = _u([
                                    ("o_orderdate", "time", "datetime"), ("o_orderpriority", "feature", "categorical")]),
     _prof_sql("customer", "customer", [("c_custkey", "ignore", "numeric"), ("c_name", "ignore", "categorical"),
                                        ("c_nationkey", "feature", "numeric"), ("c_acctbal", "feature", "numeric"),
-                                       ("c_mktsegment", "feature", "categorical")])]).replace(
+                                       ("c_mktsegment", "feature", "categorical")]),
+    _prof_sql("lines", "(SELECT l_orderkey AS o_orderkey, count(*) AS n_lines, sum(l_quantity) AS o_totalprice FROM lineitem GROUP BY 1)",
+              [("o_orderkey", "id", "numeric"), ("n_lines", "feature", "numeric"), ("o_totalprice", "feature", "numeric")])]).replace(
     "'customer' AS table_name, 'c_custkey' AS column_name", "'customer' AS table_name, 'o_custkey' AS column_name")
 
 
@@ -259,40 +261,38 @@ def q_profile_digest(spark, sf):
 
 
 # ------------------------------------------------------------------ candidate templates
-MAX_GROUP_CARDINALITY = 50
-MAX_MISSING_SHARE = 0.5
-
-
-@register("candidate_templates", f"""
-WITH prof AS ({PROF_TABLES_SQL}),
-feat AS (SELECT * FROM prof WHERE role = 'feature' AND n_missing / greatest(n, 1)::DOUBLE < {MAX_MISSING_SHARE})
-SELECT 'group_mean' AS template, a.column_name AS a, b.column_name AS b FROM feat a JOIN feat b
-  ON a.kind = 'numeric' AND b.kind = 'categorical' AND b.n_unique BETWEEN 2 AND {MAX_GROUP_CARDINALITY}
+TEMPLATES_SQL = f"""
+WITH feat AS (SELECT * FROM ({PROF_TABLES_SQL}) WHERE role = 'feature')
+SELECT 'group_mean' AS template, a.column_name AS a, b.column_name AS b FROM (SELECT DISTINCT column_name, kind FROM feat) a
+  JOIN (SELECT DISTINCT column_name, kind FROM feat WHERE n_unique >= 2) b ON a.kind = 'numeric' AND b.kind = 'categorical'
 UNION ALL
-SELECT 'ratio', a.column_name, b.column_name FROM feat a JOIN feat b
-  ON a.kind = 'numeric' AND b.kind = 'numeric' AND a.column_name < b.column_name
+SELECT 'ratio', a.column_name, b.column_name FROM (SELECT DISTINCT column_name FROM feat WHERE kind = 'numeric') a
+  JOIN (SELECT DISTINCT column_name FROM feat WHERE kind = 'numeric') b ON a.column_name < b.column_name
 UNION ALL
-SELECT 'frequency', column_name, NULL FROM feat WHERE kind = 'categorical' AND n_unique >= 2
-UNION ALL
-SELECT 'target_encoding', column_name, NULL FROM feat WHERE kind = 'categorical' AND n_unique BETWEEN 2 AND {MAX_GROUP_CARDINALITY}""")
+SELECT DISTINCT t, column_name, NULL FROM feat, (VALUES ('frequency'), ('target_encoding')) x(t) WHERE kind = 'categorical' AND n_unique >= 2"""
+
+
+def candidate_templates(profile, max_cardinality=None, max_missing_share=None):
+    """deterministic candidate features from profile rows, one for each column of the tables; pairs are
+    of column names, not of data rows. ``max_cardinality`` bounds the categories of a grouping column and
+    ``max_missing_share`` the missing share of any; neither does unless given."""
+    feat = profile.where(F.col("role") == "feature")
+    if max_missing_share is not None:
+        feat = feat.where(F.col("n_missing") < max_missing_share * F.greatest(F.col("n"), F.lit(1)))
+    groups = feat.where((F.col("kind") == "categorical") & (F.col("n_unique") >= 2))
+    some = groups if max_cardinality is None else groups.where(F.col("n_unique") <= max_cardinality)
+    numbers = feat.where(F.col("kind") == "numeric").select(F.col("column_name").alias("a")).distinct()
+    others, no = numbers.withColumnRenamed("a", "b"), F.lit(None).cast("string").alias("b")
+    named = lambda name, rows: rows.select(F.lit(name).alias("template"), "a", "b").distinct()
+    single = lambda rows: rows.select(F.col("column_name").alias("a"), no)
+    return (named("group_mean", numbers.join(some.select(F.col("column_name").alias("b"))))
+            .unionByName(named("ratio", numbers.join(others, F.col("a") < F.col("b"))))
+            .unionByName(named("frequency", single(groups))).unionByName(named("target_encoding", single(some))))
+
+
+@register("candidate_templates", TEMPLATES_SQL)
 def q_candidate_templates(spark, sf):
-    """deterministic candidate features from the profile rows (the profile has one
-    row per column, so the pairing is over column names, not data rows)."""
-    p = profile_tables(spark, sf)
-    feat = p.where((F.col("role") == "feature") &
-                   (F.col("n_missing") / F.greatest(F.col("n"), F.lit(1)) < MAX_MISSING_SHARE))
-    a, b = feat.alias("a"), feat.alias("b")
-    gm = a.join(b, (F.col("a.kind") == "numeric") & (F.col("b.kind") == "categorical") &
-                F.col("b.n_unique").between(2, MAX_GROUP_CARDINALITY)).select(
-        F.lit("group_mean").alias("template"), F.col("a.column_name").alias("a"), F.col("b.column_name").alias("b"))
-    ra = a.join(b, (F.col("a.kind") == "numeric") & (F.col("b.kind") == "numeric") &
-                (F.col("a.column_name") < F.col("b.column_name"))).select(
-        F.lit("ratio").alias("template"), F.col("a.column_name").alias("a"), F.col("b.column_name").alias("b"))
-    fq = feat.where((F.col("kind") == "categorical") & (F.col("n_unique") >= 2)).select(
-        F.lit("frequency").alias("template"), F.col("column_name").alias("a"), F.lit(None).cast("string").alias("b"))
-    te = feat.where((F.col("kind") == "categorical") & F.col("n_unique").between(2, MAX_GROUP_CARDINALITY)).select(
-        F.lit("target_encoding").alias("template"), F.col("column_name").alias("a"), F.lit(None).cast("string").alias("b"))
-    return gm.unionByName(ra).unionByName(fq).unionByName(te)
+    return candidate_templates(profile_tables(spark, sf))
 
 
 __all__ = ["column_kind"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwise.operators import profile as pf
-from foldwise.operators.selection import (cluster_names, greedy_forward, redundancy_survivors, run_selection)
+from foldwise.operators.selection import forward_search, redundancy_clusters, redundancy_survivors, selection_round
 
 
 def test_numeric_stats_match_population_moments(spark):
@@ -66,19 +66,23 @@ def test_clusters_and_survivors(spark):
     a = rng.normal(size=200)
     rows = [(float(x), float(x * 1.001 + 1e-6 * rng.normal()), float(z)) for x, z in zip(a, rng.normal(size=200))]
     df = spark.createDataFrame(rows, "a double, dup double, b double")
-    assert cluster_names(df, ["a", "dup", "b"], 0.95) == [["a", "dup"], ["b"]]
+    found = {(r["cluster"], r["feature"]) for r in redundancy_clusters(df, ["a", "dup", "b"], 0.95).collect()}
+    assert found == {("a", "a"), ("a", "dup"), ("b", "b")}
     clusters = spark.createDataFrame([("a", "a"), ("a", "dup"), ("b", "b")], "cluster string, feature string")
     imp = spark.createDataFrame([("a", 0.1), ("dup", 0.5), ("b", 0.2)], "feature string, importance double")
     s = {r["cluster"]: r["survivor"] for r in redundancy_survivors(clusters, imp, ["a", "dup", "b"]).collect()}
     assert sorted(s.values()) == ["b", "dup"]
 
 
-def test_greedy_order_budget_and_threshold():
+def test_forward_search_order_budget_and_threshold(spark):
     scores = {(): 0.5, ("x",): 0.6, ("x", "a"): 0.70, ("x", "b"): 0.70005, ("x", "a", "b"): 0.71}
-    g = greedy_forward(lambda fs: scores[tuple(fs)], ["x"], ["a", "b"], max_evals=50)
-    assert g.selected == ["x", "a", "b"] and [f for f, _ in g.trace] == ["a", "b"]
-    g2 = greedy_forward(lambda fs: scores[tuple(fs)], ["x"], ["a", "b"], max_evals=2)
-    assert g2.evals_used == 2 and g2.selected == ["x", "a"]
+    auc = lambda fs: scores[tuple(fs)]
+    steps = forward_search(spark, auc, ["x"], ["a", "b"]).collect()
+    assert [(r["feature"], r["auc"], r["evals"]) for r in steps] == [(None, 0.6, 1), ("a", 0.70, 3), ("b", 0.71, 4)]
+    short = forward_search(spark, auc, ["x"], ["a", "b"], max_evals=2).collect()
+    assert [(r["feature"], r["evals"]) for r in short] == [(None, 1), ("a", 2)]
+    flat = forward_search(spark, lambda fs: 0.5, [], ["a", "b"]).collect()
+    assert [(r["feature"], r["evals"]) for r in flat] == [(None, 0), (None, 2)]
 
 
 def test_run_selection_keeps_baseline_over_redundant_candidate(spark):
@@ -88,8 +92,12 @@ def test_run_selection_keeps_baseline_over_redundant_candidate(spark):
                                "base1 double, cand_dup double, cand_new double")
     aucs = {("base1",): 0.6, ("base1", "cand_dup"): 0.62, ("base1", "cand_new"): 0.65,
             ("base1", "cand_new"): 0.65}
-    r = run_selection(df, lambda fs: aucs.get(tuple(fs), 0.66), ["base1"], ["cand_dup", "cand_new"])
-    assert "cand_dup" not in r.kept and "base1" in r.kept
+    r = selection_round(df, lambda fs: aucs.get(tuple(fs), 0.66), ["base1"], ["cand_dup", "cand_new"]).first()
+    assert r["kept"] == ["base1", "cand_new"] and r["accepted"] == ["cand_dup", "cand_new"] and r["rejected"] == []
+    assert r["clusters"] == [["base1", "cand_dup"], ["cand_new"]] and r["final_selected"] == ["base1", "cand_new"]
+    assert [(x["feature"], x["auc"]) for x in r["auc_trace"]] == [("cand_new", 0.65)] and (r["baseline_auc"], r["final_auc"]) == (0.6, 0.65)
+    none = selection_round(df, lambda fs: 0.6, ["base1"], ["cand_new"]).first()
+    assert none["final_selected"] == ["base1"] and none["rejected"] == ["cand_new"] and none["auc_trace"] == []
 
 
 def test_correlation_gramian_equals_pairs(spark):
