@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import write_shared
+from foldwise.llm.common import broadcast_up_to, ship, write_shared
 from foldwise.llm.components import connected_components
 
 WORD = re.compile(r"\w+")
@@ -44,6 +44,7 @@ REGISTERS = BANDS * BAND_ROWS
 ELEMENTS = 1 << 18  # shingles sketched together
 WORDS_KEPT = 500_000  # word hashes that a worker keeps
 BLOCK_A, BLOCK_B = 128, 512  # documents of one verification block
+BROADCAST_IDS = 2_000_000  # ids with hashes (24 bytes) sent to the texts; more of them meet the texts in a shuffle
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -165,7 +166,8 @@ def bags(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFra
                 words = [word_hashes(t, known) for t in part["text"]]
                 own = [xxhash.xxh3_128_digest(w.tobytes()) == k for w, k in zip(words, part["key"], strict=True)]  # an id may have several texts
                 pairs = [shingles(w) for w, o in zip(words, own, strict=True) if o]
-                yield pd.DataFrame({"id": part["id"][own], "elements": [e.view(np.int64) for e, _ in pairs], "weights": [w.astype(np.int32) for _, w in pairs]})
+                if pairs:
+                    yield pd.DataFrame({"id": part["id"][own], "elements": [e.view(np.int64) for e, _ in pairs], "weights": [w.astype(np.int32) for _, w in pairs]})
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.join(ids, "id").mapInPandas(run, "id long, elements array<long>, weights array<int>").dropDuplicates(["id"])
@@ -239,20 +241,21 @@ def remaining_links(buckets: DataFrame, comps: DataFrame, bag: DataFrame, least:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(id, class_id, copies, links): the least id of each document's group, the documents of exactly
     its words, and the verified links of its text to other texts."""
+    ship(docs.sparkSession)
     docs = docs.select(id_col, text_col)
     own = write_shared(document_bands(docs, id_col, text_col), "bands")
     texts = write_shared(own.where("words > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "texts")
-    spread = texts.select("rep", "key", F.explode("bands").alias("bucket"))
+    spread = texts.select("rep", F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = write_shared(spread.join(full, "bucket"), "buckets")
-    score = buckets.groupBy("rep").agg(F.sum("n").alias("score"), F.any_value("key").alias("key"))
-    ends = write_shared(score, "ends")
+    score = buckets.groupBy("rep").agg(F.sum("n").alias("score"))
+    ends = write_shared(score.join(texts.select("rep", "key"), "rep"), "ends")
     ranked = buckets.join(ends.select("rep", "score"), "rep").select("bucket", "rep", "score")
     leaders = ranked.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("rep")))["rep"].alias("best"), F.min("rep").alias("low")).select("bucket", (-F.col("best")).alias("best"), "low")
     led = write_shared(buckets.join(leaders, "bucket").select("bucket", "rep", "best", "low"), "led")
     star = led.select("rep", F.explode(F.array_distinct(F.array("best", "low"))).alias("leader")).where("rep <> leader")
     pairs = star.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    bag = write_shared(bags(docs, ends.select(F.col("rep").alias("id"), "key"), id_col, text_col), "bags")
+    bag = write_shared(bags(docs, broadcast_up_to(ends.select(F.col("rep").alias("id"), "key"), BROADCAST_IDS), id_col, text_col), "bags")
     links = write_shared(verify_pairs(pairs, bag, least), "links")
     comps = connected_components(links, ends.select(F.col("rep").alias("node"), F.col("rep").alias("comp")))
     more = write_shared(remaining_links(led.where("rep <> best AND rep <> low").select("bucket", "rep"), comps, bag, least), "links")
