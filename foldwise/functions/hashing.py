@@ -27,12 +27,6 @@ def uniform(id_col: Column | str, seed: int | str | Column) -> Column:
     return h(id_col, seed) / F.lit(TWO_POW_32)
 
 
-def h_sql(id_expr: str, seed: int | str) -> str:
-    """Spark SQL text of ``h`` (for ``selectExpr``/``expr``)."""
-    return (f"cast(conv(substr(md5(concat(cast({id_expr} as string), '|', '{seed}')), 1, 8), 16, 10)"
-            f" as bigint)")
-
-
 def h_duckdb(id_expr: str, seed: int | str) -> str:
     """DuckDB text of ``h`` used by the oracle queries."""
     return f"('0x' || substr(md5(CAST({id_expr} AS VARCHAR) || '|{seed}'), 1, 8))::BIGINT"

@@ -3,8 +3,9 @@ inside whole-stage codegen."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values that results depend on.
 # Probability clip applied before every score metric.
@@ -40,13 +41,27 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
 
 
+def known(df: DataFrame, name: str) -> Column:
+    """Column ``name`` with NaN as null, whatever its type; operators read their inputs through it, so
+    that missing means the same everywhere."""
+    return nan_to_null(name) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else F.col(name)
+
+
+def same_value(df: DataFrame, a: str, b: str) -> Column:
+    """FN3 on two columns of ``df``: numbers by ``isclose``, all else by equality; missing equals missing."""
+    numeric = all(isinstance(df.schema[c].dataType, T.NumericType) for c in (a, b))
+    x, y = known(df, a), known(df, b)
+    return isclose(x.cast("double"), y.cast("double")) if numeric else x.cast("string").eqNullSafe(y.cast("string"))
+
+
 def isclose(a: Column | str, b: Column | str, rtol: float = ISCLOSE_RTOL,
             atol: float = ISCLOSE_ATOL) -> Column:
-    """numpy-style ``isclose`` with null == null (FN3): |a-b| <= atol + rtol*|b|."""
+    """numpy-style ``isclose`` with null == null (FN3): equal, or |a-b| <= atol + rtol*|b| with both
+    finite (so an infinity is close to itself alone)."""
     a, b = col(a), col(b)
-    both_null = a.isNull() & b.isNull()
-    close = F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b)
-    return F.when(both_null, F.lit(True)).when(a.isNull() | b.isNull(), F.lit(False)).otherwise(close)
+    finite = (F.abs(a) < F.lit(float("inf"))) & (F.abs(b) < F.lit(float("inf")))
+    close = finite & (F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b))
+    return a.eqNullSafe(b) | F.coalesce(close, F.lit(False))
 
 
 def safe_name(c: Column | str) -> Column:
@@ -54,18 +69,19 @@ def safe_name(c: Column | str) -> Column:
     return F.regexp_replace(col(c), UNSAFE_NAME_PATTERN, "_")
 
 
-def missing_category(c: Column | str) -> Column:
-    """Categorical preparation (PRJ8): text cast, null/NaN -> ``__missing__``."""
-    c = col(c)
+def missing_category(c: Column | str, df: DataFrame | None = None) -> Column:
+    """Categorical preparation (PRJ8): text cast, null -> ``__missing__``; NaN too, if ``c`` names a column
+    of ``df``."""
+    c = known(df, c) if df is not None and isinstance(c, str) else col(c)
     return F.coalesce(c.cast("string"), F.lit(MISSING_CATEGORY))
 
 
 def classify_psi(v: Column | str) -> Column:
-    """stable / watch / unstable (STB6)."""
+    """stable / watch / unstable (STB6); null where there is no value."""
     v = col(v)
     return (F.when(v < F.lit(PSI_STABLE), F.lit("stable"))
             .when(v < F.lit(PSI_UNSTABLE), F.lit("watch"))
-            .otherwise(F.lit("unstable")))
+            .when(v.isNotNull(), F.lit("unstable")))
 
 
 def psi_term(expected_pct: Column | str, actual_pct: Column | str) -> Column:

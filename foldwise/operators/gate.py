@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.functions.scalar import LEAK_AUC_THRESHOLD, classify_psi, fmt_number
+from foldwise.functions.scalar import LEAK_AUC_THRESHOLD, fmt_number
 
 # The status ladder, in order.
 STATUSES = ["pending", "static_failed", "dynamic_failed", "leakage_rejected", "serving_mismatch",
@@ -86,7 +86,7 @@ def promotion_candidates(results: DataFrame, metrics: DataFrame, stability: Data
                    & (F.col("final_status") == "validated")))
 
 
-def run_digest(results: DataFrame, max_chars: int = 200, by: str = "run_id",
+def run_digest(results: DataFrame, max_chars: int = 8000, by: str = "run_id",
                order_col: str = "pos") -> DataFrame:
     """FN6: one text per run, a line per feature ``name: status (auc=0.xxxx)``, cut at
     ``max_chars`` with a ``...`` suffix. Lines are gathered per run (catalog-sized)."""
@@ -98,7 +98,3 @@ def run_digest(results: DataFrame, max_chars: int = 200, by: str = "run_id",
     return agg.select(by, F.when(F.length(text) > max_chars,
                                  F.concat(F.substring(text, 1, max_chars), F.lit("..."))).otherwise(text)
                       .alias("digest"))
-
-
-def stability_flag(csi: Column) -> Column:
-    return classify_psi(csi)

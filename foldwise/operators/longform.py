@@ -7,14 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def numeric_columns(df: DataFrame, cols: Sequence[str] | None = None) -> list[str]:
-    """Numeric, non-boolean columns (type routing PRJ3)."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    cols = list(cols) if cols is not None else list(fields)
-    return [c for c in cols if isinstance(fields[c], T.NumericType)]
 
 
 def melt(df: DataFrame, ids: Sequence[str], cols: Sequence[str], value_type: str = "double",

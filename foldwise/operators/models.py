@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import TWO_POW_32, h
-from foldwise.functions.scalar import MISSING_CATEGORY
+from foldwise.functions.scalar import known, missing_category
 from foldwise.operators.rank import dist_rank
 from foldwise.operators.scoring import binary_metrics
 
@@ -43,11 +43,8 @@ class ModelSpec:
 
 
 def prepare(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
-    """PRJ8: categorical columns as text with ``__missing__`` for nulls."""
-    out = df
-    for c in categorical:
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit(MISSING_CATEGORY)))
-    return out
+    """PRJ8: categorical columns as text with ``__missing__`` for nulls and NaN."""
+    return df.withColumns({c: missing_category(c, df) for c in categorical}) if categorical else df
 
 
 def pipeline(numeric: Sequence[str], categorical: Sequence[str], label: str, spec: ModelSpec) -> Pipeline:
@@ -81,11 +78,8 @@ def pipeline(numeric: Sequence[str], categorical: Sequence[str], label: str, spe
 
 
 def with_missing_flags(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    out = df
-    for c in numeric:
-        out = out.withColumn(c, F.col(c).cast("double")).withColumn(
-            f"_miss_{c}", F.col(c).isNull().cast("double"))
-    return out
+    values = {c: known(df, c).cast("double") for c in numeric}
+    return df.withColumns(values | {f"_miss_{c}": v.isNull().cast("double") for c, v in values.items()}) if numeric else df
 
 
 def proba(pred: DataFrame, out: str = "proba") -> DataFrame:

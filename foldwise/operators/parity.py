@@ -19,9 +19,10 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.functions.hashing import TWO_POW_32, h
-from foldwise.functions.scalar import isclose
+from foldwise.functions.scalar import known, same_value
 from foldwise.operators.rank import dist_rank
 
 # Fixed values of the replay.
@@ -112,10 +113,12 @@ def transform_many(rows: DataFrame, feature: PandasFeature, id_col: str, job_col
 def compare(offline: DataFrame, online: DataFrame, id_col: str, offline_col: str = "offline",
             online_col: str = "value") -> DataFrame:
     """JOIN7 + FN3: join offline and online values by row id; ``matched`` uses
-    isclose(rtol=1e-9, atol=1e-12) with null == null; ``abs_diff`` when both present."""
+    isclose(rtol=1e-9, atol=1e-12) for numbers and equality for text and booleans, missing
+    == missing; ``abs_diff`` when both are numbers."""
     j = online.join(offline.select(id_col, offline_col), id_col, "inner")
-    return (j.withColumn("matched", isclose(F.col(offline_col), F.col(online_col)))
-            .withColumn("abs_diff", F.abs(F.col(offline_col) - F.col(online_col))))
+    numeric = all(isinstance(j.schema[c].dataType, T.NumericType) for c in (offline_col, online_col))
+    diff = F.abs(known(j, offline_col) - known(j, online_col)) if numeric else F.lit(None).cast("double")
+    return j.withColumns({"matched": same_value(j, offline_col, online_col), "abs_diff": diff})
 
 
 def summarize(diffs: DataFrame, by: Sequence[str] = ("batch_size",)) -> DataFrame:

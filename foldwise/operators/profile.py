@@ -10,15 +10,19 @@ top-k (no single task ever sorts a whole high-cardinality column).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.functions.scalar import days_between
+from foldwise.functions.scalar import days_between, known
 from foldwise.operators.longform import melt
 from foldwise.operators.rank import exact_quantiles
 from foldwise.operators.target import column_kind
+from foldwise.session import materialize, ship_package, shuffle_partitions
 
 # Fixed values of the profile.
 QUANTILE_LEVELS = {"p1": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
@@ -47,11 +51,8 @@ def profile_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
             miss = miss | F.isnan(F.col(c))
         aggs.append(F.count_if(miss).alias(f"n_missing__{c}"))
-    row = df.agg(*aggs)
-    for c in cols:
-        row = row.withColumn(f"n__{c}", F.col("n"))
-        row = row.withColumn(f"pct_missing__{c}", F.coalesce(
-            F.try_divide(F.col(f"n_missing__{c}").cast("double"), F.col("n").cast("double")), F.lit(0.0)))
+    share = lambda c: F.coalesce(F.try_divide(F.col(f"n_missing__{c}").cast("double"), F.col("n").cast("double")), F.lit(0.0))
+    row = df.agg(*aggs).select("*", *[F.col("n").alias(f"n__{c}") for c in cols], *[share(c).alias(f"pct_missing__{c}") for c in cols])
     return _reshape(row, cols, {"n": "bigint", "n_missing": "bigint", "pct_missing": "double"})
 
 
@@ -60,9 +61,8 @@ def profile_distinct(df: DataFrame, cols: Sequence[str], approx: bool = False,
     """PROF2: non-null distinct count and ``is_constant`` (<= 1). ``approx`` uses
     HyperLogLog++ for very wide or very large tables."""
     fn = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
-    row = df.agg(*[fn(F.col(c)).alias(f"n_unique__{c}") for c in cols])
-    for c in cols:
-        row = row.withColumn(f"is_constant__{c}", F.col(f"n_unique__{c}") <= 1)
+    row = df.agg(*[fn(known(df, c)).alias(f"n_unique__{c}") for c in cols])
+    row = row.select("*", *[(F.col(f"n_unique__{c}") <= 1).alias(f"is_constant__{c}") for c in cols])
     return _reshape(row, cols, {"n_unique": "bigint", "is_constant": "boolean"})
 
 
@@ -76,14 +76,9 @@ def profile_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         aggs += [F.count(x).alias(f"_n__{c}"), F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}"),
                  F.avg(x).alias(f"mean__{c}"), F.stddev_samp(x).alias(f"_std__{c}"),
                  F.skewness(x).alias(f"_skew__{c}"), F.kurtosis(x).alias(f"_kurt__{c}")]
-    row = df.agg(*aggs)
-    for c in cols:
-        n = F.col(f"_n__{c}")
-        row = (row.withColumn(f"std__{c}", F.when(n > 1, F.col(f"_std__{c}")).otherwise(0.0))
-               .withColumn(f"skew__{c}", F.when(n > 2, F.col(f"_skew__{c}")).otherwise(0.0))
-               .withColumn(f"kurtosis__{c}", F.when(n > 3, F.col(f"_kurt__{c}")).otherwise(0.0)))
-        for s in ("min", "max", "mean"):
-            row = row.withColumn(f"{s}__{c}", F.when(n > 0, F.col(f"{s}__{c}")).otherwise(0.0))
+    needs = {"min": ("min", 0), "max": ("max", 0), "mean": ("mean", 0), "std": ("_std", 1), "skew": ("_skew", 2), "kurtosis": ("_kurt", 3)}
+    row = df.agg(*aggs).select(*[F.when(F.col(f"_n__{c}") > least, F.col(f"{source}__{c}")).otherwise(0.0).alias(f"{stat}__{c}")
+                                 for c in cols for stat, (source, least) in needs.items()])
     return _reshape(row, cols, {s: "double" for s in ("min", "max", "mean", "std", "skew", "kurtosis")})
 
 
@@ -96,9 +91,7 @@ def profile_quantiles(df: DataFrame, cols: Sequence[str], id_col: str, approx: b
     if approx:
         row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(f"_q__{c}")
                        for c in cols])
-        for c in cols:
-            for i, nm in enumerate(names):
-                row = row.withColumn(f"{nm}__{c}", F.col(f"_q__{c}")[i])
+        row = row.select(*[F.col(f"_q__{c}")[i].alias(f"{nm}__{c}") for c in cols for i, nm in enumerate(names)])
         return _reshape(row, cols, {nm: "double" for nm in names})
     long = melt(df, [id_col], cols, feature_col="column_name")
     q = exact_quantiles(long, "value", probs, id_col, by=["column_name"])
@@ -107,12 +100,13 @@ def profile_quantiles(df: DataFrame, cols: Sequence[str], id_col: str, approx: b
 
 
 def top_k(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k: int,
-          salt_col: str | None = None, salt_buckets: int = 64, rank_col: str = "rk") -> DataFrame:
+          salt_col: str | None = None, salt_buckets: int | None = None, rank_col: str = "rk") -> DataFrame:
     """Exact top-k per group in two stages: top-k inside (group, salt) sub-groups, then
     top-k of those candidates per group. A group with a huge number of rows is sorted in
-    ``salt_buckets`` pieces; the second stage sees at most salt_buckets * k rows."""
+    ``salt_buckets`` pieces (as many as there are shuffle partitions, unless given); the second stage
+    sees at most salt_buckets * k rows."""
     group_cols = list(group_cols)
-    salt = F.abs(F.xxhash64(F.col(salt_col))) % salt_buckets if salt_col else F.lit(0)
+    salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salt_buckets or shuffle_partitions(df.sparkSession))) if salt_col else F.lit(0)
     s1 = df.withColumn("_salt", salt)
     w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
     cand = s1.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
@@ -137,8 +131,7 @@ def profile_top_values(df: DataFrame, cols: Sequence[str], k: int = TOP_VALUES_L
 def profile_datetime(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """PROF6: min, max, span in days."""
     row = df.agg(*[e for c in cols for e in (F.min(c).alias(f"min_ts__{c}"), F.max(c).alias(f"max_ts__{c}"))])
-    for c in cols:
-        row = row.withColumn(f"span_days__{c}", days_between(F.col(f"max_ts__{c}"), F.col(f"min_ts__{c}")))
+    row = row.select("*", *[days_between(F.col(f"max_ts__{c}"), F.col(f"min_ts__{c}")).alias(f"span_days__{c}") for c in cols])
     ts_type = df.schema[cols[0]].dataType.simpleString() if cols else "timestamp"
     return _reshape(row, cols, {"min_ts": ts_type, "max_ts": ts_type, "span_days": "double"})
 
@@ -159,11 +152,9 @@ def assoc_numeric(df: DataFrame, cols: Sequence[str], y_col: str,
         aggs += [F.count(xp).alias(f"_n__{c}"), F.covar_pop(xp, yp).alias(f"_cov__{c}"),
                  F.var_pop(xp).alias(f"_vx__{c}"), F.var_pop(yp).alias(f"_vy__{c}"),
                  (F.min(xp) < F.max(xp)).alias(f"_vx2__{c}"), (F.min(yp) < F.max(yp)).alias(f"_vy2__{c}")]
-    row = df.agg(*aggs)
-    for c in cols:
-        ok = (F.col(f"_n__{c}") >= min_rows) & F.col(f"_vx2__{c}") & F.col(f"_vy2__{c}")
-        r = F.try_divide(F.col(f"_cov__{c}"), F.sqrt(F.col(f"_vx__{c}") * F.col(f"_vy__{c}")))
-        row = row.withColumn(f"corr__{c}", F.when(ok, r))
+    ok = lambda c: (F.col(f"_n__{c}") >= min_rows) & F.col(f"_vx2__{c}") & F.col(f"_vy2__{c}")
+    r = lambda c: F.try_divide(F.col(f"_cov__{c}"), F.sqrt(F.col(f"_vx__{c}") * F.col(f"_vy__{c}")))
+    row = df.agg(*aggs).select(*[F.when(ok(c), r(c)).alias(f"corr__{c}") for c in cols])
     return _reshape(row, cols, {"corr": "double"})
 
 
@@ -178,6 +169,7 @@ def cramers_v(ct: DataFrame, y_col: str, min_rows: int = MIN_ROWS_FOR_CORRELATIO
     """ASSOC3: Cramer's V from an uncorrected chi-square,
     ``chi2 = n * (sum O^2 / (R * C) - 1)``, ``V = sqrt(chi2 / n / min(r-1, k-1))``; null when
     either side has fewer than two levels or fewer than ``min_rows`` rows (Q22)."""
+    ct = materialize(ct, "contingency")  # read for the cells and both margins
     rm = ct.groupBy("column_name", "value").agg(F.sum("n").alias("R"))
     cm = ct.groupBy("column_name", y_col).agg(F.sum("n").alias("C"))
     j = ct.join(rm, ["column_name", "value"]).join(cm, ["column_name", y_col])
@@ -192,49 +184,48 @@ def cramers_v(ct: DataFrame, y_col: str, min_rows: int = MIN_ROWS_FOR_CORRELATIO
     return agg.select("column_name", v.alias("v"))
 
 
-GRAMIAN_MIN_COLUMNS = 64
+NO_VARIANCE = 1e-12  # of a column's own variance; below it the rows of a pair count as constant
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
-    """ASSOC4: Pearson correlation of every pair a < b, long output (a, b, corr).
+def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """ASSOC4: Pearson correlation of every pair a < b (in the given order) over the rows that have both,
+    long output (a, b, corr); null where either is constant there. Missing: null and NaN.
 
-    ``pairs``: pairwise-complete co-moments, 3 aggregates per pair in one pass (nulls skip
-    only the pairs they touch). ``gramian``: for wide, null-free inputs, one distributed
-    tree-aggregate of the Gramian (``pyspark.ml.stat.Correlation``), p x p numbers to the
-    driver. ``auto`` takes the Gramian path when there are at least
-    ``GRAMIAN_MIN_COLUMNS`` columns and none has a null (one counting pass)."""
+    One method at any width: columns are standardised, and each task adds up the products of blocks of
+    rows with their masks of present values (sums, squares, products and counts of all pairs at once),
+    so that a task sends one row for each pair and the plan has no expression for each pair."""
     cols = list(cols)
-    if method == "auto":
-        method = "pairs"
-        if len(cols) >= GRAMIAN_MIN_COLUMNS:
-            nulls = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c)
-                             for c in cols]).first()
-            if all(nulls[c] == 0 for c in cols):
-                method = "gramian"
-    if method == "gramian":
-        return _correlation_gramian(df, cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        xa, xb = F.col(a).cast("double"), F.col(b).cast("double")
-        pa = F.when(xb.isNotNull(), xa)
-        pb = F.when(xa.isNotNull(), xb)
-        aggs += [F.covar_pop(pa, pb).alias(f"_c{i}"), F.var_pop(pa).alias(f"_va{i}"),
-                 F.var_pop(pb).alias(f"_vb{i}")]
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                        F.try_divide(F.col(f"_c{i}"), F.sqrt(F.col(f"_va{i}") * F.col(f"_vb{i}"))).alias("corr"))
-               for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
-
-
-def _correlation_gramian(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    import math
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    m = Correlation.corr(vec, "_v").first()[0].toArray()  # p x p
-    rows = [(a, b, None if math.isnan(m[i, j]) else float(m[i, j]))
-            for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
+    values = df.select(*[known(df, c).cast("double").alias(c) for c in cols])
+    some = values.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    mean = np.array([some[f"m{i}"] or 0.0 for i in range(len(cols))])
+    scale = np.array([some[f"s{i}"] or 0.0 for i in range(len(cols))])
+    ship_package(df.sparkSession)
+    sums = values.toDF(*[f"c{i}" for i in range(len(cols))]).mapInArrow(partial(pair_sums, mean=mean, scale=scale), PAIR_SUMS)
+    total = sums.groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in ("n", "si", "sj", "qi", "qj", "p")])
+    cov = F.col("p") / F.col("n") - F.col("si") * F.col("sj") / F.col("n") / F.col("n")
+    var = lambda s, q: F.col(q) / F.col("n") - F.pow(F.col(s) / F.col("n"), 2)
+    vi, vj = var("si", "qi"), var("sj", "qj")
+    r = F.when((vi > NO_VARIANCE) & (vj > NO_VARIANCE), cov / F.sqrt(vi * vj))
+    label = lambda k: F.element_at(F.array(*map(F.lit, cols)), F.col(k) + 1)
+    return total.where("n > 0").select(label("i").alias("a"), label("j").alias("b"), r.alias("corr"))
+
+
+PAIR_SUMS = "i int, j int, n double, si double, sj double, qi double, qj double, p double"
+PAIR_ROWS = 4096
+
+
+def pair_sums(batches, mean, scale):
+    """The sums of all pairs of columns over a task's rows, as rows of ``PAIR_SUMS``."""
+    k = len(mean)
+    total = np.zeros((6, k, k))
+    for b in batches:
+        for at in range(0, b.num_rows, PAIR_ROWS):
+            x = np.column_stack([b.column(i).slice(at, PAIR_ROWS).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(k)])
+            there = ~np.isnan(x)
+            z = np.divide(np.where(there, x, mean) - mean, scale, out=np.zeros_like(x), where=scale > 0)
+            m = there.astype(np.float64)
+            sums, squares = z.T @ m, (z * z).T @ m
+            total += np.stack([m.T @ m, sums, sums.T, squares, squares.T, z.T @ z])
+    i, j = np.triu_indices(k, 1)
+    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(t[i, j]) for t in total]],
+                                     names=["i", "j", "n", "si", "sj", "qi", "qj", "p"])

@@ -78,16 +78,6 @@ def time_windows(df: DataFrame, time_col: str, id_col: str, n: int,
     return r.withColumn(window_col, ntile_index(F.col("_wr"), F.col("_wn"), n)).drop("_wr", "_wn")
 
 
-def batch_ids(df: DataFrame, order_cols, sizes: list[int], rank_col: str = "pos") -> DataFrame:
-    """WIN2: for every batch size, ``batch = (rank - 1) div size``; one row per
-    (row, batch size). ``rank_col`` keeps the 0-based replay position."""
-    r = dist_rank(df, order_cols, rank_col="_br")
-    size = F.explode(F.array(*[F.lit(s) for s in sizes])).alias("batch_size")
-    return (r.select("*", size)
-            .withColumn("batch", F.floor((F.col("_br") - 1) / F.col("batch_size")).cast("bigint"))
-            .withColumn(rank_col, F.col("_br") - 1).drop("_br"))
-
-
 def sample_positions(n_rows: Column, max_rows: int) -> Column:
     """SRT6: array of at most ``max_rows`` evenly spread positions ``int(i * n / m)``
     (all positions when n <= m), as a Column of ``array<bigint>``."""

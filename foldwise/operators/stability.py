@@ -13,14 +13,17 @@ collapse (Q1, Q2). Proportions are floored at 1e-4 and not renormalised (Q3).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foldwise.functions.hashing import h
-from foldwise.functions.scalar import classify_psi, left_closed_bin, psi_term, right_closed_bin
+from foldwise.functions.scalar import classify_psi, known, left_closed_bin, psi_term, right_closed_bin
 from foldwise.operators.rank import exact_quantiles
+from foldwise.session import materialize
 
 CONSTANT_HALF_WIDTH = 1e-9
 DEFAULT_BINS = 10
@@ -68,44 +71,57 @@ def bin_grid(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return edges.select(*by, F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("bin"))
 
 
-def psi_from_counts(counts: DataFrame, keys: Sequence[str], side_keys: Sequence[str],
-                    ref_col: str = "ref_n", cur_col: str = "cur_n") -> DataFrame:
-    """STB3 over a complete grid: ``counts`` has (keys..., bin, ref_n, cur_n); returns
-    keys + psi. Proportions divide by max(total, 1)."""
+def psi_from_counts(counts: DataFrame, keys: Sequence[str], ref_col: str = "ref_n", cur_col: str = "cur_n") -> DataFrame:
+    """STB3 over a complete grid: ``counts`` has (keys..., bin, ref_n, cur_n); returns keys + psi, 0 where
+    there is no bin at all (without keys; a group that isn't there has no row). Totals are an aggregate
+    joined back, so no task holds all bins. Proportions divide by max(total, 1)."""
     keys = list(keys)
-    w = Window.partitionBy(*keys)
-    p = (counts.withColumn("_e", F.col(ref_col) / F.greatest(F.sum(ref_col).over(w), F.lit(1)))
-         .withColumn("_a", F.col(cur_col) / F.greatest(F.sum(cur_col).over(w), F.lit(1))))
-    return p.groupBy(*keys).agg(F.sum(psi_term("_e", "_a")).alias("psi"))
+    totals = counts.groupBy(*keys).agg(F.sum(ref_col).alias("_rt"), F.sum(cur_col).alias("_ct"))
+    if keys:
+        totals = totals.withColumnsRenamed({k: f"_t_{k}" for k in keys})
+        same = reduce(and_, [counts[k].eqNullSafe(totals[f"_t_{k}"]) for k in keys])
+        whole = counts.join(totals, same)
+    else:
+        whole = counts.crossJoin(totals)  # one row
+    share = lambda n, t: F.col(n) / F.greatest(F.coalesce(F.col(t), F.lit(0)), F.lit(1))
+    return whole.groupBy(*keys).agg(F.coalesce(F.sum(psi_term(share(ref_col, "_rt"), share(cur_col, "_ct"))), F.lit(0.0)).alias("psi"))
 
 
 def psi_numeric(df: DataFrame, value_col: str, id_col: str, is_ref: Column, is_cur: Column,
                 by: Sequence[str] = (), bins: int = DEFAULT_BINS, edges: DataFrame | None = None) -> DataFrame:
     """STB4: PSI of the current rows against reference-quantile bins, per ``by`` group
-    (``edges`` can be passed when already computed for the same reference)."""
+    (``edges`` can be passed when already computed for the same reference). Null and NaN are missing."""
     by = list(by)
-    clean = df.where(F.col(value_col).isNotNull()).select(*by, id_col, value_col,
-                                                         is_ref.alias("_isref"), is_cur.alias("_iscur"))
+    clean = df.where(known(df, value_col).isNotNull()).select(*by, id_col, value_col, is_ref.alias("_isref"), is_cur.alias("_iscur"))
     if edges is None:
         edges = bin_edges(clean.where("_isref"), value_col, id_col, bins, by)
     binned = with_bins(clean, edges, value_col, by)
     counts = binned.groupBy(*by, "bin").agg(F.count_if("_isref").alias("ref_n"),
                                             F.count_if("_iscur").alias("cur_n"))
     grid = bin_grid(edges, by).join(counts, [*by, "bin"], "left").fillna(0, ["ref_n", "cur_n"])
-    return psi_from_counts(grid, by, [])
+    return psi_from_counts(grid, by)
 
 
 def csi_categorical(df: DataFrame, value_col: str, is_ref: Column, is_cur: Column,
                     by: Sequence[str] = ()) -> DataFrame:
     """STB5/JOIN6/SET1: per category of the union of both sides (missing = 0), by
     conditional aggregation instead of a full outer join; no categories -> 0.0."""
-    by = list(by)
-    v = F.col(value_col).cast("string")
-    c = (df.where(F.col(value_col).isNotNull())
-         .groupBy(*by, v.alias("bin"))
+    by, v = list(by), known(df, value_col)
+    c = (df.where(v.isNotNull()).groupBy(*by, v.cast("string").alias("bin"))
          .agg(F.count_if(is_ref).alias("ref_n"), F.count_if(is_cur).alias("cur_n"))
          .where((F.col("ref_n") > 0) | (F.col("cur_n") > 0)))
-    return psi_from_counts(c, by, [])
+    return psi_from_counts(c, by)
+
+
+def csi(df: DataFrame, value_col: str, id_col: str, is_ref: Column, is_cur: Column, by: Sequence[str] = (),
+        bins: int = DEFAULT_BINS) -> DataFrame:
+    """STB5 by type: numbers through reference-quantile bins, text and booleans by category; ``csi``, 0.0
+    for a column without values, and its class."""
+    if isinstance(df.schema[value_col].dataType, T.NumericType):
+        out = psi_numeric(df, value_col, id_col, is_ref, is_cur, by, bins)
+    else:
+        out = csi_categorical(df, value_col, is_ref, is_cur, by)
+    return out.withColumnRenamed("psi", "csi").withColumn("flag", classify_psi("csi"))
 
 
 def time_window_counts(df: DataFrame, value_col: str, id_col: str, window_col: str,
@@ -113,7 +129,7 @@ def time_window_counts(df: DataFrame, value_col: str, id_col: str, window_col: s
     """STB2 for many windows at once: reference edges from window 0, then counts per
     (by, window, bin) over a complete grid. Returns (edges, counts)."""
     by = list(by)
-    clean = df.where(F.col(value_col).isNotNull())
+    clean = df.where(known(df, value_col).isNotNull()).select(*by, id_col, window_col, value_col)
     edges = bin_edges(clean.where(F.col(window_col) == 0), value_col, id_col, bins, by)
     binned = with_bins(clean, edges, value_col, by)
     counts = binned.groupBy(*by, window_col, "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -130,47 +146,73 @@ def temporal_oot(counts: DataFrame, window_col: str, by: Sequence[str] = (),
     ref = counts.where(F.col(window_col) == 0).select(*by, "bin", F.col("n").alias("ref_n"))
     cur = counts.where(F.col(window_col) > 0).withColumnRenamed("n", "cur_n")
     j = cur.join(ref, [*by, "bin"], "left").fillna(0, ["ref_n"])
-    p = psi_from_counts(j, [*by, window_col], [])
+    p = psi_from_counts(j, [*by, window_col])
     return p.select(*by, F.concat(F.lit(label_prefix), F.col(window_col).cast("string")).alias("label"),
                     F.col(window_col), F.col("psi").alias("value"))
 
 
 def temporal_oot_categorical(df: DataFrame, value_col: str, window_col: str,
                              by: Sequence[str] = (), label_prefix: str = "window_") -> DataFrame:
-    """STB8 for a categorical feature: window 0 vs every later window, one job."""
-    by = list(by)
-    v = F.col(value_col).cast("string")
-    c = df.where(F.col(value_col).isNotNull()).groupBy(*by, window_col, v.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"))
-    ref = c.where(F.col(window_col) == 0).select(*by, "bin", F.col("n").alias("ref_n"))
-    wins = c.where(F.col(window_col) > 0).select(*by, window_col).distinct()
-    cats = c.select(*by, "bin").distinct()
-    grid = wins.join(cats, by, "inner") if by else wins.crossJoin(cats)
-    g = (grid.join(c.where(F.col(window_col) > 0).withColumnRenamed("n", "cur_n"), [*by, window_col, "bin"], "left")
-         .join(ref, [*by, "bin"], "left").fillna(0, ["ref_n", "cur_n"])
-         .where((F.col("ref_n") > 0) | (F.col("cur_n") > 0)))
-    p = psi_from_counts(g, [*by, window_col], [])
+    """STB8 for a categorical feature: window 0 vs every later window. The categories of a window meet
+    those of window 0 by a join; what the reference's other categories add is the same for all windows
+    (their share against none), so no grid of windows and categories is made."""
+    by, v = list(by), known(df, value_col)
+    counts = materialize(df.where(v.isNotNull()).groupBy(*by, window_col, v.cast("string").alias("bin")).agg(F.count(F.lit(1)).alias("n")), "categories")
+    totals = counts.groupBy(*by, window_col).agg(F.sum("n").alias("t"))
+    first = F.col(window_col) == 0
+    base = totals.where(first).select(*[F.col(k).alias(f"_b_{k}") for k in by], F.col("t").alias("rt"))
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in by]) if by else F.lit(True)
+    ref = counts.where(first).join(base, match).select(*by, F.col("bin").alias("rbin"), (F.col("n") / F.col("rt")).alias("e"))
+    alone = ref.groupBy(*by).agg(F.sum(psi_term(F.col("e"), F.lit(0.0))).alias("alone"))
+    cur = counts.where(~first).join(totals.where(~first), [*by, window_col]).select(*by, window_col, "bin", (F.col("n") / F.col("t")).alias("a"))
+    r = ref.withColumnsRenamed({k: f"_r_{k}" for k in by})
+    met = cur.join(r, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in by], F.col("bin") == F.col("rbin")), "left")
+    term = psi_term(F.coalesce("e", F.lit(0.0)), "a") - F.when(F.col("e").isNotNull(), psi_term(F.col("e"), F.lit(0.0))).otherwise(0.0)
+    p = met.groupBy(*by, window_col).agg(F.sum(term).alias("own"))
+    if by:
+        o = alone.withColumnsRenamed({k: f"_a_{k}" for k in by})
+        p = p.join(o, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_a_{k}")) for k in by]), "left")
+    else:
+        p = p.crossJoin(alone)  # one row
     return p.select(*by, F.concat(F.lit(label_prefix), F.col(window_col).cast("string")).alias("label"),
-                    F.col(window_col), F.col("psi").alias("value"))
+                    F.col(window_col), (F.col("own") + F.coalesce("alone", F.lit(0.0))).alias("value"))
+
+
+HALVES = 128  # iterations that one hash serves
+
+
+def half_digest(id_col: str, block: int, seed_prefix: str = "") -> Column:
+    """32 hexadecimal digits of a row, whose bits are its halves in ``HALVES`` iterations."""
+    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed_prefix}{block}")).cast("binary"))
+
+
+def in_half(digest: str, iteration: int) -> Column:
+    """Whether a row is in the iteration's half: its bit is not set."""
+    digit, bit = divmod(iteration % HALVES, 4)
+    unset = "".join(c for c in "0123456789abcdef" if not int(c, 16) >> bit & 1)
+    return F.contains(F.lit(unset), F.substring(digest, digit + 1, 1))
 
 
 def bootstrap_stability(df: DataFrame, value_col: str, id_col: str, iterations: int = 20,
                         seed_prefix: str = "", bins: int = DEFAULT_BINS) -> DataFrame:
-    """STB7: reference = all rows, sample i = rows with ``h(id, i) < 2^31`` (a
-    deterministic half). One pass: the bin of each row once, and one conditional count
-    per iteration in the same aggregate (no row expansion)."""
-    clean = df.where(F.col(value_col).isNotNull()).select(id_col, value_col)
-    edges = bin_edges(clean, value_col, id_col, bins)
-    binned = with_bins(clean, edges, value_col)
-    aggs = [F.count(F.lit(1)).alias("ref_n")]
-    for i in range(iterations):
-        aggs.append(F.count_if(h(id_col, f"{seed_prefix}{i}") < F.lit(2 ** 31)).alias(f"c{i}"))
-    counts = binned.groupBy("bin").agg(*aggs)
-    grid = bin_grid(edges).join(counts, "bin", "left").fillna(0)
+    """STB7: reference = all rows, sample i = the half of the rows that ``in_half`` picks. One hash and
+    one bin per row, and one conditional count per iteration in the same aggregate (no row expansion).
+    Numbers go through quantile bins, text and booleans by category."""
+    v = known(df, value_col)
+    clean = df.where(v.isNotNull()).select(id_col, value_col)
+    numeric = isinstance(df.schema[value_col].dataType, T.NumericType)
+    if numeric:
+        edges = bin_edges(clean, value_col, id_col, bins)
+        binned = with_bins(clean, edges, value_col)
+    else:
+        binned = clean.withColumn("bin", v.cast("string"))
+    binned = binned.select("bin", *[half_digest(id_col, n, seed_prefix).alias(f"_h{n}") for n in range(-(-iterations // HALVES))])
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("ref_n"), *[
+        F.count_if(in_half(f"_h{i // HALVES}", i)).alias(f"c{i}") for i in range(iterations)])
+    grid = bin_grid(edges).join(counts, "bin", "left").fillna(0) if numeric else counts
     long = grid.select("bin", "ref_n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("iteration"), F.col(f"c{i}").alias("cur_n")) for i in range(iterations)])).alias("_s"))
-    long = long.select("bin", "ref_n", "_s.iteration", "_s.cur_n")
-    p = psi_from_counts(long, ["iteration"], [])
+    p = psi_from_counts(materialize(long.select("bin", "ref_n", "_s.iteration", "_s.cur_n"), "halves"), ["iteration"])
     return p.select("iteration", F.col("psi").alias("value"))
 
 
@@ -183,12 +225,10 @@ def score_decile_stability(df: DataFrame, score_col: str, id_col: str, is_ref: C
                            n: int = DEFAULT_BINS) -> DataFrame:
     """STB10: share of each side per right-closed reference decile, with the
     (left-closed) PSI of the two score samples and its class."""
-    clean = df.where(F.col(score_col).isNotNull()).select(id_col, score_col, is_ref.alias("_isref"),
-                                                         is_cur.alias("_iscur"))
+    clean = df.where(known(df, score_col).isNotNull()).select(id_col, score_col, is_ref.alias("_isref"), is_cur.alias("_iscur"))
     edges = decile_edges(clean.where("_isref"), score_col, id_col, n)
     binned = with_bins(clean, edges, score_col, right_closed=True, bin_col="decile")
     per = binned.groupBy("decile").agg(F.count_if("_isref").alias("_r"), F.count_if("_iscur").alias("_c"))
-    w = Window.partitionBy()
     per = per.where((F.col("_r") > 0) | (F.col("_c") > 0))  # labels present on either side
     tot = per.agg(F.sum("_r").alias("_tr"), F.sum("_c").alias("_tc"))
     shares = per.crossJoin(tot).select(
@@ -196,7 +236,6 @@ def score_decile_stability(df: DataFrame, score_col: str, id_col: str, is_ref: C
         (F.col("_c") / F.greatest(F.col("_tc"), F.lit(1))).alias("current_pct"))
     # PSI uses the same reference quantiles (left-closed bins): reuse the edges
     psi = psi_numeric(clean, score_col, id_col, F.col("_isref"), F.col("_iscur"), bins=n, edges=edges)
-    del w
     return shares.crossJoin(psi.select("psi", classify_psi("psi").alias("flag")))
 
 
@@ -204,15 +243,12 @@ def target_rate_by_decile(df: DataFrame, score_col: str, y_col: str, id_col: str
                           bucket_col: str | None = None, n: int = DEFAULT_BINS) -> DataFrame:
     """STB11/AGG1: mean target per decile (deciles of the whole score column) overall
     and per time bucket in one ``GROUPING SETS`` aggregation; ``bucket`` null = overall."""
-    clean = df.where(F.col(score_col).isNotNull())
+    clean = df.where(known(df, score_col).isNotNull())
     edges = decile_edges(clean, score_col, id_col, n)
-    binned = with_bins(clean, edges, score_col, right_closed=True, bin_col="decile")
-    binned.createOrReplaceTempView("_fw_deciles")
-    bucket = bucket_col or "CAST(NULL AS STRING)"
-    return df.sparkSession.sql(f"""
-        SELECT CAST({bucket} AS STRING) AS bucket, decile, avg(CAST({y_col} AS DOUBLE)) AS rate
-        FROM _fw_deciles
-        GROUP BY GROUPING SETS ((decile), ({bucket}, decile))""")
+    binned = with_bins(clean, edges, score_col, right_closed=True, bin_col="decile").withColumn(
+        "bucket", (F.col(bucket_col) if bucket_col else F.lit(None)).cast("string"))
+    rows = binned.groupingSets([["decile"], ["bucket", "decile"]], "bucket", "decile").agg(F.avg(F.col(y_col).cast("double")).alias("rate"))
+    return rows.select("bucket", "decile", "rate")
 
 
 def is_non_decreasing(rates: DataFrame, order_col: str, rate_col: str = "rate",

@@ -174,7 +174,7 @@ def q_lift_accept_reject(spark, sf):
 
 
 @register("fn_run_digest", with_base(*FR_CTES) + """
-SELECT run_id, CASE WHEN length(d) > 200 THEN substr(d, 1, 200) || '...' ELSE d END AS digest FROM (
+SELECT run_id, CASE WHEN length(d) > 8000 THEN substr(d, 1, 8000) || '...' ELSE d END AS digest FROM (
   SELECT run_id, string_agg(feature_name || ': ' || final_status || ' (auc=' || coalesce(printf('%.4f', auc), 'n/a') || ')', chr(10) ORDER BY pos) AS d
   FROM frs GROUP BY run_id)""")
 def q_fn_run_digest(spark, sf):
@@ -321,12 +321,11 @@ SELECT CAST(0.5 AS DOUBLE) AS baseline_auc, (SELECT round(max(auc_mean), 6) FROM
 def q_report_summary(spark, sf):
     cat = promoted(spark, sf)
     lm = cat.latest("training_metrics").agg(r6(F.max("auc_mean")).alias("best_auc"))
-    res = cat_results = feature_results(spark, sf)
+    res = feature_results(spark, sf)
     nv = res.agg(F.count_if(F.col("final_status") == "validated").alias("n_validated"))
     npro = cat.read("promoted_features").agg(F.count(F.lit(1)).alias("n_promoted"))
     hyp = spark.createDataFrame([(f"h_{c}",) for c in ALL], "hypothesis_id string").agg(
         F.count(F.lit(1)).alias("n_hypotheses"))
-    del cat_results
     return (lm.crossJoin(hyp).crossJoin(nv).crossJoin(npro)  # 1-row frames
             .select(F.lit(0.5).alias("baseline_auc"), "best_auc", "n_hypotheses", "n_validated", "n_promoted"))
 

@@ -123,7 +123,7 @@ SELECT coalesce(CAST(CASE WHEN row_id % 13 = 0 THEN NULL ELSE seg END AS VARCHAR
 FROM base GROUP BY 1""")
 def q_prepare_categoricals(spark, sf):
     b = base(spark, sf).withColumn("seg", F.when(F.col("row_id") % 13 == 0, F.lit(None)).otherwise(F.col("seg")))
-    return b.groupBy(missing_category("seg").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return b.groupBy(missing_category("seg", b).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------------ feature store

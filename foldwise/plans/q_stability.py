@@ -19,7 +19,8 @@ BOOT_ITER = 20
 def ev_windows(spark, sf):
     """Events with their equal-count time window, written once: the numeric and the
     categorical stability branches both read it."""
-    return materialize(time_windows(ev(spark, sf), "t", "row_id", N_WINDOWS, window_col="win"), "ev_windows")
+    e = ev(spark, sf).select("row_id", "t", "x", "cat")
+    return materialize(time_windows(e, "t", "row_id", N_WINDOWS, window_col="win"), "ev_windows")
 
 
 EVW = f"evw AS (SELECT *, CAST(ntile({N_WINDOWS}) OVER (ORDER BY t, row_id) - 1 AS INTEGER) AS win FROM ev)"
@@ -81,10 +82,8 @@ SELECT round(coalesce(psi, 0.0), 6) AS csi, {CLASSIFY.format(v='coalesce(psi, 0.
 @register("csi_categorical", CSI_SQL)
 def q_csi_categorical(spark, sf):
     w = ev_windows(spark, sf)
-    c = st.csi_categorical(w, "cat", F.col("win") == 0, F.col("win") > 0)
-    c = w.sparkSession.range(1).crossJoin(c).select(F.coalesce(F.col("psi"), F.lit(0.0)).alias("csi")) \
-        if False else c.select(F.col("psi").alias("csi"))
-    return c.select(r6("csi").alias("csi"), classify_psi("csi").alias("flag"))
+    c = st.csi(w, "cat", "row_id", F.col("win") == 0, F.col("win") > 0)
+    return c.select(r6("csi").alias("csi"), "flag")
 
 
 OOT_CTES = [*HIST_CTES,
@@ -139,7 +138,7 @@ BOOT_SQL = with_ev(
     """bc AS (SELECT g.iteration, g.bin,
                 (SELECT count(*) FROM binned WHERE binned.bin = g.bin) AS ref_n,
                 (SELECT count(*) FROM binned WHERE binned.bin = g.bin
-                   AND ('0x' || substr(md5(CAST(binned.row_id AS VARCHAR) || '|' || CAST(g.iteration AS VARCHAR)), 1, 8))::BIGINT < 2147483648) AS cur_n
+                   AND (('0x' || substr(md5(CAST(binned.row_id AS VARCHAR) || '|0'), CAST(g.iteration // 4 + 1 AS BIGINT), 1))::BIGINT >> (g.iteration % 4)) & 1 = 0) AS cur_n
              FROM grid g)""",
     f"ps AS ({psi_sql('bc', ['iteration'])})") + """
 SELECT CAST(iteration AS INTEGER) AS iteration, round(psi, 6) AS value FROM ps"""

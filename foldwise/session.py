@@ -78,17 +78,10 @@ def materialize(df, name: str = "table"):
     import uuid
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)  # goes with the session's JVM
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def broadcast_if_small(df, max_rows: int = 1_000_000):
-    """Broadcast ``df`` only after checking that it has at most ``max_rows`` rows (one
-    count of an already small, aggregated table); above the bound the join stays a
-    shuffle join that AQE may still convert from measured sizes."""
-    from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
@@ -118,19 +111,20 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark) -> None:
-    """Make ``foldwise`` importable in executor Python workers (the pandas functions of
-    the replay, tree SHAP and pandas fits refer to it). Local sessions already share the
-    driver's path; on a cluster the package is zipped once per application and added with
-    ``addPyFile`` (installing it on the executors' image works as well)."""
-    sc = spark.sparkContext
-    key = sc.applicationId
-    if key in _SHIPPED or sc.master.startswith("local"):
-        return
+    """Make this package importable in the Python workers of any master: it is zipped once for each
+    application and added with ``addPyFile`` (the archive stays, since the driver serves it)."""
     import os
-    import shutil
     import tempfile
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    tmp = tempfile.mkdtemp(prefix="foldwise-pkg-")
-    archive = shutil.make_archive(os.path.join(tmp, "foldwise"), "zip", os.path.dirname(pkg), "foldwise")
+    import zipfile
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{os.path.basename(package)}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in sorted(os.walk(package)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(package)))
     sc.addPyFile(archive)
-    _SHIPPED.add(key)
+    _SHIPPED.add(sc.applicationId)

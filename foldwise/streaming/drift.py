@@ -41,4 +41,4 @@ def run_stream_psi(stream: DataFrame, time_col: str, value_col: str, edges: Data
     grid = windows.crossJoin(F.broadcast(spark.range(int(e["n_bins"])).select(F.col("id").cast("int").alias("bin"))))
     full = (grid.join(emitted, ["window_start", "bin"], "left").join(F.broadcast(ref_counts), "bin", "left")
             .fillna(0, ["cur_n", "ref_n"]))
-    return psi_from_counts(full, ["window_start"], [])
+    return psi_from_counts(full, ["window_start"])

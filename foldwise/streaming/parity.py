@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import isclose
-from foldwise.session import broadcast_if_small, checkpoint_dir
+from foldwise.session import checkpoint_dir
 
 
 def stream_source(spark: SparkSession, folder: str, file_glob: str = "*.parquet",
-                  max_files_per_trigger: int = 1) -> DataFrame:
+                  max_files_per_trigger: int | None = None) -> DataFrame:
     """A file stream over the Parquet files of ``folder`` matching ``file_glob`` (new
-    files are picked up as they land), with the schema of the files present now."""
+    files are picked up as they land), with the schema of the files present now. A micro-batch takes
+    all new files, unless ``max_files_per_trigger`` is given."""
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(folder))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    return (reader if max_files_per_trigger is None else reader.option("maxFilesPerTrigger", max_files_per_trigger)).parquet(folder)
 
 
 def run_stream_parity(stream: DataFrame, id_col: str, key_col: str, params: DataFrame, offline: DataFrame,
@@ -34,9 +35,9 @@ def run_stream_parity(stream: DataFrame, id_col: str, key_col: str, params: Data
     sink, ckpt = os.path.join(work_dir, "diffs"), os.path.join(work_dir, "_checkpoint")
     keyed = params.where(F.col("key").isNotNull()).select(F.col("key").alias("_pk"), F.col("value").alias("_pv"))
     dflt = params.where(F.col("key").isNull()).select(F.col("value").alias("_pd"))
-    # params are one row per key: broadcast behind a row-count check
+    # params are one row per key; the planner broadcasts them only if they are small
     online = (stream.select(id_col, key_col)
-              .join(broadcast_if_small(keyed), F.col(key_col) == F.col("_pk"), "left")
+              .join(keyed, F.col(key_col) == F.col("_pk"), "left")
               .crossJoin(F.broadcast(dflt))
               .select(id_col, F.coalesce(F.col("_pv"), F.col("_pd")).alias("online")))
     off = offline.select(id_col, offline_col)

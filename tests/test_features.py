@@ -120,3 +120,33 @@ def test_coerce_output_and_categorical_list(spark):
     feats = [fx.cross("c", "a", "b"), fx.ratio("r", "a", "b")]
     df2 = spark.createDataFrame([("x", "y", "z")], "seg string, c string, r string")
     assert fx.categorical_columns(df2, ["seg", "missing"], feats) == ["seg", "c"]
+
+
+@pytest.mark.parametrize("big", [1e17, float("inf"), -1e300])
+@pytest.mark.parametrize("make", [lambda: fx.GroupStat(name="v", key="k", value="x", default=0.0),
+                                  lambda: fx.PandasFit(name="v", key="k", partials={"s": F.sum("x"), "n": F.count("x").cast("double")},
+                                                       finish=lambda train, glob: train["s"] / train["n"])])
+def test_own_fold_never_touches_the_others_sum(spark, big, make):
+    df = spark.createDataFrame([(0, "a", big, 0), (1, "a", 0.1, 1), (2, "a", 0.3, 2)], "row_id long, k string, x double, fold int")
+    got = make().oof(df, k=3).where("fold = 0").first()["v"]
+    assert got == pytest.approx(0.2, abs=1e-12)
+
+
+def test_features_of_two_keys_take_two_aggregates_and_no_id_join(spark):
+    df = spark.createDataFrame([(i, f"a{i % 3}", f"b{i % 4}", float(i), i % 2, i % 5) for i in range(60)],
+                               "row_id long, a string, b string, x double, y int, fold int")
+    feats = [fx.GroupStat(name=f"{key}{j}", key=key, value="x" if j % 2 else "y", default=float(j)) for key in "ab" for j in range(10)]
+    out = fx.assemble(df, "row_id", feats, 5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 3 and "row_id" not in "".join(x for x in plan.splitlines() if "Join" in x)  # two keys and the fallback
+    one = out.orderBy("row_id").toPandas()
+    for f in feats[::7]:
+        assert one[f.name].tolist() == pytest.approx(f.oof(df, k=5).orderBy("row_id").toPandas()[f.name].tolist())
+
+
+def test_contract_lists_all_that_is_wrong(spark):
+    class Odd:
+        name, required_columns, transform = "odd", ("nope", "fold"), None
+
+    with pytest.raises(ValueError, match="fit is not callable; transform is not callable; the table lacks nope; it reads the target fold"):
+        fx.validate_feature(Odd(), six_rows(spark), target_col="fold")

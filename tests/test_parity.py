@@ -74,3 +74,13 @@ def test_examples_are_first_ten(spark):
     d = par.replay(df, par.rank_in_call("r", "RoomService"), offline, "row_id")
     ex = par.examples(d, "row_id").toPandas()
     assert len(ex) == 10 and (ex["batch_size"] == 1).all() and ex["pos"].is_monotonic_increasing
+
+
+def test_values_of_any_type_are_compared(spark):
+    from foldwise.operators.parity import compare
+    inf = float("inf")
+    for kind, rows, want in (("double", [(1, 1.0, 1.0 + 1e-12), (2, inf, inf), (3, inf, -inf), (4, None, float("nan")), (5, 1.0, None), (6, inf, 1.0)], [1, 1, 0, 1, 0, 0]),
+                             ("string", [(1, "a", "a"), (2, "a", "b"), (3, None, None), (4, None, "a")], [1, 0, 1, 0]), ("boolean", [(1, True, True), (2, True, False)], [1, 0])):
+        df = spark.createDataFrame(rows, f"row_id long, offline {kind}, value {kind}")
+        got = compare(df.select("row_id", "offline"), df.select("row_id", "value"), "row_id").orderBy("row_id").collect()
+        assert [int(r["matched"]) for r in got] == want

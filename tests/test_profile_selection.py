@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwise.operators import profile as pf
+from foldwise.functions.scalar import missing_category
 from foldwise.operators.selection import forward_search, redundancy_clusters, redundancy_survivors, selection_round
 
 
@@ -100,17 +101,33 @@ def test_run_selection_keeps_baseline_over_redundant_candidate(spark):
     assert none["final_selected"] == ["base1"] and none["rejected"] == ["cand_new"] and none["auc_trace"] == []
 
 
-def test_correlation_gramian_equals_pairs(spark):
+def test_correlation_skips_missing_values_pair_by_pair(spark):
     rng = np.random.default_rng(18)
-    X = rng.normal(size=(300, 5))
+    X = rng.normal(size=(300, 5)) * [1, 1e6, 1e-6, 1, 1] + [0, 1e9, 0, 5, 0]
     X[:, 3] = X[:, 0] * 2 + 0.1 * X[:, 3]
-    df = spark.createDataFrame([tuple(float(v) for v in r) + (1.0,) for r in X], "a double, b double, c double, d double, e double, k double")
-    cols = ["a", "b", "c", "d", "e", "k"]
-    p = {(r["a"], r["b"]): r["corr"] for r in pf.correlation_pairs(df, cols, method="pairs").collect()}
-    g = {(r["a"], r["b"]): r["corr"] for r in pf.correlation_pairs(df, cols, method="gramian").collect()}
-    assert p.keys() == g.keys()
-    for key in p:
-        if p[key] is None:
-            assert g[key] is None  # the constant column
-        else:
-            assert g[key] == pytest.approx(p[key], abs=1e-9)
+    X[rng.random(X.shape) < 0.2] = np.nan
+    cols = ["a", "b", "c", "d", "e", "k", "m"]
+    frame = pd.DataFrame(X, columns=cols[:5]).assign(k=1.0, m=np.nan)
+    rows = [tuple(None if i % 2 and np.isnan(v) else float(v) for v in r) for i, r in enumerate(frame.to_numpy())]  # nulls and NaN
+    got = {(r["a"], r["b"]): r["corr"] for r in pf.correlation_pairs(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)), cols).collect()}
+    want = frame.corr()
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            if "k" in (a, b) or "m" in (a, b):
+                assert got.get((a, b)) is None
+            else:
+                assert got[a, b] == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_correlation_of_many_columns(spark):
+    n = 400
+    df = spark.range(200).select(*[F.when(F.rand(i) > 0.1, F.rand(1000 + i)).alias(f"c{i}") for i in range(n)])
+    assert pf.correlation_pairs(df, df.columns).count() == n * (n - 1) // 2
+
+
+def test_nan_is_missing_everywhere(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,)], "x double")
+    r = pf.profile_distinct(df, ["x"]).first()
+    assert (r["n_unique"], pf.profile_missing(df, ["x"]).first()["n_missing"]) == (2, 2)
+    got = [r["v"] for r in df.select(missing_category("x", df).alias("v")).collect()]
+    assert got == ["1.0", "2.0", "__missing__", "__missing__"]

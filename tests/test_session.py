@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from foldwise.session import broadcast_if_small, cluster_conf, materialize, ship_package
+from foldwise.session import cluster_conf, materialize, ship_package
 
 
 def test_cluster_conf_sizes_partitions():
@@ -13,13 +13,6 @@ def test_cluster_conf_sizes_partitions():
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
 
 
-def test_broadcast_if_small(spark):
-    small = spark.range(10)
-    big = spark.range(100)
-    assert "broadcast" in broadcast_if_small(small, 50)._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in broadcast_if_small(big, 50)._jdf.queryExecution().analyzed().toString().lower()
-
-
 def test_materialize_reads_back_parquet(spark):
     df = spark.range(100).withColumn("x", F.col("id") * 2)
     m = materialize(df, "t")
@@ -28,6 +21,12 @@ def test_materialize_reads_back_parquet(spark):
     assert "FileScan parquet" in plan and "ReadSchema: struct<x:bigint>" in plan
 
 
-def test_ship_package_is_a_no_op_locally(spark):
+def test_ship_package_once(spark):
     ship_package(spark)
-    assert spark.sparkContext.master.startswith("local")
+    ship_package(spark)
+
+    def where(batches):
+        import foldwise.session as m
+        for b in batches:
+            yield b.assign(f=m.__name__)
+    assert spark.range(3).mapInPandas(where, "id long, f string").where("f = 'foldwise.session'").count() == 3

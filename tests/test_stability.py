@@ -107,3 +107,43 @@ def test_decile_monotonic_and_target_rate(spark):
     assert overall.count() == 10
     assert st.is_non_decreasing(overall, "decile").first()["is_monotonic"] in (True, False)
     assert rates.where(F.col("bucket") == "window_1").count() == 10
+
+
+def test_nan_is_left_out_of_bins_and_shares(spark):
+    rows = [(i, float(i % 7), i < 50) for i in range(100)]
+    holes = rows + [(1000 + i, float("nan") if i % 2 else None, i < 10) for i in range(30)]
+    with_holes, without = (spark.createDataFrame(r, "row_id long, x double, ref boolean") for r in (holes, rows))
+    a, b = (st.psi_numeric(d, "x", "row_id", F.col("ref"), ~F.col("ref")).first()["psi"] for d in (with_holes, without))
+    assert a == pytest.approx(b, abs=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "boolean"])
+def test_csi_by_type_and_of_an_empty_column(spark, kind):
+    empty = spark.createDataFrame([(1, None, True), (2, None, False)], f"row_id long, x {kind}, ref boolean")
+    r = st.csi(empty, "x", "row_id", F.col("ref"), ~F.col("ref")).first()
+    assert (r["csi"], r["flag"]) == (0.0, "stable")
+    full = spark.range(200).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").cast(kind).alias("x"), (F.col("id") < 100).alias("ref"))
+    r = st.csi(full, "x", "row_id", F.col("ref"), ~F.col("ref")).first()
+    assert r["csi"] == pytest.approx(0.0, abs=1e-9) and r["flag"] == "stable"
+
+
+def test_no_value_has_no_class(spark):
+    assert spark.range(1).select(classify_psi(F.lit(None).cast("double")).alias("c")).first()["c"] is None
+
+
+def test_bootstrap_of_categories_and_many_iterations(spark):
+    df = spark.range(4000).select(F.col("id").alias("row_id"), F.concat(F.lit("c"), F.col("id") % 3).alias("cat"))
+    got = st.bootstrap_stability(df, "cat", "row_id", iterations=130).collect()
+    assert len(got) == 130 and all(0 <= r["value"] < 0.02 for r in got) and len({r["value"] for r in got}) > 100
+
+
+def test_windows_of_categories_equal_the_full_grid(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(w), None if c == 9 else f"c{c}") for w, c in zip(rng.integers(0, 4, 600), rng.integers(0, 10, 600))] + [(2, "late"), (0, "early")]
+    got = {r["win"]: r["value"] for r in st.temporal_oot_categorical(spark.createDataFrame(rows, "win int, cat string"), "cat", "win").collect()}
+    p = pd.crosstab([r[1] for r in rows if r[1]], [r[0] for r in rows if r[1]])
+    share = np.maximum(p / p.sum(), 1e-4)
+    for w in (1, 2, 3):
+        seen = (p[0] > 0) | (p[w] > 0)
+        want = ((share[w] - share[0]) * np.log(share[w] / share[0]))[seen].sum()
+        assert got[w] == pytest.approx(want, abs=1e-9)
