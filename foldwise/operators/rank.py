@@ -4,31 +4,33 @@ A window without ``partitionBy`` moves every row into one task, so the library n
 uses one on row data. Instead:
 
 * ``dist_rank`` cuts the order key into buckets that are a pure function of the row
-  (approximate quantiles of the leading column; a hot leading value is cut again on the
-  unique tie-breaker, so even a value held by a third of the rows is split), numbers
-  rows with a window partitioned by bucket, and adds bucket offsets from a tiny count
-  table (at most groups x buckets rows, broadcast).
+  (approximate quantiles of the leading column; a value held by so many rows that it fills several
+  buckets is cut into as many pieces on the tie-breaker), numbers rows with a window partitioned by
+  bucket, and adds bucket offsets from a count table of at most 2 x buckets rows a group. The offsets
+  are summed in two levels, and the planner chooses how they meet the rows.
 * ``prefix_sums`` runs over histograms (one row per distinct key, so no hot key can
   exist): approximate quantile boundaries split the key range into buckets, a window
-  partitioned by bucket sums locally and a tiny bucket-total table supplies offsets.
-* ``exact_quantiles`` picks the ranked rows at the interpolation positions.
+  partitioned by bucket sums locally and the table of bucket totals supplies offsets.
+* ``exact_quantiles`` finds the buckets that hold the wanted positions from the count table and ranks
+  the rows of those alone.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foldwise.session import shuffle_partitions
+from foldwise.session import materialize, shuffle_partitions
 
-
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
+BLOCK = 1024  # buckets summed in one task of the first level
 
 
 def _as_double(df: DataFrame, c: str) -> Column:
@@ -40,75 +42,98 @@ def _as_double(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
-SMALL_BOUNDS = 64
+def is_ordinal(df: DataFrame, c: str) -> bool:
+    """Whether the values of a column can be placed on a line by ``_as_double``."""
+    return isinstance(df.schema[c].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
 def _accuracy(n_buckets: int) -> int:
     """percentile_approx accuracy for bucket bounds: buckets only need to be roughly
-    balanced, so the sketch size is capped."""
+    balanced, so the sketch size is capped (no row is dropped by it)."""
     return int(max(10_000, min(10 * n_buckets, 1_000_000)))
 
 
 def bucketize(df: DataFrame, x: Column, bounds: Sequence[float], out_col: str) -> DataFrame:
-    """Adds ``out_col``: a bucket index that increases with ``x`` and is equal for equal
-    values (nulls get ``len(bounds) + 1``). Few bounds: a literal-array count (stays in
-    codegen); many bounds: ``Bucketizer``'s binary search, O(log B) per row and no
-    B-element literal in the plan."""
+    """Adds ``out_col``: the number of ``bounds`` below ``x`` (nulls and NaN get ``len(bounds) + 1``), by
+    binary search: a value equal to a bound stays the top of the lower bucket."""
     bounds = sorted(set(float(b) for b in bounds))
-    if len(bounds) <= SMALL_BOUNDS:
-        arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-        b = F.when(x.isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(arr, lambda e: e < x)))
-        return df.withColumn(out_col, b.cast("int"))
-    import numpy as np
-    from pyspark.ml.feature import Bucketizer
-    tmp = f"_bx_{out_col}"
-    # Bucketizer is left-closed; splitting at the next double above each bound makes its
-    # index = count(bounds < x), the same as the small path (a value equal to a bound
-    # stays the top of the lower bucket, which the hot-value ordering relies on)
-    up = [float(np.nextafter(b, np.inf)) for b in bounds]
-    bz = Bucketizer(splits=[float("-inf"), *up, float("inf")], inputCol=tmp, outputCol=f"{tmp}_o",
-                    handleInvalid="keep")
-    out = bz.transform(df.withColumn(tmp, F.coalesce(x, F.lit(float("nan")))))
-    # NaN/null -> the extra bucket len(bounds) + 1 (same as the small path)
-    fixed = F.when(x.isNull(), F.lit(len(bounds) + 1)).otherwise(F.col(f"{tmp}_o").cast("int"))
-    return out.withColumn(out_col, fixed.cast("int")).drop(tmp, f"{tmp}_o")
+    if not bounds:
+        return df.withColumn(out_col, F.when(x.isNull(), 1).otherwise(0).cast("int"))
+    tmp, found = f"_bx_{out_col}", f"_bo_{out_col}"
+    splits = [float("-inf"), *[float(np.nextafter(b, np.inf)) for b in bounds], float("inf")]
+    search = Bucketizer(splits=splits, inputCol=tmp, outputCol=found, handleInvalid="keep")
+    out = search.transform(df.withColumn(tmp, F.coalesce(x, F.lit(float("nan")))))
+    return out.withColumn(out_col, F.col(found).cast("int")).drop(tmp, found)
+
+
+def tie_number(df: DataFrame, tie: str) -> Column:
+    """What a hot value is cut on: the tie-breaker itself, or a hash of it where it is no number or time
+    (ties are then ordered by that hash, see ``order_by``)."""
+    return _as_double(df, tie) if is_ordinal(df, tie) else F.xxhash64(tie).cast("double")
+
+
+def order_by(df: DataFrame, order_cols: Sequence[str]) -> list[Column]:
+    lead, tie = list(order_cols[:-1]), order_cols[-1]
+    hashed = [] if is_ordinal(df, tie) or not lead else [tie_number(df, tie).asc_nulls_last()]
+    return [*[F.col(c).asc_nulls_last() for c in lead], *hashed, F.col(tie).asc_nulls_last()]
 
 
 def rank_buckets(df: DataFrame, order_cols: Sequence[str], n_buckets: int,
                  uniform_max: float | None = None) -> DataFrame:
     """Adds ``_b1``, ``_b2``: a bucket key that is a pure function of the row's values and
     increases with the (order_cols) order. ``_b1`` cuts the leading column at approximate
-    quantiles (or directly, when it is a uniform hash in [0, uniform_max)). A leading
-    value that fills a whole bucket (a hot value) and the null group are cut again on the
-    last (tie-breaking) column into ``_b2``, so no bucket holds a hot group whole."""
+    quantiles (or directly, when it is a uniform hash in [0, uniform_max)). A value that is the bound of
+    c > 1 buckets, and the null group if it would fill as many, is cut into c pieces ``_b2`` on the last
+    (tie-breaking) column. The c of all values add up to the buckets, so there are at most
+    2 * n_buckets keys, and no bucket holds a hot group whole."""
     lead, tie = order_cols[0], order_cols[-1]
     x = _as_double(df, lead)
     if uniform_max is not None:
         out = df.withColumn("_b1", F.floor(x * F.lit(n_buckets / uniform_max)).cast("int"))
         return out.withColumn("_b2", F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
+    probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
     row = df.agg(F.percentile_approx(x, probs, _accuracy(n_buckets)).alias("b"),
                  F.count_if(x.isNull()).alias("nulls"), F.count(F.lit(1)).alias("n")).first()
-    raw = [float(b) for b in (row["b"] or [])]
-    counts: dict[float, int] = {}
-    for b in raw:
-        counts[b] = counts.get(b, 0) + 1
-    bounds = sorted(counts)
-    hot = sorted(b for b, c in counts.items() if c >= 2)
+    times = Counter(float(b) for b in (row["b"] or []))
+    bounds = sorted(times)
+    pieces = [(i, b, times[b]) for i, b in enumerate(bounds) if times[b] > 1]
+    null_pieces = row["nulls"] * n_buckets // row["n"] if row["n"] else 0
+    if null_pieces > 1:
+        pieces.append((len(bounds) + 1, None, null_pieces))
     out = bucketize(df, x, bounds, "_b1")
-    heavy_nulls = row["n"] and row["nulls"] * n_buckets >= row["n"]
-    if (hot or heavy_nulls) and len(order_cols) > 1:
-        is_hot = x.isin(*hot) if hot else F.lit(False)
-        if heavy_nulls:
-            is_hot = is_hot | x.isNull()
-        tx = _as_double(df, tie)
-        sub = (df.where(is_hot)
-               .agg(F.percentile_approx(tx, probs, _accuracy(n_buckets)).alias("b")).first()["b"]) or []
-        out = bucketize(out, tx, sub, "_b2_raw")
-        out = out.withColumn("_b2", F.when(is_hot, F.col("_b2_raw")).otherwise(F.lit(0)).cast("int")).drop("_b2_raw")
-    else:
-        out = out.withColumn("_b2", F.lit(0))
-    return out
+    if not pieces or len(order_cols) < 2:
+        return out.withColumn("_b2", F.lit(0))
+    hot = df.sparkSession.createDataFrame(pieces, "_h1 int, _hv double, _hc int")  # at most n_buckets / 2 rows
+    out = out.join(hot, (F.col("_b1") == F.col("_h1")) & x.eqNullSafe(F.col("_hv")), "left")
+    t = tie_number(df, tie)
+    cuts = out.where(F.col("_hc").isNotNull()).agg(F.percentile_approx(t, probs, _accuracy(n_buckets)).alias("b")).first()["b"] or []
+    cuts = sorted(set(cuts))
+    out = bucketize(out, t, cuts, "_bt")
+    place = F.least(F.floor(F.col("_bt") * F.col("_hc") / F.lit(len(cuts) + 1)), F.col("_hc") - 1)
+    return out.withColumn("_b2", F.when(F.col("_hc").isNotNull(), 1 + place).otherwise(0).cast("int")).drop("_h1", "_hv", "_hc", "_bt")
+
+
+def bucket_offsets(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``counts`` (by, _b1, _b2, _cnt) with ``_off``, the rows of the group in earlier buckets, and
+    ``_all``, the rows of the group. Blocks of buckets are summed by themselves and then offset by the
+    totals of earlier blocks (buckets / BLOCK rows a group)."""
+    by = list(by)
+    blocks = counts.withColumn("_blk", F.floor(F.col("_b1") / BLOCK))
+    inside = Window.partitionBy(*by, "_blk").orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocks.groupBy(*by, "_blk").agg(F.sum("_cnt").alias("_t"))
+    before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_blk"]], F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"),
+                           F.sum("_t").over(Window.partitionBy(*by)).alias("_all"))
+    blocks = blocks.withColumn("_in", F.coalesce(F.sum("_cnt").over(inside), F.lit(0)))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by], F.col("_blk") == F.col("_k__blk"))
+    return blocks.join(totals, same).select(*by, "_b1", "_b2", "_cnt", (F.col("_in") + F.col("_o")).alias("_off"), "_all")
+
+
+def _with_offsets(rows: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    keys = [*by, "_b1", "_b2"]
+    o = offsets.withColumnsRenamed({c: f"_o_{c}" for c in keys})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in by], (F.col("_b1") == F.col("_o__b1")) & (F.col("_b2") == F.col("_o__b2")))
+    return rows.join(o, same).drop(*[f"_o_{c}" for c in keys])
 
 
 def dist_rank(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = (),
@@ -116,35 +141,20 @@ def dist_rank(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = (),
               n_parts: int | None = None, uniform_max: float | None = None) -> DataFrame:
     """1-based ``row_number() over (partition by by order by order_cols)`` without a
     global window. ``order_cols`` must be unique within each ``by`` group (end with a row
-    id); the leading column is numeric or a timestamp; nulls sort last.
+    id of any type; ties are ordered by a hash of ids that are no numbers); the leading column is
+    numeric or a time; nulls sort last.
 
     Buckets are deterministic in the row values (see ``rank_buckets``), so a recomputed
     branch after executor loss, or a second branch of the same plan, sees the same
-    buckets. Each bucket is numbered with a window partitioned by bucket; the offsets
-    come from a count table of at most groups x buckets rows, which is broadcast.
-    Optionally adds ``total_col`` = rows in the row's group."""
-    by = list(by)
-    order_cols = list(order_cols)
-    n_parts = n_parts or shuffle_partitions(df.sparkSession)
-    b = rank_buckets(df, order_cols, n_parts, uniform_max)
-    order_exprs = [F.col(c).asc_nulls_last() for c in order_cols]
-    w = Window.partitionBy(*by, "_b1", "_b2").orderBy(*order_exprs)
-    local = b.withColumn("_lr", F.row_number().over(w))
-    counts = b.groupBy(*by, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_cnt"))
-    w_before = (Window.partitionBy(*by).orderBy("_b1", "_b2")
-                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_before), F.lit(0)))
+    buckets. Optionally adds ``total_col`` = rows in the row's group."""
+    by, order_cols = list(by), list(order_cols)
+    b = rank_buckets(df, order_cols, n_parts or shuffle_partitions(df.sparkSession), uniform_max)
+    local = b.withColumn("_lr", F.row_number().over(Window.partitionBy(*by, "_b1", "_b2").orderBy(*order_by(df, order_cols))))
+    offsets = bucket_offsets(b.groupBy(*by, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_cnt")), by)
+    out = _with_offsets(local, offsets, by).withColumn(rank_col, (F.col("_lr") + F.col("_off")).cast("bigint"))
     if total_col:
-        offsets = offsets.withColumn(total_col, F.sum("_cnt").over(Window.partitionBy(*by)))
-    offsets = offsets.drop("_cnt")
-    keys = [*by, "_b1", "_b2"]
-    o = F.broadcast(offsets.withColumnsRenamed({c: f"_o_{c}" for c in keys}))
-    cond = F.lit(True)
-    for c in keys:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    out = local.join(o, cond, "inner")
-    out = out.withColumn(rank_col, (F.col("_lr") + F.col("_off")).cast("bigint"))
-    return out.drop("_b1", "_b2", "_lr", "_off", *[f"_o_{c}" for c in keys])
+        out = out.withColumn(total_col, F.col("_all"))
+    return out.drop("_b1", "_b2", "_lr", "_off", "_cnt", *([] if total_col == "_all" else ["_all"]))
 
 
 def range_bounds(df: DataFrame, col: str, n_buckets: int) -> list[float]:
@@ -180,9 +190,8 @@ def prefix_sums(hist: DataFrame, order_col: str, sum_cols: Sequence[str], by: Se
         tot = (tot.withColumn(f"_bo_{c}", F.coalesce(F.sum(f"_bt_{c}").over(w_b), F.lit(0)))
                .withColumn(f"{c}{total_suffix}", F.sum(f"_bt_{c}").over(w_all)))
     tot = tot.drop(*[f"_bt_{c}" for c in sum_cols])
-    # Size bound: groups x n_buckets rows.
     ren = {c: f"_t_{c}" for c in [*by, "_bkt"]}
-    t = F.broadcast(tot.withColumnsRenamed(ren))
+    t = tot.withColumnsRenamed(ren)  # at most groups x n_buckets rows; the planner chooses the join
     cond = F.col("_bkt") == F.col("_t__bkt")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
@@ -197,32 +206,28 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], id_co
                     by: Sequence[str] = (), prob_col: str = "prob",
                     out_col: str = "q") -> DataFrame:
     """Exact linear-interpolation quantiles ((n-1)*p positions, pandas / ``quantile_cont``)
-    of ``value_col`` per ``by`` group, computed from a distributed rank rather than a
-    per-group value map. Nulls are skipped. One row per (by, prob)."""
+    of ``value_col`` per ``by`` group. The count table of the buckets says which of them hold the wanted
+    positions; only their rows are sorted and numbered. Nulls and NaN are skipped. One row per (by, prob)."""
     by = list(by)
-    clean = df.select(*by, value_col, id_col).where(F.col(value_col).isNotNull())
-    ranked = dist_rank(clean, [value_col, id_col], by=by, rank_col="_r", total_col="_n")
-    groups = ranked.select(*by, "_n").distinct()
-    p = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("p"))
-                            for i, q in enumerate(probs)]))
-    need = (groups.select(*by, "_n", p.alias("_q"))
-            .select(*by, F.col("_q.i").alias("_qi"), F.col("_q.p").alias(prob_col),
-                    ((F.col("_n") - 1) * F.col("_q.p")).alias("_pos")))
-    need = need.select(*by, "_qi", prob_col, "_pos",
-                       F.floor("_pos").cast("bigint").alias("_lo"),
-                       F.ceil("_pos").cast("bigint").alias("_hi"))
-    need = need.withColumn("_frac", F.col("_pos") - F.col("_lo"))
-    # the tiny `need` table (groups x probs) is broadcast against the ranked rows
-    n_lo = need.select(*by, "_qi", F.col("_lo").alias("_k")).withColumn("_side", F.lit("lo"))
-    n_hi = need.select(*by, "_qi", F.col("_hi").alias("_k")).withColumn("_side", F.lit("hi"))
-    picks = F.broadcast(n_lo.unionByName(n_hi).withColumnsRenamed({c: f"_n_{c}" for c in by}))
-    cond = (F.col("_r") - 1) == F.col("_k")
-    for c in by:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_n_{c}"))
-    hit = ranked.join(picks, cond, "inner").select(*by, "_qi", "_side", F.col(value_col).alias("_v"))
-    vals = hit.groupBy(*by, "_qi").agg(
-        F.max(F.when(F.col("_side") == "lo", F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_side") == "hi", F.col("_v"))).alias("_vhi"))
-    out = need.join(vals, [*by, "_qi"], "inner")
-    out = out.withColumn(out_col, F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
-    return out.select(*by, "_qi", prob_col, out_col).withColumnRenamed("_qi", "q_index")
+    x = F.col(value_col)
+    there = x.isNotNull() & ~F.isnan(x) if isinstance(df.schema[value_col].dataType, (T.DoubleType, T.FloatType)) else x.isNotNull()
+    clean = df.select(*by, value_col, id_col).where(there)
+    cut = rank_buckets(clean, [value_col, id_col], shuffle_partitions(df.sparkSession))
+    offsets = materialize(bucket_offsets(cut.groupBy(*by, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_cnt")), by), "offsets")
+    levels = F.inline(F.array(*[F.struct(F.lit(i).alias("_qi"), F.lit(float(q)).alias(prob_col)) for i, q in enumerate(probs)]))
+    need = offsets.select(*by, "_all").distinct().select(*by, "_all", levels).withColumn("_pos", (F.col("_all") - 1) * F.col(prob_col))
+    need = need.withColumns({"_lo": F.floor("_pos").cast("bigint"), "_hi": F.ceil("_pos").cast("bigint")})  # groups x probs rows
+    ends = need.select(*[F.col(c).alias(f"_n_{c}") for c in by], "_qi", F.inline(F.array(
+        F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_k")), F.struct(F.lit(1).alias("_side"), F.col("_hi").alias("_k")))))
+    groups = [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in by]
+    inside = (F.col("_k") >= F.col("_off")) & (F.col("_k") < F.col("_off") + F.col("_cnt"))
+    wanted = materialize(offsets.join(F.broadcast(ends), reduce(and_, groups, inside)).select(*by, "_b1", "_b2", "_off", "_qi", "_side", "_k"), "wanted")
+    some = _with_offsets(cut, wanted.select(*by, "_b1", "_b2", "_off").distinct(), by)
+    ranked = some.withColumn("_r", F.col("_off") + F.row_number().over(Window.partitionBy(*by, "_b1", "_b2").orderBy(*order_by(clean, [value_col, id_col]))) - 1)
+    picks = wanted.select(*[F.col(c).alias(f"_n_{c}") for c in by], "_qi", "_side", F.col("_k").alias("_r2"))
+    hit = ranked.join(F.broadcast(picks), reduce(and_, groups, F.col("_r") == F.col("_r2")))  # groups x probs x 2 rows
+    vals = hit.groupBy(*by, "_qi").agg(F.max(F.when(F.col("_side") == 0, x)).alias("_vlo"), F.max(F.when(F.col("_side") == 1, x)).alias("_vhi"))
+    v = vals.withColumnsRenamed({c: f"_v_{c}" for c in [*by, "_qi"]})
+    out = need.join(v, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_v_{c}")) for c in by], F.col("_qi") == F.col("_v__qi")))
+    q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_pos") - F.col("_lo"))
+    return out.select(*by, F.col("_qi").alias("q_index"), prob_col, q.alias(out_col))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import h_duckdb
+from foldwise.functions.scalar import isclose
 from foldwise.operators import features as fx
 from foldwise.operators import parity as par
 from foldwise.operators.splits import sample_positions
@@ -166,7 +167,7 @@ def q_parity_truncated(spark, sf):
     offline = e.agg(F.avg("x").alias("off"))
     j = online.crossJoin(offline)  # one row
     return j.agg(F.count(F.lit(1)).alias("n_positions"),
-                 F.count_if(~par.isclose(F.col("off"), F.col("online"))).alias("n_mismatch"))
+                 F.count_if(~isclose(F.col("off"), F.col("online"))).alias("n_mismatch"))
 
 
 @register("sample_positions", with_ev(*TRUNC_CTES) + """

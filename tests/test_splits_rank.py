@@ -90,3 +90,33 @@ def test_dist_rank_with_many_buckets_uses_binary_search(spark):
     assert got.join(exp, "id").where(F.col("r") != F.col("r2")).count() == 0
     ps = prefix_sums(df.select(F.col("id").cast("double").alias("k"), F.lit(1).alias("v")), "k", ["v"], n_buckets=200)
     assert ps.where(F.col("cum_v") != F.col("k") + 1).count() == 0
+
+
+@pytest.mark.parametrize("n_parts", [1, 7, 4000])
+def test_keys_stay_within_twice_the_buckets(spark, n_parts):
+    """2,000 distinct values, each of 20 rows, and text ids."""
+    from foldwise.operators.rank import rank_buckets
+    df = spark.range(40_000).select(F.format_string("id-%s", F.md5(F.col("id").cast("string"))).alias("id"), (F.col("id") % 2000).alias("t"))
+    keys = rank_buckets(df, ["t", "id"], n_parts).groupBy("_b1", "_b2").count()
+    assert keys.count() <= 2 * n_parts
+    got = dist_rank(df, ["t", "id"], rank_col="r", total_col="n", n_parts=n_parts)
+    s = got.agg(F.min("r").alias("a"), F.max("r").alias("b"), F.countDistinct("r").alias("c"), F.max("n").alias("n")).first()
+    assert tuple(s) == (1, 40_000, 40_000, 40_000)
+    assert got.where(F.floor((F.col("r") - 1) / 20) != F.col("t")).count() == 0  # in the order of t
+
+
+def test_rank_plan_forces_no_broadcast(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 10).alias("t"))
+    plan = dist_rank(df, ["t", "id"], rank_col="r")._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in plan and "UnresolvedHint" not in plan
+
+
+def test_exact_quantiles_by_group_with_missing_values(spark):
+    rows = [(i, i % 3, [None, float("nan"), float(i * 7919 % 1000), float(i % 5)][i % 4]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, g int, x double")
+    probs = [0.0, 0.1, 0.5, 0.99, 1.0]
+    got = exact_quantiles(df, "x", probs, "id", by=["g"]).toPandas()
+    want = pd.DataFrame(rows, columns=["id", "g", "x"]).groupby("g")["x"].quantile(probs)
+    for r in got.itertuples():
+        assert r.q == pytest.approx(want.loc[r.g, probs[r.q_index]], rel=1e-12)
+    assert len(got) == 15
