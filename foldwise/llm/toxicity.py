@@ -43,7 +43,10 @@ WORD = re.compile(r"\w+")
 _SET = re.escape("".join(c for c in SIGNS if not c.isdigit()))
 #: A word with a sign or digit among letters or a run of three; or at least four single letters set apart alike.
 HIDDEN = re.compile(rf"(?<![\w{_SET}])[\w{_SET}](?:([ .\-_*])[\w{_SET}])(?:\1[\w{_SET}]){{2,}}(?![\w{_SET}])"
-                    rf"|\w*(?:[^\W\d_][{_SET}0-9]+[^\W\d_]|(?<!\w)[@$0-9][^\W\d_]{{2}}|([^\W\d_])\2\2)[\w{_SET}]*")
+                    rf"|\w*(?:[^\W\d_][{_SET}0-9]+[^\W\d_]|(?<!\w)[@$0-9][^\W\d_]{{2}}|([^\W\d_])\2\2)(?:[{_SET}]*\w)*")
+#: Where a text may hold such parts beside its words: a sign between letters, or single letters set apart.
+SIGNED = re.compile(rf"[{_SET}](?<=[^\W_][{_SET}])[{_SET}0-9]*(?=[^\W\d_])|[@$](?=[^\W\d_]{{2}})")
+APART = re.compile(rf"(?<![\w{_SET}])[\w{_SET}]([ .\-*])[\w{_SET}]\1[\w{_SET}]\1[\w{_SET}](?![\w{_SET}])")
 
 
 def alphabet() -> np.ndarray:
@@ -92,6 +95,7 @@ class Restorer:
         three = (trigrams + 20 * two[None]) / (trigrams.sum(2, keepdims=True) + 20)
         self.cost = -np.log(three).astype(np.float32)
         self.seen: dict[str, str] = {}
+        self.plain: dict[str, tuple[str, ...]] = {}
 
     def lattice(self, text: str) -> list[list[tuple[str, float]]]:
         """(output, cost) arcs of each run of like characters."""
@@ -149,6 +153,22 @@ class Restorer:
         """The lower-cased text with its hidden words in plain letters."""
         return HIDDEN.sub(lambda m: self.decode(m[0]), text.lower())
 
+    def words(self, text: str) -> set[str]:
+        """The distinct words of the restored text. Only texts with signs or letters set apart are restored
+        as a whole; else what is hidden is inside single words, each of which is looked at once."""
+        low = text.lower()
+        if SIGNED.search(low) or APART.search(low):
+            return set(WORD.findall(self.restore(low)))
+        out: set[str] = set()
+        for w in set(WORD.findall(low)):
+            plain = self.plain.get(w)
+            if plain is None:
+                if len(self.plain) >= 2 * CACHED:
+                    self.plain.clear()
+                plain = self.plain[w] = (w,) if not HIDDEN.search(w) else tuple(WORD.findall(self.restore(w)))
+            out.update(plain)
+        return out
+
 
 def features(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in (4, 5, 6) if len(word) > n)]
@@ -165,15 +185,17 @@ class Classifier:
     def __init__(self, bias: float, weights: dict[str, float]):
         self.bias, self.weights, self.of = bias, weights, {}
 
-    def score(self, restored: str) -> float:
+    def score(self, words: set[str]) -> float:
+        """``words``: those of the restored text."""
         hit: set[str] = set()
-        for w in set(WORD.findall(restored)):
+        for w in words:
             own = self.of.get(w)
             if own is None:
                 if len(self.of) >= 2 * CACHED:
                     self.of.clear()
                 own = self.of[w] = tuple(f for f in features(w) if f in self.weights)
-            hit.update(own)
+            if own:
+                hit.update(own)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(self.weights[f] for f in sorted(hit))))))
 
 
@@ -193,8 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, restorer: Restorer, id_col: str, tex
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words = [WORD.findall(shared.value.restore(t)) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "key": [similar_key(w) for w in words], "words": [sorted(set(w)) for w in words]})
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "key": [similar_key(WORD.findall(t.lower())) for t in b["text"]],
+                                "words": [sorted(shared.value.words(t)) for t in b["text"]]})
 
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(write_shared(ids, "ids")), id_col).select(F.col(id_col).alias("id"), "y", "text").mapInPandas(read, "id long, y int, key long, words array<string>")  # at most 2 * SAMPLE ids
@@ -260,7 +282,7 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, train: Column | None = N
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         restorer, model = shared.value
-        return pd.Series([model.score(restorer.restore(t)) for t in texts], dtype=float)
+        return pd.Series([model.score(restorer.words(t)) for t in texts], dtype=float)
 
     return lambda text: score(F.coalesce(text, F.lit("")))
 

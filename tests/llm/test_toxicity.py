@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwise.llm.common import id_remainder
-from foldwise.llm.toxicity import Restorer, count_trigrams, logistic, toxicity_scores
+from foldwise.llm.toxicity import WORD, Restorer, count_trigrams, logistic, toxicity_scores
 
 from .cases import documents, no_documents
 
@@ -29,6 +29,13 @@ def test_plain_text_stays(restorer):
         assert restorer.restore(text) == text
 
 
+def test_words_are_those_of_the_restored_text(spark, restorer):
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(1500).collect()]
+    texts += ["a l_o_s_e_r", "m0$t id10t", "$tupid 1diot", "so i d ! o t", "mail me@x.org (now) a|b 5x", "aaargh 3rd x2y2z", "a.b.c.d"]
+    for t in texts:
+        assert restorer.words(t) == set(WORD.findall(restorer.restore(t))), t
+
+
 def test_viterbi_finds_the_cheapest_path(restorer):
     import itertools
 
