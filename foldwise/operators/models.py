@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, OneHotEncoderModel, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from foldwise.functions.hashing import TWO_POW_32, h
 from foldwise.functions.scalar import known, missing_category
 from foldwise.operators.rank import dist_rank
 from foldwise.operators.scoring import binary_metrics
+from foldwise.session import materialize
 
 METRICS = ["auc", "logloss", "pr_auc", "ks", "brier"]
 
@@ -40,6 +42,7 @@ class ModelSpec:
     depth: int = 4
     step: float = 0.1
     seed: int = 42
+    buckets: int = 1024  # hashed slots of each categorical column
 
 
 def prepare(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
@@ -48,28 +51,26 @@ def prepare(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
 
 
 def pipeline(numeric: Sequence[str], categorical: Sequence[str], label: str, spec: ModelSpec) -> Pipeline:
-    """StringIndexer (unseen -> extra index), mean imputation plus a missing flag per
-    numeric column, one-hot for the linear model, vector assembly, classifier."""
+    """Mean imputation plus a missing flag per numeric column, one-hot of the hashed categories
+    (``spec.buckets`` slots a column, sparse), vector assembly, classifier. No step collects the values of
+    a column, so the number of categories doesn't matter to the driver, and trees split on 0/1 slots."""
     stages, inputs = [], []
     num = list(numeric)
     if num:
         imputed = [f"_imp_{c}" for c in num]
         stages.append(Imputer(inputCols=num, outputCols=imputed, strategy="mean"))
         inputs += imputed + [f"_miss_{c}" for c in num]
-    for c in categorical:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"_idx_{c}", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
     if categorical:
-        if spec.kind == "logistic":
-            stages.append(OneHotEncoder(inputCols=[f"_idx_{c}" for c in categorical],
-                                        outputCols=[f"_oh_{c}" for c in categorical], handleInvalid="keep"))
-            inputs += [f"_oh_{c}" for c in categorical]
-        else:
-            inputs += [f"_idx_{c}" for c in categorical]
+        slot = "CAST(pmod(xxhash64(`{c}`), {n}) AS DOUBLE) AS `_idx_{c}`"
+        parts = ", ".join(slot.format(c=c, n=spec.buckets) for c in categorical)
+        stages.append(SQLTransformer(statement=f"SELECT *, {parts} FROM __THIS__"))
+        stages.append(OneHotEncoder(inputCols=[f"_idx_{c}" for c in categorical], outputCols=[f"_oh_{c}" for c in categorical],
+                                    handleInvalid="keep"))
+        inputs += [f"_oh_{c}" for c in categorical]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep"))
     if spec.kind == "gbt":
         clf = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=spec.trees, maxDepth=spec.depth,
-                            stepSize=spec.step, seed=spec.seed, maxBins=64)
+                            stepSize=spec.step, seed=spec.seed)
     else:
         clf = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=spec.max_iter,
                                  regParam=spec.reg_param, tol=spec.tol)
@@ -201,13 +202,12 @@ def permutation_importance(cv: CVResult, df: DataFrame, id_col: str, label: str,
     """SHAP2: AUC drop when one column is shuffled among a fold's validation rows, each
     row scored by the model that did not see it. The shuffle pairs the row at rank r in
     one hash order with the row at rank r in another, inside the fold (distributed rank,
-    no driver permutation); one donor join per repeat serves every column. All
-    (column, repeat) copies are scored per fold model and all AUCs come from one grouped
-    job."""
+    no driver permutation); one donor join per repeat serves every column and is written
+    once. Scores go on as (fold, column, repeat, label, score) rows without the columns, and
+    all AUCs come from one grouped job."""
     cols = list(dict.fromkeys([*numeric, *categorical]))
-    dev = (df.where(F.col(fold_col).isNotNull()).select(id_col, label, fold_col, *cols)
-           .persist(StorageLevel.MEMORY_AND_DISK))
-    copies = []
+    dev = df.where(F.col(fold_col).isNotNull()).select(id_col, label, fold_col, *cols)
+    scored = []
     for r in range(n_repeats):
         a = dist_rank(dev.withColumn("_ha", h(id_col, f"a{seed}_{r}")), ["_ha", id_col], by=[fold_col],
                       rank_col="_ra", uniform_max=TWO_POW_32).drop("_ha")
@@ -215,38 +215,18 @@ def permutation_importance(cv: CVResult, df: DataFrame, id_col: str, label: str,
                       rank_col="_rb", uniform_max=TWO_POW_32)
         donor = b.select(F.col(fold_col).alias("_df"), F.col("_rb").alias("_dr"),
                          *[F.col(c).alias(f"_d_{c}") for c in columns])
-        paired = a.join(donor, (F.col(fold_col) == F.col("_df")) & (F.col("_ra") == F.col("_dr")))
+        # written once a repeat: every column's scores read it
+        paired = materialize(a.join(donor, (F.col(fold_col) == F.col("_df")) & (F.col("_ra") == F.col("_dr"))).drop("_df", "_dr", "_ra"), "paired")
         for c in columns:
-            copies.append(paired.select(id_col, label, fold_col,
-                                        *[F.col(f"_d_{x}").alias(x) if x == c else F.col(x) for x in cols],
-                                        F.lit(c).alias("_col"), F.lit(r).alias("_rep")))
-    allp = copies[0]
-    for p in copies[1:]:
-        allp = allp.unionByName(p)
-    # the union of copies has a large plan; writing it once to the checkpoint folder
-    # keeps the scoring plans small and survives executor loss
-    allp = allp.checkpoint(eager=True)
-    scored = [predict(m, allp.where(F.col(fold_col) == i), id_col, label, numeric, categorical,
-                      extra=[fold_col, "_col", "_rep"]) for i, m in cv.models.items()]
-    sc = scored[0]
-    for s_ in scored[1:]:
-        sc = sc.unionByName(s_)
-    sc = sc.checkpoint(eager=True)
-    perm = binary_metrics(sc, "proba", label, by=[fold_col, "_col", "_rep"]).select(fold_col, "_col", "_rep", "auc")
+            swapped = paired.select(id_col, label, fold_col, *[F.col(f"_d_{x}").alias(x) if x == c else F.col(x) for x in cols])
+            scored += [predict(m, swapped.where(F.col(fold_col) == i), id_col, label, numeric, categorical, extra=[fold_col])
+                       .select(fold_col, label, "proba", F.lit(c).alias("_col"), F.lit(r).alias("_rep")) for i, m in cv.models.items()]
+    # one narrow row per score; the metric's histogram is all that is kept of them
+    perm = binary_metrics(materialize(reduce(DataFrame.unionByName, scored), "permuted"), "proba", label, by=[fold_col, "_col", "_rep"]).select(fold_col, "_col", "_rep", "auc")
     base_auc = cv.fold_metrics.where(F.col(fold_col) >= 0).select(fold_col, F.col("auc").alias("_base"))
     drop = perm.join(base_auc, fold_col).withColumn("_drop", F.col("_base") - F.col("auc"))
     per_fold = drop.groupBy(fold_col, "_col").agg(F.avg("_drop").alias("_m"))
-    out = per_fold.groupBy(F.col("_col").alias("feature")).agg(F.avg("_m").alias("importance"))
-    return _materialize(out, [dev])
-
-
-def _materialize(out: DataFrame, release: list[DataFrame]) -> DataFrame:
-    """Write a small result through the shared checkpoint folder (cuts the lineage so
-    the persisted inputs can be released)."""
-    res = out.checkpoint(eager=True)
-    for d in release:
-        d.unpersist()
-    return res
+    return materialize(per_fold.groupBy(F.col("_col").alias("feature")).agg(F.avg("_m").alias("importance")), "importance")
 
 
 def training_record(cv: CVResult, holdout: DataFrame, n_rows: int | DataFrame, k: int, iteration: int = 0,
@@ -275,16 +255,16 @@ def tree_shap_importance(cv: CVResult, id_col: str, label: str, numeric, categor
     from pyspark.ml import PipelineModel as PM
     design = cv.design
     spark = design.sparkSession
-    trees, parts, slots = {}, [], None
+    trees, parts, slots = {}, [], {}
     for i, m in cv.models.items():
         stages = m.stages
         trees[i] = read_trees(stages[-1], spark)
         prep = PM(stages=stages[:-1])
         parts.append(prep.transform(design.where(F.col(fold_col) == i)).select(fold_col, "_features"))
-        if slots is None:
-            assembler = stages[-2]
-            slots = [c.replace("_imp_", "", 1).replace("_miss_", "", 1).replace("_idx_", "", 1).replace("_oh_", "", 1)
-                     for c in assembler.getInputCols()]
+        # a category column has as many slots as the fold's training rows filled
+        width = {c: s for enc in stages if isinstance(enc, OneHotEncoderModel) for c, s in zip(enc.getOutputCols(), enc.categorySizes)}
+        slots[i] = [c.removeprefix(p) for c in stages[-2].getInputCols() for p in ("_imp_", "_miss_", "_oh_") if c.startswith(p)
+                    for _ in range(width.get(c, 1))]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

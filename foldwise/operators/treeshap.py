@@ -3,22 +3,19 @@
 The trees of a fitted model are read from its saved Parquet ``data`` folder (one row per
 node: split feature, threshold or left categories, children, leaf value, training count),
 so only trees x nodes numbers reach the driver and are shipped to the tasks. Inside
-``mapInPandas`` the Shapley values of every row are computed exactly, vectorised over the
-rows of an Arrow batch: for a tree that splits on the feature set U, the value of a
-coalition S is the tree's path-dependent expectation (follow the row where the split
-feature is in S, otherwise average the children by training counts), and
+``mapInPandas`` the Shapley values of every row are computed exactly, vectorised over the rows of
+a block, leaf by leaf. A coalition reaches a leaf with the product, over the d features on its path, of
+z_j (the share of training rows that go the leaf's way, for features outside the coalition) or o_j (1 if
+the row itself goes that way, else 0). So feature i gets, from a leaf of value v,
 
-    phi_i = sum over S in U minus i of |S|! (|U| - |S| - 1)! / |U|! * (v(S + i) - v(S)).
+    v * (o_i - z_i) * sum over k of k! (d - 1 - k)! / d! * [t^k] prod over j <> i of (z_j + o_j t),
 
-Features a tree never splits on get 0, which is the same value the full game gives them.
-The cost is 2^|U| passes over the tree's nodes per batch, so it suits the shallow trees of
-boosted ensembles (|U| is capped at ``MAX_TREE_FEATURES``). Values are in the model's
-margin space and are added over trees with the ensemble's tree weights.
+d^3 steps a leaf instead of 2^d coalitions: any depth and any number of features will do. Values are in
+the model's margin space and are added over trees with the ensemble's tree weights.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import os
 import uuid
@@ -33,7 +30,7 @@ from pyspark.sql import functions as F
 
 from foldwise.session import checkpoint_dir
 
-MAX_TREE_FEATURES = 12
+BLOCK = 4096  # rows explained together
 
 
 @dataclass
@@ -89,69 +86,64 @@ def read_trees(model, spark) -> list[Tree]:
     return trees
 
 
-def _coalition_values(t: Tree, X: np.ndarray, S: frozenset) -> np.ndarray:
-    w = np.zeros((len(t.feature), X.shape[0]))
-    w[t.order[0]] = 1.0
-    out = np.zeros(X.shape[0])
-    for i in t.order:
+def leaf_paths(t: Tree) -> list[tuple[float, dict[int, tuple[float, list[tuple[int, bool]]]]]]:
+    """(value, {feature: (share z, [(node, left)])}) of every leaf; the conditions of one feature on a path
+    count as one."""
+    out, todo = [], [(t.order[0], {})]
+    while todo:
+        i, path = todo.pop()
         if t.left[i] < 0:
-            out += w[i] * t.value[i]
+            out.append((float(t.value[i]), path))
             continue
-        f = t.feature[i]
-        if f in S:
-            x = X[:, f]
-            go = np.isin(x, list(t.left_cats[i])) if t.left_cats[i] is not None else x <= t.threshold[i]
-            w[t.left[i]] += w[i] * go
-            w[t.right[i]] += w[i] * (~go)
-        else:
-            c = t.cover[i] if t.cover[i] > 0 else 1.0
-            w[t.left[i]] += w[i] * (t.cover[t.left[i]] / c)
-            w[t.right[i]] += w[i] * (t.cover[t.right[i]] / c)
+        f = int(t.feature[i])
+        z, steps = path.get(f, (1.0, []))
+        for child, left in ((t.left[i], True), (t.right[i], False)):
+            share = t.cover[child] / t.cover[i] if t.cover[i] > 0 else 0.0
+            todo.append((child, path | {f: (z * share, [*steps, (i, left)])}))
     return out
 
 
+def goes_left(t: Tree, node: int, X: np.ndarray) -> np.ndarray:
+    x = X[:, t.feature[node]]
+    return np.isin(x, list(t.left_cats[node])) if t.left_cats[node] is not None else x <= t.threshold[node]
+
+
 def shap_values(trees: Sequence[Tree], X: np.ndarray) -> np.ndarray:
     """Rows x features SHAP matrix (margin space) of a tree ensemble."""
     phi = np.zeros(X.shape)
     for t in trees:
-        used = sorted({int(f) for f in t.feature if f >= 0})
-        m = len(used)
-        if m == 0:
-            continue
-        if m > MAX_TREE_FEATURES:
-            raise ValueError(f"tree splits on {m} features; exact subset SHAP is capped at {MAX_TREE_FEATURES}")
-        vals = {}
-        for k in range(m + 1):
-            for S in itertools.combinations(used, k):
-                vals[frozenset(S)] = _coalition_values(t, X, frozenset(S))
-        for i in used:
-            others = [u for u in used if u != i]
-            acc = np.zeros(X.shape[0])
-            for k in range(m):
-                wk = math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m)
-                for S in itertools.combinations(others, k):
-                    s = frozenset(S)
-                    acc += wk * (vals[s | {i}] - vals[s])
-            phi[:, i] += t.weight * acc
+        way = {i: goes_left(t, i, X) for i in range(len(t.feature)) if t.left[i] >= 0}
+        for value, path in leaf_paths(t):
+            d = len(path)
+            weights = [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)]
+            z = {f: share for f, (share, _) in path.items()}
+            o = {f: np.logical_and.reduce([way[i] == left for i, left in steps]).astype(float) for f, (_, steps) in path.items()}
+            for i in path:
+                poly = np.zeros((d, len(X)))  # coefficients of t^0 to t^(d-1)
+                poly[0] = 1.0
+                for j in path:
+                    if j != i:
+                        poly = z[j] * poly + o[j] * np.vstack([np.zeros((1, len(X))), poly[:-1]])
+                phi[:, i] += t.weight * value * (o[i] - z[i]) * (np.array(weights) @ poly)
     return phi
 
 
 def expected_value(trees: Sequence[Tree]) -> float:
-    return sum(t.weight * float(_coalition_values(t, np.zeros((1, 1 + max(int(t.feature.max()), 0))), frozenset())[0])
-               for t in trees)
+    """The margin of no features: leaf values by the shares of training rows."""
+    return sum(t.weight * value * math.prod(z for z, _ in path.values()) for t in trees for value, path in leaf_paths(t))
 
 
-def mean_abs_shap(rows: DataFrame, models: dict, slot_features: Sequence[str], fold_col: str = "fold",
+def mean_abs_shap(rows: DataFrame, models: dict, slot_features: dict[int, Sequence[str]], fold_col: str = "fold",
                   features_col: str = "_features") -> DataFrame:
     """Mean |SHAP| per input feature, each row explained by the model of its fold.
     ``rows`` carries the assembled feature vector and the fold; ``models`` maps fold ->
-    trees; ``slot_features`` names the input feature of every vector slot (slots of one
+    trees; ``slot_features`` maps fold -> the input feature of every vector slot (slots of one
     feature, e.g. an imputed value and its missing flag, are added before the abs).
     Each task returns partial sums, so only features x tasks rows leave Python."""
     from foldwise.session import ship_package
     ship_package(rows.sparkSession)
-    names = sorted(set(slot_features))
-    slot_idx = {n: [j for j, s in enumerate(slot_features) if s == n] for n in names}
+    names = sorted(set().union(*slot_features.values()))
+    slot_idx = {f: {n: [j for j, s in enumerate(slots) if s == n] for n in names} for f, slots in slot_features.items()}
     arr = rows.select(F.col(fold_col).cast("int").alias("_fold"), vector_to_array(F.col(features_col)).alias("_x"))
 
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,10 +151,10 @@ def mean_abs_shap(rows: DataFrame, models: dict, slot_features: Sequence[str], f
         count = 0
         for pdf in it:
             for fold, g in pdf.groupby("_fold"):
-                X = np.vstack(g["_x"].to_numpy())
-                phi = shap_values(models[int(fold)], X)
-                for n in names:
-                    sums[n] += float(np.abs(phi[:, slot_idx[n]].sum(axis=1)).sum())
+                for at in range(0, len(g), BLOCK):
+                    phi = shap_values(models[int(fold)], np.vstack(g["_x"].to_numpy()[at:at + BLOCK]))
+                    for n in names:
+                        sums[n] += float(np.abs(phi[:, slot_idx[int(fold)][n]].sum(axis=1)).sum())
                 count += len(g)
         yield pd.DataFrame({"feature": names, "abs_sum": [sums[n] for n in names], "n": [count] * len(names)})
 

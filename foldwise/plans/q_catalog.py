@@ -74,10 +74,15 @@ def new_catalog(spark):
     return Catalog(spark, root)
 
 
+def iterations(results):
+    """The iterations of a run's records, in order (numbers of a catalog)."""
+    return sorted(r["iteration"] for r in results.select("iteration").distinct().collect())
+
+
 def written_results(spark, sf):
     cat = new_catalog(spark)
     fr = feature_results(spark, sf)
-    for i in range(3):  # one append per iteration, as a run records them
+    for i in iterations(fr):  # one append per iteration, as a run records them
         cat.append("validation_results", fr.where(F.col("iteration") == i))
     return cat
 
@@ -288,7 +293,7 @@ def promoted(spark, sf):
     sel = (fr.where(F.col("auc").isNotNull()).groupBy("run_id", "iteration")
            .agg(F.max_by("feature_name", "auc").alias("feature_name")))
     cand = gate.promotion_candidates(fr, s, cat.latest("stability_reports"), sel)
-    for i in range(3):  # promotion happens iteration by iteration; repeats are skipped
+    for i in iterations(fr):  # promotion happens iteration by iteration; repeats are skipped
         cat.promote(cand.where(F.col("iteration") <= i).select("feature_name", "run_id", "iteration", "hypothesis_id",
                                                                 "final_status", "auc_mean"))
     return cat

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwise.session import checkpoint_dir
+from foldwise.session import checkpoint_dir, materialize, path_exists
 
 # key columns per table (the rest of a record travels in ``data``)
 TABLE_KEYS = {
@@ -47,8 +47,10 @@ class Catalog:
         return self._seq
 
     def append(self, table: str, df: DataFrame) -> None:
-        """SRC5: append records (adds the write sequence ``seq`` and ``created_at``)."""
-        out = df.withColumn("seq", F.lit(self._next_seq()).cast("bigint")) \
+        """SRC5: append records with the whole record as JSON (``data``), the write sequence ``seq`` and
+        ``created_at``."""
+        whole = df if "data" in df.columns else df.withColumn("data", F.to_json(F.struct(*df.columns)))
+        out = whole.withColumn("seq", F.lit(self._next_seq()).cast("bigint")) \
             .withColumn("created_at", F.current_timestamp())
         writer = out.write.mode("append")
         if "run_id" in out.columns:
@@ -87,23 +89,23 @@ class Catalog:
         return df.orderBy(F.col(metric).desc_nulls_last()).limit(1)
 
     def promote(self, candidates: DataFrame) -> DataFrame:
-        """SRC7/JOIN10: refuse rows whose status is not validated/promoted, skip feature
-        names already promoted (anti join on the primary key), append the rest. Returns
-        what was written."""
-        ok = candidates.where(F.col("final_status").isin(*PROMOTABLE))
-        if self._exists("promoted_features"):
-            done = self.read("promoted_features").select("feature_name")
-            ok = ok.join(done, "feature_name", "left_anti")
-        ok = ok.dropDuplicates(["feature_name"])
-        self.append("promoted_features", ok)
-        return ok
+        """SRC7/JOIN10: candidates with ``outcome``: refused (status neither validated nor promoted),
+        present (the name is promoted already, by an anti join on the primary key), superseded (an earlier
+        iteration of the same name is written) or written; the written ones are appended."""
+        fits = F.coalesce(F.col("final_status").isin(*PROMOTABLE), F.lit(False))
+        done = self.read("promoted_features").select("feature_name").distinct() if self._exists("promoted_features") \
+            else self.spark.createDataFrame([], "feature_name string")
+        seen = done.select(F.col("feature_name").alias("_done"))
+        order = [F.col(c).asc_nulls_last() for c in ("iteration", "run_id") if c in candidates.columns] or [F.lit(0)]
+        first = F.row_number().over(Window.partitionBy("feature_name", "_fits").orderBy(*order)) == 1
+        marked = candidates.withColumn("_fits", fits).join(seen, F.col("feature_name") == F.col("_done"), "left")
+        outcome = F.when(~F.col("_fits"), "refused").when(F.col("_done").isNotNull(), "present").when(first, "written").otherwise("superseded")
+        marked = materialize(marked.withColumn("outcome", outcome).drop("_fits", "_done"), "promotion")  # judged before it is appended
+        self.append("promoted_features", marked.where("outcome = 'written'").drop("outcome"))
+        return marked
 
     def _exists(self, table: str) -> bool:
-        try:
-            self.read(table).limit(0).collect()
-            return True
-        except Exception:  # noqa: BLE001 - missing path
-            return False
+        return path_exists(self.spark, self.path(table))
 
     def is_promoted(self, name: str) -> bool:
         if not self._exists("promoted_features"):

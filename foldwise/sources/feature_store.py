@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import UNSAFE_NAME_PATTERN
-from foldwise.session import checkpoint_dir
+from foldwise.session import checkpoint_dir, path_exists
 
 _UNSAFE = re.compile(UNSAFE_NAME_PATTERN)
 
@@ -40,31 +40,24 @@ class FeatureStore:
                                   (F.col("feature_name") == safe_name(feature_name)))
                 .drop("run_id", "feature_name"))
 
-    def exists(self, run_id: str, feature_name: str) -> bool:
-        if not os.path.exists(self.root) and not self._readable():
-            return False
-        return bool(self.load(run_id, feature_name).limit(1).count())
+    def _path(self, run_id: str, *feature_name: str) -> str:
+        return "/".join([self.root, f"run_id={safe_name(run_id)}", *[f"feature_name={safe_name(f)}" for f in feature_name]])
 
-    def _readable(self) -> bool:
-        try:
-            self._all().limit(0).collect()
-            return True
-        except Exception:  # noqa: BLE001
-            return False
+    def exists(self, run_id: str, feature_name: str) -> bool:
+        return path_exists(self.spark, self._path(run_id, feature_name))
 
     def delete(self, run_id: str, feature_name: str) -> None:
         """Overwrite the partition with nothing: dynamic overwrite of an empty frame does
         not drop a partition, so the partition folder is removed through Hadoop FS."""
-        jvm = self.spark.sparkContext._jvm
-        path = f"{self.root}/run_id={safe_name(run_id)}/feature_name={safe_name(feature_name)}"
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(run_id, feature_name))
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if fs.exists(p):
             fs.delete(p, True)
 
     def list_features(self, run_id: str) -> DataFrame:
-        """Sorted feature names of a run (partition listing)."""
-        if not self._readable():
-            return self.spark.createDataFrame([], "feature_name string")
-        return (self._all().where(F.col("run_id") == safe_name(run_id)).select("feature_name")
-                .distinct().orderBy("feature_name"))
+        """Sorted feature names of a run, from its partition folders; no data is read."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(run_id))
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        folders = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        names = sorted(f.removeprefix("feature_name=") for f in folders if f.startswith("feature_name="))
+        return self.spark.createDataFrame([(n,) for n in names], "feature_name string")

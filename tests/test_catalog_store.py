@@ -76,3 +76,19 @@ def test_gate_status_ladder(spark):
     df = spark.createDataFrame([(None, True), (0.95, True), (0.7, False), (0.7, True)], "auc double, parity boolean")
     out = [r["s"] for r in df.select(gate.gate_status(F.lit(True), F.col("auc"), F.col("parity")).alias("s")).collect()]
     assert out == ["dynamic_failed", "leakage_rejected", "serving_mismatch", "validated"]
+
+
+def test_promotion_says_what_became_of_each_candidate(spark):
+    import tempfile
+
+    from foldwise.sources.catalog import Catalog
+    c = Catalog(spark, tempfile.mkdtemp(prefix="fw-cat-", dir="/tmp"))
+    cols = "feature_name string, run_id string, iteration int, final_status string"
+    one = c.promote(spark.createDataFrame([("a", "r", 2, "validated"), ("a", "r", 1, "validated"), ("b", "r", 0, "leakage_rejected"), ("c", "r", 0, None)], cols))
+    assert {(r["feature_name"], r["iteration"]): r["outcome"] for r in one.collect()} == {("a", 2): "superseded", ("a", 1): "written", ("b", 0): "refused", ("c", 0): "refused"}
+    two = c.promote(spark.createDataFrame([("a", "r", 3, "validated"), ("b", "r", 3, "validated")], cols))
+    assert {r["feature_name"]: r["outcome"] for r in two.collect()} == {"a": "present", "b": "written"}
+    kept = c.read("promoted_features").collect()
+    assert sorted((r["feature_name"], r["iteration"]) for r in kept) == [("a", 1), ("b", 3)]
+    import json
+    assert all(json.loads(r["data"])["feature_name"] == r["feature_name"] for r in kept)
