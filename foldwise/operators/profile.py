@@ -10,7 +10,7 @@ top-k (no single task ever sorts a whole high-cardinality column).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +184,31 @@ def cramers_v(ct: DataFrame, y_col: str, min_rows: int = MIN_ROWS_FOR_CORRELATIO
     return agg.select("column_name", v.alias("v"))
 
 
+def profile_record(df: DataFrame, cols: Sequence[str], id_col: str, y_col: str | None = None) -> DataFrame:
+    """PROF8: everything known about each column in one row: counts, distinct values, moments, quantiles and
+    association with the target of numbers; the most frequent value and association of categories; range
+    of times. Fields that a kind of column doesn't have are null. The joins are of one row per column."""
+    kind = {c: k for c, k in kinds(df).items() if c in cols}
+    of = {k: [c for c in cols if kind[c] == k] for k in ("numeric", "categorical", "datetime")}
+    out = df.sparkSession.createDataFrame([(c, kind[c]) for c in cols], "column_name string, kind string")
+    parts = [profile_missing(df, cols), profile_distinct(df, cols)]
+    association = []
+    if of["numeric"]:
+        parts += [profile_numeric(df, of["numeric"]), profile_quantiles(df, of["numeric"], id_col)]
+        if y_col:
+            association.append(assoc_numeric(df, of["numeric"], y_col).select("column_name", F.col("corr").alias("association")))
+    if of["categorical"]:
+        top = profile_top_values(df, of["categorical"], 1)
+        parts.append(top.select("column_name", F.col("value").alias("top_value"), F.col("n").alias("top_n")))
+        if y_col:
+            association.append(cramers_v(contingency(df, of["categorical"], y_col), y_col).select("column_name", F.col("v").alias("association")))
+    if of["datetime"]:
+        parts.append(profile_datetime(df, of["datetime"]))
+    if association:
+        parts.append(reduce(DataFrame.unionByName, association))
+    return reduce(lambda left, right: left.join(right, "column_name", "left"), parts, out)
+
+
 NO_VARIANCE = 1e-12  # of a column's own variance; below it the rows of a pair count as constant
 
 

@@ -121,6 +121,32 @@ def q_assoc_cramers_v(spark, sf):
     return v.select("column_name", r6("v").alias("v"))
 
 
+_V_CTES = (f"ct AS ({CT_SQL})", """
+j AS (SELECT ct.*, sum(n) OVER (PARTITION BY column_name, value) AS R, sum(n) OVER (PARTITION BY column_name, y) AS C FROM ct)""", """
+v AS (SELECT column_name, CASE WHEN count(DISTINCT value) >= 2 AND count(DISTINCT y) >= 2 AND sum(n) >= 10 THEN
+    sqrt(greatest(sum(n) * (sum(n::DOUBLE * n / (R::DOUBLE * C)) - 1), 0) / sum(n) / least(count(DISTINCT value) - 1, count(DISTINCT y) - 1)) END AS association
+  FROM j GROUP BY column_name)""")
+RECORD_SQL = with_base(
+    "k AS (" + _union([f"SELECT '{c}' AS column_name, '{k}' AS kind" for k, cs in (("numeric", NUM), ("categorical", CAT), ("datetime", DT)) for c in cs]) + ")",
+    "miss AS (" + _union([f"SELECT '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_unique FROM base" for c in ALL]) + ")",
+    "num AS (" + _union([_num_sql(c) for c in NUM]) + ")",
+    "qu AS (" + _union([f"SELECT '{c}' AS column_name, " + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {nm}" for nm, q in pf.QUANTILE_LEVELS.items()) + " FROM base" for c in NUM]) + ")",
+    "top AS (" + _union([f"(SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS top_value, count(*) AS top_n FROM base WHERE {c} IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1)" for c in CAT]) + ")",
+    *_V_CTES, "assoc AS (" + _union([_assoc_sql(c) for c in NUM]) + "\nUNION ALL SELECT column_name, round(association, 6) FROM v)",
+    "dt AS (" + _union([f"SELECT '{c}' AS column_name, min({c}) AS min_ts, max({c}) AS max_ts FROM base" for c in DT]) + ")") + """
+SELECT k.column_name, k.kind, n, n_missing, n_unique, n_unique <= 1 AS is_constant, mean, std, min, max, skew, kurtosis, p1, p25, p50, p75, p99,
+       top_value, top_n, min_ts, max_ts, assoc.corr AS association
+FROM k LEFT JOIN miss USING (column_name) LEFT JOIN num USING (column_name) LEFT JOIN qu USING (column_name) LEFT JOIN top USING (column_name)
+  LEFT JOIN assoc USING (column_name) LEFT JOIN dt USING (column_name)"""
+
+
+@register("profile_record", RECORD_SQL)
+def q_profile_record(spark, sf):
+    r = pf.profile_record(base(spark, sf), ALL, "row_id", "y")
+    numbers = [*("mean", "std", "min", "max", "skew", "kurtosis"), *pf.QUANTILE_LEVELS, "association"]
+    return r.select("column_name", "kind", "n", "n_missing", "n_unique", "is_constant", "top_value", "top_n", "min_ts", "max_ts", *[r6(c).alias(c) for c in numbers])
+
+
 CORR_COLS = ["price", "bal", "price_n", "score", "price2"]
 PAIRS = [(a, b) for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]]
 PAIRS_SQL = _union([
