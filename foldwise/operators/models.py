@@ -24,12 +24,9 @@ from pyspark.sql import functions as F
 from foldwise.functions.hashing import TWO_POW_32, h
 from foldwise.functions.scalar import known, missing_category
 from foldwise.operators.rank import dist_rank
-from foldwise.operators.scoring import binary_metrics
+from foldwise.operators.scoring import METRICS, binary_metrics, with_summary
 from foldwise.session import materialize
 
-METRICS = ["auc", "logloss", "pr_auc", "ks", "brier"]
-
-
 @dataclass
 class ModelSpec:
     """``kind``: ``logistic`` (fast, for screens) or ``gbt`` (final model)."""
@@ -143,22 +140,16 @@ def cross_validate(df: DataFrame, id_col: str, label: str, numeric, categorical,
     oof = vals[0]
     for v in vals[1:]:
         oof = oof.unionByName(v)
-    fm = _with_summary(binary_metrics(oof, "proba", label, by=[fold_col]), fold_col)
+    fm = with_summary(binary_metrics(oof, "proba", label, by=[fold_col]), fold_col)
     tm = None
     if with_train_metrics:
         tr = trains[0]
         for t in trains[1:]:
             tr = tr.unionByName(t)
-        tm = _with_summary(binary_metrics(tr, "proba", label, by=[fold_col]), fold_col)
+        tm = with_summary(binary_metrics(tr, "proba", label, by=[fold_col]), fold_col)
     return CVResult(oof, models, fm, tm, design)
 
 
-def _with_summary(m: DataFrame, fold_col: str) -> DataFrame:
-    mean = m.agg(*[F.avg(c).alias(c) for c in METRICS]).withColumn(fold_col, F.lit(-1))
-    std = m.agg(*[F.stddev_pop(c).alias(c) for c in METRICS]).withColumn(fold_col, F.lit(-2))
-    return m.unionByName(mean).unionByName(std)
-
-
 def cv_auc(df: DataFrame, id_col: str, label: str, features: Sequence[str], categorical_all: Sequence[str], k: int,
            fold_col: str = "fold", spec: ModelSpec | None = None) -> float:
     """Mean fold AUC for a feature subset; the empty set scores 0.5 (SEL1)."""

@@ -83,6 +83,18 @@ def binary_metrics(df: DataFrame, proba_col: str, y_col: str, by: Sequence[str]
     return out.select(*by, "auc", "logloss", "pr_auc", "ks", "brier")
 
 
+METRICS = ("auc", "logloss", "pr_auc", "ks", "brier")
+
+
+def with_summary(m: DataFrame, fold_col: str = "fold") -> DataFrame:
+    """A row per fold, with their mean (fold -1) and population std (fold -2, Q6). The k rows are written
+    first, so that the metric runs once."""
+    m = materialize(m.select(F.col(fold_col).cast("int").alias(fold_col), *METRICS), "metrics")
+    two = F.inline(F.array(*[F.struct(F.lit(n).alias(fold_col), *[F.col(f"{c}_{n}").alias(c) for c in METRICS]) for n in (-1, -2)]))
+    both = m.agg(*[f(c).alias(f"{c}_{n}") for n, f in ((-1, F.avg), (-2, F.stddev_pop)) for c in METRICS])
+    return m.unionByName(both.select(two))
+
+
 def single_feature_auc(df: DataFrame, features: Sequence[str], y_col: str, id_col: str,
                        threshold: float = LEAK_AUC_THRESHOLD, n_buckets: int | None = None) -> DataFrame:
     """SCORE7: per feature, the sign-symmetric AUC ``max(auc, 1 - auc)`` of the raw values

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import LEAK_AUC_THRESHOLD, PROBA_EPS
-from foldwise.operators.scoring import binary_metrics, single_feature_auc
+from foldwise.operators.scoring import METRICS, binary_metrics, single_feature_auc, with_summary
 from foldwise.plans.inputs import base, prepared
 from foldwise.plans.registry import r6, register
 from foldwise.plans.sqlkit import auc_ctes, with_base
 
 CLIP = f"greatest(least(score, 1 - {PROBA_EPS}), {PROBA_EPS})"
-METRICS = ["auc", "logloss", "pr_auc", "ks", "brier"]
 
 
 def _pointwise_sql(rel: str, by: str = "") -> str:
@@ -54,11 +53,8 @@ def q_metrics_by_fold(spark, sf):
     """SCORE6: five metrics per validation fold in one job, plus their mean (fold -1)
     and population std (fold -2, Q6)."""
     p = prepared(spark, sf).where(F.col("fold").isNotNull())
-    m = binary_metrics(p, "score", "y", by=["fold"])
-    mean = m.agg(*[F.avg(c).alias(c) for c in METRICS]).withColumn("fold", F.lit(-1))
-    std = m.agg(*[F.stddev_pop(c).alias(c) for c in METRICS]).withColumn("fold", F.lit(-2))
-    allm = m.unionByName(mean).unionByName(std)
-    return allm.select(F.col("fold").cast("int").alias("fold"), *[r6(c).alias(c) for c in METRICS])
+    m = with_summary(binary_metrics(p, "score", "y", by=["fold"]))
+    return m.select("fold", *[r6(c).alias(c) for c in METRICS])
 
 
 SFA_FEATURES = ["price", "bal", "price_n", "score", "seg"]
