@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.session import checkpoint_dir
+from foldwise.session import checkpoint_dir, ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -57,18 +54,15 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-_SHIPPED: set[str] = set()
+BATCH_ROWS = 1000
+_ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = f"{tempfile.mkdtemp()}/{package.name}.zip"  # the driver serves it from here
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(archive)
-    _SHIPPED.add(sc.applicationId)
+    """Send this package to the executors' Python, and hand texts over in Arrow batches of at most
+    ``BATCH_ROWS`` rows: documents are kilobytes each, and the default of 10,000 of them is held several
+    times over on either side."""
+    ship_package(spark)
+    rows = int(spark.conf.get(_ROWS_PER_BATCH))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_ROWS_PER_BATCH, str(BATCH_ROWS))

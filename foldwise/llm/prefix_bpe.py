@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from foldwise.llm.common import ship
 
-CACHED = 300_000  # encoded matches a worker keeps, in each of two generations
-CHUNK = 1 << 22  # characters of text whose new matches are encoded together
+CACHED = 120_000  # encoded matches a worker keeps, in each of two generations
+CHUNK = 1 << 21  # characters of text whose new matches are encoded together
 PAIR = 1 << 32
+PAIRS = 300_000  # judged pairs kept
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -82,7 +83,7 @@ class Vocabulary:
                 bound, right = right + 1, b[0]
 
     def fits(self, left: int, right: int) -> bool:
-        if len(self._pairs) > 2_000_000:
+        if len(self._pairs) >= PAIRS:
             self._pairs.clear()
         fit = self._pairs[left * PAIR + right] = self._fits(left, right)
         return fit
@@ -235,14 +236,24 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, id_col
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = codec_on_worker(shared, pattern)
-        for b in batches:
+        for text_ids, texts in slices(batches):
             rows = []
-            for text, ids in zip(b["text"], codec.encode(list(b["text"])), strict=True):
+            for text, ids in zip(texts, codec.encode(texts), strict=True):
                 raw = codec.decode(ids)
                 rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(),
                              raw == text.encode(), *([np.array(ids.split(), np.int32)] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=names, index=b.index)
-            yield out.assign(**{id_col: b[id_col]})[[id_col, *names]]
+            yield pd.DataFrame(rows, columns=names).assign(**{id_col: text_ids})[[id_col, *names]]
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, list[str]]]:
+        """Ids and texts of at most CHUNK characters, or of one longer text."""
+        for b in batches:
+            texts, at = b["text"].tolist(), 0
+            while at < len(texts):
+                begun, size = at, 0
+                while at < len(texts) and (at == begun or size + len(texts[at]) <= CHUNK):
+                    size += len(texts[at])
+                    at += 1
+                yield b[id_col].iloc[begun:at].reset_index(drop=True), texts[begun:at]
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", "round_trip", *(["ids"] if with_ids else [])]
     kind = dict(docs.dtypes)[id_col]

@@ -38,7 +38,7 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SIGN_COST, KEEP_COST, RUN_COST, JOIN_COST, BREAK_COST = 1.0, 25.0, 0.5, 0.5, 2.0
 ALPHABET = 96
 SAMPLE, MOST = 3000, 4000
-CACHED = 200_000
+CACHED = 60_000
 WORD = re.compile(r"\w+")
 _SET = re.escape("".join(c for c in SIGNS if not c.isdigit()))
 #: A word with a sign or digit among letters or a run of three; or at least four single letters set apart alike.
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, restorer: Restorer, id_col: str, tex
     return Classifier(bias + prior, {f: float(weights[i]) for f, i in place.items()})
 
 
-def logistic(hits: list[list[int]], y: np.ndarray, k: int, rounds: int = 400, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+def logistic(hits: list[list[int]], y: np.ndarray, k: int, rounds: int = 1500, ridge: float = 0.05) -> tuple[np.ndarray, float]:
     """Ridge logistic regression of 0/1 features by accelerated gradient steps."""
     row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     col = np.array([i for h in hits for i in h], np.int64)
