@@ -25,7 +25,7 @@ HEADLINE = [
     "holdout_temporal", "profile_numeric", "profile_quantiles", "profile_top_values", "assoc_cramers_v",
     "correlation_pairs", "single_feature_auc", "metrics_by_fold", "temporal_oot_stability",
     "bootstrap_stability", "score_decile_stability", "parity_rank_mismatch", "parity_cumsum_mismatch",
-    "feature_text",
+    "feature_text", "cv_oof_predictions", "stream_parity",
 ]
 
 
