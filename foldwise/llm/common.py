@@ -54,7 +54,7 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 _ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -41,8 +41,8 @@ WORD = re.compile(r"\w+")
 SHINGLE, LEAST = 5, 0.8
 BANDS, BAND_ROWS = 25, 5
 REGISTERS = BANDS * BAND_ROWS
-ELEMENTS = 1 << 17  # shingles sketched together
-WORDS_KEPT = 150_000  # word hashes that a worker keeps
+ELEMENTS = 1 << 16  # shingles sketched together
+WORDS_KEPT = 60_000  # word hashes that a worker keeps
 BLOCK_A, BLOCK_B = 128, 512  # documents of one verification block
 BROADCAST_IDS = 2_000_000  # ids with hashes (24 bytes) sent to the texts; more of them meet the texts in a shuffle
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
