@@ -8,8 +8,8 @@ other way round; then the text is a copy (same values) or a re-parameterised que
 its windows count. Where values contradict each other only windows without placeholders count.
 
 A document holds an item if at least half of the item's tokens, or a run of 13 of them (all, if
-fewer), stand in counted windows. Names: capitalised words after a letter, digit, comma, semicolon
-or colon and a space. Numbers: digits. Units: a fixed list, after a number. Benchmark windows need
+fewer), stand in counted windows. White space counts as one space. Names: a run of capitalised words after a letter, digit, comma,
+semicolon or colon and a space. Numbers: digits, with decimals and groups of three. Units: a fixed list, after a number. Benchmark windows need
 at least four literal tokens; items of fewer than eight tokens are matched whole (three at least).
 
 The benchmark's windows are broadcast if there are at most ``MAX_BROADCAST`` of them (about 300
@@ -29,25 +29,29 @@ from foldwise.llm.common import write_shared
 WINDOW, LITERALS, SHORTEST = 8, 4, 3
 RUN, COVERAGE = 13, 0.5
 MAX_BROADCAST = 200_000
-NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
+NAME, NUMBER, UNIT, JOIN, POINT = "\x01", "\x02", "\x03", "\x04", "\x05"
 UNITS = ("km", "cm", "mm", "m", "kg", "mg", "g", "lb", "lbs", "oz", "ml", "l", "mph", "kmh", "miles", "mile", "feet", "foot", "inches", "inch",
          "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "months", "month", "years", "year",
          "dollars", "dollar", "euros", "euro", "cents", "cent", "percent", "degrees", "degree")
-NAMES_RE = r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll})"
+SPACES_RE = rf"[\s\p{{Z}}{NAME}-{POINT}&&[^ ]][\s\p{{Z}}{NAME}-{POINT}]*| [\s\p{{Z}}{NAME}-{POINT}]+"
+NAMES_RE = r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;:] )"
 UNITS_RE = rf"({NUMBER}[^\p{{L}}\p{{N}}\p{{M}}{NAME}-{UNIT}]*)({'|'.join(UNITS)})([^\p{{L}}\p{{N}}\p{{M}}{NAME}-{UNIT}]|$)"
-BREAKS_RE = rf"[^\p{{L}}\p{{N}}\p{{M}}{NAME}-{UNIT}]+"
-CONTROLS_RE = rf"[{NAME}-{UNIT}]"
+BREAKS_RE = rf"[^\p{{L}}\p{{N}}\p{{M}}{NAME}-{POINT}]+"
+SLOT_RE = rf"[{NAME}-{UNIT}]"
 
 
 def marked(text: Column) -> Column:
-    """The text with a mark before each name; the marks' own characters become spaces first."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), CONTROLS_RE, " "), NAMES_RE, f"$1{NAME}$2")
+    """The text with a mark before each name, names of a run joined, decimals joined and groups of digits
+    closed up; white space and the marks' own characters become one space first."""
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), SPACES_RE, " ")
+    closed = F.regexp_replace(F.regexp_replace(spaced, r"(?<=\p{N}),(?=\p{N}{3}(?!\p{N}))", ""), r"(?<=\p{N})\.(?=\p{N})", POINT)
+    return F.regexp_replace(F.regexp_replace(closed, NAMES_RE, NAME), rf"({NAME}\p{{L}}+) (?={NAME})", f"$1{JOIN}")
 
 
 def template(marked_text: Column) -> Column:
     """Placeholders for values; as many tokens as ``marked_text`` has."""
-    names = F.regexp_replace(marked_text, rf"{NAME}\p{{L}}+", NAME)
-    numbers = F.regexp_replace(F.lower(names), r"\p{N}+", NUMBER)
+    names = F.regexp_replace(marked_text, rf"{NAME}\p{{L}}+(?:{JOIN}{NAME}\p{{L}}+)*", NAME)
+    numbers = F.regexp_replace(F.lower(names), rf"\p{{N}}+(?:{POINT}\p{{N}}+)*", NUMBER)
     return F.regexp_replace(numbers, UNITS_RE, f"$1{UNIT}$3")
 
 
@@ -66,7 +70,7 @@ def with_windows(rows: DataFrame, id_col: str, text_col: str, size: int) -> Data
 
 
 def is_slot(token: Column) -> Column:
-    return token.rlike(CONTROLS_RE)
+    return token.rlike(SLOT_RE)
 
 
 def item_windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:

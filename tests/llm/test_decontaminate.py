@@ -69,3 +69,21 @@ def test_equals_brute_force_on_plain_words(spark):
 def test_empty_tables(spark, benchmark):
     assert contaminated(no_documents(spark), benchmark).count() == 0
     assert contaminated(documents(spark), benchmark.limit(0)).count() == 0
+
+
+PARIS = "She left Paris with 12 coins, went on to Rome with 30 coins, saw Paris again with 12 coins and then met Carl near Rome."
+APPLES = "He said that Tom had 5 apples in his bag and gave 3 of them away, how many are left?"
+CAPITAL = "What Is The Capital City Of The United Kingdom Of Great Britain"
+SUMS = "If 3 + 4 = 7 and 5 + 6 = 11 then 8 + 9 = 17"
+LAYOUT = "Then Lea has 12 marbles. With 7 of these Lea pays Otto."
+
+
+def test_every_window_that_fits_counts(spark):
+    """Item 6: layout, longer numbers and names."""
+    items = spark.createDataFrame(list(enumerate([PARIS, APPLES, CAPITAL, SUMS, "who is John Smith", LAYOUT], 1)), BENCHMARK)
+    rows = [
+            (61, "So. " + LAYOUT.replace("Then Lea", "Then\nLea").replace(" ", "  ")), (63, LAYOUT.replace("12", "1,250").replace("7", "2.5")), (64, LAYOUT.replace("Lea", "Mary Ann")),
+            (7, "nothing of it here, or of anybody else"), (8, "who is Mary Jones")]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    new = "re-parameterised"
+    assert got == {(61, 6): "copy", (63, 6): new, (64, 6): new}
