@@ -1,16 +1,17 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Numbers, names and units become typed placeholders, all else is lower-cased; windows of eight such
-tokens of the benchmark items are hash-joined with those of the documents. A match carries both
-sides' own values of its placeholders. On one alignment of an item with a document (document
-position less item position) every item value must always stand for one document value and the
-other way round; then the text is a copy (same values) or a re-parameterised question (others), and
-its windows count. Where values contradict each other only windows without placeholders count.
-
-A document holds an item if at least half of the item's tokens, or a run of 13 of them (all, if
-fewer), stand in counted windows. White space counts as one space. Names: a run of capitalised words after a letter, digit, comma,
-semicolon or colon and a space. Numbers: digits, with decimals and groups of three. Units: a fixed list, after a number. Benchmark windows need
-at least four literal tokens; items of fewer than eight tokens are matched whole (three at least).
+Windows of eight tokens of the benchmark items are hash-joined with those of the documents, twice:
+as literal words (lower-cased, values kept), which finds copies whatever their case, layout and
+number of values; and as templates, in which numbers, names and units are typed placeholders. A
+template match carries both sides' own values. On one alignment of an item with a document every item
+value must stand for one document value and the other way round; else its windows with placeholders
+don't count, literal ones neither.
+
+A document holds an item if at least half of the item's words, or a run of 13 of them (all, if fewer),
+stand in counted windows. White space counts as one space. Names: a run of capitalised words after a
+letter, digit, comma, semicolon or colon and a space. Numbers: digits, with decimals and groups of
+three. Units: a fixed list, after a number. Template windows need at least four literal tokens; items
+of fewer than eight tokens are matched whole (three words at least).
 
 The benchmark's windows are broadcast if there are at most ``MAX_BROADCAST`` of them (about 300
 bytes each), by count; beyond that the same join is a shuffle join, whose skew AQE splits.
@@ -55,65 +56,105 @@ def template(marked_text: Column) -> Column:
     return F.regexp_replace(numbers, UNITS_RE, f"$1{UNIT}$3")
 
 
-def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(text, BREAKS_RE), "")
+def literal(marked_text: Column) -> Column:
+    """The lower-cased words; a run of names is as many as it has."""
+    return F.lower(F.translate(marked_text, JOIN + NAME, " "))
 
 
-def with_windows(rows: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, own, form, hashes): the marked tokens, the template's tokens and the hash of the window at
-    each position."""
-    cut = rows.select(F.col(id_col).alias("id"), marked(F.col(text_col)).alias("mark")).where("id IS NOT NULL")
-    cut = cut.select("id", tokens(F.col("mark")).alias("own"), tokens(template(F.col("mark"))).alias("form"))
-    # the tokens go into the inner function as a variable: a column would be computed for each window
-    every = F.transform(F.array("form"), lambda f: F.transform(F.sequence(F.lit(1), F.size(f) - (size - 1)), lambda i: F.xxhash64(F.slice(f, i, size))))[0]
-    return cut.select("id", "own", "form", F.when(F.size("form") >= size, every).alias("hashes"))
+def tokens(text: Column) -> Column:
+    return F.array_remove(F.split(text, BREAKS_RE), "")
 
 
 def is_slot(token: Column) -> Column:
     return token.rlike(SLOT_RE)
 
 
+def n_words(own: Column) -> Column:
+    """How many literal words some marked tokens have."""
+    return F.aggregate(own, F.lit(0), lambda n, t: n + F.size(F.split(t, JOIN)))
+
+
+def cut(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, own, form, plain): the marked tokens, the template's tokens and the literal words."""
+    marks = rows.select(F.col(id_col).alias("id"), marked(F.col(text_col)).alias("mark")).where("id IS NOT NULL")
+    return marks.select("id", tokens(F.col("mark")).alias("own"), tokens(template(F.col("mark"))).alias("form"), tokens(literal(F.col("mark"))).alias("plain"))
+
+
+def with_windows(rows: DataFrame, size: int) -> DataFrame:
+    """(id, own, form, plain, kind, place, hash): a row for each literal (kind 0) and template window (1)."""
+    def every(column: str, kind: int) -> Column:
+        # the tokens go into the inner function as a variable: a column would be computed for each window
+        hashes = F.transform(F.array(column), lambda f: F.transform(F.sequence(F.lit(1), F.size(f) - (size - 1)), lambda i: F.xxhash64(F.slice(f, i, size), F.lit(kind))))[0]
+        return F.when(F.size(column) >= size, hashes).otherwise(F.array().cast("array<bigint>"))
+
+    # hashes in a column of their own: an explode of an expression with functions copies the tokens into each row
+    out = rows.select("id", "own", "form", "plain", F.concat(every("plain", 0), every("form", 1)).alias("hashes"))
+    out = out.select("id", "own", "form", "plain", F.posexplode_outer("hashes").alias("pos", "hash"))  # outer: no filter that computes the hashes twice
+    first = F.greatest(F.size("plain") - (size - 1), F.lit(0))
+    return out.select("id", "own", "form", "plain", (F.col("pos") >= first).cast("int").alias("kind"), (F.col("pos") - F.when(F.col("pos") >= first, first).otherwise(0)).alias("place"), "hash")
+
+
+def window_at(size: int) -> Column:
+    return F.when(F.col("kind") == 0, F.slice("plain", F.col("place") + 1, size)).otherwise(F.slice("form", F.col("place") + 1, size))
+
+
+def first_word() -> Column:
+    """The literal place of a window's first word."""
+    return F.when(F.col("kind") == 0, F.col("place")).otherwise(n_words(F.slice("own", F.lit(1), F.col("place"))))
+
+
 def item_windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, at, hash, window, values, slots, length) of the items that are matched with windows of
-    ``size``: all of ``WINDOW`` tokens and more, or of exactly ``size`` fewer."""
-    own = with_windows(benchmark.select(id_col, text_col).distinct(), id_col, text_col, size)
+    """(item_id, length, kind, at, hash, window, values, slots, valued, start, stop) of the items that are
+    matched with windows of ``size``: all of ``WINDOW`` tokens and more, or of exactly ``size`` fewer."""
+    rows = with_windows(cut(benchmark.select(id_col, text_col).distinct(), id_col, text_col), size).where("hash IS NOT NULL").where(F.size("plain") >= SHORTEST)
     if size < WINDOW:
-        own = own.where(F.size("form") == size)
-    rows = own.select(F.col("id").alias("item_id"), F.size("form").alias("length"), "own", "form", F.posexplode_outer("hashes").alias("at", "hash")).where("hash IS NOT NULL")
-    rows = rows.select("item_id", "length", "at", "hash", F.slice("form", F.col("at") + 1, size).alias("window"), F.slice("own", F.col("at") + 1, size).alias("values"))
-    rows = rows.withColumn("slots", F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: is_slot(F.col("window")[i])))
-    return rows.where(size - F.size("slots") >= min(LITERALS, size - 1))
+        rows = rows.where(F.when(F.col("kind") == 0, F.size("plain")).otherwise(F.size("form")) == size)
+    in_slot = F.flatten(F.zip_with("own", "form", lambda o, f: F.transform(F.split(o, JOIN), lambda _: is_slot(f))))
+    rows = rows.select(F.col("id").alias("item_id"), F.size("plain").alias("length"), "kind", F.col("place").alias("at"), "hash", window_at(size).alias("window"),
+                       F.when(F.col("kind") == 1, F.slice("own", F.col("place") + 1, size)).alias("values"), first_word().alias("start"), in_slot.alias("in_slot"))
+    rows = rows.withColumn("stop", F.col("start") + F.when(F.col("kind") == 0, F.lit(size)).otherwise(n_words(F.col("values"))))
+    rows = rows.withColumn("valued", F.exists(F.slice("in_slot", F.col("start") + 1, F.col("stop") - F.col("start")), lambda x: x)).drop("in_slot")
+    rows = rows.withColumn("slots", F.when(F.col("kind") == 1, F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: is_slot(F.col("window")[i]))).otherwise(F.array().cast("array<int>")))
+    # a template window without slots is a literal one
+    return rows.where((F.col("kind") == 0) | ((F.size("slots") > 0) & (size - F.size("slots") >= F.least(F.lit(LITERALS), F.col("stop") - F.col("start") - 1))))
 
 
 def matches(documents: DataFrame, items: DataFrame, size: int, id_col: str, text_col: str, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(doc_id, item_id, length, at, place, slots, values, found): equal windows with both sides' values."""
+    """(doc_id, item_id, length, size, kind, at, place, moved, start, stop, valued, slots, values, found):
+    equal windows with both sides' values; ``moved``: from the item's literal place to the document's."""
     items = write_shared(items, "items")
-    side = items.withColumnsRenamed({"hash": "item_hash"})
+    side = items.withColumnRenamed("hash", "item_hash").drop("kind")  # the hash holds it
     side = F.broadcast(side) if items.count() <= max_broadcast else side
-    docs = with_windows(documents, id_col, text_col, size).select(F.col("id").alias("doc_id"), "own", "form", F.posexplode_outer("hashes").alias("place", "hash"))  # outer: no filter that computes the hashes twice
-    hit = docs.join(side, (docs["hash"] == side["item_hash"]) & (F.slice("form", F.col("place") + 1, size) == F.col("window")))
-    return hit.select("doc_id", "item_id", "length", "at", "place", "slots", "values", F.slice("own", F.col("place") + 1, size).alias("found"))
+    docs = with_windows(cut(documents, id_col, text_col), size)
+    hit = docs.join(side, (docs["hash"] == side["item_hash"]) & (window_at(size) == F.col("window")))
+    return hit.select(F.col("id").alias("doc_id"), "item_id", "length", F.lit(size).alias("size"), "kind", "at", "place", (first_word() - F.col("start")).alias("moved"), "start", "stop",
+                      "valued", "slots", "values", F.when(F.col("kind") == 1, F.slice("own", F.col("place") + 1, size)).alias("found"))
 
 
-def judged(found: DataFrame, size: int) -> DataFrame:
+def judged(found: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_tokens, windows, covered, coverage, longest_run, kind) of the pairs in which
     the document holds the item."""
     found = write_shared(found.withColumn("shift", F.col("place") - F.col("at")).distinct(), "matches")
-    align = ["doc_id", "item_id", "shift"]
-    pairs = found.select(*align, F.explode("slots").alias("i"), "values", "found").select(
-        *align, F.lower(F.element_at("values", F.col("i") + 1)).alias("v"), F.lower(F.element_at("found", F.col("i") + 1)).alias("w"))
-    checked = pairs.distinct().groupBy(*align).agg(F.count("*").alias("n"), F.countDistinct("v").alias("nv"), F.countDistinct("w").alias("nw"),
-                                                   F.max((F.col("v") != F.col("w")).cast("int")).alias("other"))
-    checked = checked.select(*align, ((F.col("n") == F.col("nv")) & (F.col("n") == F.col("nw"))).alias("consistent"), "other")
-    counted = found.join(checked, align, "left").where((F.size("slots") == 0) | F.col("consistent"))
-    run = Window.partitionBy(*align).orderBy("at")
-    runs = counted.withColumn("island", F.col("at") - F.row_number().over(run)).groupBy(*align, "island").agg((F.count("*") + size - 1).alias("run"))
-    runs = runs.groupBy("doc_id", "item_id").agg(F.max("run").alias("longest_run"))
-    places = counted.groupBy("doc_id", "item_id", "length", "at").agg(F.max(F.when(F.size("slots") > 0, F.col("other"))).alias("other"))
-    ahead = F.lead("at").over(Window.partitionBy("doc_id", "item_id").orderBy("at"))
-    covered = places.withColumn("fresh", F.least(F.lit(size), F.coalesce(ahead - F.col("at"), F.lit(size)))).groupBy("doc_id", "item_id", "length").agg(
-        F.count("*").alias("windows"), F.sum("fresh").alias("covered"), F.max("other").alias("other"))
-    out = covered.join(runs, ["doc_id", "item_id"]).where((F.col("covered") >= COVERAGE * F.col("length")) | (F.col("longest_run") >= F.least(F.lit(RUN), F.col("length"))))
+    align = ["doc_id", "item_id", "length", "size", "shift"]
+    pairs = found.where("kind = 1").select(*align, "at", "moved", F.explode("slots").alias("i"), "values", "found").select(
+        *align, "at", "moved", F.lower(F.element_at("values", F.col("i") + 1)).alias("v"), F.lower(F.element_at("found", F.col("i") + 1)).alias("w"))
+    values = pairs.groupBy(*align, "v").agg(F.countDistinct("w").alias("nw"))
+    checked = pairs.join(values, [*align, "v"]).groupBy(*align, "at").agg(
+        F.min((F.col("nw") == 1).cast("int")).alias("fits"), F.max((F.col("v") != F.col("w")).cast("int")).alias("other"))
+    shared = pairs.groupBy(*align, "w").agg(F.countDistinct("v").alias("nv")).where("nv > 1")
+    against = values.where("nw > 1").select(*align).unionByName(shared.select(*align)).distinct()  # another text
+    away = found.where("kind = 1").join(against, align, "left_semi").select("doc_id", "item_id", "moved").distinct()
+    templates = found.where("kind = 1").join(against, align, "left_anti").join(checked.where("fits = 1"), [*align, "at"])
+    literals = found.where("kind = 0 AND NOT valued").unionByName(found.where("kind = 0 AND valued").join(away, ["doc_id", "item_id", "moved"], "left_anti").select(found.columns))
+    counted = literals.withColumn("other", F.lit(0)).select(*align, "kind", "start", "stop", "other").unionByName(templates.select(*align, "kind", "start", "stop", "other"))
+    pair = ["doc_id", "item_id", "length"]
+    places = counted.select(*pair, "size", "kind", "shift", F.explode(F.sequence("start", F.col("stop") - 1)).alias("p")).distinct()
+    run = Window.partitionBy(*pair, "size", "kind", "shift").orderBy("p")
+    runs = places.withColumn("island", F.col("p") - F.row_number().over(run)).groupBy(*pair, "size", "kind", "shift", "island").agg(F.count("*").alias("run"))
+    runs = runs.groupBy(*pair).agg(F.max("run").alias("longest_run"))
+    windows = counted.groupBy(*pair).agg(F.countDistinct("start").alias("windows"), F.max("other").alias("other"))
+    covered = places.groupBy(*pair).agg(F.countDistinct("p").alias("covered"))
+    out = windows.join(covered, pair).join(runs, pair).where((F.col("covered") >= COVERAGE * F.col("length")) | (F.col("longest_run") >= F.least(F.lit(RUN), F.col("length"))))
     return out.select("doc_id", "item_id", F.col("length").cast("long").alias("item_tokens"), "windows", "covered", (F.col("covered") / F.col("length")).alias("coverage"),
                       "longest_run", F.when(F.col("other") == 1, "re-parameterised").otherwise("copy").alias("kind"))
 
@@ -121,10 +162,10 @@ def judged(found: DataFrame, size: int) -> DataFrame:
 def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item that it holds."""
-    lengths = benchmark.select(F.size(tokens(template(marked(F.col(item_text))))).alias("n")).where(F.col("n") >= SHORTEST)
+    lengths = cut(benchmark, item_col, item_text).where(F.size("plain") >= SHORTEST).select(F.explode(F.array(F.size("plain"), F.size("form"))).alias("n")).where(F.col("n") >= SHORTEST)
     sizes = sorted(r["n"] for r in lengths.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect())  # at most six numbers
     out = None
     for size in sizes or [WINDOW]:
-        part = judged(matches(documents, item_windows(benchmark, size, item_col, item_text), size, id_col, text_col), size)
+        part = matches(documents, item_windows(benchmark, size, item_col, item_text), size, id_col, text_col)
         out = part if out is None else out.unionByName(part)
-    return out
+    return judged(out)
