@@ -4,8 +4,10 @@ Windows of eight tokens of the benchmark items are hash-joined with those of the
 as literal words (lower-cased, values kept), which finds copies whatever their case, layout and
 number of values; and as templates, in which numbers, names and units are typed placeholders. A
 template match carries both sides' own values. On one alignment of an item with a document every item
-value must stand for one document value and the other way round; else its windows with placeholders
-don't count, literal ones neither.
+value must stand for one document value; windows in which it stands for another are not counted, those
+with the item's own values are. If an item value stands for several values on an alignment and its
+own is not among them, the alignment is another text, and its windows with placeholders don't count,
+literal ones neither.
 
 A document holds an item if at least half of the item's words, or a run of 13 of them (all, if fewer),
 stand in counted windows. White space counts as one space. Names: a run of capitalised words after a
@@ -138,11 +140,10 @@ def judged(found: DataFrame) -> DataFrame:
     align = ["doc_id", "item_id", "length", "size", "shift"]
     pairs = found.where("kind = 1").select(*align, "at", "moved", F.explode("slots").alias("i"), "values", "found").select(
         *align, "at", "moved", F.lower(F.element_at("values", F.col("i") + 1)).alias("v"), F.lower(F.element_at("found", F.col("i") + 1)).alias("w"))
-    values = pairs.groupBy(*align, "v").agg(F.countDistinct("w").alias("nw"))
+    values = pairs.groupBy(*align, "v").agg(F.countDistinct("w").alias("nw"), F.max((F.col("v") == F.col("w")).cast("int")).alias("same"))
     checked = pairs.join(values, [*align, "v"]).groupBy(*align, "at").agg(
-        F.min((F.col("nw") == 1).cast("int")).alias("fits"), F.max((F.col("v") != F.col("w")).cast("int")).alias("other"))
-    shared = pairs.groupBy(*align, "w").agg(F.countDistinct("v").alias("nv")).where("nv > 1")
-    against = values.where("nw > 1").select(*align).unionByName(shared.select(*align)).distinct()  # another text
+        F.min(((F.col("v") == F.col("w")) | (F.col("nw") == 1)).cast("int")).alias("fits"), F.max((F.col("v") != F.col("w")).cast("int")).alias("other"))
+    against = values.where("nw > 1 AND same = 0").select(*align).distinct()  # another text
     away = found.where("kind = 1").join(against, align, "left_semi").select("doc_id", "item_id", "moved").distinct()
     templates = found.where("kind = 1").join(against, align, "left_anti").join(checked.where("fits = 1"), [*align, "at"])
     literals = found.where("kind = 0 AND NOT valued").unionByName(found.where("kind = 0 AND valued").join(away, ["doc_id", "item_id", "moved"], "left_anti").select(found.columns))

@@ -79,11 +79,12 @@ LAYOUT = "Then Lea has 12 marbles. With 7 of these Lea pays Otto."
 
 
 def test_every_window_that_fits_counts(spark):
-    """Items 3 to 5: copies of items dense in values. 6: layout, case, longer numbers and names."""
+    """Item 1: one of two like values changed drops its windows alone. 2: two values may get one. 3 to 5: copies
+    of items dense in values. 6: layout, case, longer numbers and names."""
     items = spark.createDataFrame(list(enumerate([PARIS, APPLES, CAPITAL, SUMS, "who is John Smith", LAYOUT], 1)), BENCHMARK)
-    rows = [(3, f"so. {CAPITAL}"), (4, f"so. {SUMS}"), (5, "who is John Smith"),
+    rows = [(1, PARIS.replace("saw Paris", "saw London")), (2, APPLES.replace("5", "4").replace("3", "4")), (3, f"so. {CAPITAL}"), (4, f"so. {SUMS}"), (5, "who is John Smith"),
             (61, "So. " + LAYOUT.replace("Then Lea", "Then\nLea").replace(" ", "  ")), (62, LAYOUT.lower()), (63, LAYOUT.replace("12", "1,250").replace("7", "2.5")), (64, LAYOUT.replace("Lea", "Mary Ann")),
             (7, "nothing of it here, or of anybody else"), (8, "who is Mary Jones")]
     got = {(r["doc_id"], r["item_id"]): r["kind"] for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
     new = "re-parameterised"
-    assert got == {(3, 3): "copy", (4, 4): "copy", (5, 5): "copy", (61, 6): "copy", (62, 6): "copy", (63, 6): new, (64, 6): new}
+    assert got == {(1, 1): "copy", (2, 2): new, (3, 3): "copy", (4, 4): "copy", (5, 5): "copy", (61, 6): "copy", (62, 6): "copy", (63, 6): new, (64, 6): new}
