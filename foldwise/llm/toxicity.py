@@ -44,9 +44,10 @@ _SET = re.escape("".join(c for c in SIGNS if not c.isdigit()))
 #: A word with a sign or digit among letters or a run of three; or at least four single letters set apart alike.
 HIDDEN = re.compile(rf"(?<![\w{_SET}])[\w{_SET}](?:([ .\-_*])[\w{_SET}])(?:\1[\w{_SET}]){{2,}}(?![\w{_SET}])"
                     rf"|\w*(?:[^\W\d_][{_SET}0-9]+[^\W\d_]|(?<!\w)[@$0-9][^\W\d_]{{2}}|([^\W\d_])\2\2)(?:[{_SET}]*\w)*")
-#: Where a text may hold such parts beside its words: a sign between letters, or single letters set apart.
-SIGNED = re.compile(rf"[{_SET}](?<=[^\W_][{_SET}])[{_SET}0-9]*(?=[^\W\d_])|[@$](?=[^\W\d_]{{2}})")
-APART = re.compile(rf"(?<![\w{_SET}])[\w{_SET}]([ .\-*])[\w{_SET}]\1[\w{_SET}]\1[\w{_SET}](?![\w{_SET}])")
+#: Where a text may hold such parts beside its words: signs between word characters or before two letters (any part
+#: with a sign begins so or ends in a word character), or single letters set apart, as in ``HIDDEN``.
+SIGNED = re.compile(rf"(?<=\w)[{_SET}]+\w|[@$](?=[^\W\d_]{{2}})")
+APART = re.compile(rf"(?<![\w{_SET}])[\w{_SET}](?:([ .\-_*])[\w{_SET}])(?:\1[\w{_SET}]){{2,}}(?![\w{_SET}])")
 
 
 def alphabet() -> np.ndarray:

@@ -36,6 +36,14 @@ def test_words_are_those_of_the_restored_text(spark, restorer):
         assert restorer.words(t) == set(WORD.findall(restorer.restore(t))), t
 
 
+def test_words_of_generated_spacings_and_signs():
+    plain = Restorer(np.zeros((96, 96, 96)))
+    for word in ("$hit", "b!tch", "loser", "1d!ot", "3rd+5", "aaa_!b", "cl0wn", "@ss", "x|y"):
+        for apart in ("", " ", ".", "-", "_", "*"):
+            for text in (apart.join(word), f"so {apart.join(word)}, he", f"{apart.join(word)}_", f"me {word}{apart}{word}"):
+                assert plain.words(text) == set(WORD.findall(plain.restore(text))), text
+
+
 def test_viterbi_finds_the_cheapest_path(restorer):
     import itertools
 
