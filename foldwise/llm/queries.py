@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, html_mincut, license_scan, lm_score, near_dedup, prefix_bpe, token_rollup, toxicity, url_filter, va_search
+from foldwise.llm import bit_whiten, decontaminate, html_mincut, license_scan, lm_score, near_dedup, prefix_bpe, token_rollup, toxicity, url_filter, va_search
 from foldwise.llm.common import id_remainder, shared_path, table
 
 
@@ -133,10 +133,16 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bit_whiten.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
+    return bit_whiten.whitened_rows(rows, components=4).withColumn("vec_id", F.col("vec_id").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_near_dedup": op1_near_dedup, "op2_bpe": op2_bpe, "op3_va_topk": op3_va_topk, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity,
             "op6_main_text": op6_main_text, "op7_token_rollup": op7_token_rollup, "op8_license_scan": op8_license_scan,
-            "op9_decontaminate": op9_decontaminate, "op10_lm_score": op10_lm_score}
+            "op9_decontaminate": op9_decontaminate, "op10_lm_score": op10_lm_score,
+            "op11_whiten": op11_whiten}
 
 
 def oracles() -> dict[str, str]:
