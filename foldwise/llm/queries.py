@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bit_whiten, decontaminate, html_mincut, license_scan, lm_score, near_dedup, prefix_bpe, token_rollup, toxicity, url_filter, va_search
+from foldwise.llm import bit_whiten, decontaminate, html_mincut, license_scan, lm_score, near_dedup, periodic_runs, prefix_bpe, token_rollup, toxicity, url_filter, va_search
 from foldwise.llm.common import id_remainder, shared_path, table
 
 
@@ -138,11 +138,22 @@ def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_whiten.whitened_rows(rows, components=4).withColumn("vec_id", F.col("vec_id").cast("long"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(table(spark, sf_dir, "documents"), replant=periodic_runs.planted_tail)
+    # the greatest length, then the smallest start, then the smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.shorter")).alias("period"), F.expr("1000 * best.length div -best.shorter").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_near_dedup": op1_near_dedup, "op2_bpe": op2_bpe, "op3_va_topk": op3_va_topk, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity,
             "op6_main_text": op6_main_text, "op7_token_rollup": op7_token_rollup, "op8_license_scan": op8_license_scan,
             "op9_decontaminate": op9_decontaminate, "op10_lm_score": op10_lm_score,
-            "op11_whiten": op11_whiten}
+            "op11_whiten": op11_whiten, "op13_runs": op13_runs}
 
 
 def oracles() -> dict[str, str]:
