@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bit_whiten, decontaminate, html_mincut, license_scan, lm_score, near_dedup, periodic_runs, prefix_bpe, token_rollup, toxicity, url_filter, va_search
+from foldwise.llm import bit_whiten, decontaminate, html_mincut, license_scan, lm_score, near_dedup, periodic_runs, phrase_automata, prefix_bpe, token_rollup, toxicity, url_filter, va_search
 from foldwise.llm.common import id_remainder, shared_path, table
 
 
@@ -138,6 +138,11 @@ def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_whiten.whitened_rows(rows, components=4).withColumn("vec_id", F.col("vec_id").cast("long"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrase_automata.remove_recurring(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.collapse_runs(table(spark, sf_dir, "documents"), replant=periodic_runs.planted_tail)
     # the greatest length, then the smallest start, then the smallest period
@@ -153,7 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_near_dedup": op1_near_dedup, "op2_bpe": op2_bpe, "op3_va_topk": op3_va_topk, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity,
             "op6_main_text": op6_main_text, "op7_token_rollup": op7_token_rollup, "op8_license_scan": op8_license_scan,
             "op9_decontaminate": op9_decontaminate, "op10_lm_score": op10_lm_score,
-            "op11_whiten": op11_whiten, "op13_runs": op13_runs}
+            "op11_whiten": op11_whiten, "op12_phrases": op12_phrases, "op13_runs": op13_runs}
 
 
 def oracles() -> dict[str, str]:
