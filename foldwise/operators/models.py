@@ -1,31 +1,34 @@
-"""Model training, scoring and attribution with ``pyspark.ml`` (ML1-ML5, SHAP1-2, SEL1).
+"""Model training, scoring and attribution (ML1-ML5, SHAP1-2, SEL1).
 
-Every fit is a distributed ``pyspark.ml`` estimator over the assembled frame; the k
-fold fits of a cross-validation are submitted concurrently from a thread pool so their
-jobs share the cluster. Metrics come from the histogram-based scoring jobs, grouped by
-fold, so no prediction column is ever collected.
+All models of a run share one written design: the label, the fold, the numeric values and every
+categorical column's ordered target statistics for each fold model (``encoding``). Logistic models of all
+folds and feature sets are fitted together, a scan an iteration (``logit``); boosted trees are
+``pyspark.ml`` GBTs on the same columns, the fold fits submitted side by side. Fitted models are small arrays;
+scoring is one Arrow pass, and metrics come from histograms of scores, grouped by fold, when they are asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
-
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, OneHotEncoderModel, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from functools import cached_property
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import TWO_POW_32, h
-from foldwise.functions.scalar import known, missing_category
+from foldwise.functions.scalar import PROBA_EPS, known
+from foldwise.operators.encoding import model_priors, ordered_statistics
+from foldwise.operators.logit import Columns, array_column, fit_many, moments, plain_column, sigmoid, tasks_of
 from foldwise.operators.rank import dist_rank
-from foldwise.operators.scoring import METRICS, binary_metrics, with_summary
-from foldwise.session import materialize
+from foldwise.operators.scoring import METRICS, binary_metrics, rank_metrics, with_summary  # noqa: F401
+from foldwise.session import materialize, ship_package
+
 
 @dataclass
 class ModelSpec:
@@ -34,141 +37,242 @@ class ModelSpec:
     kind: str = "logistic"
     max_iter: int = 50
     reg_param: float = 0.01
-    tol: float = 1e-4
+    tol: float = 1e-12
     trees: int = 20
     depth: int = 4
     step: float = 0.1
     seed: int = 42
-    buckets: int = 1024  # hashed slots of each categorical column
-
-
-def prepare(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
-    """PRJ8: categorical columns as text with ``__missing__`` for nulls and NaN."""
-    return df.withColumns({c: missing_category(c, df) for c in categorical}) if categorical else df
-
-
-def pipeline(numeric: Sequence[str], categorical: Sequence[str], label: str, spec: ModelSpec) -> Pipeline:
-    """Mean imputation plus a missing flag per numeric column, one-hot of the hashed categories
-    (``spec.buckets`` slots a column, sparse), vector assembly, classifier. No step collects the values of
-    a column, so the number of categories doesn't matter to the driver, and trees split on 0/1 slots."""
-    stages, inputs = [], []
-    num = list(numeric)
-    if num:
-        imputed = [f"_imp_{c}" for c in num]
-        stages.append(Imputer(inputCols=num, outputCols=imputed, strategy="mean"))
-        inputs += imputed + [f"_miss_{c}" for c in num]
-    if categorical:
-        slot = "CAST(pmod(xxhash64(`{c}`), {n}) AS DOUBLE) AS `_idx_{c}`"
-        parts = ", ".join(slot.format(c=c, n=spec.buckets) for c in categorical)
-        stages.append(SQLTransformer(statement=f"SELECT *, {parts} FROM __THIS__"))
-        stages.append(OneHotEncoder(inputCols=[f"_idx_{c}" for c in categorical], outputCols=[f"_oh_{c}" for c in categorical],
-                                    handleInvalid="keep"))
-        inputs += [f"_oh_{c}" for c in categorical]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep"))
-    if spec.kind == "gbt":
-        clf = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=spec.trees, maxDepth=spec.depth,
-                            stepSize=spec.step, seed=spec.seed)
-    else:
-        clf = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=spec.max_iter,
-                                 regParam=spec.reg_param, tol=spec.tol)
-    stages.append(clf)
-    return Pipeline(stages=stages)
-
 
-def with_missing_flags(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    values = {c: known(df, c).cast("double") for c in numeric}
-    return df.withColumns(values | {f"_miss_{c}": v.isNull().cast("double") for c, v in values.items()}) if numeric else df
-
-
-def proba(pred: DataFrame, out: str = "proba") -> DataFrame:
-    return pred.withColumn(out, vector_to_array(F.col("probability"))[1])
 
+@dataclass(frozen=True)
+class BoostedModel:
+    """The trees of a GBT over the design columns ``columns``."""
 
-def _design(df: DataFrame, id_col: str, label: str, numeric, categorical, extra=()) -> DataFrame:
-    cols = list(dict.fromkeys([id_col, label, *extra, *numeric, *categorical]))
-    d = prepare(df.select(*cols), categorical)
-    return with_missing_flags(d, numeric).withColumn(label, F.col(label).cast("double"))
+    columns: tuple[int, ...]
+    trees: tuple
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        from foldwise.operators.treeshap import predict_trees
+        return 2.0 * predict_trees(self.trees, x[:, list(self.columns)])
 
-def fit(df: DataFrame, id_col: str, label: str, numeric, categorical, spec: ModelSpec | None = None
-        ) -> PipelineModel:
-    """ML2: one fit on all given rows."""
-    spec = spec or ModelSpec()
-    return pipeline(numeric, categorical, label, spec).fit(_design(df, id_col, label, numeric, categorical))
+    def proba(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(self.margin(x))
 
 
-def predict(model: PipelineModel, df: DataFrame, id_col: str, label: str, numeric, categorical,
-            extra=()) -> DataFrame:
-    d = _design(df, id_col, label, numeric, categorical, extra)
-    return proba(model.transform(d)).select(id_col, label, *extra, "proba")
+@dataclass
+class Design:
+    """``table``: id, label (double), fold (int, null outside of dev), num, enc_fit, enc_apply and the extra columns,
+    written once."""
+
+    table: DataFrame
+    id_col: str
+    columns: Columns
+    priors: list[float]
+    extra: tuple[str, ...] = ()
+
+    @property
+    def k(self) -> int:
+        return self.columns.k
+
+    @property
+    def features(self) -> list[str]:
+        return [*self.columns.numeric, *self.columns.categorical]
+
+    @cached_property
+    def moments(self) -> tuple[np.ndarray, np.ndarray]:
+        return moments(self.table, self.columns, tasks_of(self.table))
+
+    def fit(self, sets: Sequence[tuple[int, Sequence[str]]], spec: ModelSpec) -> list:
+        """The models of (fold left out or k, features)."""
+        if spec.kind != "gbt":
+            return fit_many(self.table, self.columns, sets, spec.reg_param, spec.tol, spec.max_iter, self.moments)[0]
+        with ThreadPoolExecutor(max_workers=max(1, len(sets))) as pool:
+            return list(pool.map(lambda s: self.fit_trees(*s, spec), sets))
+
+    def vector(self, model: int, picked: Sequence[int], encoding: str) -> Column:
+        """The model's input as an array, its columns in the design's order."""
+        n, c = len(self.columns.numeric), self.columns
+        value = lambda j: F.get("num", F.lit(j))
+        parts = []
+        for j in picked:
+            if j < n:
+                parts.append(F.when(F.isnan(value(j)), F.lit(float(c.impute[model][j]))).otherwise(value(j)))
+            elif j < 2 * n:
+                parts.append(F.isnan(value(j - n)).cast("double"))
+            else:
+                parts.append(F.get(encoding, F.lit((j - 2 * n) * (self.k + 1) + model)))
+        return F.array(*parts)
+
+    def fit_trees(self, model: int, features: Sequence[str], spec: ModelSpec) -> BoostedModel:
+        from foldwise.operators.treeshap import read_trees
+        picked = self.columns.of(features)
+        train = self.table.where(F.col("fold").isNotNull() & (F.col("fold") != model) & F.col("label").isNotNull())
+        vectors = train.select("label", array_to_vector(self.vector(model, picked, "enc_fit")).alias("_features"))
+        gbt = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=spec.trees, maxDepth=spec.depth, stepSize=spec.step, seed=spec.seed)
+        return BoostedModel(tuple(picked), tuple(read_trees(gbt.fit(vectors), self.table.sparkSession)))
+
+    def map(self, fn: Callable[[pa.RecordBatch, Callable[[int], np.ndarray]], Iterator[pa.RecordBatch]], schema: str, rows: DataFrame | None = None) -> DataFrame:
+        """``fn(batch, matrix)`` over the table's batches; ``matrix(i)`` is the batch as model i scores it."""
+        ship_package(self.table.sparkSession)
+        columns = self.columns
+
+        def run(batches):
+            for batch in batches:
+                num, enc = array_column(batch, "num", len(columns.numeric)), array_column(batch, "enc_apply", len(columns.categorical) * (columns.k + 1))
+                yield from fn(batch, lambda i, num=num, enc=enc: columns.matrix(num, enc, i))
+
+        return (self.table if rows is None else rows).mapInArrow(run, schema)
+
+    def score(self, models: dict, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """``keep`` and the probability of each of ``rows`` by the model of its fold, or by the only model."""
+        fields = [f for f in self.table.schema.fields if f.name in keep]
+
+        def fn(batch, matrix):
+            fold = plain_column(batch, "fold")
+            out = np.full(len(batch), np.nan)
+            for i, model in models.items():
+                mine = np.ones(len(batch), bool) if len(models) == 1 else fold == i
+                if mine.any():
+                    out[mine] = model.proba(matrix(i)[mine])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)) for f in fields], pa.array(out)],
+                                             names=[*[f.name for f in fields], "proba"])
+
+        return self.map(fn, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "proba double"]), rows)
+
+
+def build_design(df: DataFrame, id_col: str, label: str, numeric: Sequence[str], categorical: Sequence[str], k: int, fold_col: str = "fold",
+                 extra: Sequence[str] = (), seed: int = 42) -> Design:
+    """PRJ8 and the encodings: categorical values are text with ``__missing__`` for null and NaN, numeric ones doubles
+    with a missing flag, imputed by each model's training mean."""
+    numeric, categorical = list(numeric), list(categorical)
+    dev = df.where(F.col(fold_col).isNotNull())
+    priors = model_priors(df, label, k, fold_col)
+    values = {c: known(df, c).cast("double") for c in numeric}
+    sums = dev.groupBy(fold_col).agg(F.count(F.lit(1)), *[f(values[c]) for c in numeric for f in (F.avg, F.count)]).collect()  # k rows
+    impute = np.zeros((k + 1, len(numeric)))
+    for i in range(k + 1):
+        for j in range(len(numeric)):
+            own = [(r[2 + 2 * j], r[3 + 2 * j]) for r in sums if r[0] != i and r[3 + 2 * j]]
+            impute[i, j] = sum(m * n for m, n in own) / max(sum(n for _, n in own), 1)
+    nan = F.lit(float("nan"))
+    base = df.select(F.col(id_col), F.col(label).cast("double").alias("label"), F.col(fold_col).cast("int").alias("fold"), *[c for c in extra],
+                     F.array(*[F.coalesce(values[c], nan) for c in numeric]).cast("array<double>").alias("num"))
+    if categorical:
+        table = base.join(ordered_statistics(df, id_col, label, categorical, k, fold_col, seed, priors), id_col)
+    else:
+        table = base.withColumns({c: F.array().cast("array<double>") for c in ("enc_fit", "enc_apply")})
+    ship_package(df.sparkSession)
+    return Design(materialize(table, "design"), id_col, Columns(tuple(numeric), tuple(categorical), k, impute), priors, tuple(extra))
 
 
 @dataclass
 class CVResult:
-    oof: DataFrame          # (id, fold, label, proba) for validation rows
-    models: dict            # fold -> PipelineModel
-    fold_metrics: DataFrame  # fold, auc, logloss, pr_auc, ks, brier (+ -1 mean, -2 pop std)
-    train_metrics: DataFrame
-    design: DataFrame | None = None  # persisted model input; release with ``release()``
-
-    def release(self) -> None:
-        if self.design is not None:
-            self.design.unpersist()
-
-
-def cross_validate(df: DataFrame, id_col: str, label: str, numeric, categorical, k: int,
-                   fold_col: str = "fold", spec: ModelSpec | None = None, threads: int | None = None,
-                   with_train_metrics: bool = True) -> CVResult:
-    """ML1: k models (train = fold <> i), out-of-fold probabilities for the validation
-    rows, per-fold validation and training metrics, their mean and population std."""
-    spec = spec or ModelSpec()
-    dev = df.where(F.col(fold_col).isNotNull())
-    design = _design(dev, id_col, label, numeric, categorical, [fold_col]).persist(StorageLevel.MEMORY_AND_DISK)
-    pipe = pipeline(numeric, categorical, label, spec)
-
-    def fit_fold(i):
-        return i, pipe.fit(design.where(F.col(fold_col) != i))
-
-    with ThreadPoolExecutor(max_workers=threads or k) as pool:
-        models = dict(pool.map(fit_fold, range(k)))
-    vals, trains = [], []
-    for i, m in models.items():
-        vals.append(proba(m.transform(design.where(F.col(fold_col) == i))).select(id_col, fold_col, label, "proba"))
-        if with_train_metrics:
-            trains.append(proba(m.transform(design.where(F.col(fold_col) != i)))
-                          .select(F.lit(i).alias(fold_col), label, "proba"))
-    oof = vals[0]
-    for v in vals[1:]:
-        oof = oof.unionByName(v)
-    fm = with_summary(binary_metrics(oof, "proba", label, by=[fold_col]), fold_col)
-    tm = None
-    if with_train_metrics:
-        tr = trains[0]
-        for t in trains[1:]:
-            tr = tr.unionByName(t)
-        tm = with_summary(binary_metrics(tr, "proba", label, by=[fold_col]), fold_col)
-    return CVResult(oof, models, fm, tm, design)
-
-
-def cv_auc(df: DataFrame, id_col: str, label: str, features: Sequence[str], categorical_all: Sequence[str], k: int,
-           fold_col: str = "fold", spec: ModelSpec | None = None) -> float:
-    """Mean fold AUC for a feature subset; the empty set scores 0.5 (SEL1)."""
-    if not features:
-        return 0.5
-    cats = [c for c in features if c in categorical_all]
-    nums = [c for c in features if c not in cats]
-    r = cross_validate(df, id_col, label, nums, cats, k, fold_col, spec, with_train_metrics=False)
-    row = r.fold_metrics.where(F.col(fold_col) == -1).select("auc").first()
-    r.release()
-    return float(row["auc"]) if row and row["auc"] is not None else 0.5
+    """The fold models; scores and metrics are worked out when they are asked for."""
+
+    design: Design
+    models: dict  # fold -> model
+
+    @cached_property
+    def oof(self) -> DataFrame:
+        """(id, fold, label, proba) of the validation rows, each by the model that did not see it."""
+        d = self.design
+        return d.score(self.models, d.table.where("fold IS NOT NULL"), [d.id_col, "fold", "label"])
+
+    @cached_property
+    def fold_metrics(self) -> DataFrame:
+        """fold, auc, logloss, pr_auc, ks, brier (-1: mean, -2: population std)."""
+        return with_summary(binary_metrics(self.oof, "proba", "label", by=["fold"]), "fold")
+
+    @cached_property
+    def train_metrics(self) -> DataFrame:
+        """The same on the rows that each model was trained on."""
+        d, models = self.design, self.models
+
+        def fn(batch, matrix):
+            fold, label = plain_column(batch, "fold"), plain_column(batch, "label")
+            for i, model in models.items():
+                seen = fold != i
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(seen.sum(), i, np.int32)), pa.array(label[seen], from_pandas=True), pa.array(model.proba(matrix(i)[seen]))],
+                                                 names=["fold", "label", "proba"])
+
+        scored = d.map(fn, "fold int, label double, proba double", d.table.where("fold IS NOT NULL"))
+        return with_summary(binary_metrics(scored, "proba", "label", by=["fold"]), "fold")
+
+
+def cross_validate(df: DataFrame | Design, id_col: str, label: str, numeric, categorical, k: int, fold_col: str = "fold",
+                   spec: ModelSpec | None = None) -> CVResult:
+    """ML1: k models (train = fold <> i) over one design."""
+    design = df if isinstance(df, Design) else build_design(df.where(F.col(fold_col).isNotNull()), id_col, label, numeric, categorical, k, fold_col)
+    features = [*numeric, *categorical]
+    return CVResult(design, dict(enumerate(design.fit([(i, features) for i in range(k)], spec or ModelSpec()))))
+
+
+HISTOGRAM = "set int, fold int, score double, pos long, neg long"
+
+
+def histogram_batch(pieces: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of ``HISTOGRAM`` from (set, fold, probabilities, labels); rows without a label are left out."""
+    columns = [[] for _ in range(5)]
+    for number, fold, proba, y in pieces:
+        there = ~np.isnan(y)
+        score, at = np.unique(np.clip(proba[there], PROBA_EPS, 1 - PROBA_EPS), return_inverse=True)
+        n, pos = np.bincount(at, minlength=len(score)), np.bincount(at, weights=y[there], minlength=len(score)).astype(np.int64)
+        for c, v in zip(columns, (np.full(len(score), number, np.int32), np.full(len(score), fold, np.int32), score, pos, n - pos), strict=True):
+            c.append(v)
+    kinds = (np.int32, np.int32, float, np.int64, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, t), *c]).astype(t)) for c, t in zip(columns, kinds, strict=True)],
+                                      names=["set", "fold", "score", "pos", "neg"])
+
+
+def histogram_aucs(rows: DataFrame) -> DataFrame:
+    """(set, fold, auc) of rows of ``HISTOGRAM``, which add up."""
+    whole = rows.groupBy("set", "fold", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return rank_metrics(whole, ["set", "fold"]).select("set", "fold", "auc")
+
+
+def set_aucs(design: Design, sets: Sequence[Sequence[str]], spec: ModelSpec | None = None) -> list[float]:
+    """SEL1: the mean fold AUC of each feature set; an empty set scores 0.5. All sets and folds are fitted in the same
+    scans and scored in one."""
+    spec, wanted = spec or ModelSpec(), [(n, s) for n, s in enumerate(sets) if s]
+    if not wanted:
+        return [0.5] * len(sets)
+    tasks = [(n, i, s) for n, s in wanted for i in range(design.k)]
+    models, k = [(n, i, m) for (n, i, _), m in zip(tasks, design.fit([(i, s) for _, i, s in tasks], spec), strict=True)], design.k
+
+    def fn(batch, matrix):
+        fold, y = plain_column(batch, "fold"), plain_column(batch, "label")
+        pieces = []
+        for i in range(k):
+            mine = fold == i
+            if mine.any():
+                x = matrix(i)[mine]
+                pieces += [(n, i, m.proba(x), y[mine]) for n, own, m in models if own == i]
+        yield histogram_batch(pieces)
+
+    aucs = histogram_aucs(design.map(fn, HISTOGRAM, design.table.where("fold IS NOT NULL"))).groupBy("set").agg(F.avg("auc").alias("auc"))
+    found = {r["set"]: r["auc"] for r in aucs.collect()}  # a number a set
+    return [0.5 if found.get(n) is None else float(found[n]) for n in range(len(sets))]
+
+
+def fit(df: DataFrame, id_col: str, label: str, numeric, categorical, spec: ModelSpec | None = None, split_col: str = "split", k: int | None = None,
+        fold_col: str = "fold") -> tuple[Design, object]:
+    """ML2: the design of all rows, and one model of the rows that have a fold."""
+    k = int(df.agg(F.max(fold_col)).first()[0] or 0) + 1 if k is None else k
+    extra = [split_col] if split_col in df.columns else []
+    design = build_design(df, id_col, label, numeric, categorical, k, fold_col, extra)
+    return design, design.fit([(k, [*numeric, *categorical])], spec or ModelSpec())[0]
+
+
+def predict(design: Design, model, rows: DataFrame | None = None) -> DataFrame:
+    """(id, label, extra columns, proba) of the design's rows, or of ``rows`` of its table."""
+    return design.score({design.k: model}, design.table if rows is None else rows, [design.id_col, "label", *design.extra])
 
 
 def holdout_metrics(df: DataFrame, id_col: str, label: str, numeric, categorical, split_col: str = "split",
                     spec: ModelSpec | None = None) -> DataFrame:
     """ML3: fit on dev rows once, score the holdout rows once."""
-    m = fit(df.where(F.col(split_col) == "dev"), id_col, label, numeric, categorical, spec)
-    p = predict(m, df.where(F.col(split_col) == "holdout"), id_col, label, numeric, categorical)
-    return binary_metrics(p, "proba", label)
+    design, model = fit(df, id_col, label, numeric, categorical, spec, split_col)
+    return binary_metrics(predict(design, model, design.table.where(F.col(split_col) == "holdout")), "proba", "label")
 
 
 # ----------------------------------------------------------------------------- SHAP
@@ -187,37 +291,60 @@ def linear_shap(df: DataFrame, coefficients: dict, means: dict | None = None) ->
                                           for c in coefficients])).alias("s")).select("s.*")
 
 
-def permutation_importance(cv: CVResult, df: DataFrame, id_col: str, label: str, numeric, categorical,
-                           columns: Sequence[str], n_repeats: int = 5, seed: int = 42,
-                           fold_col: str = "fold") -> DataFrame:
-    """SHAP2: AUC drop when one column is shuffled among a fold's validation rows, each
-    row scored by the model that did not see it. The shuffle pairs the row at rank r in
-    one hash order with the row at rank r in another, inside the fold (distributed rank,
-    no driver permutation); one donor join per repeat serves every column and is written
-    once. Scores go on as (fold, column, repeat, label, score) rows without the columns, and
-    all AUCs come from one grouped job."""
-    cols = list(dict.fromkeys([*numeric, *categorical]))
-    dev = df.where(F.col(fold_col).isNotNull()).select(id_col, label, fold_col, *cols)
-    scored = []
-    for r in range(n_repeats):
-        a = dist_rank(dev.withColumn("_ha", h(id_col, f"a{seed}_{r}")), ["_ha", id_col], by=[fold_col],
-                      rank_col="_ra", uniform_max=TWO_POW_32).drop("_ha")
-        b = dist_rank(dev.withColumn("_hb", h(id_col, f"b{seed}_{r}")), ["_hb", id_col], by=[fold_col],
-                      rank_col="_rb", uniform_max=TWO_POW_32)
-        donor = b.select(F.col(fold_col).alias("_df"), F.col("_rb").alias("_dr"),
-                         *[F.col(c).alias(f"_d_{c}") for c in columns])
-        # written once a repeat: every column's scores read it
-        paired = materialize(a.join(donor, (F.col(fold_col) == F.col("_df")) & (F.col("_ra") == F.col("_dr"))).drop("_df", "_dr", "_ra"), "paired")
-        for c in columns:
-            swapped = paired.select(id_col, label, fold_col, *[F.col(f"_d_{x}").alias(x) if x == c else F.col(x) for x in cols])
-            scored += [predict(m, swapped.where(F.col(fold_col) == i), id_col, label, numeric, categorical, extra=[fold_col])
-                       .select(fold_col, label, "proba", F.lit(c).alias("_col"), F.lit(r).alias("_rep")) for i, m in cv.models.items()]
-    # one narrow row per score; the metric's histogram is all that is kept of them
-    perm = binary_metrics(materialize(reduce(DataFrame.unionByName, scored), "permuted"), "proba", label, by=[fold_col, "_col", "_rep"]).select(fold_col, "_col", "_rep", "auc")
-    base_auc = cv.fold_metrics.where(F.col(fold_col) >= 0).select(fold_col, F.col("auc").alias("_base"))
-    drop = perm.join(base_auc, fold_col).withColumn("_drop", F.col("_base") - F.col("auc"))
-    per_fold = drop.groupBy(fold_col, "_col").agg(F.avg("_drop").alias("_m"))
-    return materialize(per_fold.groupBy(F.col("_col").alias("feature")).agg(F.avg("_m").alias("importance")), "importance")
+def validation_rows(cv: CVResult) -> DataFrame:
+    """(id, fold, label, x): each validation row as its own fold's model scores it."""
+    d, width = cv.design, len(cv.design.columns.names)
+    k, id_col, id_type = d.k, d.id_col, d.table.schema[d.id_col].dataType.simpleString()
+
+    def fn(batch, matrix):
+        fold, x = plain_column(batch, "fold"), np.zeros((len(batch), width))
+        for i in range(k):
+            mine = fold == i
+            if mine.any():
+                x[mine] = matrix(i)[mine]
+        arrays = [batch.column(batch.schema.get_field_index(c)) for c in (id_col, "fold", "label")]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(x.reshape(-1)))],
+                                         names=["id", "fold", "label", "x"])
+
+    return d.map(fn, f"id {id_type}, fold int, label double, x array<double>", d.table.where("fold IS NOT NULL"))
+
+
+def permutation_importance(cv: CVResult, columns: Sequence[str], n_repeats: int = 5, seed: int = 42) -> DataFrame:
+    """SHAP2: AUC drop when one column is shuffled among a fold's validation rows, each row scored by the model that
+    did not see it. The shuffle pairs the row at rank r in one hash order with the row at rank r in another, inside
+    the fold; all repeats are ranked and joined together. One Arrow pass then scores every column of every
+    pair and hands on histograms of scores, which add up, so the plan has the same few nodes for any number of columns."""
+    rows = materialize(validation_rows(cv), "validation")
+    repeats = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
+    order = lambda side: h("id", F.concat(F.lit(f"{side}{seed}_"), F.col("rep")))
+    rank = lambda side: dist_rank(repeats.withColumn("_h", order(side)), ["_h", "id"], by=["fold", "rep"], rank_col="_r", uniform_max=TWO_POW_32).drop("_h")
+    donor = rank("b").select(F.col("fold").alias("_f"), F.col("rep").alias("_p"), F.col("_r").alias("_q"), F.col("x").alias("d"))
+    pairs = rank("a").join(donor, (F.col("fold") == F.col("_f")) & (F.col("rep") == F.col("_p")) & (F.col("_r") == F.col("_q")))
+    names, models, wanted = cv.design.columns.names, cv.models, list(columns)
+    slots = [[j for j, n in enumerate(names) if n == c] for c in wanted]
+    width, many = len(names), n_repeats
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold, rep, y = (plain_column(batch, c) for c in ("fold", "rep", "label"))
+            x, d = array_column(batch, "x", width), array_column(batch, "d", width)
+            pieces = []
+            for i in np.unique(fold).astype(int).tolist():
+                for r in np.unique(rep[fold == i]).astype(int).tolist():
+                    mine = (fold == i) & (rep == r)
+                    for c, own in enumerate(slots):
+                        swapped = x[mine].copy()
+                        swapped[:, own] = d[mine][:, own]
+                        pieces.append((c * many + r, i, models[i].proba(swapped), y[mine]))
+            yield histogram_batch(pieces)
+
+    ship_package(rows.sparkSession)
+    aucs = histogram_aucs(pairs.select("fold", "rep", "label", "x", "d").mapInArrow(score, HISTOGRAM))
+    base = cv.fold_metrics.where("fold >= 0").select("fold", F.col("auc").alias("_base"))
+    drop = aucs.join(base, "fold").select("fold", F.floor(F.col("set") / many).cast("int").alias("_c"), (F.col("_base") - F.col("auc")).alias("_drop"))
+    per_fold = drop.groupBy("fold", "_c").agg(F.avg("_drop").alias("_m")).groupBy("_c").agg(F.avg("_m").alias("importance"))
+    label = F.get(F.array(*[F.lit(c) for c in wanted]), F.col("_c"))
+    return materialize(per_fold.select(label.alias("feature"), "importance"), "importance")
 
 
 def training_record(cv: CVResult, holdout: DataFrame, n_rows: int | DataFrame, k: int, iteration: int = 0,
@@ -237,26 +364,12 @@ def training_record(cv: CVResult, holdout: DataFrame, n_rows: int | DataFrame, k
     return rec
 
 
-def tree_shap_importance(cv: CVResult, id_col: str, label: str, numeric, categorical,
-                         fold_col: str = "fold") -> DataFrame:
-    """SHAP1 for tree models: mean |SHAP| per input feature over the validation rows,
-    each row explained by the fold model that did not see it (exact path-dependent
-    tree SHAP in ``mapInPandas``, trees read from the saved models)."""
-    from foldwise.operators.treeshap import mean_abs_shap, read_trees
-    from pyspark.ml import PipelineModel as PM
-    design = cv.design
-    spark = design.sparkSession
-    trees, parts, slots = {}, [], {}
-    for i, m in cv.models.items():
-        stages = m.stages
-        trees[i] = read_trees(stages[-1], spark)
-        prep = PM(stages=stages[:-1])
-        parts.append(prep.transform(design.where(F.col(fold_col) == i)).select(fold_col, "_features"))
-        # a category column has as many slots as the fold's training rows filled
-        width = {c: s for enc in stages if isinstance(enc, OneHotEncoderModel) for c, s in zip(enc.getOutputCols(), enc.categorySizes)}
-        slots[i] = [c.removeprefix(p) for c in stages[-2].getInputCols() for p in ("_imp_", "_miss_", "_oh_") if c.startswith(p)
-                    for _ in range(width.get(c, 1))]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return mean_abs_shap(rows, trees, slots, fold_col)
+def tree_shap_importance(cv: CVResult) -> DataFrame:
+    """SHAP1 for tree models: mean |SHAP| per input feature over the validation rows, each row explained by the fold
+    model that did not see it (exact path-dependent tree SHAP)."""
+    from foldwise.operators.treeshap import mean_abs_shap
+    names = cv.design.columns.names
+    picked = {i: m.columns for i, m in cv.models.items()}
+    first = next(iter(picked.values()))
+    rows = validation_rows(cv).select("fold", F.array(*[F.get("x", F.lit(j)) for j in first]).alias("x"))
+    return mean_abs_shap(rows, {i: m.trees for i, m in cv.models.items()}, {i: [names[j] for j in c] for i, c in picked.items()}, "fold", "x")

@@ -1,4 +1,4 @@
-"""Online/offline parity replay (PAR1-PAR4, UDF2, UDF3, JOIN7, FN3, SRT4, F8, F9).
+"""Online/offline parity replay (PAR1, PAR2, PAR4, UDF2, UDF3, JOIN7, FN3, SRT4, F8, F9; PAR3 is in ``scan``).
 
 A feature's ``transform`` must be a pure row-wise function of its own rows and params.
 The replay re-runs the transform on small, isolated row subsets ("jobs": batches of a
@@ -24,11 +24,11 @@ from pyspark.sql import types as T
 from foldwise.functions.hashing import TWO_POW_32, h
 from foldwise.functions.scalar import known, same_value
 from foldwise.operators.rank import dist_rank
+from foldwise.operators.scan import MAX_TRUNCATED_POSITIONS, RowState, mean_of_call, rank_of_call, row_only, running_sum, truncated_replay
 
 # Fixed values of the replay.
 IID_BATCH_SIZES = [1, 5, 37]
 TEMPORAL_BATCH_SIZES = [1, 50, 500]
-MAX_TRUNCATED_POSITIONS = 200
 MAX_MISMATCH_EXAMPLES = 10
 
 
@@ -36,13 +36,15 @@ MAX_MISMATCH_EXAMPLES = 10
 class PandasFeature:
     """UDF3: vectorised transform ``fn(pdf) -> Series`` over the call's rows. ``grouped``,
     when given, computes the same values for many jobs at once
-    (``grouped(pdf, job_cols) -> Series``), which keeps one-row jobs cheap."""
+    (``grouped(pdf, job_cols) -> Series``), which keeps one-row jobs cheap. ``state`` is what
+    the truncated replay folds the rows into (``scan``)."""
 
     name: str
     required_columns: tuple[str, ...]
     fn: Callable[[pd.DataFrame], pd.Series]
     grouped: Callable[[pd.DataFrame, list[str]], pd.Series] | None = None
     output_type: str = "double"
+    state: RowState | None = None
 
 
 def replay_order(df: DataFrame, id_col: str, time_col: str | None = None, seed: int = 0) -> DataFrame:
@@ -143,33 +145,36 @@ def replay(df: DataFrame, feature: PandasFeature, offline: DataFrame, id_col: st
     return compare(offline, online, id_col)
 
 
+def temporal_replay(df: DataFrame, feature: PandasFeature, offline: DataFrame, id_col: str, time_col: str,
+                    sizes: Sequence[int] | None = None, max_positions: int = MAX_TRUNCATED_POSITIONS) -> DataFrame:
+    """PAR2 and PAR3 as one check: ``(feature, n_checked, n_mismatch, max_abs_diff)`` over the batches of the time
+    order and the truncated positions."""
+    batches = replay(df, feature, offline, id_col, time_col, sizes)
+    seen = compare(offline, truncated_replay(df, feature, id_col, time_col, max_positions), id_col)
+    both = batches.select("matched", "abs_diff").unionByName(seen.select("matched", "abs_diff"))
+    return summarize(both.withColumn("feature", F.lit(feature.name)), by=["feature"])
+
+
 # ----------------------------------------------------------------------------------
 # features used by the replay checks
 
 
-MAX_DRIVER_PARAMS = 100_000
-
+def join_params(df: DataFrame, params: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with the looked-up value of its key (``_<name>_value``) and the default (``_<name>_default``) of a
+    ``(key, value)`` params table whose null key holds the default. The table joins in Spark at any size."""
+    known_keys = params.where("key IS NOT NULL").select(F.col("key").alias("_key"), F.col("value").alias(f"_{name}_value"))
+    default = params.where("key IS NULL").agg(F.max("value").alias(f"_{name}_default"))  # one row
+    return df.join(known_keys, df[key] == known_keys["_key"], "left").drop("_key").crossJoin(default)
 
-def params_dict(params: DataFrame, max_rows: int = MAX_DRIVER_PARAMS) -> tuple[dict, float]:
-    """A ``(key, value)`` params table (null key = default) as a dict for a pandas
-    transform. Refuses tables above ``max_rows``: large params are joined to the rows in
-    Spark instead of being shipped through the driver."""
-    rows = params.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"params table has more than {max_rows} rows; join it instead of collecting it")
-    mapping = {r["key"]: r["value"] for r in rows if r["key"] is not None}
-    default = next((r["value"] for r in rows if r["key"] is None), None)
-    return mapping, default
 
+def lookup_feature(name: str, output_type: str = "double") -> PandasFeature:
+    """Compliant: a row's looked-up value, else the default (rows of ``join_params``)."""
+    value, default = f"_{name}_value", f"_{name}_default"
 
-def lookup_feature(name: str, key: str, mapping: dict, default: float) -> PandasFeature:
-    """Compliant: ``key.map(params).fillna(default)``; params are a handful of keys."""
     def fn(pdf: pd.DataFrame) -> pd.Series:
-        return pdf[key].map(mapping).astype("float64").fillna(default)
+        return pdf[value].where(pdf[value].notna(), pdf[default])
 
-    def grouped(pdf: pd.DataFrame, job_cols: list[str]) -> pd.Series:
-        return fn(pdf)
-    return PandasFeature(name, (key,), fn, grouped)
+    return PandasFeature(name, (value, default), fn, lambda pdf, job_cols: fn(pdf), output_type, row_only(fn))
 
 
 def rank_in_call(name: str, col: str) -> PandasFeature:
@@ -179,7 +184,7 @@ def rank_in_call(name: str, col: str) -> PandasFeature:
 
     def grouped(pdf: pd.DataFrame, job_cols: list[str]) -> pd.Series:
         return pdf.groupby(job_cols, sort=False)[col].rank(pct=True)
-    return PandasFeature(name, (col,), fn, grouped)
+    return PandasFeature(name, (col,), fn, grouped, state=rank_of_call(col))
 
 
 def cumsum_in_call(name: str, col: str) -> PandasFeature:
@@ -189,7 +194,17 @@ def cumsum_in_call(name: str, col: str) -> PandasFeature:
 
     def grouped(pdf: pd.DataFrame, job_cols: list[str]) -> pd.Series:
         return pdf.groupby(job_cols, sort=False)[col].cumsum()
-    return PandasFeature(name, (col,), fn, grouped)
+    return PandasFeature(name, (col,), fn, grouped, state=running_sum(col))
+
+
+def mean_in_call(name: str, col: str) -> PandasFeature:
+    """Negative control: the mean of the call's rows."""
+    def fn(pdf: pd.DataFrame) -> pd.Series:
+        return pd.Series(pdf[col].mean(), index=pdf.index)
+
+    def grouped(pdf: pd.DataFrame, job_cols: list[str]) -> pd.Series:
+        return pdf.groupby(job_cols, sort=False)[col].transform("mean")
+    return PandasFeature(name, (col,), fn, grouped, state=mean_of_call(col))
 
 
 def offline_pct_rank(df: DataFrame, id_col: str, col: str, out: str = "offline") -> DataFrame:
@@ -212,22 +227,3 @@ def offline_cumsum(df: DataFrame, id_col: str, time_col: str, col: str, out: str
     ps = prefix_sums(r.select(id_col, F.col("_r").cast("double").alias("_rd"), F.col(col).alias("_v")),
                      "_rd", ["_v"], inclusive=True)
     return ps.select(id_col, F.col("cum__v").alias(out))
-
-
-def truncated_prefix_mean(df: DataFrame, id_col: str, time_col: str, col: str,
-                          max_positions: int = MAX_TRUNCATED_POSITIONS) -> DataFrame:
-    """PAR3 for a batch-mean transform: at each of up to ``max_positions`` evenly spread
-    positions p (SRT6), the value the transform yields when it sees only rows 0..p equals
-    the prefix mean at p. Computed exactly from prefix sums, so the visible windows are
-    never materialised (they would be quadratic). Returns (pos, row id, online)."""
-    from foldwise.operators.rank import prefix_sums
-    from foldwise.operators.splits import sample_positions
-    r = dist_rank(df.select(id_col, time_col, col), [time_col, id_col], rank_col="_r", total_col="_n")
-    ps = prefix_sums(r.select(id_col, "_n", F.col("_r").cast("double").alias("_rd"),
-                              F.col(col).cast("double").alias("_v"),
-                              F.col(col).isNotNull().cast("int").alias("_one")),
-                     "_rd", ["_v", "_one"], inclusive=True)
-    n = r.select("_n").limit(1)
-    pos = n.select(F.explode(sample_positions(F.col("_n"), max_positions)).alias("pos"))
-    picked = ps.join(F.broadcast(pos), (F.col("_rd") - 1) == F.col("pos"), "inner")  # <= 200 rows broadcast
-    return picked.select("pos", id_col, (F.col("cum__v") / F.col("cum__one")).alias("online"))

@@ -2,13 +2,13 @@
 
 Every result is a DataFrame with a row per feature or per search step: candidate scores, lifts,
 redundancy labels, survivors, the forward search's steps and the round's catalog row. What the driver
-holds is feature names and one number for each model fit; the fits are distributed.
+holds is feature names and one number for each feature set; a step's sets are fitted and scored together
+(``models.set_aucs``), so the scans follow the steps and not the candidates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +24,8 @@ MIN_IMPROVEMENT = 1e-4
 BASELINE_IMPORTANCE_PROXY = 1.0
 EMPTY_SET_AUC = 0.5
 
-CvAuc = Callable[[list[str]], float]
+#: The cross-validated AUC of each of several feature sets.
+SetAucs = Callable[[list[list[str]]], list[float]]
 NOT_NUMERIC = ("string", "boolean", "timestamp", "timestamp_ntz", "date")
 
 
@@ -95,17 +96,14 @@ def step_lifts(trace: DataFrame, baseline_col: str = "baseline_auc") -> DataFram
 # ---------------------------------------------------------------------------- model-driven search
 
 
-def candidate_scores(spark: SparkSession, cv_auc: CvAuc, start: Sequence[str], candidates: Sequence[str],
-                     threads: int = 4) -> DataFrame:
-    """``(pos, feature, auc)``: the cross-validated AUC of ``start`` with each candidate. The fits are
-    independent jobs and run side by side."""
-    with ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
-        aucs = pool.map(lambda f: float(cv_auc([*start, f])), candidates)
-        return spark.createDataFrame([(i, f, a) for i, (f, a) in enumerate(zip(candidates, aucs))], "pos int, feature string, auc double")
+def candidate_scores(spark: SparkSession, set_aucs: SetAucs, start: Sequence[str], candidates: Sequence[str]) -> DataFrame:
+    """``(pos, feature, auc)``: the cross-validated AUC of ``start`` with each candidate."""
+    aucs = set_aucs([[*start, f] for f in candidates])
+    return spark.createDataFrame([(i, f, float(a)) for i, (f, a) in enumerate(zip(candidates, aucs, strict=True))], "pos int, feature string, auc double")
 
 
-def set_auc(cv_auc: CvAuc, features: Sequence[str]) -> float:
-    return float(cv_auc(list(features))) if features else EMPTY_SET_AUC
+def alone_auc(set_aucs: SetAucs, features: Sequence[str]) -> float:
+    return float(set_aucs([list(features)])[0]) if features else EMPTY_SET_AUC
 
 
 def best_candidate(scores: DataFrame, floor: float, gain: float) -> DataFrame:
@@ -117,19 +115,19 @@ def best_candidate(scores: DataFrame, floor: float, gain: float) -> DataFrame:
         c["auc"] > best["auc"] + F.lit(gain), F.struct(c["feature"].alias("feature"), c["auc"].alias("auc"))).otherwise(best)).alias("b")).select("b.*")
 
 
-def forward_search(spark: SparkSession, cv_auc: CvAuc, start: Sequence[str], candidates: Sequence[str], max_evals: int = MAX_EVALS,
-                   min_improvement: float = MIN_IMPROVEMENT, threads: int = 4) -> DataFrame:
+def forward_search(spark: SparkSession, set_aucs: SetAucs, start: Sequence[str], candidates: Sequence[str], max_evals: int = MAX_EVALS,
+                   min_improvement: float = MIN_IMPROVEMENT) -> DataFrame:
     """SEL4: ``(step, feature, auc, evals)``; step 0 is ``start`` itself, each further one the feature it
     adds. ``evals`` counts the model fits up to then, at most ``max_evals``; a last row without a feature
     closes a search in which no candidate was good enough."""
-    steps = [(0, None, set_auc(cv_auc, start), int(bool(start)))]
+    steps = [(0, None, alone_auc(set_aucs, start), int(bool(start)))]
     taken = list(start)
     while True:
         number, _, auc, evals = steps[-1]
         tried = [c for c in candidates if c not in taken][:max(0, max_evals - evals)]
         if not tried:
             break
-        found = best_candidate(candidate_scores(spark, cv_auc, taken, tried, threads), auc, min_improvement).first()
+        found = best_candidate(candidate_scores(spark, set_aucs, taken, tried), auc, min_improvement).first()
         steps.append((number + 1, found["feature"], found["auc"], evals + len(tried)))
         if found["feature"] is None:
             break
@@ -137,21 +135,22 @@ def forward_search(spark: SparkSession, cv_auc: CvAuc, start: Sequence[str], can
     return spark.createDataFrame(steps, "step int, feature string, auc double, evals int")
 
 
-def lift_screen(spark: SparkSession, cv_auc: CvAuc, baseline: Sequence[str], candidates: Sequence[str], min_lift: float = MIN_LIFT,
-                threads: int = 4) -> DataFrame:
-    """SEL1: ``(pos, feature, baseline_auc, auc, lift, accepted)`` of each candidate on top of ``baseline``."""
-    alone = set_auc(cv_auc, baseline)
-    scores = candidate_scores(spark, cv_auc, baseline, candidates, threads).withColumn("baseline_auc", F.lit(alone))
+def lift_screen(spark: SparkSession, set_aucs: SetAucs, baseline: Sequence[str], candidates: Sequence[str], min_lift: float = MIN_LIFT) -> DataFrame:
+    """SEL1: ``(pos, feature, baseline_auc, auc, lift, accepted)`` of each candidate on top of ``baseline``, the baseline
+    fitted along with them."""
+    alone, *aucs = set_aucs([list(baseline), *[[*baseline, f] for f in candidates]])
+    rows = [(i, f, float(a)) for i, (f, a) in enumerate(zip(candidates, aucs, strict=True))]
+    scores = spark.createDataFrame(rows, "pos int, feature string, auc double").withColumn("baseline_auc", F.lit(float(alone) if baseline else EMPTY_SET_AUC))
     return lift_accept_reject(scores.withColumn("lift", F.col("auc") - F.col("baseline_auc")), min_lift)
 
 
-def selection_round(df: DataFrame, cv_auc: CvAuc, baseline: Sequence[str], candidates: Sequence[str], iteration: int = 0,
+def selection_round(df: DataFrame, set_aucs: SetAucs, baseline: Sequence[str], candidates: Sequence[str], iteration: int = 0,
                     threshold: float = CORRELATION_THRESHOLD, min_lift: float = MIN_LIFT, max_evals: int = MAX_EVALS) -> DataFrame:
     """SEL5: the round's catalog row. Accepted candidates join the baseline, each redundant cluster keeps its
     most important member (baseline features count ``BASELINE_IMPORTANCE_PROXY``, candidates their lift), and
     the survivors go through the forward search. Without an accepted candidate the baseline stays."""
     spark = df.sparkSession
-    screened = materialize(lift_screen(spark, cv_auc, baseline, candidates, min_lift), "lifts")
+    screened = materialize(lift_screen(spark, set_aucs, baseline, candidates, min_lift), "lifts")
     passed = screened.where("accepted").select("feature", "lift").collect()  # names
     names = [*baseline, *sorted((r["feature"] for r in passed), key=list(candidates).index)]
     weight = screened.select("feature", F.col("lift").alias("importance")).union(
@@ -159,7 +158,7 @@ def selection_round(df: DataFrame, cv_auc: CvAuc, baseline: Sequence[str], candi
     clusters = materialize(redundancy_clusters(df, names, threshold) if passed else positions(spark, names).select(F.col("feature").alias("cluster"), "feature"), "clusters")
     kept = sorted((r["survivor"] for r in redundancy_survivors(clusters, weight, names).collect()), key=names.index)  # names
     start, open_ = [f for f in kept if f in baseline], [f for f in kept if f not in baseline]
-    steps = materialize(forward_search(spark, cv_auc, start, open_, max_evals), "steps")
+    steps = materialize(forward_search(spark, set_aucs, start, open_, max_evals), "steps")
     as_list = lambda c: F.array_sort(F.collect_list(c))
     names_of = lambda c: F.transform(as_list(c), lambda x: x["feature"])
     ranked = F.struct("pos", "feature")

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.session import checkpoint_dir
 
@@ -128,6 +129,19 @@ def shap_values(trees: Sequence[Tree], X: np.ndarray) -> np.ndarray:
     return phi
 
 
+def predict_trees(trees: Sequence[Tree], X: np.ndarray) -> np.ndarray:
+    """The ensemble's margin of each row, node by node over all rows."""
+    out = np.zeros(len(X))
+    for t in trees:
+        at = np.zeros(len(X), int)
+        for i in t.order:  # parents before children
+            if t.left[i] >= 0:
+                here = at == i
+                at[here] = np.where(goes_left(t, i, X[here]), t.left[i], t.right[i])
+        out += t.weight * t.value[at]
+    return out
+
+
 def expected_value(trees: Sequence[Tree]) -> float:
     """The margin of no features: leaf values by the shares of training rows."""
     return sum(t.weight * value * math.prod(z for z, _ in path.values()) for t in trees for value, path in leaf_paths(t))
@@ -136,7 +150,7 @@ def expected_value(trees: Sequence[Tree]) -> float:
 def mean_abs_shap(rows: DataFrame, models: dict, slot_features: dict[int, Sequence[str]], fold_col: str = "fold",
                   features_col: str = "_features") -> DataFrame:
     """Mean |SHAP| per input feature, each row explained by the model of its fold.
-    ``rows`` carries the assembled feature vector and the fold; ``models`` maps fold ->
+    ``rows`` carries the feature vector (an array, or an ML vector) and the fold; ``models`` maps fold ->
     trees; ``slot_features`` maps fold -> the input feature of every vector slot (slots of one
     feature, e.g. an imputed value and its missing flag, are added before the abs).
     Each task returns partial sums, so only features x tasks rows leave Python."""
@@ -144,7 +158,8 @@ def mean_abs_shap(rows: DataFrame, models: dict, slot_features: dict[int, Sequen
     ship_package(rows.sparkSession)
     names = sorted(set().union(*slot_features.values()))
     slot_idx = {f: {n: [j for j, s in enumerate(slots) if s == n] for n in names} for f, slots in slot_features.items()}
-    arr = rows.select(F.col(fold_col).cast("int").alias("_fold"), vector_to_array(F.col(features_col)).alias("_x"))
+    array = isinstance(rows.schema[features_col].dataType, T.ArrayType)
+    arr = rows.select(F.col(fold_col).cast("int").alias("_fold"), (F.col(features_col) if array else vector_to_array(F.col(features_col))).alias("_x"))
 
     def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = {n: 0.0 for n in names}

@@ -1,10 +1,14 @@
 """Replay checks: compliant lookup passes, order-dependent transforms fail, job batching
 carries open jobs across Arrow batches."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from foldwise.operators import parity as par
+from foldwise.operators import scan
+from foldwise.operators.scan import RowState
 
 
 def frame(spark, n=120):
@@ -15,8 +19,8 @@ def frame(spark, n=120):
 def test_transform_many_jobs(spark):
     rows = spark.createDataFrame([(0, "Earth", 0.0, 0, 0), (1, "Mars", 0.0, 1, 1), (2, "Earth", 0.0, 1, 2)],
                                  "row_id long, HomePlanet string, RoomService double, job long, pos long")
-    f = par.lookup_feature("v", "HomePlanet", {"Earth": 20.0, "Mars": 5.0}, 10.0)
-    out = par.transform_many(rows, f, "row_id", ["job"]).orderBy("row_id").toPandas()
+    params = spark.createDataFrame([("Earth", 20.0), ("Mars", 5.0), (None, 10.0)], "key string, value double")
+    out = par.transform_many(par.join_params(rows, params, "HomePlanet", "v"), par.lookup_feature("v"), "row_id", ["job"]).orderBy("row_id").toPandas()
     assert out["value"].tolist() == [20.0, 5.0, 20.0]
 
 
@@ -35,8 +39,9 @@ def test_transform_many_carries_open_job_across_arrow_batches(spark):
 
 def test_compliant_lookup_passes_iid_and_temporal(spark):
     df = frame(spark)
-    mapping, default = {"Earth": 12.0, "Mars": 7.0}, 3.0
-    f = par.lookup_feature("v", "HomePlanet", mapping, default)
+    params = spark.createDataFrame([("Earth", 12.0), ("Mars", 7.0), (None, 3.0)], "key string, value double")
+    df = par.join_params(df, params, "HomePlanet", "v")
+    f = par.lookup_feature("v")
     offline = df.select("row_id", F.coalesce(
         F.when(F.col("HomePlanet") == "Earth", 12.0).when(F.col("HomePlanet") == "Mars", 7.0), F.lit(3.0)).alias("offline"))
     for time_col in (None, "t"):
@@ -64,8 +69,8 @@ def test_cumsum_fails_both_replays(spark):
     assert temporal.loc[500, "n_mismatch"] == 0
     iid = par.summarize(par.replay(df, f, offline, "row_id")).toPandas()
     assert (iid["n_mismatch"] > 0).all()
-    tp = par.truncated_prefix_mean(df, "row_id", "t", "RoomService", max_positions=50).toPandas()
-    assert len(tp) == 50
+    whole = par.temporal_replay(df, f, offline, "row_id", "t").first()
+    assert whole["n_checked"] == 3 * 120 + 120 and whole["n_mismatch"] == temporal["n_mismatch"].sum()
 
 
 def test_examples_are_first_ten(spark):
@@ -84,3 +89,45 @@ def test_values_of_any_type_are_compared(spark):
         df = spark.createDataFrame(rows, f"row_id long, offline {kind}, value {kind}")
         got = compare(df.select("row_id", "offline"), df.select("row_id", "value"), "row_id").orderBy("row_id").collect()
         assert [int(r["matched"]) for r in got] == want
+
+
+def states(col):
+    return [par.rank_in_call("rank", col), par.cumsum_in_call("sum", col), par.mean_in_call("mean", col),
+            par.PandasFeature("shift", (col,), lambda pdf: pdf[col].shift(), state=RowState(
+                lambda probes: (None, None), lambda s, rows, probes: tuple(([*s, *rows[col].tolist()])[-2:]),
+                lambda a, b: tuple(([*a, *[x for x in b if x is not None]])[-2:]), lambda s, probes, i: s[0]))]
+
+
+def test_declared_states_equal_the_transform():
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"x": rng.integers(0, 6, 60).astype(float)})
+    rows.loc[[4, 17, 59], "x"] = np.nan
+    for f in states("x")[:3]:
+        for n in (1, 2, 5, 18, 40, 60):
+            window = rows.iloc[:n]
+            want = f.fn(window).iloc[-1]
+            for cut in (0, n // 3, n):
+                assert scan.state_value(f.state, window, cut) == pytest.approx(want, nan_ok=True)
+
+
+def test_truncated_replay_equals_every_window(spark):
+    """Also a state whose merge isn't commutative, and ties in time."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"row_id": np.arange(400), "t": rng.integers(0, 40, 400), "x": rng.integers(0, 9, 400).astype(float)})
+    order = pdf.sort_values(["t", "row_id"], ignore_index=True)
+    df = spark.createDataFrame(pdf).repartition(5)
+    for f in states("x"):
+        for m in (7, 200):
+            got = scan.truncated_replay(df, f, "row_id", "t", m).toPandas().sort_values("pos", ignore_index=True)
+            at = sorted({int(i * 400 / m) for i in range(m)})
+            assert got["pos"].tolist() == at and got["row_id"].tolist() == order["row_id"].iloc[at].tolist()
+            assert got["value"].tolist() == pytest.approx([f.fn(order.iloc[:p + 1]).iloc[-1] for p in at], nan_ok=True)
+
+
+def test_truncated_replay_of_few_rows_and_without_a_state(spark):
+    df = spark.createDataFrame([(1, 3, 2.0), (2, 1, None)], "row_id long, t long, x double")
+    got = scan.truncated_replay(df, par.cumsum_in_call("c", "x"), "row_id", "t").orderBy("pos").collect()
+    assert [(r["pos"], r["row_id"]) for r in got] == [(0, 2), (1, 1)] and got[1]["value"] == 2.0
+    assert scan.truncated_replay(df.limit(0), par.cumsum_in_call("c", "x"), "row_id", "t").count() == 0
+    with pytest.raises(ValueError, match="declares no state"):
+        scan.truncated_replay(df, par.PandasFeature("p", ("x",), lambda pdf: pdf["x"]), "row_id", "t")

@@ -77,12 +77,18 @@ def test_clusters_and_survivors(spark):
 
 def test_forward_search_order_budget_and_threshold(spark):
     scores = {(): 0.5, ("x",): 0.6, ("x", "a"): 0.70, ("x", "b"): 0.70005, ("x", "a", "b"): 0.71}
-    auc = lambda fs: scores[tuple(fs)]
+    asked = []
+
+    def auc(sets):
+        asked.append(len(sets))
+        return [scores[tuple(s)] for s in sets]
+
     steps = forward_search(spark, auc, ["x"], ["a", "b"]).collect()
     assert [(r["feature"], r["auc"], r["evals"]) for r in steps] == [(None, 0.6, 1), ("a", 0.70, 3), ("b", 0.71, 4)]
+    assert asked == [1, 2, 1]  # a step's candidates are fitted together
     short = forward_search(spark, auc, ["x"], ["a", "b"], max_evals=2).collect()
     assert [(r["feature"], r["evals"]) for r in short] == [(None, 1), ("a", 2)]
-    flat = forward_search(spark, lambda fs: 0.5, [], ["a", "b"]).collect()
+    flat = forward_search(spark, lambda sets: [0.5] * len(sets), [], ["a", "b"]).collect()
     assert [(r["feature"], r["evals"]) for r in flat] == [(None, 0), (None, 2)]
 
 
@@ -93,11 +99,11 @@ def test_run_selection_keeps_baseline_over_redundant_candidate(spark):
                                "base1 double, cand_dup double, cand_new double")
     aucs = {("base1",): 0.6, ("base1", "cand_dup"): 0.62, ("base1", "cand_new"): 0.65,
             ("base1", "cand_new"): 0.65}
-    r = selection_round(df, lambda fs: aucs.get(tuple(fs), 0.66), ["base1"], ["cand_dup", "cand_new"]).first()
+    r = selection_round(df, lambda sets: [aucs.get(tuple(s), 0.66) for s in sets], ["base1"], ["cand_dup", "cand_new"]).first()
     assert r["kept"] == ["base1", "cand_new"] and r["accepted"] == ["cand_dup", "cand_new"] and r["rejected"] == []
     assert r["clusters"] == [["base1", "cand_dup"], ["cand_new"]] and r["final_selected"] == ["base1", "cand_new"]
     assert [(x["feature"], x["auc"]) for x in r["auc_trace"]] == [("cand_new", 0.65)] and (r["baseline_auc"], r["final_auc"]) == (0.6, 0.65)
-    none = selection_round(df, lambda fs: 0.6, ["base1"], ["cand_new"]).first()
+    none = selection_round(df, lambda sets: [0.6] * len(sets), ["base1"], ["cand_new"]).first()
     assert none["final_selected"] == ["base1"] and none["rejected"] == ["cand_new"] and none["auc_trace"] == []
 
 

@@ -84,26 +84,3 @@ def test_auc_of_negated_score(spark):
     a = rank_metrics(histogram(df, "s", "y")).first()["auc"]
     b = rank_metrics(histogram(df, "ns", "y")).first()["auc"]
     assert a + b == pytest.approx(1.0, abs=1e-12)
-
-
-def test_models_take_any_number_of_categories(spark):
-    """100,000 categories; trees of depth 6."""
-    from foldwise.operators import models as ml
-    df = spark.range(120_000).select(F.col("id").alias("row_id"), F.concat(F.lit("c"), F.col("id") % 100_000).alias("cat"), (F.col("id") % 97).cast("double").alias("x"),
-                                     F.when(F.col("id") % 97 > 50, 1).otherwise(0).alias("y"), (F.col("id") % 3).cast("int").alias("fold"))
-    for spec in (ml.ModelSpec(kind="logistic", max_iter=5), ml.ModelSpec(kind="gbt", trees=2, depth=6)):
-        r = ml.cross_validate(df, "row_id", "y", ["x"], ["cat"], 3, spec=spec, with_train_metrics=False)
-        assert r.fold_metrics.where("fold = -1").first()["auc"] > 0.95
-        r.release()
-
-
-def test_shap_and_permutation_find_the_column_that_counts(spark):
-    from foldwise.operators import models as ml
-    df = spark.range(3000).select(F.col("id").alias("row_id"), F.concat(F.lit("c"), F.col("id") % 5).alias("cat"), (F.hash("id") % 97).cast("double").alias("x"),
-                                  F.when(F.col("id") % 5 >= 3, 1).otherwise(0).alias("y"), (F.abs(F.hash(F.col("id") + 7)) % 3).cast("int").alias("fold"))
-    r = ml.cross_validate(df, "row_id", "y", ["x"], ["cat"], 3, spec=ml.ModelSpec(kind="gbt", trees=3, depth=3), with_train_metrics=False)
-    shap = {x["feature"]: x["mean_abs_shap"] for x in ml.tree_shap_importance(r, "row_id", "y", ["x"], ["cat"]).collect()}
-    assert shap["cat"] > 5 * shap["x"]
-    imp = {x["feature"]: x["importance"] for x in ml.permutation_importance(r, df, "row_id", "y", ["x"], ["cat"], ["x", "cat"], n_repeats=2).collect()}
-    assert imp["cat"] > 0.2 and abs(imp["x"]) < 0.05
-    r.release()
