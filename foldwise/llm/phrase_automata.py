@@ -43,6 +43,7 @@ GRAM = 12  # words of an anchor
 MOST = 2000  # different stretches of an anchor that stay together
 SHARD = 8000  # stretches of a shard
 TOGETHER = 1 << 18  # words hashed together
+COMMON = 100_000  # anchors that are broadcast at most, by their share of all places
 BROADCAST_BYTES = 32 << 20  # of places that are broadcast to the texts; beyond, texts are shuffled
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -282,8 +283,13 @@ def recurring_places(docs: DataFrame, text_col: str = "text", window: int = WIND
     text = F.col(text_col).cast("binary")
     texts = docs.select(*keys_of(text), text.alias("text")).where("text IS NOT NULL")
     places = write_shared(texts.mapInArrow(places_with(window, gram), PLACES), "places")
-    again = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = places.join(again, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "first", "last", "place")).alias("wanted"))
+    again = write_shared(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    # at most COMMON anchors stand more often than that share of all places: those are broadcast, so that no key of the
+    # shuffle join holds more than the share
+    common = F.broadcast(again.where(F.col("n") > places.count() / COMMON).select("anchor"))
+    met = places.join(common, "anchor", "left_semi").unionByName(
+        places.join(common, "anchor", "left_anti").join(again.select("anchor"), "anchor", "left_semi"))
+    wanted = met.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "first", "last", "place")).alias("wanted"))
     wanted = write_shared(wanted, "wanted")
     cut = to_texts(texts, wanted, "wanted", "inner", broadcast_bytes).select("k1", "k2", "text", "wanted")
     rows = write_shared(cut.mapInArrow(cut_with(window, gram), STRETCHES), "stretches")
