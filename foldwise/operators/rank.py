@@ -4,12 +4,12 @@ A window without ``partitionBy`` moves every row into one task, so the library n
 uses one on row data. Instead:
 
 * ``dist_rank`` cuts the order key into buckets that are a pure function of the row
-  (approximate quantiles of the leading column; a value held by so many rows that it fills several
+  (``splitters``: bounds from a bounded hash sample; a value held by so many rows that it fills several
   buckets is cut into as many pieces on the tie-breaker), numbers rows with a window partitioned by
   bucket, and adds bucket offsets from a count table of at most 2 x buckets rows a group. The offsets
   are summed in two levels, and the planner chooses how they meet the rows.
 * ``prefix_sums`` runs over histograms (one row per distinct key, so no hot key can
-  exist): approximate quantile boundaries split the key range into buckets, a window
+  exist): sampled bounds split the key range into buckets, a window
   partitioned by bucket sums locally and the table of bucket totals supplies offsets.
 * ``exact_quantiles`` finds the buckets that hold the wanted positions from the count table and ranks
   the rows of those alone.
@@ -17,17 +17,16 @@ uses one on row data. Instead:
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldwise.operators import splitters
+from foldwise.operators.splitters import Splitters, find_splitters
 from foldwise.session import materialize, shuffle_partitions
 
 BLOCK = 1024  # buckets summed in one task of the first level
@@ -47,25 +46,6 @@ def is_ordinal(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
-def _accuracy(n_buckets: int) -> int:
-    """percentile_approx accuracy for bucket bounds: buckets only need to be roughly
-    balanced, so the sketch size is capped (no row is dropped by it)."""
-    return int(max(10_000, min(10 * n_buckets, 1_000_000)))
-
-
-def bucketize(df: DataFrame, x: Column, bounds: Sequence[float], out_col: str) -> DataFrame:
-    """Adds ``out_col``: the number of ``bounds`` below ``x`` (nulls and NaN get ``len(bounds) + 1``), by
-    binary search: a value equal to a bound stays the top of the lower bucket."""
-    bounds = sorted(set(float(b) for b in bounds))
-    if not bounds:
-        return df.withColumn(out_col, F.when(x.isNull(), 1).otherwise(0).cast("int"))
-    tmp, found = f"_bx_{out_col}", f"_bo_{out_col}"
-    splits = [float("-inf"), *[float(np.nextafter(b, np.inf)) for b in bounds], float("inf")]
-    search = Bucketizer(splits=splits, inputCol=tmp, outputCol=found, handleInvalid="keep")
-    out = search.transform(df.withColumn(tmp, F.coalesce(x, F.lit(float("nan")))))
-    return out.withColumn(out_col, F.col(found).cast("int")).drop(tmp, found)
-
-
 def tie_number(df: DataFrame, tie: str) -> Column:
     """What a hot value is cut on: the tie-breaker itself, or a hash of it where it is no number or time
     (ties are then ordered by that hash, see ``order_by``)."""
@@ -81,9 +61,9 @@ def order_by(df: DataFrame, order_cols: Sequence[str]) -> list[Column]:
 def rank_buckets(df: DataFrame, order_cols: Sequence[str], n_buckets: int,
                  uniform_max: float | None = None) -> DataFrame:
     """Adds ``_b1``, ``_b2``: a bucket key that is a pure function of the row's values and
-    increases with the (order_cols) order. ``_b1`` cuts the leading column at approximate
-    quantiles (or directly, when it is a uniform hash in [0, uniform_max)). A value that is the bound of
-    c > 1 buckets, and the null group if it would fill as many, is cut into c pieces ``_b2`` on the last
+    increases with the (order_cols) order. ``_b1`` cuts the leading column at sampled bounds
+    (or directly, when it is a uniform hash in [0, uniform_max)). A value that fills c > 1 buckets,
+    and the null group if it would fill as many, is cut into c pieces ``_b2`` on the last
     (tie-breaking) column. The c of all values add up to the buckets, so there are at most
     2 * n_buckets keys, and no bucket holds a hot group whole."""
     lead, tie = order_cols[0], order_cols[-1]
@@ -91,26 +71,18 @@ def rank_buckets(df: DataFrame, order_cols: Sequence[str], n_buckets: int,
     if uniform_max is not None:
         out = df.withColumn("_b1", F.floor(x * F.lit(n_buckets / uniform_max)).cast("int"))
         return out.withColumn("_b2", F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)] or [0.5]
-    row = df.agg(F.percentile_approx(x, probs, _accuracy(n_buckets)).alias("b"),
-                 F.count_if(x.isNull()).alias("nulls"), F.count(F.lit(1)).alias("n")).first()
-    times = Counter(float(b) for b in (row["b"] or []))
-    bounds = sorted(times)
-    pieces = [(i, b, times[b]) for i, b in enumerate(bounds) if times[b] > 1]
-    null_pieces = row["nulls"] * n_buckets // row["n"] if row["n"] else 0
-    if null_pieces > 1:
-        pieces.append((len(bounds) + 1, None, null_pieces))
-    out = bucketize(df, x, bounds, "_b1")
-    if not pieces or len(order_cols) < 2:
+    t = tie_number(df, tie) if len(order_cols) > 1 else None
+    cut = find_splitters(df, x, n_buckets, t)
+    out = cut.assign(df, x, "_b1")
+    if cut.hot is None or t is None:
         return out.withColumn("_b2", F.lit(0))
-    hot = df.sparkSession.createDataFrame(pieces, "_h1 int, _hv double, _hc int")  # at most n_buckets / 2 rows
-    out = out.join(hot, (F.col("_b1") == F.col("_h1")) & x.eqNullSafe(F.col("_hv")), "left")
-    t = tie_number(df, tie)
-    cuts = out.where(F.col("_hc").isNotNull()).agg(F.percentile_approx(t, probs, _accuracy(n_buckets)).alias("b")).first()["b"] or []
-    cuts = sorted(set(cuts))
-    out = bucketize(out, t, cuts, "_bt")
-    place = F.least(F.floor(F.col("_bt") * F.col("_hc") / F.lit(len(cuts) + 1)), F.col("_hc") - 1)
-    return out.withColumn("_b2", F.when(F.col("_hc").isNotNull(), 1 + place).otherwise(0).cast("int")).drop("_h1", "_hv", "_hc", "_bt")
+    value = F.when(~F.isnan(x), x)  # NaN lies in the bucket of nulls and is cut like them
+    out = out.join(F.broadcast(cut.hot), value.eqNullSafe(F.col("_hv")), "left")  # at most n_buckets / 2 rows
+    finer = find_splitters(out.where("_hc IS NOT NULL"), t, cut.pieces) if cut.pieces > splitters.LEAVES else Splitters(cut.ties)
+    out = finer.assign(out, t, "_bt")
+    place = F.least(F.floor(F.col("_bt") * F.col("_hc") / F.lit((len(finer.bounds) + 1) * finer.inner)), F.col("_hc") - 1)
+    after = F.when(x.isNull(), F.col("_hc") + place).otherwise(place)  # NaN sorts before null
+    return out.withColumn("_b2", F.when(F.col("_hc").isNotNull(), 1 + after).otherwise(0).cast("int")).drop("_hv", "_hc", "_bt")
 
 
 def bucket_offsets(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -157,15 +129,6 @@ def dist_rank(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = (),
     return out.drop("_b1", "_b2", "_lr", "_off", "_cnt", *([] if total_col == "_all" else ["_all"]))
 
 
-def range_bounds(df: DataFrame, col: str, n_buckets: int) -> list[float]:
-    """Approximate quantile cut points of ``col`` (n_buckets - 1 numbers to the driver)."""
-    if n_buckets <= 1:
-        return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.approxQuantile(col, probs, 1.0 / _accuracy(n_buckets))
-    return sorted(set(float(b) for b in bounds if b is not None))
-
-
 def prefix_sums(hist: DataFrame, order_col: str, sum_cols: Sequence[str], by: Sequence[str] = (),
                 inclusive: bool = True, n_buckets: int | None = None,
                 total_suffix: str = "_total") -> DataFrame:
@@ -176,8 +139,8 @@ def prefix_sums(hist: DataFrame, order_col: str, sum_cols: Sequence[str], by: Se
     ``<c>_total`` per group."""
     by = list(by)
     n_buckets = n_buckets or shuffle_partitions(hist.sparkSession)
-    bounds = range_bounds(hist, order_col, n_buckets)
-    b = bucketize(hist, F.col(order_col).cast("double"), bounds, "_bkt")
+    x = F.col(order_col).cast("double")
+    b = find_splitters(hist, x, n_buckets, also=[F.col(c) for c in by]).assign(hist, x, "_bkt")
     frame_end = Window.currentRow if inclusive else -1
     w_local = (Window.partitionBy(*by, "_bkt").orderBy(order_col)
                .rowsBetween(Window.unboundedPreceding, frame_end))

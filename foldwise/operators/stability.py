@@ -178,27 +178,47 @@ def temporal_oot_categorical(df: DataFrame, value_col: str, window_col: str,
                     F.col(window_col), (F.col("own") + F.coalesce("alone", F.lit(0.0))).alias("value"))
 
 
-HALVES = 128  # iterations that one hash serves
-
-
-def half_digest(id_col: str, block: int, seed_prefix: str = "") -> Column:
-    """32 hexadecimal digits of a row, whose bits are its halves in ``HALVES`` iterations."""
-    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed_prefix}{block}")).cast("binary"))
-
-
-def in_half(digest: str, iteration: int) -> Column:
-    """Whether a row is in the iteration's half: its bit is not set."""
-    digit, bit = divmod(iteration % HALVES, 4)
-    unset = "".join(c for c in "0123456789abcdef" if not int(c, 16) >> bit & 1)
-    return F.contains(F.lit(unset), F.substring(digest, digit + 1, 1))
-
-
-def bootstrap_stability(df: DataFrame, value_col: str, id_col: str, iterations: int = 20,
+PER_DIGEST = 4  # iterations that one hash serves
+SPAN = 1 << 32
+
+
+def draw_number(id_col: str, iteration: int, seed_prefix: str = "") -> Column:
+    """A row's number in [0, 2**32) in an iteration: eight of the hexadecimal digits of a hash of its id."""
+    block, part = divmod(iteration, PER_DIGEST)
+    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed_prefix}{block}")).cast("binary"))
+    return F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("bigint")
+
+
+def draw_limits(df: DataFrame, id_col: str, iterations: int, sample_frac: float, seed_prefix: str = "") -> DataFrame:
+    """``(iteration, number, id)``: the last of the ``max(1, int(n * sample_frac))`` rows with the least (number, id) of each
+    iteration. The numbers are uniform, so the limit lies in a narrow range of them: the rows below it are counted and only
+    the rows inside (some multiple of the root of n) are ranked; a range that misses the limit is widened."""
+    n = df.count()
+    m = min(n, max(1, int(n * sample_frac)))
+    rows = df.select(F.col(id_col).alias("id"), *[draw_number(id_col, i, seed_prefix).alias(f"d{i}") for i in range(iterations)])
+    found, open_, width = [], list(range(iterations)) if n else [], 8.0
+    while open_:
+        middle, half = m / n, width * (max(sample_frac * (1 - sample_frac), 1 / n) / n) ** 0.5
+        low, high = max(0, int((middle - half) * SPAN)), min(SPAN, int((middle + half) * SPAN) + 1)
+        below = rows.agg(*[F.count_if(F.col(f"d{i}") < low).alias(f"b{i}") for i in open_]).first()  # a number an iteration
+        inside = F.array(*[F.struct(F.lit(i).alias("iteration"), F.col(f"d{i}").alias("number")) for i in open_])
+        inside = rows.select("id", F.explode(F.filter(inside, lambda s: (s["number"] >= low) & (s["number"] < high))).alias("s")).select("s.*", "id")
+        ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("iteration").orderBy("number", "id")))
+        wanted = F.get(F.array(*[F.lit(m - below[f"b{i}"] if i in open_ else 0) for i in range(iterations)]), F.col("iteration"))
+        limits = materialize(ranked.where(F.col("r") == wanted).drop("r"), "limits")
+        got = {r["iteration"] for r in limits.select("iteration").collect()}  # a row an iteration
+        found.append(limits)
+        open_, width = [i for i in open_ if i not in got], width * 16
+    return reduce(DataFrame.unionByName, found) if found else rows.select(F.lit(0).alias("iteration"), F.lit(0).cast("bigint").alias("number"), "id").limit(0)
+
+
+def bootstrap_stability(df: DataFrame, value_col: str, id_col: str, iterations: int = 20, sample_frac: float = 0.5,
                         seed_prefix: str = "", bins: int = DEFAULT_BINS) -> DataFrame:
-    """STB7: reference = all rows, sample i = the half of the rows that ``in_half`` picks. One hash and
-    one bin per row, and one conditional count per iteration in the same aggregate (no row expansion).
-    Numbers go through quantile bins, text and booleans by category."""
+    """STB7: reference = all rows, sample i = exactly ``max(1, int(n * sample_frac))`` of them without replacement, rows with
+    a missing value among them (they count for nothing then). One bin per row, and one conditional count
+    per iteration in the same aggregate (no row expansion). Numbers go through quantile bins, text and booleans by category."""
     v = known(df, value_col)
+    limits = {r["iteration"]: r for r in draw_limits(df, id_col, iterations, sample_frac, seed_prefix).collect()}  # a row an iteration
     clean = df.where(v.isNotNull()).select(id_col, value_col)
     numeric = isinstance(df.schema[value_col].dataType, T.NumericType)
     if numeric:
@@ -206,13 +226,19 @@ def bootstrap_stability(df: DataFrame, value_col: str, id_col: str, iterations:
         binned = with_bins(clean, edges, value_col)
     else:
         binned = clean.withColumn("bin", v.cast("string"))
-    binned = binned.select("bin", *[half_digest(id_col, n, seed_prefix).alias(f"_h{n}") for n in range(-(-iterations // HALVES))])
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("ref_n"), *[
-        F.count_if(in_half(f"_h{i // HALVES}", i)).alias(f"c{i}") for i in range(iterations)])
+
+    def drawn(i: int) -> Column:
+        if i not in limits:
+            return F.lit(False)
+        number, last = F.col(f"d{i}"), limits[i]
+        return (number < last["number"]) | ((number == last["number"]) & (F.col(id_col) <= F.lit(last["id"])))
+
+    binned = binned.select("bin", id_col, *[draw_number(id_col, i, seed_prefix).alias(f"d{i}") for i in range(iterations)])
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("ref_n"), *[F.count_if(drawn(i)).alias(f"c{i}") for i in range(iterations)])
     grid = bin_grid(edges).join(counts, "bin", "left").fillna(0) if numeric else counts
     long = grid.select("bin", "ref_n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("iteration"), F.col(f"c{i}").alias("cur_n")) for i in range(iterations)])).alias("_s"))
-    p = psi_from_counts(materialize(long.select("bin", "ref_n", "_s.iteration", "_s.cur_n"), "halves"), ["iteration"])
+    p = psi_from_counts(materialize(long.select("bin", "ref_n", "_s.iteration", "_s.cur_n"), "draws"), ["iteration"])
     return p.select("iteration", F.col("psi").alias("value"))
 
 

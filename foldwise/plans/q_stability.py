@@ -130,23 +130,27 @@ def q_stability_report(spark, sf):
     return r.select("feature", r6("csi").alias("csi"), "worst_label", "flag")
 
 
+BOOT_FRAC = 0.4
 BOOT_SQL = with_ev(
     edges_cte("ed", "ev", "x"),
     """binned AS (SELECT row_id, len(list_filter(ed.inner_e, lambda e: e <= ev.x)) AS bin FROM ev, ed WHERE ev.x IS NOT NULL)""",
     f"""it AS (SELECT unnest(range(0, {BOOT_ITER})) AS iteration)""",
+    """numbers AS (SELECT iteration, row_id,
+        ('0x' || substr(md5(CAST(row_id AS VARCHAR) || '|' || (iteration // 4)), CAST(8 * (iteration % 4) + 1 AS BIGINT), 8))::BIGINT AS number FROM ev, it)""",
+    f"""drawn AS (SELECT iteration, row_id FROM numbers
+        QUALIFY row_number() OVER (PARTITION BY iteration ORDER BY number, row_id) <= CAST(floor((SELECT count(*) FROM ev) * {BOOT_FRAC}::DOUBLE) AS BIGINT))""",
     """grid AS (SELECT it.iteration, b.bin FROM it, (SELECT unnest(range(0, CAST(n_bins AS BIGINT))) AS bin FROM ed) b)""",
-    """bc AS (SELECT g.iteration, g.bin,
-                (SELECT count(*) FROM binned WHERE binned.bin = g.bin) AS ref_n,
-                (SELECT count(*) FROM binned WHERE binned.bin = g.bin
-                   AND (('0x' || substr(md5(CAST(binned.row_id AS VARCHAR) || '|0'), CAST(g.iteration // 4 + 1 AS BIGINT), 1))::BIGINT >> (g.iteration % 4)) & 1 = 0) AS cur_n
-             FROM grid g)""",
+    """cur AS (SELECT iteration, bin, count(*) AS cur_n FROM drawn JOIN binned USING (row_id) GROUP BY iteration, bin)""",
+    """ref AS (SELECT bin, count(*) AS ref_n FROM binned GROUP BY bin)""",
+    """bc AS (SELECT g.iteration, g.bin, coalesce(ref_n, 0) AS ref_n, coalesce(cur_n, 0) AS cur_n
+             FROM grid g LEFT JOIN ref USING (bin) LEFT JOIN cur ON cur.iteration = g.iteration AND cur.bin = g.bin)""",
     f"ps AS ({psi_sql('bc', ['iteration'])})") + """
 SELECT CAST(iteration AS INTEGER) AS iteration, round(psi, 6) AS value FROM ps"""
 
 
 @register("bootstrap_stability", BOOT_SQL)
 def q_bootstrap_stability(spark, sf):
-    b = st.bootstrap_stability(ev(spark, sf), "x", "row_id", BOOT_ITER)
+    b = st.bootstrap_stability(ev(spark, sf), "x", "row_id", BOOT_ITER, BOOT_FRAC)
     return b.select(F.col("iteration").cast("int").alias("iteration"), r6("value").alias("value"))
 
 

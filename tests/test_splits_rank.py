@@ -120,3 +120,33 @@ def test_exact_quantiles_by_group_with_missing_values(spark):
     for r in got.itertuples():
         assert r.q == pytest.approx(want.loc[r.g, probs[r.q_index]], rel=1e-12)
     assert len(got) == 15
+
+
+def test_rank_with_two_levels_of_bounds(spark, monkeypatch):
+    """More buckets than the driver sorts: hot values, nulls and NaN, many ties."""
+    from foldwise.operators import splitters
+    monkeypatch.setattr(splitters, "LEAVES", 8)
+    monkeypatch.setattr(splitters, "PER_BUCKET", 8)
+    nan = float("nan")
+    rows = [(i, 5.0 if i % 3 == 0 else None if i % 11 == 0 else nan if i % 13 == 0 else float(i % 700) ** 2) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, t double").repartition(4)
+    order = [F.col("t").asc_nulls_last(), F.col("id").asc()]
+    for n_parts in (4, 100):
+        got = dist_rank(df, ["t", "id"], rank_col="r", n_parts=n_parts)
+        wrong = got.withColumn("want", F.row_number().over(Window.orderBy(*order))).where("r <> want")
+        assert wrong.count() == 0 and got.count() == 6000
+    sizes = rank_bucket_sizes(df, 100)
+    assert len(sizes) > 60 and max(sizes) < 6000 / 100 * 4
+    sums = prefix_sums(df.where("t IS NOT NULL AND NOT isnan(t)").groupBy("t").agg(F.count("*").alias("c")), "t", ["c"], n_buckets=50)
+    assert sums.withColumn("want", F.sum("c").over(Window.orderBy("t"))).where("cum_c <> want").count() == 0
+
+
+def rank_bucket_sizes(df, n):
+    from foldwise.operators.rank import rank_buckets
+    return [r["count"] for r in rank_buckets(df, ["t", "id"], n).groupBy("_b1", "_b2").count().collect()]
+
+
+def test_no_quantile_is_merged_in_one_task(spark):
+    df = spark.range(5000).select(F.col("id"), (F.col("id") * 7 % 1000).cast("double").alias("t"))
+    plan = dist_rank(df, ["t", "id"])._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "SinglePartition" not in plan

@@ -137,6 +137,18 @@ def test_bootstrap_of_categories_and_many_iterations(spark):
     assert len(got) == 130 and all(0 <= r["value"] < 0.02 for r in got) and len({r["value"] for r in got}) > 100
 
 
+def test_bootstrap_draws_exactly_the_rows_of_least_number(spark):
+    df = spark.range(500).select(F.concat(F.lit("r"), F.col("id")).alias("row_id")).repartition(3)
+    for frac, m in ((0.5, 250), (0.013, 6), (0.0001, 1), (1.0, 500)):
+        limits = {r["iteration"]: (r["number"], r["id"]) for r in st.draw_limits(df, "row_id", 6, frac).collect()}
+        assert len(limits) == 6
+        rows = df.select("row_id", *[st.draw_number("row_id", i).alias(f"d{i}") for i in range(6)]).collect()
+        for i, last in limits.items():
+            order = sorted((r[f"d{i}"], r["row_id"]) for r in rows)
+            assert order[m - 1] == last
+    assert st.draw_limits(df.limit(0), "row_id", 2, 0.5).count() == 0
+
+
 def test_windows_of_categories_equal_the_full_grid(spark):
     rng = np.random.default_rng(5)
     rows = [(int(w), None if c == 9 else f"c{c}") for w, c in zip(rng.integers(0, 4, 600), rng.integers(0, 10, 600))] + [(2, "late"), (0, "early")]
