@@ -210,16 +210,14 @@ class Codec:
         return b"".join(map(self.raw.__getitem__, ids.split(" "))) if ids else b""
 
 
-_CODECS: dict[tuple[str, int], Codec] = {}
-
-
 def codec_on_worker(shared, pattern: str) -> Codec:
-    """One codec for each Python worker, reused by its tasks."""
-    key = (pattern, shared._jbroadcast_id if hasattr(shared, "_jbroadcast_id") else id(shared.value))
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(shared.value, pattern)
-    return _CODECS[key]
+    """One codec for each Python worker, reused by its tasks. It hangs on the broadcast value, so its caches go from
+    the worker with the broadcast, once a task comes that doesn't use it."""
+    vocabulary = shared.value
+    held = vars(vocabulary).setdefault("codecs", {})
+    if pattern not in held:
+        held[pattern] = Codec(vocabulary, pattern)
+    return held[pattern]
 
 
 def share_vocabulary(spark: SparkSession, path: str):
