@@ -56,14 +56,35 @@ def profile_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _reshape(row, cols, {"n": "bigint", "n_missing": "bigint", "pct_missing": "double"})
 
 
+SHORT = 32  # bytes of a value that stands for itself
+
+
+def value_key(df: DataFrame, c: str) -> Column:
+    """A column's value as bytes, equal for equal values only: short ones as they are, longer ones by their SHA-256 in
+    hexadecimal (which is longer than any short one). Null for missing values."""
+    v, kind = known(df, c), df.schema[c].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        v = v + F.lit(0.0).cast(kind)  # -0.0 is 0.0
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        v = F.to_json(v)
+    data = v if isinstance(kind, T.BinaryType) else v.cast("string").cast("binary")
+    return F.when(F.octet_length(data) <= SHORT, data).otherwise(F.sha2(data, 256).cast("binary"))
+
+
 def profile_distinct(df: DataFrame, cols: Sequence[str], approx: bool = False,
                      rsd: float = 0.01) -> DataFrame:
-    """PROF2: non-null distinct count and ``is_constant`` (<= 1). ``approx`` uses
-    HyperLogLog++ for very wide or very large tables."""
-    fn = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
-    row = df.agg(*[fn(known(df, c)).alias(f"n_unique__{c}") for c in cols])
-    row = row.select("*", *[(F.col(f"n_unique__{c}") <= 1).alias(f"is_constant__{c}") for c in cols])
-    return _reshape(row, cols, {"n_unique": "bigint", "is_constant": "boolean"})
+    """PROF2: non-null distinct count and ``is_constant`` (<= 1). The (column, value) pairs of all columns are made unique
+    in one shuffle, those of a task before it, so a row makes narrow pairs and no copies of itself whatever the
+    number of columns. ``approx`` uses HyperLogLog++."""
+    if approx:
+        row = df.agg(*[F.approx_count_distinct(known(df, c), rsd).alias(f"n_unique__{c}") for c in cols])
+        row = row.select("*", *[(F.col(f"n_unique__{c}") <= 1).alias(f"is_constant__{c}") for c in cols])
+        return _reshape(row, cols, {"n_unique": "bigint", "is_constant": "boolean"})
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), value_key(df, c).alias("v")) for i, c in enumerate(cols)])).alias("p"))
+    found = pairs.select("p.i", "p.v").where("v IS NOT NULL").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i int, column_name string")  # column names
+    n = F.coalesce(F.col("n"), F.lit(0).cast("bigint"))
+    return F.broadcast(names).join(found, "i", "left").select("column_name", n.alias("n_unique"), (n <= 1).alias("is_constant"))
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -146,6 +146,24 @@ def q_feature_store_roundtrip(spark, sf):
     return st.load("run/1", "te seg?").select("row_id", r6("value").alias("value"))
 
 
+@register("feature_store_bind", with_base(f"""
+tr AS (SELECT f.fold, p.seg AS k, avg(CAST(p.y AS DOUBLE)) AS m
+       FROM prepared p, (SELECT DISTINCT fold FROM prepared WHERE fold IS NOT NULL) f
+       WHERE p.fold IS NOT NULL AND p.fold <> f.fold AND p.seg IS NOT NULL GROUP BY 1, 2)""") + """
+SELECT p.row_id, p.y, round(CASE WHEN p.fold IS NOT NULL THEN coalesce(tr.m, 0.5) END, 6) AS te_seg,
+       round(price / nullif(bal, 0), 6) AS price_by_bal
+FROM prepared p LEFT JOIN tr ON p.seg = tr.k AND p.fold = tr.fold""")
+def q_feature_store_bind(spark, sf):
+    """JOIN5 on saved columns: a frame and two features, read in the same buckets."""
+    st, p = _store(spark), prepared(spark, sf)
+    st.save_frame("r1", "orders", p.select("row_id", "y"), "row_id")
+    te = fx.GroupStat(name="te", key="seg", value="y", uses_target=True, default=0.5)
+    st.save("r1", "te_seg", fx.compute_oof(te, p, "row_id", K), "row_id", "te")
+    st.save("r1", "price_by_bal", p.select("row_id", F.try_divide("price", "bal").alias("v")), "row_id", "v")
+    bound = st.bind("r1", ["te_seg", "price_by_bal"], frame="orders")
+    return bound.select("row_id", "y", r6("te_seg").alias("te_seg"), r6("price_by_bal").alias("price_by_bal"))
+
+
 @register("feature_store_list", """
 SELECT * FROM (VALUES ('freq_pri'), ('te_seg')) t(feature_name)
 WHERE (SELECT count(*) FROM orders) > 0""")

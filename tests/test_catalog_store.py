@@ -72,6 +72,25 @@ def test_feature_store_roundtrip(spark):
     assert st.exists("run 1", "my/feat") and not st.exists("run 1", "other")
 
 
+def test_saved_columns_are_bound_without_a_shuffle(spark):
+    root = os.path.join(checkpoint_dir(spark), "fs-" + uuid.uuid4().hex)
+    st = FeatureStore(spark, root, buckets=6)
+    ids = spark.range(500).select(F.col("id").alias("k"))
+    for j in range(4):
+        st.save("r", f"f{j}", ids.where(F.col("k") % (j + 2) != 0).select("k", (F.col("k") * j).cast("double").alias("v")), "k", "v")
+    st.save_frame("r", "rows", ids.withColumn("y", F.col("k") % 2), "k")
+    bound = st.bind("r", ["f0", "f1", "f2", "f3"], frame="rows")
+    rows = {r["row_id"]: r for r in bound.collect()}
+    assert len(rows) == 500
+    assert all(rows[k][f"f{j}"] == (float(k * j) if k % (j + 2) else None) for k in range(500) for j in range(4))
+    assert "Exchange" not in bound._jdf.queryExecution().executedPlan().toString()
+    again = FeatureStore(spark, root)  # as a later session finds it
+    spark.sql(f"DROP TABLE {st._name(st._path('r', 'f1'))}")
+    assert again.buckets() == 6 and "Exchange" not in again.bind("r", ["f0", "f1"])._jdf.queryExecution().executedPlan().toString()
+    st.save("r", "f1", ids.select("k", F.lit(1.0).alias("v")), "k", "v")
+    assert again.load("r", "f1").agg(F.sum("value")).first()[0] == 500.0
+
+
 def test_gate_status_ladder(spark):
     df = spark.createDataFrame([(None, True), (0.95, True), (0.7, False), (0.7, True)], "auc double, parity boolean")
     out = [r["s"] for r in df.select(gate.gate_status(F.lit(True), F.col("auc"), F.col("parity")).alias("s")).collect()]

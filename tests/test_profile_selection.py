@@ -137,3 +137,15 @@ def test_nan_is_missing_everywhere(spark):
     assert (r["n_unique"], pf.profile_missing(df, ["x"]).first()["n_missing"]) == (2, 2)
     got = [r["v"] for r in df.select(missing_category("x", df).alias("v")).collect()]
     assert got == ["1.0", "2.0", "__missing__", "__missing__"]
+
+
+def test_distinct_values_of_many_columns_in_one_shuffle(spark):
+    nan = float("nan")
+    rows = [(1.5, "x", True, None, "a" * 40), (-0.0, "x", None, None, "a" * 41), (0.0, "", False, None, "a" * 40), (nan, None, True, None, "b"), (None, "x", True, None, "")]
+    df = spark.createDataFrame(rows, "d double, s string, b boolean, none string, long string").withColumn("arr", F.array("s", "long")).withColumn("bin", F.col("long").cast("binary"))
+    got = {r["column_name"]: (r["n_unique"], r["is_constant"]) for r in pf.profile_distinct(df, df.columns).collect()}
+    assert got == {"d": (2, False), "s": (2, False), "b": (2, False), "none": (0, True), "long": (4, False), "arr": (5, False), "bin": (4, False)}
+    wide = spark.range(300).select(*[(F.col("id") % (i + 1)).alias(f"c{i}") for i in range(200)])
+    out = pf.profile_distinct(wide, wide.columns)
+    assert {r["column_name"]: r["n_unique"] for r in out.collect()} == {f"c{i}": i + 1 for i in range(200)}
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
