@@ -86,15 +86,16 @@ def promotion_candidates(results: DataFrame, metrics: DataFrame, stability: Data
                    & (F.col("final_status") == "validated")))
 
 
-def run_digest(results: DataFrame, max_chars: int = 8000, by: str = "run_id",
-               order_col: str = "pos") -> DataFrame:
-    """FN6: one text per run, a line per feature ``name: status (auc=0.xxxx)``, cut at
-    ``max_chars`` with a ``...`` suffix. Lines are gathered per run (catalog-sized)."""
-    line = F.format_string("%s: %s (auc=%s)", F.col("feature_name"), F.col("final_status"),
-                           fmt_number("auc", 4))
-    agg = results.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order_col), line.alias("l"))))
-                                  .alias("_ls"))
-    text = F.array_join(F.transform("_ls", lambda s: s["l"]), "\n")
-    return agg.select(by, F.when(F.length(text) > max_chars,
-                                 F.concat(F.substring(text, 1, max_chars), F.lit("..."))).otherwise(text)
-                      .alias("digest"))
+def run_digest(hypotheses: DataFrame, results: DataFrame, max_chars: int = 8000, by: str = "run_id", id_col: str = "hypothesis_id") -> DataFrame:
+    """FN6: one text per run, a line per hypothesis in the order tried: iteration, description, status, and of those with a
+    result the single-feature AUC and the leakage verdict. Longer texts are cut 20 characters short of ``max_chars`` and
+    say so. Lines are gathered per run (catalog-sized)."""
+    r = results.select(id_col, "final_status", "auc", "leak_flag")
+    j = hypotheses.join(r, id_col, "left")
+    auc = F.when(F.col("auc").isNotNull(), F.concat(F.lit(", single_feature_auc="), fmt_number("auc", 3))).otherwise("")
+    verdict = F.when(F.col("leak_flag").isNotNull(), F.concat(F.lit(", leakage_review="), F.when(F.col("leak_flag"), "reject").otherwise("approve"))).otherwise("")
+    line = F.concat(F.format_string("- [iter %d] %s -> status=%s", F.col("iteration"), F.col("description"), F.coalesce("final_status", F.lit("pending"))), auc, verdict)
+    lines = F.sort_array(F.collect_list(F.struct("iteration", "pos", line.alias("l"))))
+    text = F.array_join(F.transform(lines, lambda s: s["l"]), "\n")
+    return j.groupBy(by).agg(text.alias("t")).select(by, F.when(F.length("t") > max_chars, F.concat(F.substring("t", 1, max_chars - 20), F.lit("\n... (truncated)")))
+                                                     .otherwise(F.col("t")).alias("digest"))

@@ -254,6 +254,31 @@ def set_aucs(design: Design, sets: Sequence[Sequence[str]], spec: ModelSpec | No
     return [0.5 if found.get(n) is None else float(found[n]) for n in range(len(sets))]
 
 
+def set_records(design: Design, sets: Sequence[Sequence[str]], split_col: str = "split", spec: ModelSpec | None = None) -> DataFrame:
+    """ML5 of several feature sets: ``(set, auc_mean, auc_std, train_auc_mean, holdout_auc)``, the fold models' mean and
+    population std on their validation rows, their mean on their training rows, and the full model on the holdout. All
+    models are fitted in the same scans and scored in one."""
+    k, tasks = design.k, [(n, i) for n in range(len(sets)) for i in range(design.k + 1)]
+    models = list(zip(tasks, design.fit([(i, sets[n]) for n, i in tasks], spec or ModelSpec()), strict=True))
+
+    def fn(batch, matrix):
+        fold, y = plain_column(batch, "fold"), plain_column(batch, "label")
+        held = np.array([v == "holdout" for v in batch.column(batch.schema.get_field_index(split_col)).to_pylist()], bool)
+        pieces = []
+        for i in range(k + 1):
+            x = matrix(i)
+            parts = [(0, fold == i), (1, ~np.isnan(fold) & (fold != i))] if i < k else [(2, held)]
+            for part, mine in parts:
+                if mine.any():
+                    pieces += [(3 * n + part, i, m.proba(x[mine]), y[mine]) for (n, own), m in models if own == i]
+        yield histogram_batch(pieces)
+
+    aucs = histogram_aucs(design.map(fn, HISTOGRAM)).withColumns({"part": F.col("set") % 3, "set": F.floor(F.col("set") / 3).cast("int")})
+    of = lambda part: F.when(F.col("part") == part, F.col("auc"))
+    return aucs.groupBy("set").agg(F.avg(of(0)).alias("auc_mean"), F.stddev_pop(of(0)).alias("auc_std"), F.avg(of(1)).alias("train_auc_mean"),
+                                   F.max(of(2)).alias("holdout_auc"))
+
+
 def fit(df: DataFrame, id_col: str, label: str, numeric, categorical, spec: ModelSpec | None = None, split_col: str = "split", k: int | None = None,
         fold_col: str = "fold") -> tuple[Design, object]:
     """ML2: the design of all rows, and one model of the rows that have a fold."""

@@ -145,6 +145,34 @@ def replay(df: DataFrame, feature: PandasFeature, offline: DataFrame, id_col: st
     return compare(offline, online, id_col)
 
 
+def together(features: Sequence[PandasFeature]) -> PandasFeature:
+    """Features of numbers as one, whose value is the array of theirs: a replay runs them all in one pass."""
+    columns = tuple(dict.fromkeys(c for f in features for c in f.required_columns))
+    stack = lambda series, index: pd.Series(list(pd.concat([s.astype("float64") for s in series], axis=1).to_numpy()), index=index)
+
+    def fn(pdf: pd.DataFrame) -> pd.Series:
+        return stack([f.fn(pdf) for f in features], pdf.index)
+
+    def grouped(pdf: pd.DataFrame, job_cols: list[str]) -> pd.Series:
+        return stack([f.grouped(pdf, job_cols) for f in features], pdf.index)
+
+    return PandasFeature("together", columns, fn, grouped if all(f.grouped for f in features) else None, "array<double>")
+
+
+def replay_all(df: DataFrame, features: Sequence[PandasFeature], offline: DataFrame, id_col: str, time_col: str | None = None,
+               sizes: Sequence[int] | None = None, seed: int = 0) -> DataFrame:
+    """PAR1/PAR2 of several features of numbers in one pass: ``(feature, n_checked, n_mismatch, max_abs_diff)``; ``offline``
+    has a column by each feature's name."""
+    sizes = sizes or (TEMPORAL_BATCH_SIZES if time_col else IID_BATCH_SIZES)
+    batches = assign_batches(replay_order(df, id_col, time_col, seed), sizes)
+    online = transform_many(batches, together(features), id_col, ["batch_size", "batch"], "pos", extra_cols=["pos"])
+    j = online.join(offline.select(id_col, *[F.col(f.name).cast("double").alias(f"_f{i}") for i, f in enumerate(features)]), id_col)
+    j = j.withColumns({f"_n{i}": F.get("value", F.lit(i)) for i in range(len(features))})
+    each = [F.struct(F.lit(f.name).alias("feature"), same_value(j, f"_f{i}", f"_n{i}").alias("matched"),
+                     F.abs(known(j, f"_f{i}") - known(j, f"_n{i}")).alias("abs_diff")) for i, f in enumerate(features)]
+    return summarize(j.select(F.explode(F.array(*each)).alias("d")).select("d.*"), by=["feature"])
+
+
 def temporal_replay(df: DataFrame, feature: PandasFeature, offline: DataFrame, id_col: str, time_col: str,
                     sizes: Sequence[int] | None = None, max_positions: int = MAX_TRUNCATED_POSITIONS) -> DataFrame:
     """PAR2 and PAR3 as one check: ``(feature, n_checked, n_mismatch, max_abs_diff)`` over the batches of the time
@@ -177,6 +205,11 @@ def lookup_feature(name: str, output_type: str = "double") -> PandasFeature:
     return PandasFeature(name, (value, default), fn, lambda pdf, job_cols: fn(pdf), output_type, row_only(fn))
 
 
+def row_feature(name: str, columns: Sequence[str], fn: Callable[[pd.DataFrame], pd.Series]) -> PandasFeature:
+    """Compliant: a function of the row's own columns."""
+    return PandasFeature(name, tuple(columns), fn, lambda pdf, job_cols: fn(pdf), state=row_only(fn))
+
+
 def rank_in_call(name: str, col: str) -> PandasFeature:
     """F8 negative control: percentile rank inside the call (average ties)."""
     def fn(pdf: pd.DataFrame) -> pd.Series:

@@ -52,6 +52,8 @@ class Catalog:
         whole = df if "data" in df.columns else df.withColumn("data", F.to_json(F.struct(*df.columns)))
         out = whole.withColumn("seq", F.lit(self._next_seq()).cast("bigint")) \
             .withColumn("created_at", F.current_timestamp())
+        if not path_exists(self.spark, f"{self.path(table)}/_schema"):  # what an empty table is read by
+            out.limit(0).write.mode("ignore").parquet(f"{self.path(table)}/_schema")
         writer = out.write.mode("append")
         if "run_id" in out.columns:
             writer = writer.partitionBy("run_id")
@@ -62,7 +64,10 @@ class Catalog:
         self.append(table, df)
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+        names = [f.getPath().getName() for f in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)]
+        empty = all(n.startswith(("_", ".")) for n in names)
+        return self.spark.read.parquet(f"{self.path(table)}/_schema" if empty else self.path(table))
 
     def latest(self, table: str, keys: Sequence[str] | None = None) -> DataFrame:
         """WIN6: newest version per key (``row_number() over (partition by key order by

@@ -105,6 +105,10 @@ def test_promotion_says_what_became_of_each_candidate(spark):
     cols = "feature_name string, run_id string, iteration int, final_status string"
     one = c.promote(spark.createDataFrame([("a", "r", 2, "validated"), ("a", "r", 1, "validated"), ("b", "r", 0, "leakage_rejected"), ("c", "r", 0, None)], cols))
     assert {(r["feature_name"], r["iteration"]): r["outcome"] for r in one.collect()} == {("a", 2): "superseded", ("a", 1): "written", ("b", 0): "refused", ("c", 0): "refused"}
+    empty = Catalog(spark, tempfile.mkdtemp(prefix="fw-cat-", dir="/tmp"))
+    for _ in range(2):
+        assert empty.promote(spark.createDataFrame([("a", "r", 2, "leakage_rejected")], cols)).first()["outcome"] == "refused"
+    assert empty.read("promoted_features").count() == 0 and not empty.is_promoted("a")
     two = c.promote(spark.createDataFrame([("a", "r", 3, "validated"), ("b", "r", 3, "validated")], cols))
     assert {r["feature_name"]: r["outcome"] for r in two.collect()} == {"a": "present", "b": "written"}
     kept = c.read("promoted_features").collect()
