@@ -218,10 +218,14 @@ def q_assemble_feature_frame(spark, sf):
                     r6("ratio_price_bal").alias("ratio_price_bal"))
 
 
-@register("oof_coverage", with_base() + """
-SELECT count(*) AS n_rows, count(DISTINCT row_id) AS n_ids,
-       count(*) FILTER (WHERE fold IS NOT NULL) AS n_dev_valued, CAST(0 AS BIGINT) AS n_holdout_valued
-FROM prepared""")
+@register("oof_coverage", with_base("""
+tr AS (SELECT f.fold, p.seg AS k, avg(p.price) AS m FROM prepared p, (SELECT DISTINCT fold FROM prepared WHERE fold IS NOT NULL) f
+       WHERE p.fold IS NOT NULL AND p.fold <> f.fold GROUP BY 1, 2)""", """
+tg AS (SELECT f.fold, avg(p.price) AS g FROM prepared p, (SELECT DISTINCT fold FROM prepared WHERE fold IS NOT NULL) f
+       WHERE p.fold IS NOT NULL AND p.fold <> f.fold GROUP BY 1)""", """
+v AS (SELECT p.row_id, p.fold, coalesce(tr.m, tg.g) AS value FROM prepared p LEFT JOIN tr ON p.fold = tr.fold AND p.seg = tr.k LEFT JOIN tg ON p.fold = tg.fold)""") + """
+SELECT count(*) AS n_rows, count(DISTINCT row_id) AS n_ids, count(value) FILTER (WHERE fold IS NOT NULL) AS n_dev_valued,
+       count(value) FILTER (WHERE fold IS NULL) AS n_holdout_valued FROM v""")
 def q_oof_coverage(spark, sf):
     p = prepared(spark, sf)
     f = fx.GroupStat(name="value", key="seg", value="price", default="global")

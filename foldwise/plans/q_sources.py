@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import isclose, missing_category, safe_name
@@ -18,7 +20,7 @@ from foldwise.plans.registry import r6, register
 from foldwise.plans.sqlkit import with_base
 from foldwise.session import checkpoint_dir
 from foldwise.sources.feature_store import FeatureStore
-from foldwise.sources.tables import read_table, table
+from foldwise.sources.tables import TABLES, load_tables, read_table, table
 
 
 def _u(parts):
@@ -33,6 +35,27 @@ def q_scan_parquet(spark, sf):
                                           F.round(F.sum("o_totalprice"), 2).alias("total_price"))
 
 
+@register("scan_csv", """
+SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1""")
+def q_scan_csv(spark, sf):
+    """SRC1: the same rows through a CSV file with a header, read with a schema and, for its types, without one."""
+    folder = os.path.join(checkpoint_dir(spark), "csv-" + uuid.uuid4().hex)
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    c.write.option("header", True).csv(folder)
+    given = read_table(spark, folder, c.schema)
+    guessed = read_table(spark, folder)
+    if [f.dataType for f in guessed.schema.fields][1:] != [f.dataType for f in c.schema.fields][1:]:
+        raise ValueError(f"types read from the file: {guessed.schema.simpleString()}")
+    return given.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@register("load_tables", _u([f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES]))
+def q_load_tables(spark, sf):
+    """SRC2: every table of the folder, opened lazily, and its rows."""
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in load_tables(spark, sf).items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @register("left_join_partial_coverage", """
 SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def q_left_join_partial_coverage(spark, sf):
