@@ -183,10 +183,11 @@ SPAN = 1 << 32
 
 
 def draw_number(id_col: str, iteration: int, seed_prefix: str = "") -> Column:
-    """A row's number in [0, 2**32) in an iteration: eight of the hexadecimal digits of a hash of its id."""
+    """A row's number in an iteration: eight of the hexadecimal digits of a hash of its id, which are ordered like the
+    number that they write."""
     block, part = divmod(iteration, PER_DIGEST)
     digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed_prefix}{block}")).cast("binary"))
-    return F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("bigint")
+    return F.substring(digest, 8 * part + 1, 8)
 
 
 def draw_limits(df: DataFrame, id_col: str, iterations: int, sample_frac: float, seed_prefix: str = "") -> DataFrame:
@@ -196,20 +197,20 @@ def draw_limits(df: DataFrame, id_col: str, iterations: int, sample_frac: float,
     n = df.count()
     m = min(n, max(1, int(n * sample_frac)))
     rows = df.select(F.col(id_col).alias("id"), *[draw_number(id_col, i, seed_prefix).alias(f"d{i}") for i in range(iterations)])
-    found, open_, width = [], list(range(iterations)) if n else [], 8.0
+    found, open_, width = [], list(range(iterations)) if n else [], 6.0
     while open_:
         middle, half = m / n, width * (max(sample_frac * (1 - sample_frac), 1 / n) / n) ** 0.5
-        low, high = max(0, int((middle - half) * SPAN)), min(SPAN, int((middle + half) * SPAN) + 1)
+        low, high = (f"{v:08x}" for v in (max(0, int((middle - half) * SPAN)), min(SPAN - 1, int((middle + half) * SPAN) + 1)))
         below = rows.agg(*[F.count_if(F.col(f"d{i}") < low).alias(f"b{i}") for i in open_]).first()  # a number an iteration
         inside = F.array(*[F.struct(F.lit(i).alias("iteration"), F.col(f"d{i}").alias("number")) for i in open_])
-        inside = rows.select("id", F.explode(F.filter(inside, lambda s: (s["number"] >= low) & (s["number"] < high))).alias("s")).select("s.*", "id")
+        inside = rows.select("id", F.explode(F.filter(inside, lambda s: (s["number"] >= low) & (s["number"] <= high))).alias("s")).select("s.*", "id")
         ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("iteration").orderBy("number", "id")))
         wanted = F.get(F.array(*[F.lit(m - below[f"b{i}"] if i in open_ else 0) for i in range(iterations)]), F.col("iteration"))
         limits = materialize(ranked.where(F.col("r") == wanted).drop("r"), "limits")
         got = {r["iteration"] for r in limits.select("iteration").collect()}  # a row an iteration
         found.append(limits)
         open_, width = [i for i in open_ if i not in got], width * 16
-    return reduce(DataFrame.unionByName, found) if found else rows.select(F.lit(0).alias("iteration"), F.lit(0).cast("bigint").alias("number"), "id").limit(0)
+    return reduce(DataFrame.unionByName, found) if found else rows.select(F.lit(0).alias("iteration"), F.lit("").alias("number"), "id").limit(0)
 
 
 def bootstrap_stability(df: DataFrame, value_col: str, id_col: str, iterations: int = 20, sample_frac: float = 0.5,
