@@ -26,13 +26,30 @@ def test_copies_and_other_values(spark, benchmark):
     df = documents(spark).unionByName(clash(spark.createDataFrame(rows, "doc_id long, text string")), allowMissingColumns=True)
     got = {(r["doc_id"], r["item_id"]): r["kind"] for r in contaminated(df, benchmark).collect()}
     assert got.pop((105, 7)) is not None
-    assert got.pop((102, 7), "copy") == "copy"  # names are not names in lower case; windows without names may do
-    assert got == {(100, 7): "copy", (101, 7): "re-parameterised", (103, 10): "copy"}
+    assert got == {(100, 7): "copy", (102, 7): "copy", (101, 7): "re-parameterised", (103, 10): "copy"}
 
 
-def test_contradicting_values_are_no_question(spark, benchmark):
+def test_contradicting_values(spark, benchmark):
+    """They don't make a question of the template, but words equal to the item's count: a near copy with three names in place of one is held."""
     text = "We know that Carl has 12 apples and she gives 3 apples to Dora, then Ernst buys 7 km of rope. How many apples has Fred left after that day?"
-    assert contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), benchmark).count() == 0
+    assert [r["item_id"] for r in contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), benchmark).collect()] == [7]
+    other = "Tom saw 3 red cars near Tom before 3 old men met Tom with 3 dogs by Tom at 3 big farms"
+    names, numbers = iter(["Ann", "Bea", "Cyd", "Dot"]), iter("4567")
+    text = re.sub("Tom", lambda _: next(names), re.sub("3", lambda _: next(numbers), other))
+    items = spark.createDataFrame([(1, other)], BENCHMARK)
+    assert contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), items).count() == 0
+    assert contaminated(spark.createDataFrame([(1, other.replace("Tom", "Ann").replace("3", "4"))], "doc_id long, text string"), items).count() == 1
+
+
+def test_names_anywhere(spark):
+    """At the beginning of a sentence, in capitals, with apostrophes and hyphens."""
+    word = "Tom has 12 apples. Tom gives 3 apples to Rob and keeps what is left. Rob eats 2 of these. How many apples do both have?"
+    space = "NASA sent 4 probes to Mars and O'Brien saw 2 of them land near Ann-Marie with the camera of NASA."
+    rows = [(1, word.replace("Tom", "Zoe").replace("Rob", "Mary Ann").replace("12", "40").replace("3", "7").replace("2 of", "5 of")),
+            (2, space.replace("NASA", "ESA").replace("O'Brien", "Smith").replace("Ann-Marie", "D\u2019Arc").replace("4", "9").replace("Mars", "Venus")),
+            (3, space.upper()), (4, "Tom and Rob have many apples. NASA has none.")]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, word), (2, space)], BENCHMARK)).collect()}
+    assert got == {(1, 1): "re-parameterised", (2, 2): "re-parameterised", (3, 2): "copy"}
 
 
 def test_shuffle_join_gives_the_same(spark, monkeypatch):
