@@ -4,8 +4,10 @@ A symbol is coded by the bits of its Huffman path. For every bit, each context h
 counts of ones and zeros in a hashed slot of (context, node of the code tree), given as the
 logarithm of the odds. A set of weights, chosen by the depth of the node (the gate), adds them up,
 and the mixed log odds go through a map of what such odds were worth (the adaptive probability
-map). Weights and map are fitted on a sample with each bit's own count taken out; the weights are
-then refined within each sequence, in steps of a fixed number of bits, from the bits before.
+map). Weights and map are fitted on all counted bits, each bit's own count taken out: tasks add the bits
+up in cells of like log odds (``Cells``), of which there are at most 16**4 a gate for four contexts, and
+the fit takes a context's log odds at the mean of their level. The weights are then refined within each sequence, in steps of a
+fixed number of bits, from the bits before.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import numpy as np
 
 GATES, STEP, RATE = 16, 512, 1.0
 SCALE, LIMIT = 16.0, 7.9
+LEVELS = 16  # of log odds in each context of a cell
 MAP = 129  # points of the probability map, from -8 to 8 log odds
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
@@ -45,14 +48,20 @@ class Code:
         self.start = np.cumsum(self.length) - self.length
         self.node = np.array([n for p in paths for n, _ in p], np.uint32)
         self.bit = np.array([b for p in paths for _, b in p], np.int8)
+        self.gate = np.array([min(i, GATES - 1) for p in paths for i in range(len(p))], np.int64)
 
     def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(position of the symbol, node, bit, gate) of every bit of a sequence of symbols."""
+        at, flat = self.places(symbols)
+        return at, self.node[flat], self.bit[flat], self.gate[flat]
+
+    def places(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position of the symbol, place in the flat paths) of every bit."""
         n = self.length[symbols]
-        at = np.repeat(np.arange(len(symbols)), n)
-        depth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        flat = self.start[symbols][at] + depth
-        return at, self.node[flat], self.bit[flat], np.minimum(depth, GATES - 1)
+        at = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
+        flat = np.repeat(self.start[symbols] - (np.cumsum(n) - n), n)
+        flat += np.arange(len(at))
+        return at, flat
 
 
 def slots(context: np.ndarray, at: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
@@ -92,26 +101,22 @@ class Mixer:
         near += gate * MAP + (MAP - 1) // 2
         return (z + self.map.ravel()[near]) * np.float32(0.5)
 
-    def fit(self, counts: np.ndarray, symbols: np.ndarray, contexts: Sequence[np.ndarray], rounds: int = 60) -> None:
-        """Weights by gradient steps, then the map, on a sample of the counted text: each bit's own
-        count is taken out of its slots first."""
-        at, node, bit, gate = self.code.expand(symbols)
-        x = np.empty((len(contexts), len(at)), np.float32)
-        for k, c in enumerate(contexts):
-            n = counts[k][slots(c, at, node, self.bits)].astype(np.float64)
-            n[np.arange(len(at)), bit.astype(np.int64)] -= 1
-            x[k] = odds(np.maximum(n[:, 1], 0), np.maximum(n[:, 0], 0))
-        here = np.maximum(np.bincount(gate, minlength=GATES), 1)
+    def fit(self, cells: np.ndarray, n: np.ndarray, means: np.ndarray, rounds: int = 60) -> None:
+        """Weights by gradient steps, then the map, from added up ``Cells`` (``n`` bits each) and ``levels``' means."""
+        cell, at = np.unique(cells >> 1, return_inverse=True)
+        n, ones = np.bincount(at, n), np.bincount(at, n * (cells & 1))
+        gate, x = cell // LEVELS ** len(means), np.stack([m[cell // LEVELS ** (len(means) - 1 - k) % LEVELS] for k, m in enumerate(means)])
+        here = np.maximum(np.bincount(gate, n, GATES), 1)
         for _ in range(rounds):
-            error = bit - 1 / (1 + np.exp(-(x * self.weights[gate].T).sum(0)))
+            error = ones - n / (1 + np.exp(-(x * self.weights[gate].T).sum(0)))
             for k in range(len(x)):
-                power = np.bincount(gate, x[k] * x[k], GATES) / here + 0.1
+                power = np.bincount(gate, n * x[k] * x[k], GATES) / here + 0.1
                 self.weights[:, k] += (np.bincount(gate, error * x[k], GATES) / here / power).astype(np.float32)
         z = (x * self.weights[gate].T).sum(0)
         near = np.clip(np.rint((z + 8) * (MAP - 1) / 16), 0, MAP - 1).astype(np.int64)
-        ones, all_ = (np.bincount(gate * MAP + near, w, GATES * MAP).reshape(GATES, MAP) for w in (bit.astype(float), None))
+        hits, all_ = (np.bincount(gate * MAP + near, w, GATES * MAP).reshape(GATES, MAP) for w in (ones, n))
         centre = 1 / (1 + np.exp(-np.linspace(-8, 8, MAP)))
-        p = (ones + 20 * centre) / (all_ + 20)
+        p = (hits + 20 * centre) / (all_ + 20)
         self.map = np.log(p / (1 - p)).astype(np.float32)
 
     def log2(self, symbols: np.ndarray, contexts: Sequence[np.ndarray], ends: np.ndarray, refine: bool = True) -> np.ndarray:
@@ -143,3 +148,33 @@ class Mixer:
                 for i in range(k):
                     own[:, i] += rate * np.bincount(key, xs[:, i] * error, len(own))
         return out / np.log(2)
+
+
+def levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``counts`` (contexts x slots x (zeros, ones)): the level of the log odds that a bit finds in a slot without its
+    own count (contexts x (2 * slot + bit)), and the mean log odds of each context's levels over all counted bits."""
+    out, means = np.zeros((len(counts), counts.shape[1], 2), np.uint8), np.zeros((len(counts), LEVELS))
+    for k, own in enumerate(counts):
+        total = np.zeros((2, LEVELS))
+        for bit in (0, 1):
+            x = odds(np.maximum(own[:, 1] - bit, 0), np.maximum(own[:, 0] - (1 - bit), 0)).astype(np.float64)
+            out[k, :, bit] = np.minimum((x + LIMIT) * (LEVELS / (2 * LIMIT)), LEVELS - 1)
+            total += [np.bincount(out[k, :, bit], w, LEVELS) for w in (own[:, bit], own[:, bit] * x)]
+        means[k] = total[1] / np.maximum(total[0], 1)
+    return out.reshape(len(counts), -1), means
+
+
+class Cells:
+    """How many bits of the counted text are in each cell: the gate, the ``levels`` of its contexts and the bit."""
+
+    def __init__(self, code: Code, table: np.ndarray, bits: int):
+        self.code, self.table, self.bits = code, table, bits
+        self.n = np.zeros(GATES * LEVELS ** len(table) * 2, np.int64)
+
+    def add(self, symbols: np.ndarray, contexts: Sequence[np.ndarray]) -> None:
+        at, flat = self.code.places(symbols)
+        node, bit, cell = self.code.node[flat], self.code.bit[flat], self.code.gate.astype(np.int32)[flat]
+        for own, c in zip(self.table, contexts, strict=True):
+            cell *= LEVELS
+            cell += own[slots(c, at, node, self.bits) * 2 + bit]
+        self.n += np.bincount(cell * 2 + bit, minlength=len(self.n))

@@ -12,7 +12,8 @@ What it gathers: exact counts of all words (a table that grows with the corpus,
 driver), and hashed slot counts (tables of a fixed 2**18 slots, summed by Spark from every
 training row). To executors go only the slots, the dictionary and the counts of the at most
 ``FREQUENT`` most frequent words, all bounded; the counts of other words reach the texts by a join
-on the word. Only weights and maps are fitted on a sample (``SAMPLE`` rows, ``SPELLED`` words).
+on the word. Weights and maps are fitted on every training row and every distinct training word, which tasks
+add up in cells of like log odds (``bit_mix.Cells``, at most 2**21 a mixer).
 
 Edge cases: null and empty texts are one end; with no training rows at all, every word is spelled by
 an unfitted model and the base score is 0 (the formula without counts); texts are scored whole, very long
@@ -31,13 +32,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.bit_mix import Code, Mixer, slots
+from foldwise.llm.bit_mix import Cells, Code, Mixer, levels, slots
 from foldwise.llm.common import ship, write_shared
 
 END = b"\n"  # no word has white space
 DICTIONARY, FREQUENT, CLASSES = 1024, 100_000, 1
 WORD_BITS, SPELL_BITS, SPELL_CONTEXTS = 18, 18, 4
-SAMPLE, SPELLED = 200, 20_000
+SPELLED = 20_000  # words spelled together
 BATCH = 100_000  # words scored together
 TASK_WORDS = 30_000_000  # words counted by one task at most, about 200 MB
 HELD = 400_000  # counted words a worker keeps
@@ -194,6 +195,21 @@ def gathered(rows: DataFrame, contexts: int, bits: int) -> np.ndarray:
     return total
 
 
+def emit_cells(cells: Cells) -> Iterator[pd.DataFrame]:
+    hit = np.flatnonzero(cells.n)
+    yield pd.DataFrame({"cell": hit, "n": cells.n[hit]})
+
+
+CELL_ROWS = "cell long, n long"
+
+
+def fit_cells(mixer: Mixer, rows: DataFrame, means: np.ndarray) -> None:
+    """Fit ``mixer`` on ``CELL_ROWS``, summed by Spark; at most a row a cell comes to the driver."""
+    cell, n = (c.to_numpy() for c in rows.groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow().columns)
+    if len(cell):
+        mixer.fit(cell, n, means)
+
+
 class Model:
     """All that executors need: bounded tables."""
 
@@ -268,54 +284,74 @@ def learn(rows: DataFrame, vocabulary: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast((words, code))
     train = rows.where("train").select("text")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, code = shared.value
-        counts, held, size = SlotCounts(code, 4, WORD_BITS), [], 0
-
-        def add():
-            n = np.array([len(h) for h in held])
-            symbols = np.concatenate(held)
-            counts.add(symbols, word_contexts(symbols, np.cumsum(n) - n))
-
+    def coded_blocks(batches: Iterator[pd.DataFrame], words: Words) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """Symbols and contexts of about ``BATCH`` words of whole texts."""
+        held, size = [], 0
         for b in batches:
             for text in b["text"]:
                 held.append(words.coded(text))
                 size += len(held[-1])
                 if size >= BATCH:
-                    add()
+                    yield block(held)
                     held, size = [], 0
         if held:
-            add()
+            yield block(held)
+
+    def block(held: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        n, symbols = np.array([len(h) for h in held]), np.concatenate(held)
+        return symbols, word_contexts(symbols, np.cumsum(n) - n)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, code = shared.value
+        counts = SlotCounts(code, 4, WORD_BITS)
+        for symbols, contexts in coded_blocks(batches, words):
+            counts.add(symbols, contexts)
         yield from counts.emit()
 
+    def gather_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, code = shared.value
+        cells = Cells(code, shared_levels.value, WORD_BITS)
+        for symbols, contexts in coded_blocks(batches, words):
+            cells.add(symbols, contexts)
+        yield from emit_cells(cells)
+
     tasks = max(2 * spark.sparkContext.defaultParallelism, total // TASK_WORDS)  # a task sends each slot once
-    word_counts = gathered(train.coalesce(tasks).mapInPandas(count, SLOT_ROWS), 4, WORD_BITS)
+    parts = train.coalesce(tasks)
+    word_counts = gathered(parts.mapInPandas(count, SLOT_ROWS), 4, WORD_BITS)
     mixer = Mixer(code, word_counts, WORD_BITS)
-    sample = [words.coded(r["text"]) for r in train.orderBy(F.xxhash64("text"), "text").limit(SAMPLE).collect()]
-    if sample:
-        n = np.array([len(s) for s in sample])
-        symbols = np.concatenate(sample)
-        mixer.fit(word_counts, symbols, word_contexts(symbols, np.cumsum(n) - n))
+    table, means = levels(word_counts)
+    shared_levels = spark.sparkContext.broadcast(table)
+    fit_cells(mixer, parts.mapInPandas(gather_cells, CELL_ROWS), means)
 
     letter_code = Code(tally[:256].tolist())
     shared_code = spark.sparkContext.broadcast((words, letter_code))
 
-    def count_spelling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, code = shared_code.value
-        counts = SlotCounts(code, SPELL_CONTEXTS, SPELL_BITS)
+    def spelled_blocks(batches: Iterator[pd.DataFrame], words: Words) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """Bytes and contexts of the words beyond the dictionary."""
         for b in batches:
             rarer = [w for w in map(bytes, b["token"]) if not 0 <= words.known[w] <= words.n]
             for i in range(0, len(rarer), SPELLED):
-                counts.add(*spell(rarer[i:i + SPELLED])[:2])
+                yield spell(rarer[i:i + SPELLED])[:2]
+
+    def count_spelling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, code = shared_code.value
+        counts = SlotCounts(code, SPELL_CONTEXTS, SPELL_BITS)
+        for data, contexts in spelled_blocks(batches, words):
+            counts.add(data, contexts)
         yield from counts.emit()
 
+    def gather_spelling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, code = shared_code.value
+        cells = Cells(code, shared_spelling.value, SPELL_BITS)
+        for data, contexts in spelled_blocks(batches, words):
+            cells.add(data, contexts)
+        yield from emit_cells(cells)
+
     spell_counts = gathered(spelled_rows.mapInPandas(count_spelling, SLOT_ROWS), SPELL_CONTEXTS, SPELL_BITS)
     speller = Mixer(letter_code, spell_counts, SPELL_BITS)
-    some_words = [bytes(r["token"]) for r in spelled_rows.orderBy(F.xxhash64("token"), "token").limit(SPELLED).collect()]
-    some_words = [w for w in some_words if not 0 <= words.known[w] <= words.n]
-    if some_words:
-        data, contexts, _ = spell(some_words)
-        speller.fit(spell_counts, data, contexts)
+    spelled_table, spelled_means = levels(spell_counts)
+    shared_spelling = spark.sparkContext.broadcast(spelled_table)
+    fit_cells(speller, spelled_rows.mapInPandas(gather_spelling, CELL_ROWS), spelled_means)
     seen = np.clip(1 - once / np.maximum(1, rare), 0.001, 0.999) * (rare > 0)
     return Model(words, mixer, speller, seen, rare, total, distinct, counted, least)
 

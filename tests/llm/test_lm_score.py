@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldwise.llm.bit_mix import Code, Mixer, slots
+from foldwise.llm.bit_mix import GATES, Cells, Code, Mixer, levels, odds, slots
 from foldwise.llm.common import id_remainder
 from foldwise.llm.lm_score import END, lm_scores, words_of
 
@@ -75,3 +75,47 @@ def test_nothing_to_learn(spark):
     assert lm_scores(no_documents(spark), F.lit(True)).count() == 0
     got = lm_scores(documents(spark).where("doc_id = 8"), F.lit(False)).first()
     assert (got["train_tokens"], got["n_known"], got["base_score"]) == (0, 0, 0.0) and got["score"] < 0
+
+
+def test_weights_are_fitted_on_all_counted_bits():
+    rng = np.random.default_rng(2)
+    code, bits = Code([40, 9, 5, 3, 2, 1, 1]), 12
+    symbols = rng.choice(7, 30_000, p=[0.4, 0.2, 0.15, 0.1, 0.08, 0.05, 0.02])
+    symbols[1::2] = symbols[::2]  # a symbol tells the next
+    contexts = [np.ones(len(symbols), np.uint32), np.concatenate([[0], symbols[:-1] + 1]).astype(np.uint32)]
+    at, node, bit, gate = code.expand(symbols)
+    counts = np.zeros((2, 1 << bits, 2))
+    for k, c in enumerate(contexts):
+        np.add.at(counts[k], (slots(c, at, node, bits), bit.astype(int)), 1)
+    table, means = levels(counts)
+    cells = [Cells(code, table, bits) for _ in range(2)]  # two tasks, in blocks
+    for i, part in enumerate(np.split(np.arange(len(symbols)), 6)):
+        cells[i % 2].add(symbols[part], [c[part] for c in contexts])
+    n = sum(c.n for c in cells)
+    assert n.sum() == len(bit) and n[1::2].sum() == bit.sum()
+    hit = np.flatnonzero(n)
+    mixer = Mixer(code, counts, bits)
+    mixer.fit(hit, n[hit], means)
+    x = np.stack([odds(m[:, 1] - bit, m[:, 0] - (1 - bit)) for k, c in enumerate(contexts) for m in [counts[k][slots(c, at, node, bits)]]])
+    want, here = np.full((GATES, 2), 0.5), np.maximum(np.bincount(gate, minlength=GATES), 1)
+    for _ in range(60):
+        error = bit - 1 / (1 + np.exp(-(x * want[gate].T).sum(0)))
+        for k in range(2):
+            want[:, k] += np.bincount(gate, error * x[k], GATES) / here / (np.bincount(gate, x[k] * x[k], GATES) / here + 0.1)
+    loss = lambda w: np.logaddexp(0, (1 - 2 * bit) * (x * w[gate].T).sum(0)).mean()
+    assert loss(mixer.weights) < 1.005 * loss(want) < 0.9 * loss(np.full((GATES, 2), 0.5) * [1, 0])
+
+
+def test_fit_reads_every_training_row(spark, monkeypatch):
+    rows = [(i, f"the cat sat on mat{i}") for i in range(1500)]  # more than the 200 texts once sampled
+    seen, fit = [], Mixer.fit
+
+    def spy(self, cells, n, means):
+        seen.append(n.sum())
+        fit(self, cells, n, means)
+
+    monkeypatch.setattr(Mixer, "fit", spy)
+    lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).count()
+    words, spelling = seen
+    assert words >= 1500 * 12  # six symbols of 2 bits at least each
+    assert spelling >= (1500 + 5 - 1024) * 5  # words beyond the dictionary: five bytes and the end
