@@ -26,7 +26,7 @@ from foldwise.functions.scalar import PROBA_EPS, known
 from foldwise.operators.encoding import model_priors, ordered_statistics
 from foldwise.operators.logit import Columns, array_column, fit_many, moments, plain_column, sigmoid, tasks_of
 from foldwise.operators.rank import dist_rank
-from foldwise.operators.scoring import METRICS, binary_metrics, rank_metrics, with_summary  # noqa: F401
+from foldwise.operators.scoring import METRICS, binary_metrics, packed_aucs, with_summary  # noqa: F401
 from foldwise.session import materialize, ship_package
 
 
@@ -114,15 +114,28 @@ class Design:
     def map(self, fn: Callable[[pa.RecordBatch, Callable[[int], np.ndarray]], Iterator[pa.RecordBatch]], schema: str, rows: DataFrame | None = None) -> DataFrame:
         """``fn(batch, matrix)`` over the table's batches; ``matrix(i)`` is the batch as model i scores it."""
         ship_package(self.table.sparkSession)
-        columns = self.columns
+        matrix = self.matrix()
 
         def run(batches):
             for batch in batches:
-                num, enc = array_column(batch, "num", len(columns.numeric)), array_column(batch, "enc_apply", len(columns.categorical) * (columns.k + 1))
-                yield from fn(batch, lambda i, num=num, enc=enc: columns.matrix(num, enc, i))
+                yield from fn(batch, matrix(batch))
 
         return (self.table if rows is None else rows).mapInArrow(run, schema)
 
+    def matrix(self) -> Callable[[pa.RecordBatch], Callable[[int], np.ndarray]]:
+        columns = self.columns
+
+        def of(batch):
+            num, enc = array_column(batch, "num", len(columns.numeric)), array_column(batch, "enc_apply", len(columns.categorical) * (columns.k + 1))
+            return lambda i: columns.matrix(num, enc, i)
+
+        return of
+
+    def aucs(self, fn: Callable[[pa.RecordBatch, Callable[[int], np.ndarray]], list], rows: DataFrame) -> DataFrame:
+        """(set, fold, auc) of the pieces (set, fold, scores, labels) that ``fn`` gives for each batch of ``rows``."""
+        matrix, used = self.matrix(), [c for c in self.table.columns if c != "enc_fit"]
+        return packed_aucs(rows.select(*used), lambda batch: fn(batch, matrix(batch)), rows.select(*used), rows.count(), self.id_col).drop("several")
+
     def score(self, models: dict, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
         """``keep`` and the probability of each of ``rows`` by the model of its fold, or by the only model."""
         fields = [f for f in self.table.schema.fields if f.name in keep]
@@ -207,27 +220,8 @@ def cross_validate(df: DataFrame | Design, id_col: str, label: str, numeric, cat
     return CVResult(design, dict(enumerate(design.fit([(i, features) for i in range(k)], spec or ModelSpec()))))
 
 
-HISTOGRAM = "set int, fold int, score double, pos long, neg long"
-
-
-def histogram_batch(pieces: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Rows of ``HISTOGRAM`` from (set, fold, probabilities, labels); rows without a label are left out."""
-    columns = [[] for _ in range(5)]
-    for number, fold, proba, y in pieces:
-        there = ~np.isnan(y)
-        score, at = np.unique(np.clip(proba[there], PROBA_EPS, 1 - PROBA_EPS), return_inverse=True)
-        n, pos = np.bincount(at, minlength=len(score)), np.bincount(at, weights=y[there], minlength=len(score)).astype(np.int64)
-        for c, v in zip(columns, (np.full(len(score), number, np.int32), np.full(len(score), fold, np.int32), score, pos, n - pos), strict=True):
-            c.append(v)
-    kinds = (np.int32, np.int32, float, np.int64, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, t), *c]).astype(t)) for c, t in zip(columns, kinds, strict=True)],
-                                      names=["set", "fold", "score", "pos", "neg"])
-
-
-def histogram_aucs(rows: DataFrame) -> DataFrame:
-    """(set, fold, auc) of rows of ``HISTOGRAM``, which add up."""
-    whole = rows.groupBy("set", "fold", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return rank_metrics(whole, ["set", "fold"]).select("set", "fold", "auc")
+def clipped(proba: np.ndarray) -> np.ndarray:
+    return np.clip(proba, PROBA_EPS, 1 - PROBA_EPS)
 
 
 def set_aucs(design: Design, sets: Sequence[Sequence[str]], spec: ModelSpec | None = None) -> list[float]:
@@ -246,10 +240,10 @@ def set_aucs(design: Design, sets: Sequence[Sequence[str]], spec: ModelSpec | No
             mine = fold == i
             if mine.any():
                 x = matrix(i)[mine]
-                pieces += [(n, i, m.proba(x), y[mine]) for n, own, m in models if own == i]
-        yield histogram_batch(pieces)
+                pieces += [(n, i, clipped(m.proba(x)), y[mine]) for n, own, m in models if own == i]
+        return pieces
 
-    aucs = histogram_aucs(design.map(fn, HISTOGRAM, design.table.where("fold IS NOT NULL"))).groupBy("set").agg(F.avg("auc").alias("auc"))
+    aucs = design.aucs(fn, design.table.where("fold IS NOT NULL")).groupBy("set").agg(F.avg("auc").alias("auc"))
     found = {r["set"]: r["auc"] for r in aucs.collect()}  # a number a set
     return [0.5 if found.get(n) is None else float(found[n]) for n in range(len(sets))]
 
@@ -270,10 +264,10 @@ def set_records(design: Design, sets: Sequence[Sequence[str]], split_col: str =
             parts = [(0, fold == i), (1, ~np.isnan(fold) & (fold != i))] if i < k else [(2, held)]
             for part, mine in parts:
                 if mine.any():
-                    pieces += [(3 * n + part, i, m.proba(x[mine]), y[mine]) for (n, own), m in models if own == i]
-        yield histogram_batch(pieces)
+                    pieces += [(3 * n + part, i, clipped(m.proba(x[mine])), y[mine]) for (n, own), m in models if own == i]
+        return pieces
 
-    aucs = histogram_aucs(design.map(fn, HISTOGRAM)).withColumns({"part": F.col("set") % 3, "set": F.floor(F.col("set") / 3).cast("int")})
+    aucs = design.aucs(fn, design.table).withColumns({"part": F.col("set") % 3, "set": F.floor(F.col("set") / 3).cast("int")})
     of = lambda part: F.when(F.col("part") == part, F.col("auc"))
     return aucs.groupBy("set").agg(F.avg(of(0)).alias("auc_mean"), F.stddev_pop(of(0)).alias("auc_std"), F.avg(of(1)).alias("train_auc_mean"),
                                    F.max(of(2)).alias("holdout_auc"))
@@ -338,7 +332,7 @@ def permutation_importance(cv: CVResult, columns: Sequence[str], n_repeats: int
     """SHAP2: AUC drop when one column is shuffled among a fold's validation rows, each row scored by the model that
     did not see it. The shuffle pairs the row at rank r in one hash order with the row at rank r in another, inside
     the fold; all repeats are ranked and joined together. One Arrow pass then scores every column of every
-    pair and hands on histograms of scores, which add up, so the plan has the same few nodes for any number of columns."""
+    pair and hands on packed scores, so the plan has the same few nodes for any number of columns."""
     rows = materialize(validation_rows(cv), "validation")
     repeats = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
     order = lambda side: h("id", F.concat(F.lit(f"{side}{seed}_"), F.col("rep")))
@@ -349,22 +343,21 @@ def permutation_importance(cv: CVResult, columns: Sequence[str], n_repeats: int
     slots = [[j for j, n in enumerate(names) if n == c] for c in wanted]
     width, many = len(names), n_repeats
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fold, rep, y = (plain_column(batch, c) for c in ("fold", "rep", "label"))
-            x, d = array_column(batch, "x", width), array_column(batch, "d", width)
-            pieces = []
-            for i in np.unique(fold).astype(int).tolist():
-                for r in np.unique(rep[fold == i]).astype(int).tolist():
-                    mine = (fold == i) & (rep == r)
-                    for c, own in enumerate(slots):
-                        swapped = x[mine].copy()
-                        swapped[:, own] = d[mine][:, own]
-                        pieces.append((c * many + r, i, models[i].proba(swapped), y[mine]))
-            yield histogram_batch(pieces)
-
-    ship_package(rows.sparkSession)
-    aucs = histogram_aucs(pairs.select("fold", "rep", "label", "x", "d").mapInArrow(score, HISTOGRAM))
+    def score(batch: pa.RecordBatch) -> list:
+        fold, rep, y = (plain_column(batch, c) for c in ("fold", "rep", "label"))
+        x, d = array_column(batch, "x", width), array_column(batch, "d", width)
+        pieces = []
+        for i in np.unique(fold).astype(int).tolist():
+            for r in np.unique(rep[fold == i]).astype(int).tolist():
+                mine = (fold == i) & (rep == r)
+                for c, own in enumerate(slots):
+                    swapped = x[mine].copy()
+                    swapped[:, own] = d[mine][:, own]
+                    pieces.append((c * many + r, i, clipped(models[i].proba(swapped)), y[mine]))
+        return pieces
+
+    as_they_are = repeats.select("id", "fold", "rep", "label", "x", F.col("x").alias("d"))
+    aucs = packed_aucs(pairs.select("fold", "rep", "label", "x", "d"), score, as_they_are, rows.count(), "id").drop("several")
     base = cv.fold_metrics.where("fold >= 0").select("fold", F.col("auc").alias("_base"))
     drop = aucs.join(base, "fold").select("fold", F.floor(F.col("set") / many).cast("int").alias("_c"), (F.col("_base") - F.col("auc")).alias("_drop"))
     per_fold = drop.groupBy("fold", "_c").agg(F.avg("_drop").alias("_m")).groupBy("_c").agg(F.avg("_m").alias("importance"))

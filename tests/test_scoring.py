@@ -84,3 +84,22 @@ def test_auc_of_negated_score(spark):
     a = rank_metrics(histogram(df, "s", "y")).first()["auc"]
     b = rank_metrics(histogram(df, "ns", "y")).first()["auc"]
     assert a + b == pytest.approx(1.0, abs=1e-12)
+
+
+def test_packed_aucs_in_ranges_equal_the_histogram(spark, monkeypatch):
+    from foldwise.operators import scoring
+    monkeypatch.setattr(scoring, "RANGE_ROWS", 150)  # fourteen ranges
+    rows = spark.range(2000).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), ((F.col("id") * 37 % 500) / 7 + F.col("id") % 3).alias("many"),
+                                    F.when(F.col("id") % 10 > 0, F.lit(1.5)).otherwise(F.col("id") % 20 * 1.0).alias("hot"), F.when(F.col("id") % 2 == 0, F.col("id") * 1.0).alias("gaps"))
+    got = {r["feature"]: r["auc"] for r in single_feature_auc(rows, ["many", "hot", "gaps"], "y", "id").collect()}
+    for c in got:
+        want = rank_metrics(histogram(rows, c, "y")).first()["auc"]
+        assert got[c] == pytest.approx(max(want, 1 - want), abs=1e-12)
+
+
+def test_packed_scores_are_sent_as_groups_of_scores(spark):
+    import numpy as np
+    from foldwise.operators.scoring import packed
+    rng = np.random.default_rng(0)
+    b = packed({(0, 0): [(rng.random(50_000), rng.integers(0, 2, 50_000))]}, {(0, 0): np.array([0.25, 0.5])})
+    assert b.num_rows == 3 and b.nbytes < 50_000 * 8.1  # a row of a histogram held 32 bytes a score
