@@ -25,6 +25,7 @@ from foldwise.functions.hashing import TWO_POW_32, h
 from foldwise.functions.scalar import known, same_value
 from foldwise.operators.rank import dist_rank
 from foldwise.operators.scan import MAX_TRUNCATED_POSITIONS, RowState, mean_of_call, rank_of_call, row_only, running_sum, truncated_replay
+from foldwise.session import materialize
 
 # Fixed values of the replay.
 IID_BATCH_SIZES = [1, 5, 37]
@@ -67,9 +68,10 @@ def assign_batches(ordered: DataFrame, sizes: Sequence[int]) -> DataFrame:
 
 def transform_many(rows: DataFrame, feature: PandasFeature, id_col: str, job_cols: Sequence[str],
                    order_col: str = "pos", extra_cols: Sequence[str] = (),
-                   n_parts: int | None = None) -> DataFrame:
+                   n_parts: int | None = None, outputs: Sequence[str] = ("value",)) -> DataFrame:
     """UDF2: run ``feature`` separately on every job (rows sharing ``job_cols``), in
-    ``order_col`` order inside each job. Returns (id, job_cols..., extra..., value)."""
+    ``order_col`` order inside each job. Returns (id, job_cols..., extra..., value); with several ``outputs``
+    the feature gives a frame of as many columns."""
     from foldwise.session import ship_package
     ship_package(rows.sparkSession)
     job_cols = list(job_cols)
@@ -78,7 +80,7 @@ def transform_many(rows: DataFrame, feature: PandasFeature, id_col: str, job_col
     part = rows.select(*keep).repartition(n_parts, *job_cols).sortWithinPartitions(*job_cols, order_col)
     out_fields = [f for f in part.schema.fields if f.name in [id_col, *job_cols, *extra_cols]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out_fields)
-    schema += f", `value` {feature.output_type}"
+    schema += "".join(f", `{o}` {feature.output_type}" for o in outputs)
     out_names = [f.name for f in out_fields]
     fn, grouped = feature.fn, feature.grouped
 
@@ -88,10 +90,12 @@ def transform_many(rows: DataFrame, feature: PandasFeature, id_col: str, job_col
         else:
             parts = []
             for _, g in pdf.groupby(job_cols, sort=False):
-                parts.append(pd.Series(fn(g.reset_index(drop=True)).to_numpy(), index=g.index))
+                parts.append(fn(g.reset_index(drop=True)).set_axis(g.index))
             vals = pd.concat(parts) if parts else pd.Series(dtype="float64")
         res = pdf[out_names].copy()
-        res["value"] = pd.Series(vals).reindex(pdf.index).to_numpy()
+        vals = (vals.to_frame() if isinstance(vals, pd.Series) else vals).reindex(pdf.index)
+        for i, o in enumerate(outputs):
+            res[o] = vals.iloc[:, i].to_numpy()
         return res
 
     def per_partition(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,9 +150,9 @@ def replay(df: DataFrame, feature: PandasFeature, offline: DataFrame, id_col: st
 
 
 def together(features: Sequence[PandasFeature]) -> PandasFeature:
-    """Features of numbers as one, whose value is the array of theirs: a replay runs them all in one pass."""
+    """Features of numbers as one that gives a frame with a column for each: a replay runs them all in one pass."""
     columns = tuple(dict.fromkeys(c for f in features for c in f.required_columns))
-    stack = lambda series, index: pd.Series(list(pd.concat([s.astype("float64") for s in series], axis=1).to_numpy()), index=index)
+    stack = lambda series, index: pd.DataFrame({i: s.astype("float64") for i, s in enumerate(series)}, index=index)
 
     def fn(pdf: pd.DataFrame) -> pd.Series:
         return stack([f.fn(pdf) for f in features], pdf.index)
@@ -156,21 +160,23 @@ def together(features: Sequence[PandasFeature]) -> PandasFeature:
     def grouped(pdf: pd.DataFrame, job_cols: list[str]) -> pd.Series:
         return stack([f.grouped(pdf, job_cols) for f in features], pdf.index)
 
-    return PandasFeature("together", columns, fn, grouped if all(f.grouped for f in features) else None, "array<double>")
+    return PandasFeature("together", columns, fn, grouped if all(f.grouped for f in features) else None)
 
 
 def replay_all(df: DataFrame, features: Sequence[PandasFeature], offline: DataFrame, id_col: str, time_col: str | None = None,
                sizes: Sequence[int] | None = None, seed: int = 0) -> DataFrame:
     """PAR1/PAR2 of several features of numbers in one pass: ``(feature, n_checked, n_mismatch, max_abs_diff)``; ``offline``
-    has a column by each feature's name."""
-    sizes = sizes or (TEMPORAL_BATCH_SIZES if time_col else IID_BATCH_SIZES)
-    batches = assign_batches(replay_order(df, id_col, time_col, seed), sizes)
-    online = transform_many(batches, together(features), id_col, ["batch_size", "batch"], "pos", extra_cols=["pos"])
-    j = online.join(offline.select(id_col, *[F.col(f.name).cast("double").alias(f"_f{i}") for i, f in enumerate(features)]), id_col)
-    j = j.withColumns({f"_n{i}": F.get("value", F.lit(i)) for i in range(len(features))})
-    each = [F.struct(F.lit(f.name).alias("feature"), same_value(j, f"_f{i}", f"_n{i}").alias("matched"),
-                     F.abs(known(j, f"_f{i}") - known(j, f"_n{i}")).alias("abs_diff")) for i, f in enumerate(features)]
-    return summarize(j.select(F.explode(F.array(*each)).alias("d")).select("d.*"), by=["feature"])
+    has a column by each feature's name. The offline values travel with the rows, so where ``offline`` is ``df`` itself nothing
+    is joined."""
+    sizes, numbers = sizes or (TEMPORAL_BATCH_SIZES if time_col else IID_BATCH_SIZES), range(len(features))
+    expected = [F.col(f.name).cast("double").alias(f"_f{i}") for i, f in enumerate(features)]
+    rows = df.select("*", *expected) if offline is df else df.join(offline.select(id_col, *expected), id_col)
+    batches = assign_batches(replay_order(rows, id_col, time_col, seed), sizes)
+    j = transform_many(batches, together(features), id_col, ["batch_size", "batch"], "pos", extra_cols=[f"_f{i}" for i in numbers], outputs=[f"_n{i}" for i in numbers])
+    counts = j.agg(F.count(F.lit(1)).alias("n_checked"), *[F.count_if(~same_value(j, f"_f{i}", f"_n{i}")).alias(f"m{i}") for i in numbers],
+                   *[F.max(F.abs(known(j, f"_f{i}") - known(j, f"_n{i}"))).alias(f"d{i}") for i in numbers])
+    each = [F.struct(F.lit(f.name).alias("feature"), "n_checked", F.col(f"m{i}").alias("n_mismatch"), F.col(f"d{i}").alias("max_abs_diff")) for i, f in enumerate(features)]
+    return counts.where("n_checked > 0").select(F.inline(F.array(*each)))
 
 
 def temporal_replay(df: DataFrame, feature: PandasFeature, offline: DataFrame, id_col: str, time_col: str,
@@ -240,16 +246,21 @@ def mean_in_call(name: str, col: str) -> PandasFeature:
     return PandasFeature(name, (col,), fn, grouped, state=mean_of_call(col))
 
 
-def offline_pct_rank(df: DataFrame, id_col: str, col: str, out: str = "offline") -> DataFrame:
-    """Whole-frame value of ``rank_in_call``: (rows below + (ties + 1) / 2) / n, from a
+def with_pct_rank(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``df`` with the whole-frame value of ``rank_in_call``: (rows below + (ties + 1) / 2) / n, from a written
     histogram and prefix sums (no global window)."""
     from foldwise.operators.rank import prefix_sums
-    hist = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("c"))
-    ps = prefix_sums(hist, "v", ["c"], inclusive=True)
+    hist = materialize(df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("c")), "histogram")
+    ps = prefix_sums(hist, "_v", ["c"], inclusive=True)
     avg_rank = (F.col("cum_c") - F.col("c")) + (F.col("c") + 1) / 2.0
-    ranks = ps.select("v", (avg_rank / F.col("c_total")).alias(out))
-    return df.join(ranks, F.col(col).cast("double") == F.col("v"), "left").select(id_col, out)
+    ranks = ps.select("_v", (avg_rank / F.col("c_total")).alias(out))
+    return df.join(ranks, F.col(col).cast("double") == F.col("_v"), "left").drop("_v")
+
+
+def offline_pct_rank(df: DataFrame, id_col: str, col: str, out: str = "offline") -> DataFrame:
+    """(id, ``out``) of ``with_pct_rank``."""
+    return with_pct_rank(df, col, out).select(id_col, out)
 
 
 def offline_cumsum(df: DataFrame, id_col: str, time_col: str, col: str, out: str = "offline") -> DataFrame:

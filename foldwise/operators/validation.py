@@ -40,21 +40,20 @@ def candidate_values(df: DataFrame, candidates: Sequence[Candidate], id_col: str
     full fit and whatever the serving transforms look up."""
     dev = df.where(F.col(fold_col).isNotNull())
     stats = [c for c in candidates if isinstance(c.feature, fx.GroupStat)]
-    values, serving = (fx.oof_group_stats(df, [c.feature for c in stats], fold_col, k) if stats else df), df
+    rows = fx.oof_group_stats(df, [c.feature for c in stats], fold_col, k) if stats else df
     for c in candidates:
         if c in stats:
-            params = materialize(c.feature.fit(dev), "params")
-            served = f"_served_{c.name}"
-            values = par.join_params(values, params, c.feature.key, served)
-            full = F.coalesce(f"_{served}_value", f"_{served}_default")
-            values = values.withColumn(c.name, F.when(F.col(fold_col).isNull(), full).otherwise(F.col(c.name))).drop(f"_{served}_value", f"_{served}_default")
-            serving = par.join_params(serving, params, c.feature.key, c.name)
-            serving = serving.withColumn(c.name, F.coalesce(f"_{c.name}_value", f"_{c.name}_default"))
+            rows = par.join_params(rows, materialize(c.feature.fit(dev), "params"), c.feature.key, c.name)
+            full = F.coalesce(f"_{c.name}_value", f"_{c.name}_default")
+            rows = rows.withColumns({f"_full_{c.name}": full, c.name: F.when(F.col(fold_col).isNull(), full).otherwise(F.col(c.name))})
         elif c.feature is not None:
-            values, serving = c.feature.transform(values, None), c.feature.transform(serving, None)
+            rows = c.feature.transform(rows, None)
         else:
-            values, serving = values.withColumn(c.name, F.col(c.column)), serving.withColumn(c.name, F.col(c.column))
-    return materialize(values, "values"), materialize(serving, "serving")
+            rows = rows.withColumn(c.name, F.col(c.column))
+    rows = materialize(rows, "values")  # both frames are columns of one written table
+    served = [f"_{c.name}_{part}" for c in stats for part in ("value", "default")]
+    full = {c.name: f"_full_{c.name}" for c in stats}
+    return rows.drop(*served, *full.values()), rows.select(*[F.col(full.get(c, c)).alias(c) for c in rows.columns if c not in full.values()])
 
 
 def validate(values: DataFrame, serving: DataFrame, candidates: Sequence[Candidate], id_col: str, label: str, fold_col: str = "fold",

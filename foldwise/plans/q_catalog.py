@@ -65,9 +65,7 @@ def _u(parts):
 # ------------------------------------------------------------------ shared records
 def run_inputs(spark, sf):
     """(values, serving rows, candidates) of the run."""
-    p = prepared(spark, sf)
-    ranks = par.offline_pct_rank(p, "row_id", "price", out="rank_price")
-    p = p.join(ranks, "row_id").withColumns({"leak_y": F.col("y") * 2.0, "nothing": F.lit(None).cast("double")})
+    p = par.with_pct_rank(prepared(spark, sf), "price", "rank_price").withColumns({"leak_y": F.col("y") * 2.0, "nothing": F.lit(None).cast("double")})
     cands = candidates(spark)
     return *candidate_values(p, cands, "row_id", K), cands
 
@@ -75,8 +73,9 @@ def run_inputs(spark, sf):
 def feature_results(spark, sf, inputs=None):
     values, serving, cands = inputs or run_inputs(spark, sf)
     r = validate(values, serving, cands, "row_id", "y", sizes=SIZES, seed=SEED)
-    return r.select(F.lit(RUN).alias("run_id"), "feature_name", F.concat(F.lit("h_"), F.col("feature_name")).alias("hypothesis_id"), "pos", "iteration", "auc",
-                    "pct_missing", "leak_flag", "coverage_ok", "n_mismatch", "parity_ok", "final_status")
+    r = r.select(F.lit(RUN).alias("run_id"), "feature_name", F.concat(F.lit("h_"), F.col("feature_name")).alias("hypothesis_id"), "pos", "iteration", "auc",
+                 "pct_missing", "leak_flag", "coverage_ok", "n_mismatch", "parity_ok", "final_status")
+    return materialize(r, "results")  # a row a candidate: whoever reads it twice runs the checks once
 
 
 _TE = """SELECT p.row_id, CASE WHEN p.fold IS NOT NULL THEN coalesce(t1.m, 0.5) ELSE coalesce(t2.m, 0.5) END AS v
@@ -133,7 +132,7 @@ def record_run(cat, spark, cands):
 
 def written_results(spark, sf, inputs=None):
     cat, inputs = new_catalog(spark), inputs or run_inputs(spark, sf)
-    fr = materialize(feature_results(spark, sf, inputs), "results")
+    fr = feature_results(spark, sf, inputs)
     record_run(cat, spark, inputs[2])
     for i in iterations(fr):  # one append per iteration, as a run records them
         cat.append("validation_results", fr.where(F.col("iteration") == i))
