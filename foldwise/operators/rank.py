@@ -17,7 +17,7 @@ uses one on row data. Instead:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -30,6 +30,7 @@ from foldwise.operators.splitters import Splitters, find_splitters
 from foldwise.session import materialize, shuffle_partitions
 
 BLOCK = 1024  # buckets summed in one task of the first level
+QUANTILE_ROWS = 10_000  # rows in a bucket of ``exact_quantiles``, up to ``splitters.LEAVES`` buckets
 
 
 def _as_double(df: DataFrame, c: str) -> Column:
@@ -58,7 +59,7 @@ def order_by(df: DataFrame, order_cols: Sequence[str]) -> list[Column]:
     return [*[F.col(c).asc_nulls_last() for c in lead], *hashed, F.col(tie).asc_nulls_last()]
 
 
-def rank_buckets(df: DataFrame, order_cols: Sequence[str], n_buckets: int,
+def rank_buckets(df: DataFrame, order_cols: Sequence[str], n_buckets: int | Callable[[int], int],
                  uniform_max: float | None = None) -> DataFrame:
     """Adds ``_b1``, ``_b2``: a bucket key that is a pure function of the row's values and
     increases with the (order_cols) order. ``_b1`` cuts the leading column at sampled bounds
@@ -122,7 +123,8 @@ def dist_rank(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = (),
     by, order_cols = list(by), list(order_cols)
     b = rank_buckets(df, order_cols, n_parts or shuffle_partitions(df.sparkSession), uniform_max)
     local = b.withColumn("_lr", F.row_number().over(Window.partitionBy(*by, "_b1", "_b2").orderBy(*order_by(df, order_cols))))
-    offsets = bucket_offsets(b.groupBy(*by, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_cnt")), by)
+    # written, so that the planner knows its size and does not shuffle the rows once more for a few numbers
+    offsets = materialize(bucket_offsets(b.groupBy(*by, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_cnt")), by), "offsets")
     out = _with_offsets(local, offsets, by).withColumn(rank_col, (F.col("_lr") + F.col("_off")).cast("bigint"))
     if total_col:
         out = out.withColumn(total_col, F.col("_all"))
@@ -154,7 +156,7 @@ def prefix_sums(hist: DataFrame, order_col: str, sum_cols: Sequence[str], by: Se
                .withColumn(f"{c}{total_suffix}", F.sum(f"_bt_{c}").over(w_all)))
     tot = tot.drop(*[f"_bt_{c}" for c in sum_cols])
     ren = {c: f"_t_{c}" for c in [*by, "_bkt"]}
-    t = tot.withColumnsRenamed(ren)  # at most groups x n_buckets rows; the planner chooses the join
+    t = materialize(tot.withColumnsRenamed(ren), "totals")  # at most groups x n_buckets rows; the planner chooses the join by their size
     cond = F.col("_bkt") == F.col("_t__bkt")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
@@ -170,12 +172,14 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], id_co
                     out_col: str = "q") -> DataFrame:
     """Exact linear-interpolation quantiles ((n-1)*p positions, pandas / ``quantile_cont``)
     of ``value_col`` per ``by`` group. The count table of the buckets says which of them hold the wanted
-    positions; only their rows are sorted and numbered. Nulls and NaN are skipped. One row per (by, prob)."""
+    positions; only their rows are sorted and numbered, so many rows are cut into more buckets than there are shuffle
+    partitions: few of them are wanted. Nulls and NaN are skipped. One row per (by, prob)."""
     by = list(by)
     x = F.col(value_col)
     there = x.isNotNull() & ~F.isnan(x) if isinstance(df.schema[value_col].dataType, (T.DoubleType, T.FloatType)) else x.isNotNull()
     clean = df.select(*by, value_col, id_col).where(there)
-    cut = rank_buckets(clean, [value_col, id_col], shuffle_partitions(df.sparkSession))
+    parts = shuffle_partitions(df.sparkSession)
+    cut = rank_buckets(clean, [value_col, id_col], lambda n: max(parts, min(splitters.LEAVES, n // QUANTILE_ROWS)))
     offsets = materialize(bucket_offsets(cut.groupBy(*by, "_b1", "_b2").agg(F.count(F.lit(1)).alias("_cnt")), by), "offsets")
     levels = F.inline(F.array(*[F.struct(F.lit(i).alias("_qi"), F.lit(float(q)).alias(prob_col)) for i, q in enumerate(probs)]))
     need = offsets.select(*by, "_all").distinct().select(*by, "_all", levels).withColumn("_pos", (F.col("_all") - 1) * F.col(prob_col))

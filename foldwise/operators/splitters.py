@@ -11,7 +11,7 @@ a bucket). No quantile is merged in one task, and the plan holds at most ``LEAVE
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,9 +75,11 @@ class Splitters:
         return out.withColumn(out_col, F.col(out_col) * F.lit(self.inner) + F.greatest(inside, F.lit(0))).drop("leaf", "cuts")
 
 
-def find_splitters(df: DataFrame, x: Column, n_buckets: int, tie: Column | None = None, also: Sequence[Column] = ()) -> Splitters:
-    """The splitters of ``x`` (a double) for ``n_buckets``; ``also`` are further columns that tell rows apart."""
+def find_splitters(df: DataFrame, x: Column, n_buckets: int | Callable[[int], int], tie: Column | None = None, also: Sequence[Column] = ()) -> Splitters:
+    """The splitters of ``x`` (a double) for ``n_buckets`` (a number, or what gives it for the number of rows); ``also`` are
+    further columns that tell rows apart."""
     n = df.count()
+    n_buckets = n_buckets(n) if callable(n_buckets) else n_buckets
     if not n or n_buckets < 2:
         return Splitters([])
     t = tie if tie is not None else F.lit(0.0)
