@@ -24,14 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldwise.operators.logit import array_column, plain_column
 from foldwise.session import checkpoint_dir
 
-BLOCK = 4096  # rows explained together
+BLOCK = 1 << 16  # rows explained together
+WAYS = 24  # nodes whose ways are told apart at once
 
 
 @dataclass
@@ -109,23 +112,46 @@ def goes_left(t: Tree, node: int, X: np.ndarray) -> np.ndarray:
     return np.isin(x, list(t.left_cats[node])) if t.left_cats[node] is not None else x <= t.threshold[node]
 
 
+def same_ways(ways: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each group, group of each of ``n`` rows): rows of a group go the same way at every node."""
+    group, first = np.zeros(n, np.int64), np.arange(min(n, 1))
+    for at in range(0, len(ways), WAYS):
+        code = group << WAYS
+        for b, way in enumerate(ways[at:at + WAYS]):
+            code |= way.astype(np.int64) << b
+        group, found = pd.factorize(code)
+        first = np.zeros(len(found), np.int64)
+        first[group] = np.arange(n)
+    return first, group
+
+
 def shap_values(trees: Sequence[Tree], X: np.ndarray) -> np.ndarray:
-    """Rows x features SHAP matrix (margin space) of a tree ensemble."""
+    """Rows x features SHAP matrix (margin space) of a tree ensemble. Rows that go the same way at every node of a tree have
+    the same values from it, so each tree is worked out for one row of every such group."""
     phi = np.zeros(X.shape)
     for t in trees:
-        way = {i: goes_left(t, i, X) for i in range(len(t.feature)) if t.left[i] >= 0}
-        for value, path in leaf_paths(t):
-            d = len(path)
-            weights = [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)]
-            z = {f: share for f, (share, _) in path.items()}
-            o = {f: np.logical_and.reduce([way[i] == left for i, left in steps]).astype(float) for f, (_, steps) in path.items()}
-            for i in path:
-                poly = np.zeros((d, len(X)))  # coefficients of t^0 to t^(d-1)
-                poly[0] = 1.0
-                for j in path:
-                    if j != i:
-                        poly = z[j] * poly + o[j] * np.vstack([np.zeros((1, len(X))), poly[:-1]])
-                phi[:, i] += t.weight * value * (o[i] - z[i]) * (np.array(weights) @ poly)
+        nodes = [i for i in range(len(t.feature)) if t.left[i] >= 0]
+        first, group = same_ways([goes_left(t, i, X) for i in nodes], len(X))
+        phi += tree_shap(t, X[first])[group]
+    return phi
+
+
+def tree_shap(t: Tree, X: np.ndarray) -> np.ndarray:
+    """The values of one tree, leaf by leaf."""
+    phi = np.zeros(X.shape)
+    way = {i: goes_left(t, i, X) for i in range(len(t.feature)) if t.left[i] >= 0}
+    for value, path in leaf_paths(t):
+        d = len(path)
+        weights = [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)]
+        z = {f: share for f, (share, _) in path.items()}
+        o = {f: np.logical_and.reduce([way[i] == left for i, left in steps]).astype(float) for f, (_, steps) in path.items()}
+        for i in path:
+            poly = np.zeros((d, len(X)))  # coefficients of t^0 to t^(d-1)
+            poly[0] = 1.0
+            for j in path:
+                if j != i:
+                    poly = z[j] * poly + o[j] * np.vstack([np.zeros((1, len(X))), poly[:-1]])
+            phi[:, i] += t.weight * value * (o[i] - z[i]) * (np.array(weights) @ poly)
     return phi
 
 
@@ -161,17 +187,26 @@ def mean_abs_shap(rows: DataFrame, models: dict, slot_features: dict[int, Sequen
     array = isinstance(rows.schema[features_col].dataType, T.ArrayType)
     arr = rows.select(F.col(fold_col).cast("int").alias("_fold"), (F.col(features_col) if array else vector_to_array(F.col(features_col))).alias("_x"))
 
-    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {n: 0.0 for n in names}
-        count = 0
-        for pdf in it:
-            for fold, g in pdf.groupby("_fold"):
-                for at in range(0, len(g), BLOCK):
-                    phi = shap_values(models[int(fold)], np.vstack(g["_x"].to_numpy()[at:at + BLOCK]))
-                    for n in names:
-                        sums[n] += float(np.abs(phi[:, slot_idx[int(fold)][n]].sum(axis=1)).sum())
-                count += len(g)
-        yield pd.DataFrame({"feature": names, "abs_sum": [sums[n] for n in names], "n": [count] * len(names)})
-
-    parts = arr.mapInPandas(fn, "feature string, abs_sum double, n long")
+    def explained(fold: int, rows: list[np.ndarray]) -> np.ndarray:
+        """The sum of |SHAP| of each name over ``rows``."""
+        phi = shap_values(models[fold], np.concatenate(rows))
+        return np.array([np.abs(phi[:, slot_idx[fold][n]].sum(axis=1)).sum() for n in names])
+
+    def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, count, held = np.zeros(len(names)), 0, {}
+        for batch in it:
+            folds = plain_column(batch, "_fold")
+            there = np.unique(folds[~np.isnan(folds)]).astype(int).tolist()
+            for fold in there:
+                mine = folds == fold
+                x = array_column(batch, "_x", len(slot_features[fold]))[mine]
+                held.setdefault(fold, []).append(x)
+                count += len(x)
+                if sum(map(len, held[fold])) >= BLOCK:
+                    sums += explained(fold, held.pop(fold))
+        for fold, rows in held.items():
+            sums += explained(fold, rows)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums), pa.array([count] * len(names), pa.int64())], names=["feature", "abs_sum", "n"])
+
+    parts = arr.mapInArrow(fn, "feature string, abs_sum double, n long")
     return parts.groupBy("feature").agg((F.sum("abs_sum") / F.sum("n")).alias("mean_abs_shap"))
