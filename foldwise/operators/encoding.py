@@ -5,9 +5,10 @@ before it in a hash order, so no row sees its own label; a row that a model didn
 training rows. ``k + 1`` models share one pass: model i trains on every fold but i, model k on all folds.
 
 The sums before a row are segmented prefix sums: rows are cut into buckets by ranges of the (uniform) hash,
-summed by windows over (column, category, bucket), and offset by the totals of the category's earlier
+summed by windows over (category, bucket), column by column, and offset by the totals of the category's earlier
 buckets. A category that holds a third of the rows is thus spread over all buckets, and there may be any
-number of categories; none is hashed onto another.
+number of categories; none is hashed onto another. All windows lie inside a bucket, so the rows are
+shuffled once, by bucket, with whatever else of them is kept.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import TWO_POW_32, h
 from foldwise.functions.scalar import missing_category
-from foldwise.session import shuffle_partitions
+from foldwise.session import materialize, shuffle_partitions
 
 PRIOR_WEIGHT = 1.0
+BUCKETS = 4  # buckets for each shuffle partition, which evens out the partitions
 
 
 def model_priors(df: DataFrame, label: str, k: int, fold_col: str = "fold") -> list[float]:
@@ -36,37 +38,36 @@ def model_priors(df: DataFrame, label: str, k: int, fold_col: str = "fold") -> l
 
 
 def ordered_statistics(df: DataFrame, id_col: str, label: str, categorical: Sequence[str], k: int, fold_col: str = "fold",
-                       seed: int = 42, priors: Sequence[float] | None = None) -> DataFrame:
-    """``(id, enc_fit, enc_apply)``: arrays of (column, model) values, column by column with k + 1 models each.
+                       seed: int = 42, priors: Sequence[float] | None = None, keep: Sequence[Column] = ()) -> DataFrame:
+    """``(id, keep..., enc_fit, enc_apply)``: arrays of (column, model) values, column by column with k + 1 models each.
     ``enc_fit`` is what a model trains on (null-free also where it doesn't); ``enc_apply`` what it scores with:
     all its training rows. Rows without a fold (a holdout) belong to no training set."""
     priors = list(priors) if priors is not None else model_priors(df, label, k, fold_col)
-    buckets = shuffle_partitions(df.sparkSession)
-    y = F.col(label).cast("double")
-    cats = F.array(*[missing_category(c, df) for c in categorical])
-    long = df.select(F.col(id_col).alias("_id"), F.col(fold_col).alias("_f"), y.alias("_y"), h(id_col, f"ts{seed}").alias("_h"), F.posexplode(cats).alias("_c", "_v"))
-    long = long.withColumn("_b", F.floor(F.col("_h") * F.lit(buckets / TWO_POW_32)).cast("int"))
+    buckets = BUCKETS * shuffle_partitions(df.sparkSession)
+    kept = [F.struct(*keep).alias("_keep")] if keep else []
+    cats = [f"_v{n}" for n in range(len(categorical))]
+    rows = df.select(F.col(id_col).alias("_id"), F.col(fold_col).alias("_f"), F.col(label).cast("double").alias("_y"), h(id_col, f"ts{seed}").alias("_h"),
+                     *[missing_category(c, df).alias(v) for c, v in zip(categorical, cats, strict=True)], *kept)
+    rows = rows.withColumn("_b", F.floor(F.col("_h") * F.lit(buckets / TWO_POW_32)).cast("int"))
     here = [F.coalesce((F.col("_f") == j) & F.col("_y").isNotNull(), F.lit(False)) for j in range(k)]
-    parts = {}
-    for j in range(k):
-        parts[f"n{j}"] = F.when(here[j], 1.0).otherwise(0.0)
-        parts[f"s{j}"] = F.when(here[j], F.col("_y")).otherwise(0.0)
-    long = long.withColumns(parts)
-    before = Window.partitionBy("_c", "_v", "_b").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    local = long.select("_id", "_f", "_c", "_v", "_b", *[F.coalesce(F.sum(p).over(before), F.lit(0.0)).alias(f"l{p}") for p in parts])
-    totals = long.groupBy("_c", "_v", "_b").agg(*[F.sum(p).alias(p) for p in parts])
-    earlier = Window.partitionBy("_c", "_v").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_c", "_v")
-    totals = totals.select(F.col("_c").alias("_tc"), F.col("_v").alias("_tv"), F.col("_b").alias("_tb"),
-                           *[F.coalesce(F.sum(p).over(earlier), F.lit(0.0)).alias(f"o{p}") for p in parts], *[F.sum(p).over(whole).alias(f"t{p}") for p in parts])
-    rows = local.join(totals, (F.col("_c") == F.col("_tc")) & (F.col("_v") == F.col("_tv")) & (F.col("_b") == F.col("_tb")))
+    parts = {f"n{j}": F.when(here[j], 1.0).otherwise(0.0) for j in range(k)} | {f"s{j}": F.when(here[j], F.col("_y")).otherwise(0.0) for j in range(k)}
+    earlier = Window.partitionBy("_tv").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
 
     def smoothed(i: int, total: bool) -> Column:
         others = [j for j in range(k) if j != i]
         value = lambda p: sum([F.col(f"t{p}{j}") if total else F.col(f"l{p}{j}") + F.col(f"o{p}{j}") for j in others], F.lit(0.0))
         return (value("s") + PRIOR_WEIGHT * priors[i]) / (value("n") + PRIOR_WEIGHT)
 
-    rows = rows.select("_id", "_c", F.array(*[smoothed(i, False) for i in range(k + 1)]).alias("a"), F.array(*[smoothed(i, True) for i in range(k + 1)]).alias("b"))
-    by_row = rows.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_c", "a", "b"))).alias("e"))
-    flat = lambda part: F.flatten(F.transform("e", lambda x: x[part]))
-    return by_row.select(F.col("_id").alias(id_col), flat("a").alias("enc_fit"), flat("b").alias("enc_apply"))
+    out = rows.repartition("_b")
+    for v in cats:
+        totals = rows.groupBy(F.col(v).alias("_tv"), F.col("_b").alias("_tb")).agg(*[F.sum(c).alias(p) for p, c in parts.items()])
+        totals = totals.select("_tv", "_tb", *[F.coalesce(F.sum(p).over(earlier), F.lit(0.0)).alias(f"o{p}") for p in parts],
+                               *[F.sum(p).over(Window.partitionBy("_tv")).alias(f"t{p}") for p in parts])
+        before = Window.partitionBy(v, "_b").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumns({f"l{p}": F.coalesce(F.sum(c).over(before), F.lit(0.0)) for p, c in parts.items()})
+        # written, so that the planner knows its size: a row a category and bucket
+        out = out.join(materialize(totals, "categories"), (F.col(v) == F.col("_tv")) & (F.col("_b") == F.col("_tb")))
+        out = out.withColumns({f"a{v}": F.array(*[smoothed(i, False) for i in range(k + 1)]), f"b{v}": F.array(*[smoothed(i, True) for i in range(k + 1)])})
+        out = out.drop("_tv", "_tb", *[f"{x}{p}" for x in "lot" for p in parts])
+    flat = lambda part: F.concat(*[F.col(f"{part}{v}") for v in cats])
+    return out.select(F.col("_id").alias(id_col), *(["_keep.*"] if keep else []), flat("a").alias("enc_fit"), flat("b").alias("enc_apply"))

@@ -112,7 +112,7 @@ class Design:
         return BoostedModel(tuple(picked), tuple(read_trees(gbt.fit(vectors), self.table.sparkSession)))
 
     def map(self, fn: Callable[[pa.RecordBatch, Callable[[int], np.ndarray]], Iterator[pa.RecordBatch]], schema: str, rows: DataFrame | None = None) -> DataFrame:
-        """``fn(batch, matrix)`` over the table's batches; ``matrix(i)`` is the batch as model i scores it."""
+        """``fn(batch, matrix)`` over the table's batches; ``matrix(i, rows)`` are the rows (all by default) as model i scores them."""
         ship_package(self.table.sparkSession)
         matrix = self.matrix()
 
@@ -122,12 +122,12 @@ class Design:
 
         return (self.table if rows is None else rows).mapInArrow(run, schema)
 
-    def matrix(self) -> Callable[[pa.RecordBatch], Callable[[int], np.ndarray]]:
+    def matrix(self) -> Callable[[pa.RecordBatch], Callable[..., np.ndarray]]:
         columns = self.columns
 
         def of(batch):
             num, enc = array_column(batch, "num", len(columns.numeric)), array_column(batch, "enc_apply", len(columns.categorical) * (columns.k + 1))
-            return lambda i: columns.matrix(num, enc, i)
+            return lambda i, rows=slice(None): columns.matrix(num[rows], enc[rows], i)
 
         return of
 
@@ -146,7 +146,7 @@ class Design:
             for i, model in models.items():
                 mine = np.ones(len(batch), bool) if len(models) == 1 else fold == i
                 if mine.any():
-                    out[mine] = model.proba(matrix(i)[mine])
+                    out[mine] = model.proba(matrix(i, mine))
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)) for f in fields], pa.array(out)],
                                              names=[*[f.name for f in fields], "proba"])
 
@@ -168,12 +168,12 @@ def build_design(df: DataFrame, id_col: str, label: str, numeric: Sequence[str],
             own = [(r[2 + 2 * j], r[3 + 2 * j]) for r in sums if r[0] != i and r[3 + 2 * j]]
             impute[i, j] = sum(m * n for m, n in own) / max(sum(n for _, n in own), 1)
     nan = F.lit(float("nan"))
-    base = df.select(F.col(id_col), F.col(label).cast("double").alias("label"), F.col(fold_col).cast("int").alias("fold"), *[c for c in extra],
-                     F.array(*[F.coalesce(values[c], nan) for c in numeric]).cast("array<double>").alias("num"))
+    base = [F.col(label).cast("double").alias("label"), F.col(fold_col).cast("int").alias("fold"), *[F.col(c) for c in extra],
+            F.array(*[F.coalesce(values[c], nan) for c in numeric]).cast("array<double>").alias("num")]
     if categorical:
-        table = base.join(ordered_statistics(df, id_col, label, categorical, k, fold_col, seed, priors), id_col)
+        table = ordered_statistics(df, id_col, label, categorical, k, fold_col, seed, priors, keep=base)
     else:
-        table = base.withColumns({c: F.array().cast("array<double>") for c in ("enc_fit", "enc_apply")})
+        table = df.select(F.col(id_col), *base, *[F.array().cast("array<double>").alias(c) for c in ("enc_fit", "enc_apply")])
     ship_package(df.sparkSession)
     return Design(materialize(table, "design"), id_col, Columns(tuple(numeric), tuple(categorical), k, impute), priors, tuple(extra))
 
@@ -205,7 +205,7 @@ class CVResult:
             fold, label = plain_column(batch, "fold"), plain_column(batch, "label")
             for i, model in models.items():
                 seen = fold != i
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(seen.sum(), i, np.int32)), pa.array(label[seen], from_pandas=True), pa.array(model.proba(matrix(i)[seen]))],
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(seen.sum(), i, np.int32)), pa.array(label[seen], from_pandas=True), pa.array(model.proba(matrix(i, seen)))],
                                                  names=["fold", "label", "proba"])
 
         scored = d.map(fn, "fold int, label double, proba double", d.table.where("fold IS NOT NULL"))
@@ -239,7 +239,7 @@ def set_aucs(design: Design, sets: Sequence[Sequence[str]], spec: ModelSpec | No
         for i in range(k):
             mine = fold == i
             if mine.any():
-                x = matrix(i)[mine]
+                x = matrix(i, mine)
                 pieces += [(n, i, clipped(m.proba(x)), y[mine]) for n, own, m in models if own == i]
         return pieces
 
@@ -320,7 +320,7 @@ def validation_rows(cv: CVResult) -> DataFrame:
         for i in range(k):
             mine = fold == i
             if mine.any():
-                x[mine] = matrix(i)[mine]
+                x[mine] = matrix(i, mine)
         arrays = [batch.column(batch.schema.get_field_index(c)) for c in (id_col, "fold", "label")]
         yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(x.reshape(-1)))],
                                          names=["id", "fold", "label", "x"])
@@ -331,28 +331,38 @@ def validation_rows(cv: CVResult) -> DataFrame:
 def permutation_importance(cv: CVResult, columns: Sequence[str], n_repeats: int = 5, seed: int = 42) -> DataFrame:
     """SHAP2: AUC drop when one column is shuffled among a fold's validation rows, each row scored by the model that
     did not see it. The shuffle pairs the row at rank r in one hash order with the row at rank r in another, inside
-    the fold; all repeats are ranked and joined together. One Arrow pass then scores every column of every
-    pair and hands on packed scores, so the plan has the same few nodes for any number of columns."""
-    rows = materialize(validation_rows(cv), "validation")
+    the fold; all repeats are ranked and joined together. The rows travel as their values and their own model's statistics;
+    one Arrow pass makes the model's input of them, scores every column of every pair and hands on packed scores, so
+    the plan has the same few nodes for any number of columns."""
+    d, k = cv.design, cv.design.k
+    numeric, many_cats = len(d.columns.numeric), len(d.columns.categorical)
+    own = F.array(*[F.get("enc_apply", F.lit(j * (k + 1)) + F.col("fold")) for j in range(many_cats)]) if many_cats else F.array().cast("array<double>")
+    rows = materialize(d.table.where("fold IS NOT NULL").select(F.col(d.id_col).alias("id"), "fold", "label", F.concat("num", own).alias("x")), "validation")
     repeats = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
     order = lambda side: h("id", F.concat(F.lit(f"{side}{seed}_"), F.col("rep")))
     rank = lambda side: dist_rank(repeats.withColumn("_h", order(side)), ["_h", "id"], by=["fold", "rep"], rank_col="_r", uniform_max=TWO_POW_32).drop("_h")
     donor = rank("b").select(F.col("fold").alias("_f"), F.col("rep").alias("_p"), F.col("_r").alias("_q"), F.col("x").alias("d"))
     pairs = rank("a").join(donor, (F.col("fold") == F.col("_f")) & (F.col("rep") == F.col("_p")) & (F.col("_r") == F.col("_q")))
-    names, models, wanted = cv.design.columns.names, cv.models, list(columns)
+    names, models, wanted, impute = d.columns.names, cv.models, list(columns), d.columns.impute
     slots = [[j for j, n in enumerate(names) if n == c] for c in wanted]
-    width, many = len(names), n_repeats
+    width, many = numeric + many_cats, n_repeats
+
+    def inputs(batch: pa.RecordBatch, name: str, rows: np.ndarray, i: int) -> np.ndarray:
+        """``Columns.matrix`` of model i, from the compact rows."""
+        v = array_column(batch, name, width)[rows]
+        missing = np.isnan(v[:, :numeric])
+        return np.hstack([np.where(missing, impute[i], v[:, :numeric]), missing, v[:, numeric:]])
 
     def score(batch: pa.RecordBatch) -> list:
         fold, rep, y = (plain_column(batch, c) for c in ("fold", "rep", "label"))
-        x, d = array_column(batch, "x", width), array_column(batch, "d", width)
         pieces = []
         for i in np.unique(fold).astype(int).tolist():
             for r in np.unique(rep[fold == i]).astype(int).tolist():
                 mine = (fold == i) & (rep == r)
+                x, donor = inputs(batch, "x", mine, i), inputs(batch, "d", mine, i)
                 for c, own in enumerate(slots):
-                    swapped = x[mine].copy()
-                    swapped[:, own] = d[mine][:, own]
+                    swapped = x.copy()
+                    swapped[:, own] = donor[:, own]
                     pieces.append((c * many + r, i, clipped(models[i].proba(swapped)), y[mine]))
         return pieces
 
