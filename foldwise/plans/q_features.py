@@ -204,11 +204,15 @@ FROM prepared p LEFT JOIN tr ON p.seg = tr.k AND p.fold = tr.fold
      LEFT JOIN fr ON p.pri = fr.k AND p.fold = fr.fold LEFT JOIN nt ON p.fold = nt.fold"""
 
 
-def assembled(spark, sf):
+def assembled_rows(p):
+    """Every column of the prepared rows and the run's features."""
     feats = [fx.GroupStat(name="te_seg", key="seg", value="y", uses_target=True, default=0.5),
              fx.GroupStat(name="freq_pri", key="pri", kind="frequency")]
-    p = fx.ratio("ratio_price_bal", "price", "bal").transform(prepared(spark, sf))
-    return fx.assemble(p, "row_id", feats, K).select("row_id", "y", "fold", "te_seg", "freq_pri", "ratio_price_bal")
+    return fx.assemble(fx.ratio("ratio_price_bal", "price", "bal").transform(p), "row_id", feats, K)
+
+
+def assembled(spark, sf):
+    return assembled_rows(prepared(spark, sf)).select("row_id", "y", "fold", "te_seg", "freq_pri", "ratio_price_bal")
 
 
 @register("assemble_feature_frame", ASSEMBLE_SQL)

@@ -11,9 +11,10 @@ from foldwise.operators import models as ml
 from foldwise.operators.encoding import ordered_statistics
 from foldwise.operators.selection import forward_search, lift_screen, selection_round
 from foldwise.plans.inputs import K, SEED, base, prepared
-from foldwise.plans.q_features import assembled
+from foldwise.plans.q_features import assembled_rows
 from foldwise.plans.registry import r6, register
 from foldwise.plans.sqlkit import with_base
+from foldwise.session import materialize
 
 NUM = ["price", "bal", "price_n"]
 CAT = ["seg", "pri"]
@@ -23,9 +24,7 @@ LR = ml.ModelSpec(kind="logistic", max_iter=30)
 def selection_frame(spark, sf):
     """Raw columns + out-of-fold candidate features, one row per order, written once to
     the checkpoint folder: every model fit of a selection round reads it."""
-    p = prepared(spark, sf)
-    a = assembled(spark, sf).drop("y", "fold")
-    return p.join(a, "row_id", "left").checkpoint(eager=True)
+    return materialize(assembled_rows(prepared(spark, sf)), "selection")
 
 
 BASELINE = ["price", "bal", "seg", "pri"]
