@@ -13,7 +13,7 @@ fixed number of bits, from the bits before.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -49,6 +49,8 @@ class Code:
         self.node = np.array([n for p in paths for n, _ in p], np.uint32)
         self.bit = np.array([b for p in paths for _, b in p], np.int8)
         self.gate = np.array([min(i, GATES - 1) for p in paths for i in range(len(p))], np.int64)
+        self.hashed = self.node * _C
+        self.sign = 1 - 2 * self.bit.astype(np.float32)
 
     def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(position of the symbol, node, bit, gate) of every bit of a sequence of symbols."""
@@ -66,14 +68,28 @@ class Code:
 
 def slots(context: np.ndarray, at: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     """Slot of (context, node) among ``2**bits``. ``context``: uint32 by symbol."""
-    x = (context * _A)[at]
-    x += node * _C
+    return _slots((context * _A)[at], node * _C, bits)
+
+
+def _slots(x: np.ndarray, hashed: np.ndarray, bits: int) -> np.ndarray:
+    x += hashed
     x ^= x >> np.uint32(15)
     x *= _B
     x >>= np.uint32(32 - bits)
     return x.astype(np.intp)
 
 
+def slots_by_context(code: Code, contexts: Sequence[np.ndarray], at: np.ndarray, flat: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """``slots`` of the bits at ``places``, for one context after another; a context that is the same for all
+    symbols is hashed once a place of the paths."""
+    hashed = code.hashed[flat]
+    for c in contexts:
+        if len(c) and (c == c[0]).all():
+            yield _slots(np.repeat(c[:1] * _A, len(code.node)), code.hashed, bits)[flat]
+        else:
+            yield _slots((c * _A)[at], hashed, bits)
+
+
 def odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -LIMIT, LIMIT).astype(np.float32)
 
@@ -88,11 +104,11 @@ class Mixer:
         self.weights = np.full((GATES, k), 1.0 / k, np.float32)
         self.map = np.tile(np.linspace(-8, 8, MAP, dtype=np.float32), (GATES, 1))
 
-    def inputs(self, contexts: Sequence[np.ndarray], at: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Log odds, bits x contexts, times ``SCALE``."""
-        x = np.empty((len(at), len(self.tables)), np.float32)
-        for k, c in enumerate(contexts):
-            x[:, k] = self.tables[k][slots(c, at, node, self.bits)]
+    def inputs(self, contexts: Sequence[np.ndarray], at: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Log odds, contexts x bits, times ``SCALE``."""
+        x = np.empty((len(self.tables), len(at)), np.float32)
+        for own, table, slot in zip(x, self.tables, slots_by_context(self.code, contexts, at, flat, self.bits), strict=True):
+            own[:] = table[slot]
         return x
 
     def mapped(self, z: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -122,34 +138,55 @@ class Mixer:
     def log2(self, symbols: np.ndarray, contexts: Sequence[np.ndarray], ends: np.ndarray, refine: bool = True) -> np.ndarray:
         """log2 of the probability of each sequence; ``ends``: where each ends among ``symbols``. With
         ``refine``, each sequence starts from the fitted weights and moves its own copy."""
-        at, node, bit, gate = self.code.expand(symbols)
-        x = self.inputs(contexts, at, node)
-        sign = np.float32(1) - 2 * bit.astype(np.float32)
+        at, flat = self.code.places(symbols)
         bit_ends = np.concatenate([[0], np.cumsum(self.code.length[symbols])])[ends]
         begins = np.concatenate([[0], bit_ends[:-1]])
-        out, weights = np.zeros(len(ends)), self.weights / np.float32(SCALE)
+        out, weights = np.zeros(len(ends)), np.ascontiguousarray(self.weights.T) / np.float32(SCALE)
         if not refine:
-            z = self.mapped(np.einsum("ij,ij->i", x, weights[gate]), gate)
-            return -np.bincount(np.repeat(np.arange(len(ends)), bit_ends - begins), np.log1p(np.exp(sign * z)), len(ends)) / np.log(2)
-        own, k = np.tile(weights, (len(ends), 1)), len(self.tables)  # (sequence, gate) x context
+            x, gate = self.inputs(contexts, at, flat), self.code.gate[flat]
+            loss = softplus(self.code.sign[flat] * self.mapped(mixed(x, weights, gate), gate))
+            return -np.bincount(np.repeat(np.arange(len(ends)), bit_ends - begins), loss, len(ends)) / np.log(2)
+        steps = []  # (sequences with such a step, bits of each)
         for step in range(int(-(-(bit_ends - begins).max(initial=0) // STEP))):
-            first = begins + step * STEP
-            lanes = np.flatnonzero(first < bit_ends)
-            n = np.minimum(bit_ends[lanes] - first[lanes], STEP)
-            lane = np.repeat(lanes, n)
-            idx = np.arange(len(lane)) + np.repeat(first[lanes] - (np.cumsum(n) - n), n)
-            g, xs, flip = gate[idx], x[idx], sign[idx]
-            key = lane * GATES + g
-            z = np.clip(np.einsum("ij,ij->i", xs, own[key]), -30, 30)
-            out -= np.bincount(lane, np.log1p(np.exp(flip * self.mapped(z, g))), len(ends))
-            if (first + STEP < bit_ends).any():  # some have another step
+            lanes = np.flatnonzero(begins + step * STEP < bit_ends)
+            steps.append((lanes, np.minimum(bit_ends[lanes] - begins[lanes] - step * STEP, STEP)))
+        if not steps:
+            return out
+        # all bits by step, then by sequence, so that a step's bits are a slice
+        n = np.concatenate([n for _, n in steps])
+        first = np.concatenate([begins[lanes] + i * STEP for i, (lanes, _) in enumerate(steps)])
+        order = np.repeat(first - (np.cumsum(n) - n), n)
+        order += np.arange(len(order))
+        at, flat = at[order], flat[order]
+        xs, gates, flips = self.inputs(contexts, at, flat), self.code.gate[flat], self.code.sign[flat]
+        own, end = np.tile(weights, len(ends)), 0  # context x (sequence, gate)
+        for i, (lanes, n) in enumerate(steps):
+            begin, end = end, end + int(n.sum())
+            x, g, flip = xs[:, begin:end], gates[begin:end], flips[begin:end]
+            key = np.repeat(lanes * GATES, n)
+            key += g
+            z = np.clip(mixed(x, own, key), -30, 30)
+            out[lanes] -= np.add.reduceat(softplus(flip * self.mapped(z, g)), np.cumsum(n) - n, dtype=np.float64)
+            if i + 1 < len(steps):  # some have another step
                 error = -flip / (1 + np.exp(-flip * z))  # bit less its probability
-                rate = RATE / SCALE**2 / (np.bincount(key, minlength=len(own)) + 32.0)
-                for i in range(k):
-                    own[:, i] += rate * np.bincount(key, xs[:, i] * error, len(own))
+                rate = RATE / SCALE**2 / (np.bincount(key, minlength=own.shape[1]) + 32.0)
+                for w, values in zip(own, x, strict=True):
+                    w += rate * np.bincount(key, values * error, len(w))
         return out / np.log(2)
 
 
+def mixed(x: np.ndarray, weights: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The sum of the contexts' log odds (contexts x bits) by the weights of each bit's key (contexts x keys)."""
+    z = x[0] * weights[0][key]
+    for values, w in zip(x[1:], weights[1:], strict=True):
+        z += values * w[key]
+    return z
+
+
+def softplus(z: np.ndarray) -> np.ndarray:
+    return np.log(1 + np.exp(z))
+
+
 def levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of ``counts`` (contexts x slots x (zeros, ones)): the level of the log odds that a bit finds in a slot without its
     own count (contexts x (2 * slot + bit)), and the mean log odds of each context's levels over all counted bits."""
@@ -171,10 +208,18 @@ class Cells:
         self.code, self.table, self.bits = code, table, bits
         self.n = np.zeros(GATES * LEVELS ** len(table) * 2, np.int64)
 
-    def add(self, symbols: np.ndarray, contexts: Sequence[np.ndarray]) -> None:
+    def add(self, symbols: np.ndarray, contexts: Sequence[np.ndarray], times: np.ndarray | None = None) -> None:
+        """``times``: how often each symbol stands in its contexts, once if not given."""
         at, flat = self.code.places(symbols)
-        node, bit, cell = self.code.node[flat], self.code.bit[flat], self.code.gate.astype(np.int32)[flat]
-        for own, c in zip(self.table, contexts, strict=True):
+        bit, cell = self.code.bit[flat], self.code.gate.astype(np.int32)[flat]
+        for own, slot in zip(self.table, slots_by_context(self.code, contexts, at, flat, self.bits), strict=True):
+            slot *= 2
+            slot += bit
             cell *= LEVELS
-            cell += own[slots(c, at, node, self.bits) * 2 + bit]
-        self.n += np.bincount(cell * 2 + bit, minlength=len(self.n))
+            cell += own[slot]
+        self.n += weighed(cell * 2 + bit, at, times, len(self.n))
+
+
+def weighed(where: np.ndarray, at: np.ndarray, times: np.ndarray | None, size: int) -> np.ndarray:
+    """How many bits are at each place; exact, as sums below 2**53 are in doubles."""
+    return np.bincount(where, None if times is None else times[at], size).astype(np.int64)

@@ -4,12 +4,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foldwise.llm.bit_mix import GATES, Cells, Code, Mixer, levels, odds, slots
+from foldwise.llm.bit_mix import GATES, MAP, RATE, SCALE, STEP, Cells, Code, Mixer, levels, odds, slots
 from foldwise.llm.common import id_remainder
-from foldwise.llm.lm_score import END, lm_scores, words_of
+from foldwise.llm.lm_score import END, SlotCounts, before_each, blocks, lm_scores, spell, split, threes, word_contexts, words_of
 
 from .cases import clash, documents, no_documents
 
@@ -119,3 +120,102 @@ def test_fit_reads_every_training_row(spark, monkeypatch):
     words, spelling = seen
     assert words >= 1500 * 12  # six symbols of 2 bits at least each
     assert spelling >= (1500 + 5 - 1024) * 5  # words beyond the dictionary: five bytes and the end
+
+
+def test_texts_are_split_twice_and_each_word_spelled_once_a_pass(spark):
+    """Counting, coding: later passes read written symbols."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(i, f"the cat sat on mat{i}") for i in range(60)], "doc_id long, text string").mapInPandas(seen, "doc_id long, text string")
+    assert len(lm_scores(df, F.col("doc_id") % 2 == 0).collect()) == 60
+    assert read.value == 2 * 60
+
+
+def test_small_batches_go_together():
+    rows = [b"w%d" % i for i in range(3000)]
+    parts = lambda size: [x.column("token").to_pylist() for x in blocks(iter([pa.RecordBatch.from_pydict({"token": rows[i:i + 500]}) for i in range(0, 3000, 500)]), "token", size)]
+    assert parts(1 << 20) == [rows]
+    some = parts(2000)
+    assert sum(some, []) == rows and all(1980 < sum(len(w) + 1 for w in x) <= 2000 for x in some[:-1])
+    texts = ["", "a" * 50, "b", "c" * 70, "", "d"]  # longer ones alone
+    got = [x.column("t").to_pylist() for x in blocks(iter([pa.RecordBatch.from_pydict({"t": texts}), pa.RecordBatch.from_pydict({"t": pa.array([], pa.string())})]), "t", 10)]
+    assert got == [[""], ["a" * 50], ["b"], ["c" * 70], ["", "d"]]
+
+
+def test_split_as_bytes_do():
+    texts = ["", " \n", "A bC  d\te\x0bf\x0cg\rh\x1ci\x1fj\x85k\u00a0l\u2003m", " Éa ÀB ", "x", "漢 😀\x00y", "\nz "]
+    for own in (pa.array(texts), pa.array(["other words", *texts, "q"]).slice(1, len(texts)), pa.array(["a b", "c"]), pa.array([], pa.string())):
+        words, n = split(own)
+        want = [words_of(t) for t in own.to_pylist()]
+        assert words.to_pylist() == [w for x in want for w in x] and n.tolist() == [len(x) for x in want]
+
+
+def test_equal_threes_are_expanded_once():
+    rng = np.random.default_rng(5)
+    texts = [np.append(rng.integers(-1, 6, k), 4).astype(np.int32) for k in (0, 1, 2, 300, 40)] * 6
+    batches = lambda: iter([pa.RecordBatch.from_pydict({"numbers": pa.array([t.tobytes() for t in texts[i:i + 7]], pa.binary())}) for i in range(0, len(texts), 7)])
+    code, bits = Code([50, 30, 20, 9, 3, 1]), 10
+    flat, starts = np.concatenate(texts), np.cumsum([0, *(len(t) for t in texts)])[:-1]
+    table, _ = levels(rng.integers(0, 9, (4, 1 << bits, 2)))
+    for unused in ([], [2000]):  # keys of 32 and of 64 bits
+        symbol = np.array([0, 1, 2, 3, 4, 5, *unused, 5])  # -1 and 5 are escapes
+        symbols = symbol[flat]
+        plain, once = [SlotCounts(code, 4, bits), Cells(code, table, bits)], [SlotCounts(code, 4, bits), Cells(code, table, bits)]
+        total = expanded = 0
+        for last, own, times in threes(batches(), symbol):
+            total, expanded = total + times.sum(), expanded + len(last)
+            for x in once:
+                x.add(last, own, times)
+        for x in plain:
+            x.add(symbols, word_contexts(*before_each(symbols, starts)))
+        want = Counter((a, b, c) for t in (symbol[t].tolist() for t in texts) for a, b, c in zip([-1, -1, *t], [-1, *t], t))  # noqa: B905
+        assert total == len(flat) and expanded == len(want)
+        assert (once[0].counts == plain[0].counts).all() and (once[1].n == plain[1].n).all()
+
+
+def test_scores_by_plain_loops():
+    rng = np.random.default_rng(6)
+    code, bits = Code([40, 20, 9, 5, 3, 2, 1, 1]), 8
+    mixer = Mixer(code, rng.integers(0, 30, (4, 1 << bits, 2)), bits)
+    mixer.weights = rng.uniform(0, 0.6, mixer.weights.shape).astype(np.float32)
+    mixer.map = (mixer.map + rng.uniform(-0.3, 0.3, mixer.map.shape)).astype(np.float32)
+    lengths = [900, 1, 0, 300, 450]  # several steps, one step, none
+    symbols, ends = rng.integers(0, 8, sum(lengths)), np.cumsum(lengths)
+    contexts = word_contexts(*before_each(symbols, (ends - lengths)[np.array(lengths) > 0]))
+    for refine in (False, True):
+        want = []
+        for end, n in zip(ends, lengths, strict=True):
+            own, total, bit_no, moved, hits = mixer.weights.astype(float) / SCALE, 0.0, 0, np.zeros((GATES, 4)), np.zeros(GATES)
+            for i in range(end - n, end):
+                for j in range(code.start[symbols[i]], code.start[symbols[i]] + code.length[symbols[i]]):
+                    if refine and bit_no and bit_no % STEP == 0:
+                        own, moved, hits = own + moved * (RATE / SCALE**2 / (hits + 32))[:, None], np.zeros((GATES, 4)), np.zeros(GATES)
+                    g, bit = code.gate[j], int(code.bit[j])
+                    x = np.array([mixer.tables[k][slots(c[i:i + 1], np.array([0]), code.node[j:j + 1], bits)[0]] for k, c in enumerate(contexts)], float)
+                    z = float(x @ own[g])
+                    z = min(max(z, -30), 30) if refine else z
+                    near = int(np.rint(min(max(z, -8), 8) * (MAP - 1) / 16)) + (MAP - 1) // 2
+                    p = 1 / (1 + math.exp(-(z + mixer.map[g][near]) / 2))
+                    total += math.log2(p if bit else 1 - p)
+                    moved[g] += x * (bit - 1 / (1 + math.exp(-z)))
+                    hits[g] += 1
+                    bit_no += 1
+            want.append(total)
+        assert np.allclose(mixer.log2(symbols, contexts, ends, refine), want, rtol=2e-3, atol=1e-4)
+
+
+def test_spelling_contexts_are_of_the_word_alone():
+    words = [b"a", b"abc", b"abcd", b"x" * 300, b"abd"]
+    data, contexts, ends = spell(words)
+    assert data.tobytes() == np.frombuffer(b"".join(w + END for w in words), np.uint8).astype(np.int64).tobytes() and ends.tolist() == np.cumsum([len(w) + 1 for w in words]).tolist()
+    for w, end in zip(words, ends, strict=True):
+        _, own, _ = spell([w])
+        assert all((c[end - len(w) - 1:end] == o).all() for c, o in zip(contexts, own, strict=True))
+    prefix = contexts[3]
+    assert prefix[2 + 3] == prefix[2 + 4 + 3] and len(set(prefix[2:6].tolist())) == 4  # of abc and abcd
+    assert len(spell([])[0]) == 0
