@@ -41,9 +41,9 @@ END = b"\n"  # no word has white space
 DICTIONARY, FREQUENT, CLASSES = 1024, 100_000, 1
 WORD_BITS, SPELL_BITS, SPELL_CONTEXTS = 18, 18, 4
 SPELLED = 200_000  # bytes of words spelled together
-COUNTED, CODED = 12_000_000, 4_000_000  # bytes of text counted and coded together
+COUNTED, CODED = 6_000_000, 2_000_000  # bytes of text counted and coded together
 BATCH = 100_000  # words scored together
-THREES, EXPANDED = 4_000_000, 50_000  # words sorted together, distinct threes expanded together
+THREES, EXPANDED = 2_000_000, 50_000  # words sorted together, distinct threes expanded together
 TASK_WORDS = 30_000_000  # words counted by one task at most, about 200 MB
 _P = np.uint32(0x01000193)
 

@@ -122,7 +122,7 @@ def test_fit_reads_every_training_row(spark, monkeypatch):
     assert spelling >= (1500 + 5 - 1024) * 5  # words beyond the dictionary: five bytes and the end
 
 
-def test_texts_are_split_twice_and_each_word_spelled_once_a_pass(spark):
+def test_texts_are_split_twice(spark):
     """Counting, coding: later passes read written symbols."""
     read = spark.sparkContext.accumulator(0)
 
