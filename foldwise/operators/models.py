@@ -2,27 +2,25 @@
 
 All models of a run share one written design: the label, the fold, the numeric values and every
 categorical column's ordered target statistics for each fold model (``encoding``). Logistic models of all
-folds and feature sets are fitted together, a scan an iteration (``logit``); boosted trees are
-``pyspark.ml`` GBTs on the same columns, the fold fits submitted side by side. Fitted models are small arrays;
+folds and feature sets are fitted together, a scan an iteration (``logit``), boosted trees a scan a level
+(``boost``: the trees of ``pyspark.ml``'s GBT on the same columns). Fitted models are small arrays;
 scoring is one Arrow pass, and metrics come from histograms of scores, grouped by fold, when they are asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import TWO_POW_32, h
 from foldwise.functions.scalar import PROBA_EPS, known
+from foldwise.operators.boost import fit_boosted
 from foldwise.operators.encoding import model_priors, ordered_statistics
 from foldwise.operators.logit import Columns, array_column, fit_many, moments, plain_column, sigmoid, tasks_of
 from foldwise.operators.rank import dist_rank
@@ -86,8 +84,9 @@ class Design:
         """The models of (fold left out or k, features)."""
         if spec.kind != "gbt":
             return fit_many(self.table, self.columns, sets, spec.reg_param, spec.tol, spec.max_iter, self.moments)[0]
-        with ThreadPoolExecutor(max_workers=max(1, len(sets))) as pool:
-            return list(pool.map(lambda s: self.fit_trees(*s, spec), sets))
+        picked = [self.columns.of(f) for _, f in sets]
+        trees = fit_boosted(self.table, self.id_col, self.columns, [(i, p) for (i, _), p in zip(sets, picked, strict=True)], spec.trees, spec.depth, spec.step, spec.seed)
+        return [BoostedModel(tuple(p), t) for p, t in zip(picked, trees, strict=True)]
 
     def vector(self, model: int, picked: Sequence[int], encoding: str) -> Column:
         """The model's input as an array, its columns in the design's order."""
@@ -103,14 +102,6 @@ class Design:
                 parts.append(F.get(encoding, F.lit((j - 2 * n) * (self.k + 1) + model)))
         return F.array(*parts)
 
-    def fit_trees(self, model: int, features: Sequence[str], spec: ModelSpec) -> BoostedModel:
-        from foldwise.operators.treeshap import read_trees
-        picked = self.columns.of(features)
-        train = self.table.where(F.col("fold").isNotNull() & (F.col("fold") != model) & F.col("label").isNotNull())
-        vectors = train.select("label", array_to_vector(self.vector(model, picked, "enc_fit")).alias("_features"))
-        gbt = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=spec.trees, maxDepth=spec.depth, stepSize=spec.step, seed=spec.seed)
-        return BoostedModel(tuple(picked), tuple(read_trees(gbt.fit(vectors), self.table.sparkSession)))
-
     def map(self, fn: Callable[[pa.RecordBatch, Callable[[int], np.ndarray]], Iterator[pa.RecordBatch]], schema: str, rows: DataFrame | None = None) -> DataFrame:
         """``fn(batch, matrix)`` over the table's batches; ``matrix(i, rows)`` are the rows (all by default) as model i scores them."""
         ship_package(self.table.sparkSession)
