@@ -13,6 +13,7 @@ as they are; as Parquet rows they took twice the time. A task holds a batch of b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -23,7 +24,7 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.logit import GROUP, Columns, array_column, plain_column, tasks_of
+from foldwise.operators.logit import GROUP, Columns, array_column, plain_column
 from foldwise.operators.treeshap import Tree
 from foldwise.session import ship_package
 
@@ -33,7 +34,7 @@ SPLIT_ROWS = 10_000  # training rows whose values give a model's candidate split
 BLOCK_BYTES = 1 << 18
 BATCH = 1 << 16  # rows of a model added up together
 TOGETHER = 16  # models that share scans
-WAVES = 3  # tasks of a scan for each core, at least
+TASK_ROWS = 1 << 22  # rows of all models in a task, where there are more tasks than cores: a Python task costs some 0.08 s by itself
 BLOCKS = "model int, n int, positive int, codes binary"
 Block = tuple[int, int, int, bytes, bytes | None]  # model, rows, rows of label 1 (they come first), codes, margins
 
@@ -55,14 +56,15 @@ def thresholds(values: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def find_splits(design: DataFrame, id_col: str, columns: Columns, models: Sequence[tuple[int, np.ndarray]], seed: int) -> list[list[np.ndarray]]:
-    """The candidate splits of each model's columns, from a hash sample of its training rows."""
-    train = F.col("fold").isNotNull() & F.col("label").isNotNull()
-    sizes = {r["fold"]: r["count"] for r in design.where(train).groupBy("fold").count().collect()}  # k rows
+TRAIN = "fold IS NOT NULL AND label IS NOT NULL"
+
+
+def find_splits(design: DataFrame, id_col: str, columns: Columns, models: Sequence[tuple[int, np.ndarray]], sizes: Sequence[int], seed: int) -> list[list[np.ndarray]]:
+    """The candidate splits of each model's columns, from a hash sample of its training rows, of which there are ``sizes``."""
     one = 1 << 30
-    share = [int(one * min(1.0, SPLIT_ROWS / max(1, sum(n for f, n in sizes.items() if f != i)))) for i, _ in models]
+    share = [int(one * min(1.0, SPLIT_ROWS / max(1, n))) for n in sizes]
     number = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("model"))
-    rows = design.where(train).withColumn("_u", F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(one))).where(F.col("_u") < max(share))
+    rows = design.where(TRAIN).withColumn("_u", F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(one))).where(F.col("_u") < max(share))
     rows = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(len(models) - 1))))
     rows = rows.where((F.col("_u") < number(share)) & (F.col("fold") != number([i for i, _ in models]))).select("model", "num", "enc_fit")
 
@@ -332,13 +334,16 @@ def fit_group(design: DataFrame, id_col: str, columns: Columns, models: Sequence
               seed: int) -> list[tuple[Tree, ...]]:
     spark = design.sparkSession
     ship_package(spark)
-    found = find_splits(design, id_col, columns, models, seed)
+    folds = {r["fold"]: r["count"] for r in design.where(TRAIN).groupBy("fold").count().collect()}  # k rows
+    sizes = [sum(n for f, n in folds.items() if f != i) for i, _ in models]
+    found = find_splits(design, id_col, columns, models, sizes, seed)
     used = [[j for j, s in enumerate(own) if len(s)] for own in found]
     splits = [[own[j] for j in use] for own, use in zip(found, used, strict=True)]
     kept = [(i, picked[use]) for (i, picked), use in zip(models, used, strict=True)]
 
     rows = design.select("fold", "label", "num", "enc_fit")
-    tasks, done = max(tasks_of(rows), WAVES * spark.sparkContext.defaultParallelism), [[] for _ in models]
+    cores, done = spark.sparkContext.defaultParallelism, [[] for _ in models]
+    tasks = cores * max(1, math.ceil(sum(sizes) / (TASK_ROWS * cores)))
     first = rows.mapInArrow(first_blocks(columns, kept, splits), BLOCKS).repartition(tasks)
     state = first.rdd.map(lambda r: (r[0], r[1], r[2], bytes(r[3]), None)).persist(StorageLevel.DISK_ONLY)
     for t in range(trees):

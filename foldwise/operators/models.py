@@ -303,20 +303,13 @@ def linear_shap(df: DataFrame, coefficients: dict, means: dict | None = None) ->
 
 def validation_rows(cv: CVResult) -> DataFrame:
     """(id, fold, label, x): each validation row as its own fold's model scores it."""
-    d, width = cv.design, len(cv.design.columns.names)
-    k, id_col, id_type = d.k, d.id_col, d.table.schema[d.id_col].dataType.simpleString()
-
-    def fn(batch, matrix):
-        fold, x = plain_column(batch, "fold"), np.zeros((len(batch), width))
-        for i in range(k):
-            mine = fold == i
-            if mine.any():
-                x[mine] = matrix(i, mine)
-        arrays = [batch.column(batch.schema.get_field_index(c)) for c in (id_col, "fold", "label")]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(x.reshape(-1)))],
-                                         names=["id", "fold", "label", "x"])
-
-    return d.map(fn, f"id {id_type}, fold int, label double, x array<double>", d.table.where("fold IS NOT NULL"))
+    d, k = cv.design, cv.design.k
+    doubles = lambda parts: F.array(*parts).cast("array<double>")
+    impute = F.get(F.array(*[doubles([F.lit(float(v)) for v in d.columns.impute[i]]) for i in range(k)]), F.col("fold"))
+    values = F.zip_with("num", impute, lambda v, mean: F.when(F.isnan(v), mean).otherwise(v))
+    missing = F.transform("num", lambda v: F.isnan(v).cast("double"))
+    statistics = doubles([F.get("enc_apply", F.lit(j * (k + 1)) + F.col("fold")) for j in range(len(d.columns.categorical))])
+    return d.table.where("fold IS NOT NULL").select(F.col(d.id_col).alias("id"), "fold", "label", F.concat(values, missing, statistics).alias("x"))
 
 
 def permutation_importance(cv: CVResult, columns: Sequence[str], n_repeats: int = 5, seed: int = 42) -> DataFrame:
@@ -390,5 +383,5 @@ def tree_shap_importance(cv: CVResult) -> DataFrame:
     names = cv.design.columns.names
     picked = {i: m.columns for i, m in cv.models.items()}
     first = next(iter(picked.values()))
-    rows = validation_rows(cv).select("fold", F.array(*[F.get("x", F.lit(j)) for j in first]).alias("x"))
+    rows = validation_rows(cv).select("fold", F.col("x") if list(first) == list(range(len(names))) else F.array(*[F.get("x", F.lit(j)) for j in first]).alias("x"))
     return mean_abs_shap(rows, {i: m.trees for i, m in cv.models.items()}, {i: [names[j] for j in c] for i, c in picked.items()}, "fold", "x")

@@ -35,6 +35,7 @@ from foldwise.session import checkpoint_dir
 
 BLOCK = 1 << 16  # rows explained together
 WAYS = 24  # nodes whose ways are told apart at once
+FEW = 16  # nodes whose ways are told apart by a table
 
 
 @dataclass
@@ -119,7 +120,12 @@ def same_ways(ways: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
         code = group << WAYS
         for b, way in enumerate(ways[at:at + WAYS]):
             code |= way.astype(np.int64) << b
-        group, found = pd.factorize(code)
+        if len(ways) <= FEW:
+            there = np.zeros(1 << len(ways), bool)
+            there[code] = True
+            group, found = (np.cumsum(there) - 1).take(code), np.flatnonzero(there)
+        else:
+            group, found = pd.factorize(code)
         first = np.zeros(len(found), np.int64)
         first[group] = np.arange(n)
     return first, group
@@ -128,7 +134,7 @@ def same_ways(ways: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
 def shap_values(trees: Sequence[Tree], X: np.ndarray) -> np.ndarray:
     """Rows x features SHAP matrix (margin space) of a tree ensemble. Rows that go the same way at every node of a tree have
     the same values from it, so each tree is worked out for one row of every such group."""
-    phi = np.zeros(X.shape)
+    X, phi = np.asfortranarray(X), np.zeros(X.shape)
     for t in trees:
         nodes = [i for i in range(len(t.feature)) if t.left[i] >= 0]
         first, group = same_ways([goes_left(t, i, X) for i in nodes], len(X))

@@ -7,7 +7,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from foldwise.operators import boost, models as ml
+from foldwise.operators import boost, models as ml, treeshap
 from foldwise.operators.treeshap import read_trees
 
 K = 3
@@ -85,3 +85,24 @@ def test_labels_are_two_classes(spark):
     df = spark.createDataFrame([(i, i % 3, i % 2, float(i)) for i in range(60)], "row_id long, y int, fold int, x double")
     with pytest.raises(Exception, match="0 and 1"):
         ml.build_design(df, "row_id", "y", ["x"], [], 2).fit([(0, ["x"])], SPEC)
+
+
+def test_validation_rows_are_what_the_fold_models_score(design):
+    r = ml.CVResult(design, {})
+    rows = ml.validation_rows(r)
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString() and "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+    got, table = rows.toPandas().set_index("id"), design.table.where("fold IS NOT NULL").toPandas()
+    assert len(got) == len(table)
+    for i, g in table.groupby("fold"):
+        x = design.columns.matrix(np.stack(g["num"].to_numpy()), np.stack(g["enc_apply"].to_numpy()), int(i))
+        assert (np.stack(got.loc[g["row_id"], "x"].to_numpy()) == x).all() and (got.loc[g["row_id"], "fold"] == i).all()
+
+
+def test_few_and_many_nodes_group_rows_alike(monkeypatch):
+    ways = [w for w in np.random.default_rng(10).random((12, 3000)) < 0.5]
+    few, group = treeshap.same_ways(ways, 3000)
+    monkeypatch.setattr(treeshap, "FEW", 0)
+    many, other = treeshap.same_ways(ways, 3000)
+    code = np.array(ways)
+    assert (code[:, few][:, group] == code).all() and (code[:, many][:, other] == code).all() and len(few) == len(many)
+    assert len(treeshap.same_ways([], 5)[0]) == 1 and len(treeshap.same_ways([w[:0] for w in ways], 0)[0]) == 0
