@@ -251,7 +251,7 @@ class Growing:
             n, total, square = whole[:, at]
             if i == 0:
                 self.n[0], self.sum[0] = float(n), float(total)
-            found = self.best(n, total, square, bins[:, at])
+            found = self.best(n, total, square, bins[:, at]) if self.depth else None
             if found is not None:
                 self.column[i], self.cut[i], n_left, sum_left = found
                 self.left[i], self.right[i] = self.node(n_left, sum_left), self.node(float(n) - n_left, float(total) - sum_left)
@@ -348,7 +348,7 @@ def fit_group(design: DataFrame, id_col: str, columns: Columns, models: Sequence
     state = first.rdd.map(lambda r: (r[0], r[1], r[2], bytes(r[3]), None)).persist(StorageLevel.DISK_ONLY)
     for t in range(trees):
         grown, weight = [Growing(use, s, depth) for use, s in zip(used, splits, strict=True)], step if t else 1.0
-        for level in range(depth):
+        for level in range(max(1, depth)):
             now = {m: (g.levels, g.by_place(), len(g.open), g.pairs) for m, g in enumerate(grown) if g.open}
             sums = totals(state.mapPartitions(level_sums(now)), tasks) if now else {}
             for m in now:

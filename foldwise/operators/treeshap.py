@@ -1,9 +1,9 @@
-"""Exact path-dependent tree SHAP for ``pyspark.ml`` GBT models (SHAP1, trees).
+"""Exact path-dependent tree SHAP for boosted trees (SHAP1, trees).
 
-The trees of a fitted model are read from its saved Parquet ``data`` folder (one row per
-node: split feature, threshold or left categories, children, leaf value, training count),
-so only trees x nodes numbers reach the driver and are shipped to the tasks. Inside
-``mapInPandas`` the Shapley values of every row are computed exactly, vectorised over the rows of
+The trees are those of ``boost``; a fitted ``pyspark.ml`` model's are read from its saved Parquet ``data`` folder (one row per
+node: split feature, threshold or left categories, children, leaf value, training count).
+Only trees x nodes numbers are shipped to the tasks. Inside
+``mapInArrow`` the Shapley values of every row are computed exactly, vectorised over the rows of
 a block, leaf by leaf. A coalition reaches a leaf with the product, over the d features on its path, of
 z_j (the share of training rows that go the leaf's way, for features outside the coalition) or o_j (1 if
 the row itself goes that way, else 0). So feature i gets, from a leaf of value v,

@@ -106,3 +106,12 @@ def test_few_and_many_nodes_group_rows_alike(monkeypatch):
     code = np.array(ways)
     assert (code[:, few][:, group] == code).all() and (code[:, many][:, other] == code).all() and len(few) == len(many)
     assert len(treeshap.same_ways([], 5)[0]) == 1 and len(treeshap.same_ways([w[:0] for w in ways], 0)[0]) == 0
+
+
+def test_no_depth_and_deep_trees(design):
+    flat = design.fit([(0, ["a", "b"])], ml.ModelSpec(kind="gbt", trees=2, depth=0))[0]
+    labels = [r["label"] for r in design.table.where("fold IS NOT NULL AND fold <> 0").collect()]
+    assert [t.feature.tolist() for t in flat.trees] == [[-1], [-1]] and flat.trees[0].value[0] == pytest.approx(2 * np.mean(labels) - 1)
+    deep = design.fit([(0, ["a", "b", "c"])], ml.ModelSpec(kind="gbt", trees=1, depth=8))[0].trees[0]
+    leaves = deep.left < 0
+    assert leaves.sum() > 32 and deep.cover[leaves].sum() == len(labels) and (deep.cover[leaves] >= 1).all()
